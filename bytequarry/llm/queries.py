@@ -23,6 +23,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import near_duplicates
 
@@ -41,6 +47,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strip_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs)).select("doc_id", "declared", "language", "probability", "kept")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc_zip import archive_round_trip
 
@@ -54,7 +67,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op4_jaccard_join, op5_sharding, op7_substring_dedup, op9_warc, op10_exact_dedup]
+    found = [op1_packing, op2_decontamination, op4_jaccard_join, op5_sharding, op7_substring_dedup, op8_language_id, op9_warc, op10_exact_dedup]
     return {f.__name__: f for f in found}
 
 
