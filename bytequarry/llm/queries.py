@@ -29,6 +29,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import near_duplicates
 
@@ -41,6 +47,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), uniform_tree(SHARDS), uniform_tree(SHARDS + 1))
 
 
+def op6_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .transcripts import fit, in_order, observed, recover
+
+    ordered = in_order(observed(_table(spark, sf_dir, "conversations")))
+    return recover(ordered, fit(ordered))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import strip_repeats
 
@@ -67,7 +80,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_decontamination, op4_jaccard_join, op5_sharding, op7_substring_dedup, op8_language_id, op9_warc, op10_exact_dedup]
+    found = [op1_packing, op2_decontamination, op3_html_extraction, op4_jaccard_join, op5_sharding, op6_transcripts, op7_substring_dedup, op8_language_id, op9_warc, op10_exact_dedup]
     return {f.__name__: f for f in found}
 
 
