@@ -9,7 +9,8 @@ Turns are dealt by ranges of (conversation, turn), so a conversation of any
 length is spread over tasks. A task first sums up the conversations at its two
 ends as best scores from each entering to each leaving state; chaining those
 few matrices fixes the states at the seams, and each task then decodes its own
-part. The result is that of one pass over the whole conversation.
+part. The result is as likely as that of one pass over the whole conversation;
+of equally likely ones it may be another.
 """
 
 from __future__ import annotations
