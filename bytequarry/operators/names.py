@@ -100,8 +100,8 @@ def word_list(lines: DataFrame, line: str, max_length: int = 500, max_parts: int
     """(word, original): tokens of sane lines and their camel-split forms; of several spellings the last by order is shown. lines: (seq, line)."""
     sane = (F.length(line) <= max_length) & (F.length(line) - F.length(F.replace(F.col(line), F.lit("_"))) <= max_parts) & ~F.col(line).startswith("#")
     tokens = lines.filter(sane).select("seq", F.explode(name_tokens(F.col(line))).alias("t"))
-    both = tokens.select("seq", F.explode(F.array_distinct(F.array(F.col("t"), camel_split(F.col("t"))))).alias("t"))
-    return both.groupBy(F.lower("t").alias("word")).agg(F.max_by("t", "seq").alias("original"))
+    both = tokens.select("seq", F.posexplode(F.array(camel_split(F.col("t")), F.col("t"))).alias("as_is", "t"))
+    return both.groupBy(F.lower("t").alias("word")).agg(F.max_by("t", F.struct("seq", "as_is")).alias("original"))
 
 
 def candidates(words: DataFrame, templates: DataFrame, word: str = "word", template: str = "template") -> DataFrame:
