@@ -42,7 +42,7 @@ REJECT = 0.5
 
 def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashed trigrams within words that have no digit, with a space on both sides; the text of each)."""
-    data = b"  ".join(texts) + b"  "
+    data = b" " + b"  ".join(texts) + b"  "
     buf = np.frombuffer(data, np.uint8)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
     letter = (buf >= 128) | ((buf >= 97) & (buf <= 122))
@@ -59,7 +59,7 @@ def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     gram = (buf[at - 1] << 16) | (buf[at] << 8) | buf[at + 1]
     gram = (gram * np.uint32(0x9E3779B1)) >> np.uint32(17)
     ends = np.cumsum(lengths)
-    return gram.astype(np.int64), np.searchsorted(ends, at, side="right")
+    return gram.astype(np.int64), np.searchsorted(ends, at - 1, side="right")
 
 
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
@@ -111,7 +111,7 @@ def _scorer(table: np.ndarray):
             for i, j in blocks(texts):
                 gram, doc = _trigrams(texts[i:j])
                 n = np.bincount(doc, minlength=j - i)
-                score = np.stack([np.bincount(doc, weights=table[c][gram], minlength=j - i) for c in range(classes)], axis=1)
+                score = np.stack([np.bincount(doc, weights=table[c][gram], minlength=j - i) for c in range(classes)], axis=1).astype(float)
                 score *= (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
                 out.append(np.concatenate([score, n[:, None]], axis=1))
             flat = np.concatenate(out).ravel() if out else np.zeros(0)
@@ -123,7 +123,7 @@ def _scorer(table: np.ndarray):
 
 
 def _softmax(scores: list[Column]) -> list[Column]:
-    top = F.greatest(*scores)
+    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
     parts = [F.exp(s - top) for s in scores]
     total = parts[0]
     for p in parts[1:]:
