@@ -23,6 +23,7 @@ class Dialect:
     big: Callable[[bytes], bool] = lambda data: False
     start: int = 0
     keep: tuple[str, ...] = ()
+    spans: Callable[[bytes], Iterator[tuple[str, int, int, int, int]]] | None = None  # (id, channel, type, begin, end), where a table or the file's head rules
 
 
 def _trimmed(data: bytes, at: int, big: bool) -> Chunk | None:
@@ -100,7 +101,90 @@ BYTE_CHUNKS = Dialect(_id_then_u24)
 VIDEO_AUDIO_PAIRS = Dialect(_pairs)
 
 
+def _film(data: bytes) -> Iterator[tuple[str, int, int, int, int]]:
+    """Head with an FDSC and an STAB chunk; the table's entries are offset, size and two words, of which all ones marks audio."""
+    if data[:4] != b"FILM" or data[16:20] != b"FDSC":
+        raise ValueError("other signature")
+    at = 16 + struct.unpack_from(">I", data, 20)[0]
+    if data[at : at + 4] != b"STAB":
+        raise ValueError("no sample table")
+    size, _, n = struct.unpack_from(">III", data, at + 4)
+    base = at + 16 + size
+    for i in range(n):
+        offset, length, info, _ = struct.unpack_from(">4I", data, at + 16 + 16 * i)
+        yield ("audi" if info == 0xFFFFFFFF else "vide", 0, info, base + offset, base + offset + length)
+
+
+def _mul(data: bytes) -> Iterator[tuple[str, int, int, int, int]]:
+    """A head of 0x800 or 0x2000 bytes, then blocks of type and size, padded to 16, behind a head of 16; type 0 is audio. The file's head goes with the audio."""
+    big = int.from_bytes(data[:4], "big") < int.from_bytes(data[:4], "little")
+    head = next((h for h in (0x800, 0x2000) if any(data[h : h + 8])), None)
+    if head is None:
+        raise ValueError("unknown start")
+    yield "head", 0, 0, 0, head
+    at = head
+    while at + 8 <= len(data):
+        kind, size = struct.unpack_from(">II" if big else "<II", data, at)
+        size = -(-size // 16) * 16 + 16
+        yield ("audi" if kind == 0 else "vide", 0, kind, at, min(at + size, len(data)))
+        at += size
+
+
+def _xav(data: bytes) -> Iterator[tuple[str, int, int, int, int]]:
+    """XAVS: a head of 0x18 bytes, then chunks of one byte of id and three of size; ids A, a and b are audio, 0x5F ends."""
+    if data[:4] != b"XAVS":
+        raise ValueError("other signature")
+    yield "head", 0, 0, 0, 0x18
+    at = 0x18
+    while at + 4 <= len(data):
+        kind, size = data[at], int.from_bytes(data[at + 1 : at + 4], "little")
+        size = 4 if kind in (0x21, 0x5F) else size + 4
+        if kind not in (0x41, 0x61, 0x62, 0x56, 0x21, 0x5F):
+            raise ValueError("unknown chunk")
+        yield ("vide" if kind in (0x56, 0x21) else "audi", 0, kind, at, min(at + size, len(data)))
+        at += size
+
+
+def _ipus(data: bytes) -> Iterator[tuple[str, int, int, int, int]]:
+    """IPUS: frames of a fixed size, each with the sizes of its video and audio parts."""
+    if data[:4] != b"IPUS":
+        raise ValueError("other signature")
+    frame, test = struct.unpack_from("<II", data, 12)
+    at = {1: 0x14, 0x40: 0x40}.get(test)
+    if at is None or not frame:
+        raise ValueError("unknown format")
+    while at + 8 <= len(data):
+        video, audio = struct.unpack_from("<II", data, at)
+        yield "vide", 0, 0, at + 0x40, at + 0x40 + video
+        if audio:
+            yield "audi", 0, 0, at + 0x40 + video, at + 0x40 + video + audio
+        at += frame
+
+
+def _smv(data: bytes) -> Iterator[tuple[str, int, int, int, int]]:
+    """Blocks that name the size of the next one (the first has 0x800), their video's size, and their audio's place and size."""
+    at, size = 0, 0x800
+    while at + 16 <= len(data) and size:
+        after, video, place, audio = struct.unpack_from("<4I", data, at)
+        if video:
+            yield "vide", 0, 0, at + 16, at + 16 + video
+        if audio:
+            yield "audi", 0, 0, at + place, at + place + audio
+        at, size = at + size, after
+
+
+FILM, MUL, XAV, IPUS, SMV = (Dialect(_trimmed, spans=f) for f in (_film, _mul, _xav, _ipus, _smv))
+
+
 def read_chunks(data: bytes, dialect: Dialect) -> Iterator[tuple]:
+    if dialect.spans:
+        seq = 0
+        try:
+            for seq, (name, channel, kind, begin, end) in enumerate(dialect.spans(data)):
+                yield (seq, begin, name, channel, kind, data[begin:end], None)
+        except (ValueError, struct.error) as e:
+            yield (seq, 0, None, None, None, None, str(e))
+        return
     big, at, seq = dialect.big(data), dialect.start, 0
     while at < len(data):
         try:

@@ -35,14 +35,19 @@ class Layout:
     NUL, or after its length). unit and base: offsets are unit * value + base.
     sized: "field", "next" (up to the next offset) or "next_unit". names: a
     header field or number that name_at is relative to. skip: offsets that
-    stand for no entry. codecs: from the values of the flag field.
+    stand for no entry. codecs: from the values of the flag field. only: values
+    that fields must have. relative: offsets count from the entry's own place.
+    once: entries that repeat an offset go. find: the directory begins at this
+    mark, wherever it stands, and offsets count from it. swapped: the signature
+    of the other byte order. arrays may hold "sized" texts (their length stands
+    before the first) and "zz" (two pointers to texts that make one name).
     """
 
     magic: bytes = b""
     big: bool | str = False
     count: int | Field | None = None
     table: int | Field = 0
-    stride: int = 0
+    stride: int | Field = 0
     fields: dict[str, Field] = field(default_factory=dict)
     arrays: dict[str, tuple[int, str]] = field(default_factory=dict)
     inline: tuple[tuple[str, str], ...] = ()
@@ -54,6 +59,11 @@ class Layout:
     codecs: dict[int, str] = field(default_factory=dict)
     packed_codec: str = ""
     guess_at: int = 4
+    only: dict[str, int] = field(default_factory=dict)
+    relative: bool = False
+    once: bool = False
+    find: bytes = b""
+    swapped: bytes = b""
 
 
 class _View:
@@ -72,6 +82,15 @@ class _View:
         self._within(at, n)
         return int.from_bytes(self.data[at : at + n], self.order if order == "=" else order)
 
+    def element(self, start: int, i: int, kind: str):
+        """The i-th element of an array."""
+        if kind == "sized":
+            n = self.read(start, "u32")
+            return self.read(start + 4 + i * n, f"s{n}")
+        if kind == "zz":
+            return "".join(self.read(self.read(start + 8 * i + 4 * k, "u32"), "z") for k in (0, 1))
+        return self.read(start + i * (int(kind[1:]) if kind[0] == "s" else _INTS[kind][0]), kind)
+
     def _within(self, at: int, n: int) -> None:
         if at < 0 or at + n > len(self.data):
             raise ValueError("field out of the data")
@@ -82,14 +101,20 @@ class _View:
 
 def read_entries(layout: Layout, data: bytes, payload_size: int | None = None) -> list[dict]:
     """The directory's entries. Raises ValueError where the data is not of this layout."""
-    if layout.magic and data[: len(layout.magic)] != layout.magic:
-        raise ValueError("other signature")
+    mark = data.find(layout.find) if layout.find else 0
+    if mark < 0:
+        raise ValueError("no directory mark")
+    whole, data = len(data), data[mark:]
     big = layout.big
+    if layout.swapped and data.startswith(layout.swapped):
+        big = not big
+    elif layout.magic and not data.startswith(layout.magic):
+        raise ValueError("other signature")
     if big == "guess":
         v = data[layout.guess_at : layout.guess_at + 4]
         big = int.from_bytes(v, "big") < int.from_bytes(v, "little")
     view = _View(data, bool(big))
-    size = len(data) if payload_size is None else payload_size
+    size = whole if payload_size is None else payload_size
     count = view.either(layout.count) if layout.count is not None else None
     at, rows = view.either(layout.table), []
     if count is not None and count > len(data):
@@ -97,7 +122,7 @@ def read_entries(layout: Layout, data: bytes, payload_size: int | None = None) -
     while count is None or len(rows) < count:
         i = len(rows)
         if layout.arrays:
-            rows.append({k: view.read(view.read(p, "u32") + i * _INTS[t][0], t) if not t.startswith("s") else view.read(view.read(p, "u32") + i * int(t[1:]), t) for k, (p, t) in layout.arrays.items()})
+            rows.append({k: view.element(view.read(p, "u32"), i, t) for k, (p, t) in layout.arrays.items()})
         elif layout.inline:
             if count is None and at >= len(data):
                 break
@@ -116,21 +141,23 @@ def read_entries(layout: Layout, data: bytes, payload_size: int | None = None) -
                     at += int(kind[1:]) if kind[0] == "s" else _INTS[kind][0]
             rows.append(row)
         else:
-            if count is None and at + layout.stride > len(data):
+            if count is None and at + view.either(layout.stride) > len(data):
                 break
-            rows.append({k: view.read(at + o, t) for k, (o, t) in layout.fields.items()})
-            at += layout.stride
-    base, names = view.either(layout.base), view.either(layout.names)
-    out = []
+            rows.append({k: view.read(at + o, t) for k, (o, t) in layout.fields.items()} | {"place": at})
+            at += view.either(layout.stride)
+    base, names = view.either(layout.base) + mark, view.either(layout.names)
+    out, seen = [], set()
     for i, r in enumerate(rows):
         raw = r.get("offset", 0)
-        if raw in layout.skip:
+        if raw in layout.skip or layout.once and raw in seen or any(r.get(k) != v for k, v in layout.only.items()):
             continue
-        offset = raw * layout.unit + base
+        seen.add(raw)
+        offset = raw * layout.unit + base + (r["place"] if layout.relative else 0)
         if layout.sized == "field":
             n = r["size"]
         else:
-            later = [x["offset"] * layout.unit + base for x in rows[i + 1 :] if x["offset"] not in layout.skip]
+            later = sorted({x["offset"] for x in rows if x["offset"] > raw}) if layout.once else None
+            later = [x * layout.unit + base for x in later] if later is not None else [x["offset"] * layout.unit + base for x in rows[i + 1 :] if x["offset"] not in layout.skip]
             n = (later[0] if later else size) - offset
         name = view.read(names + r["name_at"], "z") if "name_at" in r else r.get("name", f"{i:08d}")
         codec = layout.codecs.get(r["flag"], "copy") if "flag" in r else layout.packed_codec if layout.packed_codec and r.get("packed", n) != r.get("full", n) else "copy"
@@ -189,6 +216,24 @@ def entries(files: DataFrame, path: str, content: str, layout: Layout, data: str
     return files.select(path, content, *([data] if data else [])).mapInArrow(run, f"{path} {kind}, {SCHEMA}")
 
 
+def tree_entries(data: bytes, root: int, names: int, children: int) -> Iterator[tuple[str, int, int, str]]:
+    """(path, offset, size, codec) of a tree of 12-byte nodes (name, flags and length, offset), little-endian: bit 31 a folder of that many nodes from `children` on, bit 30 deflated."""
+
+    def walk(at: int, above: str, depth: int) -> Iterator[tuple[str, int, int, str]]:
+        if depth > 64:
+            raise ValueError("folders too deep")
+        name_at, flags, offset = struct.unpack_from("<III", data, at)
+        end = data.index(b"\0", names + name_at)
+        path, n = above + data[names + name_at : end].decode("utf-8", "replace"), flags & 0x0FFFFFFF
+        if flags >> 31:
+            for i in range(n):
+                yield from walk(children + offset + 12 * i, f"{path}/", depth + 1)
+        else:
+            yield path, offset, n, "zlib" if flags >> 30 & 1 else "copy"
+
+    yield from walk(root, "", 0)
+
+
 #: The library's own flat archive: magic, count, records of name pointer, offset and size.
 FLAT = Layout(magic=b"FLT1", count=(4, "u32"), table=12, stride=12, fields={"name_at": (0, "u32"), "offset": (4, "u32"), "size": (8, "u32")}, names=(8, "u32"))
 

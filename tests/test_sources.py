@@ -39,19 +39,37 @@ def test_flat_archive_round_trip(payloads):
 def test_layouts(spark):
     arc = b"\0CRA\0\0\0\1" + b"one".ljust(64, b"\0") + struct.pack(">IIII", 0, 4, 0, 0x58) + b"DATA"
     dlcp = b"\0CLD" + bytes(8) + struct.pack(">I", 2) + b"\1a" + struct.pack(">I", 28) + b"\1b" + struct.pack(">I", 31) + b"xyz12"
-    par = b"DAT\0" + struct.pack("<5I", 2, 0x20, 0x28, 0, 0x30) + bytes(8) + struct.pack("<2I", 0x38, 0x3A) + b"aaa\0bbb\0" + struct.pack("<2I", 2, 3) + b"hiyou"
+    par = b"DAT\0" + struct.pack("<5I", 2, 0x20, 0x28, 0x30, 0x3C) + bytes(8) + struct.pack("<2I", 0x44, 0x46) + b"aaa\0bbb\0" + struct.pack("<I", 4) + b"a.x\0b.y\0" + struct.pack("<2I", 2, 3) + b"hiyou"
     z = zlib.compress(b"plain" * 9)
     df = spark.createDataFrame([("arc", arc), ("dlcp", dlcp), ("par", par)], "path string, content binary")
     got = lambda p, k: [(r.name, bytes(r.payload)) for r in toc.entries(df.filter(F.col("path") == p), "path", "content", LAYOUTS[k]).orderBy("idx").collect()]
     assert got("arc", "capcom_arc") == [("one", b"DATA")]
     assert got("dlcp", "capcom_dlcp") == [("a", b"xyz"), ("b", b"12")]
     assert [p for _, p in got("par", "platinum_dat")] == [b"hi", b"you"]
+    assert [n for n, _ in got("par", "platinum_dat")] == ["a.x", "b.y"]
     assert toc.entries(df, "path", "content", LAYOUTS["capcom_arc"]).filter("error IS NOT NULL").count() == 2
     lay = toc.Layout(count=1, table=0, stride=12, fields={"offset": (0, "u32"), "packed": (4, "u32"), "size": (8, "u32"), "full": (8, "u32")}, packed_codec="zlib")
     blob = spark.createDataFrame([("z", struct.pack("<3I", 12, len(z), 45) + z)], "path string, content binary")
     assert bytes(toc.entries(blob, "path", "content", lay).first()["payload"]) == b"plain" * 9
 
 
+def test_marks_entries_and_trees():
+    read = lambda k, d, n=None: [(e["name"], e["offset"], e["size"]) for e in toc.read_entries(LAYOUTS[k], d, n)]
+    wave = b"junk" + (b"G1ROM FILESYSTEM" + struct.pack("<I", 2)).ljust(0x40, b"\0") + struct.pack("<4I", 0, 0, 0, 9) + bytes(48) + struct.pack("<4I", 0, 0, 0xC0, 4) + b"f".ljust(48, b"\0") + b"DATA"
+    assert read("atomiswave", wave) == [("f", 4 + 0xC0, 4)] and wave[4 + 0xC0 :] == b"DATA"
+    midi = struct.pack("<3I", 12, 24, 2) + struct.pack("<6I", 0, 0, 1, 0, 0, 0) + struct.pack("<6I", 0, 0, 2, 0, 24, 3) + b"abc"
+    assert read("bigrp_midi", midi) == [("00000001", 60, 3)]
+    link = b"LINK" + struct.pack("<3I", 1, 0, 0) + struct.pack("<2I", 24, 1) + b"x"
+    assert read("koei_link", link) == [("00000000", 24, 1)]
+    g1l = b"_L1G" + bytes(16) + struct.pack("<4I", 3, 40, 36, 40) + bytes(4) + b"four"
+    assert read("koei_g1l", g1l) == [("00000000", 40, 4), ("00000001", 36, 4)]
+    fhd = b"\0DHF" + bytes(8) + struct.pack("<6I", 1, 0x30, 0x34, 0, 0x38, 0x40) + bytes(12) + struct.pack("<I", 5) + bytes(4) + struct.pack("<2I", 0x44, 0x47) + struct.pack("<I", 2) + b"d/\0n\0"
+    assert read("tecmo_fhd", fhd, 0x2000) == [("d/n", 0x1000, 5)]
+    names = b"r\0a\0"
+    tree = struct.pack("<III", 0, 1 << 31 | 1, 0) + struct.pack("<III", 2, 1 << 30 | 7, 99) + names
+    assert list(toc.tree_entries(tree, 0, 24, 12)) == [("r/a", 99, 7, "zlib")]
+
+
 def test_trimmed_demux_is_the_inverse_of_mux(spark):
     rows = [("@SFA", c, 0, bytes([c]) * n) for n in (1, 40, 7) for c in (0, 1)] + [("@SFV", 0, 0, b"v"), ("@SFA", 0, 1, b"head")]
     df = spark.createDataFrame([("f", chunks.build_trimmed(rows))], "path string, content binary")
@@ -79,6 +97,21 @@ def test_sector_streams(spark):
     assert sorted((r.channel, r.part, bytes(r.payload)[-1]) for r in out.collect()) == [(0, 0, 1), (0, 0, 3), (0, 1, 4), (1, 0, 2)]
 
 
+def test_spans_of_table_and_head_dialects():
+    audio = lambda d, x: b"".join(r[5] for r in chunks.read_chunks(d, x) if r[2] in ("audi", "head"))
+    film = b"FILM" + bytes(12) + b"FDSC" + struct.pack(">I", 8) + b"STAB" + struct.pack(">III", 32, 0, 2) + struct.pack(">8I", 0, 2, 0xFFFFFFFF, 1, 2, 2, 0, 1) + b"aavv"
+    assert audio(film, chunks.FILM) == b"aa"
+    mul = b"\0\0\xbb\x80" + bytes(0x7FC) + struct.pack(">II", 0, 4) + bytes(8) + b"aaaa" + bytes(12) + struct.pack(">II", 1, 16) + bytes(8) + b"v" * 16
+    assert audio(mul, chunks.MUL) == mul[: 0x800 + 32]
+    xav = b"XAVS" + bytes(20) + b"A\2\0\0aa" + b"V\1\0\0v" + b"_\0\0\0"
+    assert audio(xav, chunks.XAV)[24:] == b"A\2\0\0aa_\0\0\0"
+    ipus = b"IPUS" + bytes(8) + struct.pack("<II", 0x50, 1) + struct.pack("<II", 4, 3) + bytes(0x38) + b"vvvvaaa" + bytes(9)
+    assert audio(ipus, chunks.IPUS) == b"aaa"
+    smv = (struct.pack("<4I", 0, 2, 18, 3) + b"vvaaa").ljust(0x800, b"\0")
+    assert audio(smv, chunks.SMV) == b"aaa"
+    assert next(chunks.read_chunks(b"no", chunks.FILM))[6]
+
+
 def test_messages(spark):
     v = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + v(n >> 7)
     inner = b"\x08" + v(1)
