@@ -56,6 +56,13 @@ def keyed_semi(df: DataFrame, keys: DataFrame, col: str) -> DataFrame:
     return df.join(keys, col, "left_semi")
 
 
+def without_keys(df: DataFrame, keys: DataFrame, col: str) -> DataFrame:
+    """Rows of df whose `col` is not in the staged one-column table keys, broadcast or not as in keyed_semi."""
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return df.join(keys, col, "left_anti")
+
+
 def text_of(col: str):
     """The text as a string, null as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

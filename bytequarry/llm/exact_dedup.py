@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_semi, staged, text_of
+from .common import keyed_semi, staged, text_of, without_keys
 
 #: Bits of a fingerprint. N rows give about N * N / 2**49 false suspects, which the byte check clears.
 FINGERPRINT_BITS = 48
@@ -116,15 +116,8 @@ def suspects(fingerprints: DataFrame, rows: int, bits: int = FINGERPRINT_BITS) -
     return staged(told.distinct(), "suspect-fingerprints")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when their UTF-8 bytes are; null counts as empty. Of equal
-    texts the row with the largest id stays; a null id is smaller than any
-    other. Rows that repeat both id and text share keep_id, and exactly one of
-    them is kept. An empty table gives an empty result. Other columns are not
-    read, so their names can't clash.
-    """
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of exact_duplicates with the number that each has in the scan."""
     doc, text = F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")
     sha = F.sha2("text", 256)
     fp = F.conv(F.substring("sha", 1, FINGERPRINT_BITS // 4), 16, 10).cast("long")
@@ -143,9 +136,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # of rows that repeat the kept id as well, the first stays
     last = rows.join(groups, "sha").filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("sha").agg(F.min("uid").alias("keep_uid"))
     keepers = staged(groups.join(last, "sha"), "keepers")
-    joined = rows.join(keepers, "sha", "left")
     alone = F.col("n").isNull()
-    return joined.select(
+    return rows.join(keepers, "sha", "left").select(
+        "uid",
         F.col("doc_id").alias(id_col),
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
@@ -154,6 +147,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when their UTF-8 bytes are; null counts as empty. Of equal
+    texts the row with the largest id stays; a null id is smaller than any
+    other. Rows that repeat both id and text share keep_id, and exactly one of
+    them is kept. An empty table gives an empty result. Other columns are not
+    read, so their names can't clash.
+    """
+    return _judged(docs, id_col, text_col).drop("uid")
+
+
 def fp_of_binary(col: str):
     """The fingerprint of a binary SHA-256: its first FINGERPRINT_BITS bits."""
     return F.conv(F.hex(F.substring(F.col(col), 1, FINGERPRINT_BITS // 8)), 16, 10).cast("long")
@@ -162,15 +167,8 @@ def fp_of_binary(col: str):
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_duplicates drops, with their own columns.
 
-    Dropped ids anti-join; of rows that repeat an id and its text one stays.
+    Dropped rows are told by their numbers in the scan, which are broadcast
+    while they are at most BROADCAST_KEYS; no text is shuffled for it.
     """
-    verdict = exact_duplicates(docs, id_col, text_col)
-    sha = F.sha2(text_of(text_col), 256)
-    gone = staged(verdict.filter(~F.col("kept")).select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep")), "dropped")
-    out = docs.join(gone.filter(~F.col("__id").eqNullSafe(F.col("__keep"))), F.col(id_col).eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_anti")
-    same = gone.filter(F.col("__id").eqNullSafe(F.col("__keep"))).select("__id", "__sha").distinct()
-    if same.isEmpty():
-        return out
-    repeats = out.join(same, F.col(id_col).eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_semi")
-    once = repeats.withColumn("__sha", sha).dropDuplicates([id_col, "__sha"]).drop("__sha")
-    return out.join(same, F.col(id_col).eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_anti").unionByName(once)
+    gone = staged(_judged(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("uid").alias("__uid")), "dropped")
+    return without_keys(docs.withColumn("__uid", F.monotonically_increasing_id()), gone, "__uid").drop("__uid")

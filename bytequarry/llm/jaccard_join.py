@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_semi, staged, text_of
+from .common import keyed_semi, staged, text_of, without_keys
 from .components import components
 from .wordhash import _ranges, blocks, mix, ngram_hashes, words
 
@@ -333,4 +333,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs with their own columns, less all but the least id of each class; rows with a null id stay."""
     classed = near_duplicates(docs, id_col, text_col)
     gone = staged(classed.filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-duplicates")
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return without_keys(docs.withColumn("__gone", F.col(id_col)), gone, "__gone").drop("__gone")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, staged, text_of
+from .common import BROADCAST_KEYS, staged, text_of, without_keys
 from .wordhash import blocks
 
 #: Labelled rows that the trigram model is fitted on; the bound of its sample.
@@ -122,13 +122,12 @@ def _scorer(table: np.ndarray):
     return run
 
 
-def _softmax(scores: list[Column]) -> list[Column]:
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    parts = [F.exp(s - top) for s in scores]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return [p / total for p in parts]
+def _softmax(scores: Column) -> Column:
+    """Probabilities from an array of log scores."""
+    top = F.array_max(scores)
+    parts = F.transform(scores, lambda x: F.exp(x - top))
+    total = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(parts, lambda p: p / total)
 
 
 def host_of(url: Column) -> Column:
@@ -151,15 +150,14 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     inputs = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(declared_col).cast("string").alias("declared"), host_of(F.col(address_col).cast("string")).alias("host"), _lower(text_col))
     scored = staged(inputs.mapInArrow(_scorer(table), "uid long, doc_id long, declared string, host string, ll array<double>"), "language-scores")
 
-    ll = [F.element_at("ll", i + 1) for i in range(len(classes))]
     grams = F.element_at("ll", len(classes) + 1)
     if not languages:
         return scored.select("uid", "doc_id", "declared", F.lit(UNKNOWN).alias("language"), F.lit(1.0).alias("probability"), F.lit(False).alias("kept"))
 
     # soft counts of languages by host, then by suffix, then over all
     suffix = F.when(F.col("host").contains("."), F.substring_index("host", ".", -1)).otherwise("")
-    text_only = _softmax(ll[:-1])
-    counts = scored.filter(grams > 0).groupBy("host").agg(*[F.sum(p).alias(f"n{i}") for i, p in enumerate(text_only)])
+    text_only = scored.filter(grams > 0).select("host", _softmax(F.slice("ll", 1, len(languages))).alias("p"))
+    counts = text_only.groupBy("host").agg(*[F.sum(F.element_at("p", i + 1)).alias(f"n{i}") for i in range(len(languages))])
     counts = staged(counts.withColumn("suffix", suffix), "host-counts")
     sums = lambda p: [F.sum(f"n{i}").alias(f"{p}{i}") for i in range(len(languages))]
     whole = counts.agg(*sums("g")).first()
@@ -178,11 +176,11 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
         priors = F.broadcast(priors)
 
     known = F.coalesce(F.col("declared").isin(*languages), F.lit(False))
-    said = [F.when(~known, 0.0).when(F.col("declared") == x, math.log(TRUST)).otherwise(math.log((1 - TRUST) / max(1, len(languages) - 1))) for x in languages]
-    joined = scored.join(priors, "host", "left")
-    fused = [a + b + F.coalesce(f"prior{i}", F.lit(math.log(overall[i]))) for i, (a, b) in enumerate(zip(ll, said, strict=False))]
-    fused.append(ll[-1] + math.log(UNKNOWN_PRIOR))
-    posterior = joined.select("uid", "doc_id", "declared", grams.alias("grams"), F.array(*_softmax(fused)).alias("p"))
+    said = F.array(*[F.when(~known, 0.0).when(F.col("declared") == x, math.log(TRUST)).otherwise(math.log((1 - TRUST) / max(1, len(languages) - 1))) for x in languages], F.lit(math.log(UNKNOWN_PRIOR)))
+    prior = F.array(*[F.coalesce(f"prior{i}", F.lit(math.log(overall[i]))) for i in range(len(languages))], F.lit(0.0))
+    evidence = scored.join(priors, "host", "left").select("uid", "doc_id", "declared", grams.alias("grams"), F.slice("ll", 1, len(classes)).alias("text"), said.alias("said"), prior.alias("prior"))
+    fused = evidence.withColumn("fused", F.zip_with(F.zip_with("text", "said", lambda a, b: a + b), "prior", lambda a, b: a + b))
+    posterior = fused.select("uid", "doc_id", "declared", "grams", _softmax(F.col("fused")).alias("p"))
     best = F.array_max("p")
     silent = F.col("grams") == 0
     return posterior.select(
@@ -202,6 +200,4 @@ def drop_unknown(docs: DataFrame, model: tuple[list[str], np.ndarray], **columns
     most BROADCAST_KEYS, and joined by shuffle beyond that.
     """
     gone = staged(identify(docs, model, **columns).filter(~F.col("kept")).select(F.col("uid").alias("__uid")), "rejected")
-    if gone.count() <= BROADCAST_KEYS:
-        gone = F.broadcast(gone)
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(gone, "__uid", "left_anti").drop("__uid")
+    return without_keys(docs.withColumn("__uid", F.monotonically_increasing_id()), gone, "__uid").drop("__uid")
