@@ -22,7 +22,7 @@ PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 16, 8, 6, 16
 #: Weight of a path's mean, so that one telling name among many still shows.
 PATH_SCALE = 3.0
 #: Pages made for training, passes over them, pages a step.
-PAGES, EPOCHS, BATCH = 1600, 10, 30
+PAGES, EPOCHS, BATCH = 2000, 10, 30
 SEED = 20240601
 
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -235,7 +235,7 @@ class _Maker:
         if r.random() < 0.25:
             bits.append(self.side("share"))
         for _ in range(r.choice([1, 1, 2, 3, 5, 8, 12, 20])):
-            text = self.put(self.words(1, r.choice([4, 12, 40, 80])), 1)
+            text = self.put(self.words(1, r.choice([1, 2, 4, 12, 40, 80])), 1)
             x = r.random()
             if x < 0.12:
                 text = f"<b>{text}<br>"
