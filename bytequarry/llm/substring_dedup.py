@@ -137,7 +137,12 @@ def _route(window: int, gram: int):
                     if len(hot):
                         h1 = ngram_hashes(w.hash, window)[hot]
                         h2 = ngram_hashes(mix(w.hash), window)[hot]
-                        for col, v in zip(out, ([None] * len(hot), [doc_id] * len(hot), [uid] * len(hot), hot.tolist(), [None] * len(hot), h1.astype(np.int64).tolist(), h2.astype(np.int64).tolist()), strict=True):
+                        # a window that the document itself repeats is settled here: without a hash
+                        first = np.zeros(len(hot), bool)
+                        first[np.unique(h1 ^ (h2 * np.uint64(3)), return_index=True)[1]] = True
+                        n1 = [x if f else None for x, f in zip(h1.astype(np.int64).tolist(), first.tolist(), strict=True)]
+                        n2 = [x if f else None for x, f in zip(h2.astype(np.int64).tolist(), first.tolist(), strict=True)]
+                        for col, v in zip(out, ([None] * len(hot), [doc_id] * len(hot), [uid] * len(hot), hot.tolist(), [None] * len(hot), n1, n2), strict=True):
                             col.extend(v)
                     cold, shard = known[shard >= 0], shard[shard >= 0]
                     if not len(cold):
@@ -229,10 +234,11 @@ def redundant_windows(texts: DataFrame, rows: int, window: int = WINDOW, gram: i
     in_order = spans.repartition("shard").sortWithinPartitions("shard", "doc_id", "uid", "start")
     cold = in_order.mapInArrow(_stream(window), "uid long, first long, n long")
 
-    hot = routed.filter("shard IS NULL").select("h1", "h2", F.struct("doc_id", "uid", "start").alias("at"))
+    settled = routed.filter("shard IS NULL AND h1 IS NULL").select("uid", F.col("start").alias("first"), F.lit(1).cast("long").alias("n"))
+    hot = routed.filter("shard IS NULL AND h1 IS NOT NULL").select("h1", "h2", F.struct("doc_id", "uid", "start").alias("at"))
     earliest = hot.groupBy("h1", "h2").agg(F.min("at").alias("earliest"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = hot.join(earliest, ["h1", "h2"]).filter("at > earliest").select(F.col("at.uid").alias("uid"), F.col("at.start").alias("first"), F.lit(1).cast("long").alias("n"))
-    return staged(cold.unionByName(later), "redundant-windows")
+    return staged(cold.unionByName(later).unionByName(settled), "redundant-windows")
 
 
 def _strip(window: int):
