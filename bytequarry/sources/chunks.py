@@ -173,7 +173,42 @@ def _smv(data: bytes) -> Iterator[tuple[str, int, int, int, int]]:
         at, size = at + size, after
 
 
-FILM, MUL, XAV, IPUS, SMV = (Dialect(_trimmed, spans=f) for f in (_film, _mul, _xav, _ipus, _smv))
+def _smk(data: bytes) -> Iterator[tuple[str, int, int, int, int]]:
+    """Tables of frame sizes (two flag bits) and frame types behind a head of 0x68 bytes; a frame has a palette if bit 0 says so, then an audio packet for each of bits 1 to 7."""
+    if data[:3] != b"SMK":
+        raise ValueError("other signature")
+    n, trees = struct.unpack_from("<I", data, 12)[0], struct.unpack_from("<I", data, 0x34)[0]
+    sizes, kinds = struct.unpack_from(f"<{n}I", data, 0x68), data[0x68 + 4 * n : 0x68 + 5 * n]
+    at = 0x68 + 5 * n + trees
+    for size, kind in zip(sizes, kinds, strict=True):
+        spot = at + (4 * data[at] if kind & 1 else 0)
+        for track in range(7):
+            if kind >> (track + 1) & 1:
+                length = struct.unpack_from("<I", data, spot)[0]
+                yield "audi", track, kind, spot, spot + length
+                spot += length
+        at += size & ~3
+        yield "vide", 0, kind, spot, at
+
+
+def _bink(data: bytes) -> Iterator[tuple[str, int, int, int, int]]:
+    """Head with the number of frames and tracks, then frame offsets whose lowest bit marks key frames; a frame begins with a size and packet for each track."""
+    if data[:3] not in (b"BIK", b"KB2"):
+        raise ValueError("other signature")
+    second = data[:3] == b"KB2" and data[3] >= 0x69
+    frames, flags, tracks = struct.unpack_from("<I", data, 8)[0], *struct.unpack_from("<II", data, 0x24)
+    at = 0x2C + (12 if flags & 4 else 0) + (24 if flags & 0x10000 else 0) + 4 * second + 8 * tracks
+    ids = struct.unpack_from(f"<{tracks}I", data, at)
+    offsets = [x & ~1 for x in struct.unpack_from(f"<{frames + 1}I", data, at + 4 * tracks)]
+    for begin, end in zip(offsets, offsets[1:], strict=False):
+        for number in ids:
+            size = struct.unpack_from("<I", data, begin)[0]
+            yield "audi", number, 0, begin + 4, begin + 4 + size
+            begin += 4 + size
+        yield "vide", 0, 0, begin, end
+
+
+FILM, MUL, XAV, IPUS, SMV, SMK, BINK = (Dialect(_trimmed, spans=f) for f in (_film, _mul, _xav, _ipus, _smv, _smk, _bink))
 
 
 def read_chunks(data: bytes, dialect: Dialect) -> Iterator[tuple]:

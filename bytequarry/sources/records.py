@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import parsed
+from .repair import CUT_SCHEMA, chunked_asset, padded_chunks, silent_cuts
 
 # --- messages of tag, length, value ----------------------------------------------
 
@@ -430,6 +431,9 @@ PARSERS: dict[str, tuple[Callable[[bytes], Iterator[tuple]], str]] = {
     "riff_carve": (carved({b"RIFF": riff_size}, 4), CARVED_SCHEMA),
     "ogg_pages": (ogg_pages, PAGES_SCHEMA),
     "msgpack": (msgpack, JSON_SCHEMA),
+    "chunked_asset": (chunked_asset, CUT_SCHEMA),
+    "padded_chunks": (padded_chunks, CUT_SCHEMA),
+    "silent_cuts": (silent_cuts(), CUT_SCHEMA),
 }
 
 

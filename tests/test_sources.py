@@ -109,9 +109,30 @@ def test_spans_of_table_and_head_dialects():
     assert audio(ipus, chunks.IPUS) == b"aaa"
     smv = (struct.pack("<4I", 0, 2, 18, 3) + b"vvaaa").ljust(0x800, b"\0")
     assert audio(smv, chunks.SMV) == b"aaa"
+    smk = (b"SMK2" + bytes(8) + struct.pack("<I", 1)).ljust(0x68, b"\0") + struct.pack("<I", 16 | 1) + bytes([0b111]) + bytes([1, 0, 0, 0]) + struct.pack("<I", 5) + b"a" + struct.pack("<I", 6) + b"bb" + b"v"
+    got = [(r[3], r[5]) for r in chunks.read_chunks(smk, chunks.SMK) if r[2] == "audi"]
+    assert got == [(0, struct.pack("<I", 5) + b"a"), (1, struct.pack("<I", 6) + b"bb")]
+    bink = (b"BIKi" + bytes(4) + struct.pack("<I", 2)).ljust(0x28, b"\0") + struct.pack("<I", 1) + bytes(8) + struct.pack("<I", 7) + struct.pack("<3I", 0x44 | 1, 0x4C, 0x51) + struct.pack("<I", 3) + b"aaav" + struct.pack("<I", 1) + b"b"
+    assert [(r[3], r[5]) for r in chunks.read_chunks(bink, chunks.BINK) if r[2] == "audi"] == [(7, b"aaa"), (7, b"b")]
     assert next(chunks.read_chunks(b"no", chunks.FILM))[6]
 
 
+def test_repairs(spark):
+    from bytequarry.sources import repair
+
+    riff = b"RIFF" + struct.pack("<I", 4) + b"WAVE"
+    df = spark.createDataFrame([("a", riff), ("b", riff + bytes(9)), ("c", riff[:9]), ("d", riff + b"junk"), ("e", b"x")], "k string, d binary")
+    got = {r.k: (r.x.state, bytes(r.x.payload)) for r in df.select("k", repair.riff_trimmed(F.col("d")).alias("x")).collect()}
+    assert got == {"a": ("fine", riff), "b": ("trimmed", riff), "c": ("truncated", riff[:9]), "d": ("extra", riff + b"junk"), "e": ("other", b"x")}
+    z = [zlib.compress(p) for p in (b"x" * 100, b"y" * 50)]
+    asset = bytes.fromhex("C1832A9E00000000") + struct.pack("<3Q", 100, 0, 150) + struct.pack("<4Q", len(z[0]), 100, len(z[1]), 50) + b"".join(z)
+    assert list(repair.chunked_asset(asset)) == [(0, 0, b"x" * 100 + b"y" * 50)]
+    pad = lambda b: b + bytes(-len(b) % 128)
+    gz = pad(struct.pack("<5I", 0x10000, 2, 150, 0, 0)) + b"".join(pad(struct.pack("<I", len(p)) + p) for p in z)
+    assert list(repair.padded_chunks(gz)) == [(0, 0, b"x" * 100 + b"y" * 50)]
+    assert [p for p, _, _ in repair.silent_cuts(4, 2)(b"abcdefgh" + bytes(4) + b"zz")] == [0, 1]
+
+
 def test_messages(spark):
     v = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + v(n >> 7)
     inner = b"\x08" + v(1)
