@@ -111,8 +111,12 @@ def _rows_told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _route(window: int, gram: int):
     """Per document with repeated anchors: its spans for the shards, and its windows with hot anchors."""
     drop = np.uint64(64 - FINGERPRINT_BITS)
-    names = ["shard", "doc_id", "uid", "start", "words", "h1", "h2"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    names = ["shard", "doc_id", "uid", "start", "words", "h1", "h2", "n"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+
+    def put(out: list[list], *columns: list) -> None:
+        for col, v in zip(out, columns, strict=True):
+            col.extend(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -137,13 +141,13 @@ def _route(window: int, gram: int):
                     if len(hot):
                         h1 = ngram_hashes(w.hash, window)[hot]
                         h2 = ngram_hashes(mix(w.hash), window)[hot]
-                        # a window that the document itself repeats is settled here: without a hash
-                        first = np.zeros(len(hot), bool)
-                        first[np.unique(h1 ^ (h2 * np.uint64(3)), return_index=True)[1]] = True
-                        n1 = [x if f else None for x, f in zip(h1.astype(np.int64).tolist(), first.tolist(), strict=True)]
-                        n2 = [x if f else None for x, f in zip(h2.astype(np.int64).tolist(), first.tolist(), strict=True)]
-                        for col, v in zip(out, ([None] * len(hot), [doc_id] * len(hot), [uid] * len(hot), hot.tolist(), [None] * len(hot), n1, n2), strict=True):
-                            col.extend(v)
+                        # a window that the document repeats is asked for once; the runs of all of them go along
+                        once = np.unique(h1 ^ (h2 * np.uint64(3)), return_index=True)[1]
+                        k = len(once)
+                        put(out, [None] * k, [doc_id] * k, [uid] * k, hot[once].tolist(), [None] * k, h1[once].astype(np.int64).tolist(), h2[once].astype(np.int64).tolist(), [None] * k)
+                        cut = np.flatnonzero(np.append(True, hot[1:] > hot[:-1] + 1))
+                        k, ends = len(cut), np.append(cut[1:], len(hot))
+                        put(out, [None] * k, [doc_id] * k, [uid] * k, hot[cut].tolist(), [None] * k, [None] * k, [None] * k, (ends - cut).tolist())
                     cold, shard = known[shard >= 0], shard[shard >= 0]
                     if not len(cold):
                         continue
@@ -153,8 +157,7 @@ def _route(window: int, gram: int):
                     last = np.append(cut[1:], len(cold)) - 1
                     ids = (w.hash >> np.uint64(1)).astype("<i8")
                     for a, z in zip(cut, last, strict=True):
-                        for col, v in zip(out, (int(shard[a]), doc_id, uid, int(cold[a]), ids[cold[a] : cold[z] + window].tobytes(), None, None), strict=True):
-                            col.append(v)
+                        put(out, [int(shard[a])], [doc_id], [uid], [int(cold[a])], [ids[cold[a] : cold[z] + window].tobytes()], [None], [None], [None])
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
@@ -210,7 +213,7 @@ def _stream(window: int):
 
 
 def redundant_windows(texts: DataFrame, rows: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(uid, first, n): runs of n consecutive windows from word `first` on that also start earlier. texts: (doc_id, uid, text)."""
+    """(uid, first, n): runs of n consecutive windows from word `first` on that also start earlier, less the windows at `first` of rows with n = 0. texts: (doc_id, uid, text)."""
     owners = 4
     while (1 << owners) * PER_OWNER < rows * 64 and owners < 16:
         owners += 1
@@ -228,17 +231,17 @@ def redundant_windows(texts: DataFrame, rows: int, window: int = WINDOW, gram: i
     homes = homes.select("fp", F.when(F.col("n") > HOT, F.lit(-1).cast("long")).otherwise(F.col("home.uid")).alias("shard"))
     anchors = staged(told.distinct().join(homes, "fp").groupBy("uid").agg(F.collect_list(F.struct("fp", "shard")).alias("anchors")), "document-anchors")
     routes = texts.withColumn("text", F.encode("text", "UTF-8")).join(anchors, "uid").select("doc_id", "uid", "text", "anchors")
-    routed = staged(routes.mapInArrow(_route(window, gram), "shard long, doc_id long, uid long, start long, words binary, h1 long, h2 long"), "routed-spans")
+    routed = staged(routes.mapInArrow(_route(window, gram), "shard long, doc_id long, uid long, start long, words binary, h1 long, h2 long, n long"), "routed-spans")
 
     spans = routed.filter("shard IS NOT NULL").select("shard", "doc_id", "uid", "start", "words")
     in_order = spans.repartition("shard").sortWithinPartitions("shard", "doc_id", "uid", "start")
     cold = in_order.mapInArrow(_stream(window), "uid long, first long, n long")
 
-    settled = routed.filter("shard IS NULL AND h1 IS NULL").select("uid", F.col("start").alias("first"), F.lit(1).cast("long").alias("n"))
-    hot = routed.filter("shard IS NULL AND h1 IS NOT NULL").select("h1", "h2", F.struct("doc_id", "uid", "start").alias("at"))
-    earliest = hot.groupBy("h1", "h2").agg(F.min("at").alias("earliest"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = hot.join(earliest, ["h1", "h2"]).filter("at > earliest").select(F.col("at.uid").alias("uid"), F.col("at.start").alias("first"), F.lit(1).cast("long").alias("n"))
-    return staged(cold.unionByName(later).unionByName(settled), "redundant-windows")
+    # of a hot window all occurrences are redundant but the earliest, so one row for each distinct window says all; n = 0 marks it
+    runs = routed.filter("n IS NOT NULL").select("uid", F.col("start").alias("first"), "n")
+    earliest = routed.filter("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "uid", "start")).alias("at"))
+    stays = earliest.select(F.col("at.uid").alias("uid"), F.col("at.start").alias("first"), F.lit(0).cast("long").alias("n"))
+    return staged(cold.unionByName(runs).unionByName(stays), "redundant-windows")
 
 
 def _strip(window: int):
@@ -250,11 +253,17 @@ def _strip(window: int):
                 w = words(texts[i:j])
                 for d in range(j - i):
                     lo, hi = int(w.doc_first[d]), int(w.doc_first[d + 1])
-                    keep = np.ones(hi - lo, bool)
+                    gone_at = np.zeros(hi - lo + 1, np.int64)
                     if runs[i + d].is_valid:
-                        for r in runs[i + d].as_py():
-                            keep[r["first"] : r["first"] + r["n"] + window - 1] = False
-                    left = np.flatnonzero(keep) + lo
+                        first, n = (runs[i + d].values.field(c).to_numpy() for c in ("first", "n"))
+                        for f, k in zip(first[n > 0].tolist(), n[n > 0].tolist(), strict=True):
+                            gone_at[f : f + k] = 1
+                        gone_at[first[n == 0]] = 0
+                        at = np.flatnonzero(gone_at)
+                        gone_at[:] = 0
+                        gone_at[at] = 1
+                        gone_at[at + window] -= 1
+                    left = np.flatnonzero(np.cumsum(gone_at)[:-1] == 0) + lo
                     counts.append(hi - lo)
                     gone.append(hi - lo - len(left))
                     kept.append(b" ".join([w.data[x:y] for x, y in zip(w.begin[left].tolist(), w.end[left].tolist(), strict=True)]))
