@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashx import fnv1, joaat, low29
@@ -119,14 +121,40 @@ def products(sections: list[DataFrame], col: str, sep: str = "_") -> DataFrame:
     return out
 
 
-def recovered(names: DataFrame, known: DataFrame, name: str = "name", hash_col: str = "hash", fuzzy: bool = False) -> DataFrame:
-    """(hash, name): names whose hash is known; fuzzy compares the low 29 bits of both."""
-    h = joaat(F.col(name))
+def recovered(names: DataFrame, known: DataFrame, name: str = "name", hash_col: str = "hash", fuzzy: bool = False, hasher: Callable[[Column], Column] = joaat) -> DataFrame:
+    """(hash, name): names whose hash is known; fuzzy compares the low 29 bits of both. hasher: another hash of a text, such as F.crc32."""
+    h = hasher(F.col(name))
     found = names.select(F.col(name), (low29(h) if fuzzy else h).alias(hash_col))
     ids = known.select((low29(F.col(hash_col)) if fuzzy else F.col(hash_col)).alias(hash_col)).distinct()
     return found.join(ids, hash_col, "left_semi").select(hash_col, name)
 
 
+def number_names(spark: SparkSession, form: str, start: int, stop: int, step: int = 1, partitions: int | None = None) -> DataFrame:
+    """(name): a printf form filled with each number of a range, made in parallel."""
+    return spark.range(start, stop, step, partitions).select(F.format_string(form, "id").alias("name"))
+
+
+def combinations(parts: DataFrame, col: str, k: int, sep: str = "_", repeat: bool = True) -> DataFrame:
+    """(name): all names of k parts; without repeat, each part once in a name."""
+    out = parts.select(F.col(col).alias("name"), F.array(col).alias("used"))
+    for _ in range(k - 1):
+        more = parts.select(F.col(col).alias("__p"))
+        out = out.join(more, F.lit(True) if repeat else ~F.array_contains("used", F.col("__p")))
+        out = out.select(F.concat("name", F.lit(sep), "__p").alias("name"), F.array_append("used", F.col("__p")).alias("used"))
+    return out.select("name")
+
+
+def swap_list(order: list[int]) -> list[tuple[int, int]]:
+    """Swaps of places that bring a permutation of 0 to n - 1 into order."""
+    order, out = list(order), []
+    for i in range(len(order)):
+        j = order.index(i, i)
+        if i != j:
+            order[i], order[j] = order[j], order[i]
+            out.append((i, j))
+    return out
+
+
 def owned_names(found: DataFrame, contexts: DataFrame) -> DataFrame:
     """Recovered (hash, name) with the context that owns the hash: the first by order; those in none come last with a null context. contexts: (ctx, ctx_order, hash)."""
     owner = contexts.groupBy("hash").agg(F.min_by("ctx", "ctx_order").alias("ctx"), F.min("ctx_order").alias("ctx_order"))

@@ -92,3 +92,24 @@ def section_sorted(lines: DataFrame, section: str, seq: str, line: str) -> DataF
     kind = F.when(F.col(line).startswith("#"), 2).when(F.col(line).rlike(r"^\d"), 1).otherwise(0)
     w = Window.partitionBy(section).orderBy(kind, F.when(kind < 2, F.lower(line)), F.col(seq))
     return lines.withColumn("rank", F.row_number().over(w))
+
+
+def ranked(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """df with 1, 2, 3 ... over all rows in order, without gathering them in one task.
+
+    A range exchange sorts the rows over many tasks; a row's place is the count
+    of the tasks before (as many numbers as tasks) and its own place there. The
+    sorted rows are checkpointed where the session has a folder for it, else
+    kept, so that both passes see the same tasks.
+    """
+    spark = df.sparkSession
+    keys = [f"__k{i}" for i in range(len(order))]
+    rows = df.select("*", *[c.alias(k) for c, k in zip(order, keys, strict=True)]).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
+    rows = rows.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else rows.persist()
+    part = F.shiftright("__at", 33)
+    before, offsets = 0, []
+    for r in sorted(rows.groupBy(part.alias("p")).count().collect(), key=lambda r: r["p"]):
+        offsets.append((r["p"], before - (r["p"] << 33) + 1))
+        before += r["count"]
+    shift = spark.createDataFrame(offsets or [(0, 0)], "__part long, __shift long")
+    return rows.join(F.broadcast(shift), part == F.col("__part")).withColumn(name, F.col("__at") + F.col("__shift")).drop("__at", "__part", "__shift", *keys)

@@ -296,9 +296,7 @@ def url_path(pages):
 
 @query("supplier", sql="SELECT s_suppkey, row_number() OVER (ORDER BY CAST(regexp_extract(s_name, '[0-9]+') AS BIGINT)) AS place FROM supplier")
 def natural_sort(supplier):
-    from pyspark.sql import Window
-
-    return supplier.select("s_suppkey", F.row_number().over(Window.orderBy(textx.natural_key(F.col("s_name")))).alias("place"))
+    return ordered.ranked(supplier.select("s_suppkey", "s_name"), [textx.natural_key(F.col("s_name"))]).select("s_suppkey", "place")
 
 
 @query("part", sql="SELECT p_partkey, lower(regexp_replace(p_brand, '([a-z])([A-Z0-9])', '\\1_\\2', 'g')) AS word FROM part")

@@ -38,6 +38,13 @@ def test_order(spark):
     assert [r.line for r in ordered.section_sorted(sec, "s", "seq", "line").orderBy("rank").collect()] == ["A", "b", "2x", "# c"]
 
 
+def test_rank_over_tasks(spark):
+    df = spark.range(500).select((F.col("id") * 37 % 500).alias("v"))
+    got = ordered.ranked(df, [F.col("v")]).collect()
+    assert sorted((r.v, r.place) for r in got) == [(i, i + 1) for i in range(500)]
+    assert ordered.ranked(df.limit(0), [F.col("v")]).count() == 0
+
+
 def test_names(spark):
     one = spark.range(1)
     assert set(one.select(names.subsequences(F.lit("a_b_c")).alias("x")).first()["x"]) == {"a", "b", "c", "a_b", "b_c", "a_b_c"}
@@ -53,6 +60,12 @@ def test_names(spark):
     known = cand.select(joaat(F.col("name")).alias("hash"))
     assert rows(names.recovered(cand, known), "name") == [("p_a",)]
     assert rows(names.recovered(cand, known.select(low29(F.col("hash")).alias("hash")), fuzzy=True), "name") == [("p_a",)]
+    assert rows(names.recovered(cand, cand.select(F.crc32("name").alias("hash")), hasher=F.crc32), "name") == [("p_a",)]
+    assert rows(names.number_names(spark, "%08x", 254, 257), "name") == [("000000fe",), ("000000ff",), ("00000100",)]
+    ab = spark.createDataFrame([("a",), ("b",)], "p string")
+    assert rows(names.combinations(ab, "p", 2), "name") == [("a_a",), ("a_b",), ("b_a",), ("b_b",)]
+    assert rows(names.combinations(ab, "p", 2, repeat=False), "name") == [("a_b",), ("b_a",)]
+    assert names.swap_list([2, 0, 1]) == [(0, 1), (1, 2)]
     from bytequarry.functions.hashx import fnv1
 
     letters = spark.createDataFrame([("a",), ("b",)], "letter string")
