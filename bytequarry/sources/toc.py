@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.codecs import CODECS, inflate_bytes
 
-Field = tuple[int, str]
+#: (offset, type), or (offset of a pointer, what to add to it, type).
+Field = tuple[int, str] | tuple[int, int, str]
 #: Integer fields: bytes and byte order ("=": that of the layout).
 _INTS = {"u8": (1, "="), "u16": (2, "="), "u24": (3, "="), "u32": (4, "="), "u64": (8, "="), "u16be": (2, "big"), "u32be": (4, "big"), "u16le": (2, "little"), "u32le": (4, "little")}
 
@@ -96,7 +97,9 @@ class _View:
             raise ValueError("field out of the data")
 
     def either(self, x: int | Field | None) -> int:
-        return x if isinstance(x, int) else self.read(*x)
+        if isinstance(x, int):
+            return x
+        return self.read(*x) if len(x) == 2 else self.read(self.read(x[0], "u32") + x[1], x[2])
 
 
 def read_entries(layout: Layout, data: bytes, payload_size: int | None = None) -> list[dict]:

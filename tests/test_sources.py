@@ -65,6 +65,10 @@ def test_marks_entries_and_trees():
     assert read("koei_g1l", g1l) == [("00000000", 40, 4), ("00000001", 36, 4)]
     fhd = b"\0DHF" + bytes(8) + struct.pack("<6I", 1, 0x30, 0x34, 0, 0x38, 0x40) + bytes(12) + struct.pack("<I", 5) + bytes(4) + struct.pack("<2I", 0x44, 0x47) + struct.pack("<I", 2) + b"d/\0n\0"
     assert read("tecmo_fhd", fhd, 0x2000) == [("d/n", 0x1000, 5)]
+    noa = b"Entis".ljust(0x40, b"\0") + b"DirEntry" + bytes(8) + struct.pack("<I", 1) + struct.pack("<4QII", 3, 0, 0x30, 0, 0, 1) + b"n" + bytes(3) + b"abc"
+    assert read("entis_noa", noa) == [("n", 0x80, 3)]
+    garc = b"GARC" + bytes(16) + struct.pack("<I", 0x18) + b"FILE" + struct.pack("<4I", 0, 1, 0, 0x2C) + struct.pack("<6I", 0, 2, 0x46, 0x44, 0, 0) + b"f\0ab"
+    assert read("loco_garc", garc) == [("f", 0x46, 2)]
     names = b"r\0a\0"
     tree = struct.pack("<III", 0, 1 << 31 | 1, 0) + struct.pack("<III", 2, 1 << 30 | 7, 99) + names
     assert list(toc.tree_entries(tree, 0, 24, 12)) == [("r/a", 99, 7, "zlib")]
