@@ -23,12 +23,10 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_KEYS, staged, text_of, without_keys
 from .wordhash import blocks
 
-#: Labelled rows that the trigram model is fitted on; the bound of its sample.
+#: Labelled rows of each language that the trigram model is fitted on; its sample has about twice as many at most.
 FIT_ROWS = 4000
 #: Hashed trigrams.
 BUCKETS = 1 << 15
-#: Languages that may be told apart.
-MAX_LANGUAGES = 64
 TRUST = 0.9
 #: Weight of the next wider level in a host's or suffix's prior, in documents.
 KAPPA = 20.0
@@ -63,18 +61,31 @@ def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities of BUCKETS trigrams for each and the unknown class), from `rows` labelled rows.
+    """(languages, log probabilities of BUCKETS trigrams for each and the unknown class), from `rows` labelled rows of each language.
 
-    The sample is the rows whose ids have the least hashes; the counts are
-    summed on the executors, so what comes back is BUCKETS numbers a language.
+    The languages are all labels of the table. The sample is, for each of them,
+    the rows whose id hashes have the fewest bits that hold `rows` of them, or
+    all it has; the counts are summed on the executors, so what comes back is
+    BUCKETS numbers a language.
     """
+    label, bits = F.col(label_col).cast("string"), F.length(F.bin(F.xxhash64(id_col)))
     named = docs.filter(F.col(label_col).isNotNull())
-    least = named.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i")).orderBy("h").limit(rows)
-    top = least.agg(F.max("h")).first()[0]
-    sample = named.filter(F.xxhash64(id_col) <= F.lit(top)) if top is not None else named.limit(0)
-    labels = [r[0] for r in sample.select(F.col(label_col).cast("string").alias("l")).distinct().orderBy("l").limit(MAX_LANGUAGES + 1).collect()]
-    if len(labels) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    seen: dict[str, list[tuple[int, int]]] = {}
+    for r in named.groupBy(label.alias("l"), bits.alias("b")).agg(F.count("*").alias("n")).collect():
+        seen.setdefault(r["l"], []).append((r["b"], r["n"]))
+    labels = sorted(seen)
+    enough: dict[int, list[str]] = {}
+    for x in labels:
+        least, n = sorted(seen[x]), 0
+        for b, k in least:
+            n += k
+            if n >= rows:
+                break
+        enough.setdefault(b, []).append(x)
+    taken = F.lit(False)
+    for b, some in enough.items():
+        taken |= (bits <= b) & label.isin(*some)
+    sample = named.filter(taken)
     index = {x: i for i, x in enumerate(labels)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,12 +98,12 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col
                 np.add.at(counts, (which[i:j][doc], gram), 1)
         lang, gram = np.nonzero(counts)
         if len(lang):
-            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(gram), pa.array(counts[lang, gram])], names=["l", "g", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(gram, pa.int32()), pa.array(counts[lang, gram])], names=["l", "g", "n"])
 
     table = np.ones((len(labels) + 1, BUCKETS))
-    cells = sample.select(F.col(label_col).cast("string"), _lower(text_col)).mapInArrow(run, "l long, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
-    for r in cells.collect():
-        table[r["l"], r["g"]] += r["n"]
+    cells = sample.select(F.col(label_col).cast("string"), _lower(text_col)).mapInArrow(run, "l int, g int, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
+    found = cells.toArrow()
+    table[found["l"].to_numpy(), found["g"].to_numpy()] += found["n"].to_numpy()
     table[-1] = 1
     return labels, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
@@ -158,17 +169,17 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     suffix = F.when(F.col("host").contains("."), F.substring_index("host", ".", -1)).otherwise("")
     text_only = scored.filter(grams > 0).select("host", _softmax(F.slice("ll", 1, len(languages))).alias("p"))
     counts = text_only.groupBy("host").agg(*[F.sum(F.element_at("p", i + 1)).alias(f"n{i}") for i in range(len(languages))])
-    counts = staged(counts.withColumn("suffix", suffix), "host-counts")
+    every = F.aggregate(F.array(*[f"n{i}" for i in range(len(languages))]), F.lit(0.0), lambda a, x: a + x)
+    counts = staged(counts.withColumn("suffix", suffix).withColumn("n", every), "host-counts")
     sums = lambda p: [F.sum(f"n{i}").alias(f"{p}{i}") for i in range(len(languages))]
     whole = counts.agg(*sums("g")).first()
     total = sum(x or 0.0 for x in whole)
     overall = [((x or 0.0) + 1.0) / (total + len(languages)) for x in whole]
 
     def smoothed(p: str, wider: list[Column]) -> list[Column]:
-        n = sum((F.coalesce(f"{p}{i}", F.lit(0.0)) for i in range(len(languages))), F.lit(0.0))
-        return [(F.coalesce(f"{p}{i}", F.lit(0.0)) + KAPPA * w) / (n + KAPPA) for i, w in enumerate(wider)]
+        return [(F.coalesce(f"{p}{i}", F.lit(0.0)) + KAPPA * w) / (F.col("n" if p == "n" else "whole") + KAPPA) for i, w in enumerate(wider)]
 
-    by_suffix = counts.groupBy("suffix").agg(*sums("s"))
+    by_suffix = counts.groupBy("suffix").agg(*sums("s"), F.sum("n").alias("whole"))
     by_suffix = by_suffix.select("suffix", *[p.alias(f"p{i}") for i, p in enumerate(smoothed("s", [F.lit(x) for x in overall]))])
     priors = counts.join(by_suffix, "suffix").select("host", *[F.log(p).alias(f"prior{i}") for i, p in enumerate(smoothed("n", [F.col(f"p{i}") for i in range(len(languages))]))])
     priors = staged(priors, "host-priors")
