@@ -32,8 +32,10 @@ from .common import staged, text_of
 UNIT = 16
 #: Chunks of text whose ids a worker remembers.
 REMEMBERED = 400_000
-#: Queues that the schedule, which each task holds whole, may have.
+#: Queues that the schedule, which each task holds whole, may have; of more sources the smaller ones share queues.
 MAX_QUEUES = 20_000
+#: Cells (rounds times queues) of the schedule that are worked out at once.
+CELLS = 1 << 21
 
 
 class ChunkTokenizer:
@@ -132,9 +134,9 @@ class Schedule:
         self.quanta = [max(1, round(round_tokens * s / whole * (1 << UNIT))) for s in shares]
         self.rounds = [-((-t << UNIT) // q) for t, q in zip(self.totals, self.quanta, strict=True)]
 
-    def served(self, queue: int, rounds: np.ndarray) -> np.ndarray:
-        """Tokens that a queue has served after so many rounds; what is left of its quanta is its deficit."""
-        return np.minimum((np.minimum(rounds, self.rounds[queue]) * self.quanta[queue]) >> UNIT, self.totals[queue])
+    def served(self, rounds: np.ndarray) -> np.ndarray:
+        """(rounds, queues) tokens that each queue has served after so many rounds; what is left of its quanta is its deficit."""
+        return np.minimum((np.minimum(rounds[:, None], np.array(self.rounds, np.int64)) * np.array(self.quanta, np.int64)) >> UNIT, np.array(self.totals, np.int64))
 
     def round_of(self, queue: np.ndarray, token: np.ndarray) -> np.ndarray:
         """The round in which a queue serves its token-th token."""
@@ -144,16 +146,26 @@ class Schedule:
     def pieces(self, queue: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
         """Cut documents (queue, start there, tokens) into pieces: (document's index, start in it, length, place in the stream)."""
         first, last = self.round_of(queue, start), self.round_of(queue, start + n - 1)
-        times = last - first + 1
+        # a queue of less than a token a round serves in some rounds only: those of its tokens
+        slow = np.array(self.quanta, np.int64)[queue] < 1 << UNIT
+        times = np.where(slow, n, last - first + 1)
         doc = np.repeat(np.arange(len(n)), times)
-        rounds = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(times) - times, times)
+        turn = np.arange(len(doc)) - np.repeat(np.cumsum(times) - times, times)
         q = queue[doc]
+        rounds = np.where(slow[doc], self.round_of(q, start[doc] + turn), first[doc] + turn)
         begin, end, place = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
-        for s in range(len(self.totals)):
-            now, then = self.served(s, rounds), self.served(s, rounds + 1)
-            place += np.where(q <= s, now, then)
-            own = q == s
-            begin[own], end[own] = now[own], then[own]
+        order = np.argsort(rounds, kind="stable")
+        each, first_at = np.unique(rounds[order], return_index=True)
+        bounds = np.append(first_at, len(order))
+        step = max(1, CELLS // max(1, len(self.totals)))
+        for i in range(0, len(each), step):
+            some = each[i : i + step]
+            now, then = self.served(some), self.served(some + 1)
+            # a piece stands after this round's tokens of the queues before its own
+            ahead = now.sum(axis=1, keepdims=True) + np.cumsum(then - now, axis=1) - (then - now)
+            own = order[bounds[i] : bounds[min(i + step, len(each))]]
+            at = (np.searchsorted(some, rounds[own]), q[own])
+            begin[own], end[own], place[own] = now[at], then[at], ahead[at]
         a, b = np.maximum(begin, start[doc]), np.minimum(end, (start + n)[doc])
         place += a - begin
         full = b > a
@@ -188,18 +200,29 @@ def pack(docs: DataFrame, path: str, length: int = 1024, targets: dict[str, floa
     read. Only the very last sequence may be short.
     """
     rows = tokenized(docs, path, id_col, text_col, source_col)
+    own = {("=" + k if k else "null"): float(v) for k, v in (targets or {}).items()}
     totals = rows.groupBy("queue", "part").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = staged(totals.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).select("queue", "part", "before"), "queue-offsets")
-    found = totals.groupBy("queue").agg(F.sum("n").alias("n")).limit(MAX_QUEUES + 1).collect()
-    if len(found) > MAX_QUEUES:
-        raise ValueError(f"more than {MAX_QUEUES} sources; give a coarser source_col")
-    found.sort(key=lambda r: r["queue"])
-    names = {r["queue"]: i for i, r in enumerate(found)}
-    own = {("=" + k if k else "null"): v for k, v in (targets or {}).items()}
-    free = sum(r["n"] for r in found if r["queue"] not in own)
+    if own:
+        wanted = rows.sparkSession.createDataFrame(list(own.items()), "queue string, target double")
+        totals = totals.join(F.broadcast(wanted), "queue", "left")
+    else:
+        totals = totals.withColumn("target", F.lit(None).cast("double"))
+    sizes = staged(totals.groupBy("queue", "target").agg(F.sum("n").alias("n")), "queue-sizes")
+    lane = F.col("queue")
+    if sizes.count() > MAX_QUEUES:
+        shared = max(1, MAX_QUEUES // 4)
+        alone = staged(sizes.orderBy(F.col("target").isNull(), F.col("n").desc(), "queue").limit(MAX_QUEUES - shared).select("queue", F.lit(True).alias("alone")), "queues-alone")
+        totals, sizes = (x.join(F.broadcast(alone), "queue", "left") for x in (totals, sizes))
+        lane = F.when(F.col("alone"), lane).otherwise(F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(shared)).cast("string")))
+    order = Window.partitionBy("lane").orderBy("part", "queue").rowsBetween(Window.unboundedPreceding, -1)
+    before = staged(totals.withColumn("lane", lane).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).select("queue", "part", "lane", "before"), "queue-offsets")
+    free = F.when(F.col("target").isNull(), F.col("n")).otherwise(0)
+    found = sizes.groupBy(lane.alias("lane")).agg(F.sum("n").alias("n"), F.sum(free).alias("free"), F.coalesce(F.sum("target"), F.lit(0.0)).alias("target")).collect()
+    found.sort(key=lambda r: r["lane"])
+    names = {r["lane"]: i for i, r in enumerate(found)}
+    whole_free = sum(r["free"] for r in found)
     left = max(0.0, 1.0 - sum(own.values())) if own else 1.0
-    plan = Schedule([r["n"] for r in found], [own.get(r["queue"], left * r["n"] / max(1, free)) for r in found], length)
+    plan = Schedule([r["n"] for r in found], [r["target"] + left * r["free"] / max(1, whole_free) for r in found], length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = tokenizer(path).dtype
@@ -209,7 +232,7 @@ def pack(docs: DataFrame, path: str, length: int = 1024, targets: dict[str, floa
                 n = b.column("n").to_numpy()
                 start = b.column("start").to_numpy() + b.column("before").to_numpy(zero_copy_only=False)
                 queues = b.column("queue").to_pylist()
-                doc, at, size, place = plan.pieces(np.array([names[q] for q in queues]), start, n, length)
+                doc, at, size, place = plan.pieces(np.array([names[x] for x in b.column("lane").to_pylist()]), start, n, length)
                 ids = [np.frombuffer(x, dtype).astype("<u4").tobytes() for x in b.column("ids").to_pylist()]
                 crc = [zlib.crc32(ids[d][4 * s : 4 * (s + k)]) for d, s, k in zip(doc.tolist(), at.tolist(), size.tolist(), strict=True)]
                 took = pa.array(doc)
@@ -219,7 +242,7 @@ def pack(docs: DataFrame, path: str, length: int = 1024, targets: dict[str, floa
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"],
                 )
 
-    placed = rows.join(before, ["queue", "part"]).select("doc_id", "queue", "start", "before", "n", "ids")
+    placed = rows.join(before, ["queue", "part"]).select("doc_id", "queue", "lane", "start", "before", "n", "ids")
     return placed.mapInArrow(run, PIECES)
 
 

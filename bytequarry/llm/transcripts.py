@@ -28,13 +28,14 @@ from .common import shared_dir, text_of
 
 #: Words that name a speaker, by the role they stand for.
 SPEAKERS = {"user": "user|human|customer|question|instruction|prompt|me|q", "assistant": "assistant|bot|ai|model|agent|answer|response|output|a", "system": "system|context|developer|sys", "tool": "tool|function|observation|result"}
-MAX_ROLES = 16
 #: Feature: number of values.
 FEATURES = {"marker": len(SPEAKERS) + 1, "length": 16, "lines": 5, "asks": 2}
 #: Turns that a marker of a role's own name counts as before any are seen.
 MARKER_PRIOR = 200.0
 #: Turns that are decoded side by side.
 TURNS_AT_ONCE = 20_000
+#: Scores of moves that are held at once, for conversations side by side.
+MOVES_AT_ONCE = 1 << 23
 _OPEN, _CLOSE = r"^\s*(?:#{1,6}\s*|\*\*|\[|<\|?(?:im_start\|>)?|\()?", r"(?:\*\*|\]|\|?>|\))?\s*[:>\n\]]\s*"
 
 
@@ -101,9 +102,7 @@ def _convs(b: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(ordered: DataFrame) -> Model:
     """The model of labelled turns, in_order(). Counts are summed on the executors."""
-    roles = [r[0] for r in ordered.filter("role IS NOT NULL").select("role").distinct().orderBy("role").limit(MAX_ROLES + 1).collect()]
-    if len(roles) > MAX_ROLES:
-        raise ValueError(f"more than {MAX_ROLES} roles")
+    roles = [r[0] for r in ordered.filter("role IS NOT NULL").select("role").distinct().orderBy("role").collect()]
     n, index = len(roles), {r: i for i, r in enumerate(roles)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +161,7 @@ def _viterbi_many(scores: list[np.ndarray], enter: list[np.ndarray], step: np.nd
     at = 0
     while at < len(order):
         end = at
-        while end < len(order) and len(scores[order[end]]) == len(scores[order[at]]):
+        while end < len(order) and len(scores[order[end]]) == len(scores[order[at]]) and (end == at or (end - at + 1) * step.size <= MOVES_AT_ONCE):
             end += 1
         group = order[at:end]
         at = end

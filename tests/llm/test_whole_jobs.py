@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from bytequarry.llm import language_id
+from bytequarry.llm import language_id, packing, transcripts
 
 
 def sounds(seed):
@@ -31,3 +31,36 @@ def test_more_than_64_languages(spark):
     hidden = df.withColumn("truth", F.col("lang")).withColumn("lang", F.lit(None).cast("string"))
     got = language_id.identify(hidden, model).join(df.select("doc_id", F.col("lang").alias("truth")), "doc_id").collect()
     assert len(got) == 280 and sum(r.language == r.truth and r.kept for r in got) == 280
+
+
+def test_more_sources_than_queues(spark, tokens_path, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_QUEUES", 8)
+    rows = [(i, f"text number {i} of its source " * (1 + i % 5), None if i % 30 == 29 else f"s{i % 30}") for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for targets in (None, {"s3": 0.5}):
+        got = packing.pack(df, tokens_path, 64, targets).collect()
+        at, spans = {}, {}
+        for r in got:
+            assert r.source == rows[r.doc_id][2]
+            at.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+            spans.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert at.keys() == {i for i, _, _ in rows}
+        for pieces in at.values():
+            pieces.sort()
+            assert [s for s, _, _ in pieces] == [sum(n for _, n, _ in pieces[:i]) for i in range(len(pieces))]
+            assert sum(n for _, n, _ in pieces) == pieces[0][2]
+        for s, x in spans.items():
+            x.sort()
+            assert [o for o, _ in x] == [sum(n for _, n in x[:i]) for i in range(len(x))]
+            assert sum(n for _, n in x) == 64 or s == max(spans)
+        if targets:
+            early = [r for r in got if r.sequence_id < 2]
+            assert abs(sum(r.length for r in early if r.source == "s3") / 128 - 0.5) < 0.05
+
+
+def test_more_than_16_roles(spark):
+    rows = [(c, i, f"r{(c + i) % 20:02d}", f"word {i}") for c in range(40) for i in range(4)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    ordered = transcripts.in_order(transcripts.observed(df))
+    model = transcripts.fit(ordered)
+    assert len(model.roles) == 20 and transcripts.recover(ordered, model).count() == len(rows)
