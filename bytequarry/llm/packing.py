@@ -17,6 +17,7 @@ sequences and partitions without a sequential pass, and no token is shuffled.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -43,33 +44,47 @@ class ChunkTokenizer:
 
     The vocabulary's pre-tokenizer never joins a space-led chunk with what
     precedes it, so a text splits at single spaces between non-space
-    characters; each distinct chunk is encoded once. Strings of special tokens
-    are ordinary text.
+    characters; each distinct chunk is encoded once. With `added`, texts that
+    hold one of the file's added tokens go through the tokenizers library, which
+    finds them there by its own rules; without, their strings are ordinary text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocab, tokens = file["model"]["vocab"], {t["content"]: t["id"] for t in file.get("added_tokens", [])}
         from public_tokenizers import PATTERN
 
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in printable]
         byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(other)}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if all(c in byte_of for c in t)}
-        ranks.pop(b"<|endoftext|>", None)
-        self.dtype = np.dtype("<u2") if max(vocab.values()) < 1 << 16 else np.dtype("<u4")
+        for t in tokens:
+            ranks.pop(t.encode(), None)
+        self.dtype = np.dtype("<u2") if max(*vocab.values(), *tokens.values()) < 1 << 16 else np.dtype("<u4")
+        self._added = re.compile("|".join(map(re.escape, tokens))).search if added and tokens else None
+        self._path, self._library = path, None
         self._encode = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._known: dict[str, bytes] = {}
 
     def _bytes(self, text: str) -> bytes:
         return np.array(self._encode(text), self.dtype).tobytes()
 
+    def _by_library(self, text: str) -> bytes:
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self._path)
+        return np.array(self._library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
     def ids(self, text: str) -> bytes:
         """The ids of a text, in little-endian integers of self.dtype."""
         if not text:
             return b""
+        if self._added and self._added(text):
+            return self._by_library(text)
         chunks = text.split(" ")
         if len(chunks) < 4 or not all(chunks) or any(c[0].isspace() or c[-1].isspace() for c in chunks):
             return self._bytes(text)
@@ -89,25 +104,25 @@ class ChunkTokenizer:
         return b"".join(out)
 
 
-_tokenizers: dict[str, ChunkTokenizer] = {}
+_tokenizers: dict[tuple[str, bool], ChunkTokenizer] = {}
 
 
-def tokenizer(path: str) -> ChunkTokenizer:
-    """One for each worker process and file."""
-    if path not in _tokenizers:
-        _tokenizers[path] = ChunkTokenizer(path)
-    return _tokenizers[path]
+def tokenizer(path: str, added: bool = False) -> ChunkTokenizer:
+    """One for each worker process, file and treatment of added tokens."""
+    if (path, added) not in _tokenizers:
+        _tokenizers[path, added] = ChunkTokenizer(path, added)
+    return _tokenizers[path, added]
 
 
 def _queue_of(col: str):
     return F.coalesce(F.concat(F.lit("="), F.col(col).cast("string")), F.lit("null"))
 
 
-def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", added: bool = False) -> DataFrame:
     """Staged table (doc_id, queue, part, start, n, ids): each document's ids with an id 0 at its end, and its place in its queue within its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, place, tok = TaskContext.get().partitionId(), {}, tokenizer(path)
+        part, place, tok = TaskContext.get().partitionId(), {}, tokenizer(path, added)
         end = np.zeros(1, tok.dtype).tobytes()
         for b in batches:
             for i in range(0, b.num_rows, 256):
@@ -188,18 +203,20 @@ class Schedule:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
-def pack(docs: DataFrame, path: str, length: int = 1024, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = 1024, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", added: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     targets: share of the tokens by source (as a string, None as ""); sources
     that it lacks share what it leaves in proportion to their tokens. Without
     targets the shares are those of the corpus, so all queues end together.
+    added: whether the file's added tokens, such as <|endoftext|>, are found
+    inside texts, as the tokenizers library does by default.
     A document is its ids and an id 0: a null or empty text is one token. A
     null source is a queue of its own. Rows that repeat an id are documents of
     their own. An empty table gives an empty result. Other columns are not
     read. Only the very last sequence may be short.
     """
-    rows = tokenized(docs, path, id_col, text_col, source_col)
+    rows = tokenized(docs, path, id_col, text_col, source_col, added)
     own = {("=" + k if k else "null"): float(v) for k, v in (targets or {}).items()}
     totals = rows.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     if own:
@@ -225,7 +242,7 @@ def pack(docs: DataFrame, path: str, length: int = 1024, targets: dict[str, floa
     plan = Schedule([r["n"] for r in found], [r["target"] + left * r["free"] / max(1, whole_free) for r in found], length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = tokenizer(path).dtype
+        dtype = tokenizer(path, added).dtype
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 b = whole.slice(i, 512)
@@ -246,14 +263,14 @@ def pack(docs: DataFrame, path: str, length: int = 1024, targets: dict[str, floa
     return placed.mapInArrow(run, PIECES)
 
 
-def sequences(docs: DataFrame, pieces: DataFrame, path: str, length: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sequences(docs: DataFrame, pieces: DataFrame, path: str, length: int = 1024, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """The packed sequences themselves: (sequence_id, ids array<int>, doc_ids array<long>), for ids that no two rows share.
 
     Pieces meet their texts by id and each other by sequence, whose size is bounded by `length`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        tok = tokenizer(path, added)
         for b in batches:
             for r in b.to_pylist():
                 ids = np.append(np.frombuffer(tok.ids(r["text"]), tok.dtype), 0)

@@ -20,7 +20,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .packing import pack
 
-    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), added=True)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Tests of the operators beyond the bounds that once cut their work short."""
 
 import random
+import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from bytequarry.llm import language_id, packing, transcripts
@@ -64,3 +66,19 @@ def test_more_than_16_roles(spark):
     ordered = transcripts.in_order(transcripts.observed(df))
     model = transcripts.fit(ordered)
     assert len(model.roles) == 20 and transcripts.recover(ordered, model).count() == len(rows)
+
+
+def test_added_tokens_as_the_library_finds_them(spark, tokens_path, tmp_path):
+    from tokenizers import Tokenizer
+
+    from bytequarry.llm.queries import queries
+
+    library = Tokenizer.from_file(tokens_path)
+    texts = ["a <|endoftext|> is text", "<|endoftext|>", "a  <|endoftext|><|endoftext|>\n b c d e", "one two three four <|endoftext| > five", "plain words of no note here"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in want[0]
+    own = packing.ChunkTokenizer(tokens_path, added=True)
+    assert [np.frombuffer(own.ids(t), own.dtype).tolist() for t in texts] == want
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries()["op1_packing"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in got} == {i: (len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4").tobytes())) for i, x in enumerate(want)}
