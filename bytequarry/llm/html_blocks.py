@@ -9,9 +9,9 @@ from html import unescape
 
 # Fixed values of the HTML standard: block-level, void and raw-text elements, and
 # which open elements a start tag ends.
-BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
+BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template iframe noembed noframes xmp textarea title svg math object audio video canvas".split())
+RAW = frozenset("script style template iframe noembed noframes xmp textarea title".split())
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup")}
 SCOPES = frozenset("ul ol dl table select body html article section main aside nav footer header form div td th blockquote".split())
 ENDS_P = BLOCK - frozenset("body head html button caption legend option optgroup select summary tbody td tfoot th thead tr title".split())
@@ -34,7 +34,10 @@ def _names(attrs: str) -> str:
 
 
 def leaf_blocks(html: str) -> list[Block]:
-    """The page's blocks in order. Character references are decoded, white space is one space, and empty blocks go."""
+    """The page's blocks in order. Character references are decoded, white space is one space, and empty blocks go.
+
+    The content of raw-text elements is skipped, but for <xmp>, whose text is a block as it stands.
+    """
     stack: list[tuple[str, str]] = []
     blocks: list[Block] = []
     parts: list[str] = []
@@ -91,6 +94,9 @@ def leaf_blocks(html: str) -> list[Block]:
         if name in RAW and not attrs.endswith("/"):
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
             stop = html.find(">", end.end()) if end else -1
+            if name == "xmp":
+                if text := " ".join(html[at : end.start() if end else n].split()):
+                    blocks.append(Block(text, tuple(x for x in [*stack, (name, _names(attrs))] if x[0] in BLOCK or x[1]), len(text) if links else 0))
             at = stop + 1 if stop >= 0 else n
         elif name not in VOID and not attrs.endswith("/"):
             stack.append((name, _names(attrs)))

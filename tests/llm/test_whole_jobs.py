@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from bytequarry.llm import language_id, packing, transcripts
+from bytequarry.llm import html_blocks, language_id, packing, transcripts
 
 
 def sounds(seed):
@@ -82,3 +82,13 @@ def test_added_tokens_as_the_library_finds_them(spark, tokens_path, tmp_path):
     spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = queries()["op1_packing"](spark, str(tmp_path)).collect()
     assert {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in got} == {i: (len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4").tobytes())) for i, x in enumerate(want)}
+
+
+def test_only_raw_text_elements_are_skipped():
+    texts = lambda html: [b.text for b in html_blocks.leaf_blocks(html)]
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["so x=2 holds"]
+    for name in ("math", "svg", "object", "audio", "video", "canvas"):
+        assert texts(f"<article><p>one <{name}>within<p>two</article><p>three") == ["one within", "two", "three"]
+        assert texts(f"<p>one</p><{name} class=x><p>fallback</p></{name}><p>two") == ["one", "fallback", "two"]
+    assert texts("<p>one<xmp>a <b>c</b> &amp;\n d</xmp>two<xmp>never <i>closed") == ["one", "a <b>c</b> &amp; d", "two", "never <i>closed"]
+    assert texts("<svg><title>t</title><style>p{}</style><text>label</text></svg><script>x</script>") == ["label"]
