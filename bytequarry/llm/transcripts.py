@@ -32,6 +32,8 @@ SPEAKERS = {"user": "user|human|customer|question|instruction|prompt|me|q", "ass
 FEATURES = {"marker": len(SPEAKERS) + 1, "length": 16, "lines": 5, "asks": 2}
 #: Turns that a marker of a role's own name counts as before any are seen.
 MARKER_PRIOR = 200.0
+#: Marks of a task's first and last turn among its counts.
+FIRST, LAST = -1, -2
 #: Turns that are decoded side by side.
 TURNS_AT_ONCE = 20_000
 #: Scores of moves that are held at once, for conversations side by side.
@@ -101,31 +103,49 @@ def _convs(b: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(ordered: DataFrame) -> Model:
-    """The model of labelled turns, in_order(). Counts are summed on the executors."""
+    """The model of labelled turns, in_order(). Counts are summed on the executors; what lies between two tasks is counted from their ends, two rows a task."""
     roles = [r[0] for r in ordered.filter("role IS NOT NULL").select("role").distinct().orderBy("role").collect()]
     n, index = len(roles), {r: i for i, r in enumerate(roles)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, before = np.zeros((n + 1, n), np.int64), None
+        counts, before, first = np.zeros((n + 1, n), np.int64), None, None
         for b in batches:
             if not b.num_rows:
                 continue
             conv, valid = _convs(b)
             role = [index.get(x, -1) for x in b.column("role").to_pylist()]
             for c, v, r in zip(conv.tolist(), valid.tolist(), role, strict=True):
-                if before is None or before[:2] != (c, v):
-                    if r >= 0 and before is not None:  # the first of a task may stand inside a conversation
+                if before is None:  # the first of a task may stand inside a conversation
+                    first = (c, v, r)
+                elif before[:2] != (c, v):
+                    if r >= 0:
                         counts[n, r] += 1
                 elif r >= 0 and before[2] >= 0:
                     counts[before[2], r] += 1
                 before = (c, v, r)
         i, j = np.nonzero(counts)
-        if len(i):
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(counts[i, j])], names=["i", "j", "n"])
+        rows = [(a, b, k, None, None) for a, b, k in zip(i.tolist(), j.tolist(), counts[i, j].tolist(), strict=True)]
+        if first:
+            part = TaskContext.get().partitionId()
+            rows += [(kind, x[2], 1, part, x[0] if x[1] else None) for kind, x in ((FIRST, first), (LAST, before))]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["i", "j", "n", "part", "conv_id"])
 
     moves = np.full((n + 1, max(n, 1)), 0.5)
-    for r in ordered.select("conv_id", "role").mapInArrow(run, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
-        moves[r["i"], r["j"]] += r["n"]
+    ends: dict[tuple[int, int], tuple[int | None, int]] = {}
+    for r in ordered.select("conv_id", "role").mapInArrow(run, "i long, j long, n long, part long, conv_id long").groupBy("i", "j", "part", "conv_id").agg(F.sum("n").alias("n")).collect():
+        if r["part"] is None:
+            moves[r["i"], r["j"]] += r["n"]
+        else:
+            ends[r["part"], r["i"]] = (r["conv_id"], r["j"])
+    last = None
+    for part in sorted({p for p, _ in ends}):
+        conv, role = ends[part, FIRST]
+        if role >= 0 and (last is None or last[0] != conv):
+            moves[n, role] += 1
+        elif role >= 0 and last[1] >= 0:
+            moves[last[1], role] += 1
+        last = ends[part, LAST]
     table = {k: np.full((max(n, 1), v), 0.5) for k, v in FEATURES.items()}
     for k, name in enumerate(SPEAKERS):
         if name in index:

@@ -92,3 +92,25 @@ def test_only_raw_text_elements_are_skipped():
         assert texts(f"<p>one</p><{name} class=x><p>fallback</p></{name}><p>two") == ["one", "fallback", "two"]
     assert texts("<p>one<xmp>a <b>c</b> &amp;\n d</xmp>two<xmp>never <i>closed") == ["one", "a <b>c</b> &amp; d", "two", "never <i>closed"]
     assert texts("<svg><title>t</title><style>p{}</style><text>label</text></svg><script>x</script>") == ["label"]
+
+
+def test_counts_over_the_seams_of_tasks(spark):
+    r = random.Random(8)
+    rows = [(None if c == 0 else c, i, r.choice(["a", "b", "c", None]), f"w {i}") for c in range(40) for i in range(r.randint(1, 9))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    ordered = transcripts.in_order(transcripts.observed(df))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert ordered.rdd.getNumPartitions() > 10
+    moves, before = np.full((4, 3), 0.5), (-1, None)
+    for c, _, role, _ in rows:
+        if role and before[0] != c:
+            moves[3, "abc".index(role)] += 1
+        elif role and before[1]:
+            moves["abc".index(before[1]), "abc".index(role)] += 1
+        before = (c, role)
+    want = np.log(moves / moves.sum(axis=1, keepdims=True))
+    model = transcripts.fit(ordered)
+    assert np.allclose(model.step, want[:3]) and np.allclose(model.start, want[3])
