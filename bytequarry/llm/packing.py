@@ -36,7 +36,7 @@ REMEMBERED = 400_000
 #: Queues that the schedule, which each task holds whole, may have; of more sources the smaller ones share queues.
 MAX_QUEUES = 20_000
 #: Cells (rounds times queues) of the schedule that are worked out at once.
-CELLS = 1 << 21
+CELLS = 1 << 18
 
 
 class ChunkTokenizer:
