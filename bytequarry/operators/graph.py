@@ -2,30 +2,41 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """df checkpointed, so that lineage stays short; in a temporary folder only where none is configured."""
+    spark = df.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        local = tempfile.mkdtemp(prefix="bytequarry-")
+        atexit.register(shutil.rmtree, local, True)
+        spark.sparkContext.setCheckpointDir(f"file://{local}")
+    return df.checkpoint()
+
+
 def resolvable(target: Column) -> Column:
     """Whether a reference names something: not 0, not negative, not all ones."""
     return (target > 0) & (target != 0xFFFFFFFF)
 
 
-def reach(roots: DataFrame, edges: DataFrame, max_depth: int = 16) -> DataFrame:
-    """(root, node, depth): nodes that roots (node) reach over edges (src, dst), at the least depth. Stops at max_depth.
+def reach(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(root, node, depth): nodes that roots (node) reach over edges (src, dst), at the least depth.
 
     Each round joins the newly reached nodes with the edges and drops what was
-    reached before. The frontier is checkpointed where the session has a
-    folder for it, so lineage stays short.
+    reached before, until nothing is new; cycles end there too.
     """
-    spark = roots.sparkSession
     seen = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))
     front = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         front = front.select("root", F.col("node").alias("src")).join(edges.select("src", "dst"), "src").select("root", F.col("dst").alias("node")).distinct()
-        front = front.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        if spark.conf.get("spark.checkpoint.dir", None):
-            front = front.checkpoint()
+        front = _held(front.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -42,42 +53,42 @@ def levels(edge_tables: list[DataFrame], root: DataFrame) -> DataFrame:
     return out
 
 
-def ordered_leaves(roots: DataFrame, edges: DataFrame, is_leaf: Column, max_depth: int = 8) -> DataFrame:
-    """(root, leaf, place): leaves below each root in the order of a depth-first walk. edges: (src, ordinal, dst); is_leaf tests dst."""
-    front = roots.select(F.col("node").alias("root"), "node", F.array().cast("array<int>").alias("path"))
+def ordered_leaves(roots: DataFrame, edges: DataFrame, is_leaf: Column) -> DataFrame:
+    """(root, leaf, place): leaves below each root in the order of a depth-first walk. edges: (src, ordinal, dst); is_leaf tests dst. A walk does not enter a node that it is below of."""
+    front = roots.select(F.col("node").alias("root"), "node", F.array().cast("array<int>").alias("path"), F.array("node").alias("above"))
     out = None
-    for _ in range(max_depth):
-        step = front.join(edges, front["node"] == edges["src"]).select("root", F.col("dst").alias("node"), F.concat("path", F.array(F.col("ordinal").cast("int"))).alias("path"), is_leaf.alias("leaf"))
+    while True:
+        step = front.join(edges, (front["node"] == edges["src"]) & ~F.array_contains("above", F.col("dst"))).select("root", F.col("dst").alias("node"), F.concat("path", F.array(F.col("ordinal").cast("int"))).alias("path"), F.concat("above", F.array("dst")).alias("above"), is_leaf.alias("leaf"))
+        step = _held(step)
         hit = step.filter("leaf").select("root", F.col("node").alias("leaf"), F.col("path").alias("place"))
         out = hit if out is None else out.unionByName(hit)
         front = step.filter("NOT leaf").drop("leaf")
         if front.isEmpty():
-            break
-    return out
+            return out
 
 
-def inherited(own: DataFrame, base: DataFrame, max_depth: int = 8) -> DataFrame:
-    """(node, values): a node's base's values first, then its own, each once. own: (node, values); base: (node, base)."""
-    state = own.select("node", "values", F.col("node").alias("at"))
-    for _ in range(max_depth):
-        up = state.join(base.select(F.col("node").alias("at"), "base"), "at").join(own.select(F.col("node").alias("base"), F.col("values").alias("more")), "base")
-        if up.isEmpty():
+def inherited(own: DataFrame, base: DataFrame) -> DataFrame:
+    """(node, values): a node's base's values first, then its own, each once. own: (node, values); base: (node, base). A chain of bases ends where it would meet a node again."""
+    state = own.select("node", "values", F.col("node").alias("at"), F.array("node").alias("met"))
+    while True:
+        up = state.join(base.select(F.col("node").alias("at"), "base"), "at").join(own.select(F.col("node").alias("base"), F.col("values").alias("more")), "base").filter(~F.array_contains("met", F.col("base")))
+        moved = _held(up.select("node", F.concat("more", "values").alias("values"), F.col("base").alias("at"), F.concat("met", F.array("base")).alias("met")))
+        if moved.isEmpty():
             break
-        moved = up.select("node", F.concat("more", "values").alias("values"), F.col("base").alias("at"))
-        state = state.join(moved.select("node").distinct(), "node", "left_anti").unionByName(moved)
+        state = _held(state.join(moved.select("node").distinct(), "node", "left_anti").unionByName(moved))
     return state.select("node", F.array_distinct("values").alias("values"))
 
 
-def tree_paths(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
+def tree_paths(nodes: DataFrame) -> DataFrame:
     """(node, path) of a tree (node, parent, name), names joined by /; roots have a null parent."""
-    done = nodes.filter("parent IS NULL").select("node", F.col("name").alias("path"))
-    front = done
-    for _ in range(max_depth):
-        front = nodes.select("node", "parent", "name").join(front.select(F.col("node").alias("parent"), "path"), "parent").select("node", F.concat("path", F.lit("/"), "name").alias("path"))
+    front = nodes.filter("parent IS NULL").select("node", F.col("name").alias("path"), F.array("node").alias("above"))
+    done = front.select("node", "path")
+    while True:
+        below = nodes.select("node", "parent", "name").join(front.select(F.col("node").alias("parent"), "path", "above"), "parent").filter(~F.array_contains("above", F.col("node")))
+        front = _held(below.select("node", F.concat("path", F.lit("/"), "name").alias("path"), F.concat("above", F.array("node")).alias("above")))
         if front.isEmpty():
-            break
-        done = done.unionByName(front)
-    return done
+            return done
+        done = done.unionByName(front.select("node", "path"))
 
 
 def printed(paths: DataFrame, name: str = "name", path: str = "path") -> DataFrame:

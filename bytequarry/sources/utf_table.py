@@ -21,8 +21,6 @@ MAGIC = b"@UTF"
 NAMED, DEFAULT, ROW, UNDEFINED = 0x10, 0x20, 0x40, 0x80
 TYPES = {0: ("u8", ">B"), 1: ("s8", ">b"), 2: ("u16", ">H"), 3: ("s16", ">h"), 4: ("u32", ">I"), 5: ("s32", ">i"), 6: ("u64", ">Q"), 7: ("s64", ">q"), 8: ("f32", ">f"), 9: ("f64", ">d"), 10: ("string", ">I"), 11: ("data", ">II"), 12: ("u128", ">16s")}
 CODES = {name: code for code, (name, _) in TYPES.items()}
-#: Tables inside tables that are followed.
-MAX_DEPTH = 16
 
 
 @dataclass
@@ -135,6 +133,25 @@ _TYPES = [pa.list_(pa.string()), pa.string(), pa.int64(), pa.int32(), pa.string(
 
 
 def _cells(data: bytes, path: list[str], at: int = 0) -> Iterator[tuple]:
+    """Cells of a table, each nested table's after the cell that holds it, at any depth."""
+    held = [(len(data), path, _own_cells(data, path, at))]
+    while held:
+        size, path, cells_left = held[-1]
+        row = next(cells_left, None)
+        if row is None:
+            held.pop()
+            continue
+        yield row
+        name, kind, v = row[4], row[5], row[10]
+        if kind == "data" and v and v[:4] == MAGIC:
+            inner = [*path, f"{name}[{row[2]}]"]
+            if len(v) < size:
+                held.append((len(v), inner, _own_cells(v, inner, 0)))
+            else:
+                yield (inner, None, None, None, None, None, None, None, None, None, None, "a table that holds itself")
+
+
+def _own_cells(data: bytes, path: list[str], at: int) -> Iterator[tuple]:
     from decimal import Decimal
 
     try:
@@ -146,8 +163,6 @@ def _cells(data: bytes, path: list[str], at: int = 0) -> Iterator[tuple]:
         for c, ((name, kind, storage), v) in enumerate(zip(t.columns, row, strict=True)):
             whole = kind[0] in "us" and kind not in ("string", "u128")
             yield (path, t.name, r, c, name, kind, storage, Decimal(v) if whole and v is not None else None, v if kind in ("f32", "f64") else None, v if kind == "string" else None, v if kind in ("data", "u128") else None, None)
-            if kind == "data" and v and v[:4] == MAGIC and len(path) < MAX_DEPTH:
-                yield from _cells(v, [*path, f"{name}[{r}]"])
 
 
 def cells(files: DataFrame, id_col: str = "path", content: str = "content", skip_crid: bool = True) -> DataFrame:
