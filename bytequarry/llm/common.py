@@ -1,4 +1,4 @@
-"""Shared plumbing of the training-data operators: staged tables, guarded broadcasts, word rules."""
+"""Shared plumbing of the training-data operators: staged and numbered tables, guarded broadcasts, joins that no hot key gathers in one task."""
 
 from __future__ import annotations
 
@@ -9,15 +9,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of one 8-byte key that may be broadcast (16 MB of keys); beyond it the join shuffles.
-BROADCAST_KEYS = 2_000_000
+#: Bytes that a broadcast table may take in an executor's memory, by row_bytes(); a larger one joins by shuffle.
+BROADCAST_BYTES = 64 << 20
+#: A key of more rows than this, and of more than a HOT_SHARE of all, is dealt to several tasks.
+HOT_ROWS, HOT_SHARE = 10_000, 50_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is configured."""
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only in local mode where none is configured."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         local = tempfile.mkdtemp(prefix="bytequarry-")
         atexit.register(shutil.rmtree, local, True)
         spark.sparkContext.setCheckpointDir(place := f"file://{local}")
@@ -36,22 +41,51 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed_semi(df: DataFrame, keys: DataFrame, col: str) -> DataFrame:
-    """Rows of df whose `col` is in the staged one-column table keys.
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """Staged table (uid, row): each row of docs as a struct, with a number of its own.
 
-    The keys are broadcast when their counted number is at most BROADCAST_KEYS,
-    so that the wide side stays where it is; a larger set joins by shuffle.
+    The numbers are stored with the rows, so every later plan sees the same
+    ones, however docs was made; names of docs' columns can't clash with any.
     """
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    return df.join(keys, col, "left_semi")
+    return staged(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), name)
+
+
+def column_of(row: str, col: str):
+    return F.col(f"{row}.`{col}`")
+
+
+def row_bytes(schema: T.StructType) -> int:
+    """About what a row takes in a hash relation."""
+    return 48 + sum(8 if isinstance(f.dataType, T.NumericType | T.BooleanType) else 64 for f in schema)
+
+
+def fits(table: DataFrame) -> bool:
+    """Whether a staged table, counted, may be broadcast."""
+    return table.count() * row_bytes(table.schema) <= BROADCAST_BYTES
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner", rows: str = "n", least: int = HOT_ROWS) -> DataFrame:
+    """left joined with the staged table right, which has each key once and in `rows` how many rows left has for it.
+
+    right is broadcast where it fits. Else both shuffle by the key; a key of
+    more than `least` rows and more than a HOT_SHARE of all is dealt by a hash
+    of left's column `spread`, and repeated as often on the right. There are
+    at most HOT_SHARE such keys, so they can be broadcast to tell left's rows.
+    """
+    if fits(right):
+        return left.join(F.broadcast(right), key, how)
+    whole = right.agg(F.sum(rows)).first()[0] or 0
+    limit = max(least, whole // HOT_SHARE)
+    deals = F.ceil(F.col(rows) / F.lit(limit)).cast("int")
+    hot = right.filter(F.col(rows) > limit).select(key, deals.alias("__deals"))
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("__deal", F.pmod(F.xxhash64(spread), F.coalesce("__deals", F.lit(1)).cast("long")).cast("int")).drop("__deals")
+    told = right.withColumn("__deal", F.explode(F.sequence(F.lit(0), F.greatest(deals, F.lit(1)) - 1)))
+    return dealt.join(told, [key, "__deal"], how).drop("__deal")
 
 
 def without_keys(df: DataFrame, keys: DataFrame, col: str) -> DataFrame:
-    """Rows of df whose `col` is not in the staged one-column table keys, broadcast or not as in keyed_semi."""
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    return df.join(keys, col, "left_anti")
+    """Rows of df whose `col` is not in the staged one-column table keys, which df has once each; broadcast where they fit."""
+    return df.join(F.broadcast(keys) if fits(keys) else keys, col, "left_anti")
 
 
 def text_of(col: str):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import spread_join, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,14 +19,16 @@ def components(edges: DataFrame) -> DataFrame:
     label: DataFrame | None = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = staged(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("to")), "labels")
-        left, right = to.select(F.col("node").alias("a"), F.col("to").alias("x")), to.select(F.col("node").alias("b"), F.col("to").alias("y"))
-        edges = staged(_oriented(edges.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))), "edges")
+        to = staged(both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n")).select(F.col("a").alias("node"), F.least("a", "least").alias("to"), "n"), "labels")
+        ends = [to.select(F.col("node").alias(x), F.col("to").alias(y), F.col("n").alias(f"n_{x}")) for x, y in (("a", "x"), ("b", "y"))]
+        moved = spread_join(spread_join(edges, ends[0], "a", "b", rows="n_a"), ends[1], "b", "a", rows="n_b")
+        edges = staged(_oriented(moved.select(F.col("x").alias("a"), F.col("y").alias("b"))), "edges")
         if label is None:
             label = to.select("node", F.col("to").alias("component"))
         else:
-            step = to.select(F.col("node").alias("component"), "to")
-            label = staged(label.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "components")
+            sizes = label.groupBy("component").agg(F.count("*").alias("n"))
+            step = staged(to.select(F.col("node").alias("component"), "to").join(sizes, "component"), "steps")
+            label = staged(spread_join(label, step, "component", "node", "left").select("node", F.coalesce("to", "component").alias("component")), "components")
     return label if label is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_semi, staged, text_of, without_keys
+from .common import column_of, numbered, spread_join, staged, text_of, without_keys
 
 #: Bits of a fingerprint. N rows give about N * N / 2**49 false suspects, which the byte check clears.
 FINGERPRINT_BITS = 48
@@ -30,6 +30,10 @@ FINGERPRINT_BITS = 48
 CHUNK = 1 << 18
 #: Fingerprints that an owner is meant to hold.
 PER_OWNER = 1 << 18
+#: Rows that a source is meant to have, so that its lists don't grow short as owners grow many.
+PER_SOURCE = 1 << 21
+#: Lists that hold a fingerprint, beyond which its texts are dealt to several tasks.
+LISTS = 8
 
 PAYLOAD = "src int, owner int, chunk int, n int, base long, k int, unary binary, low binary, twice binary"
 
@@ -106,27 +110,27 @@ def _suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def suspects(fingerprints: DataFrame, rows: int, bits: int = FINGERPRINT_BITS) -> DataFrame:
-    """Staged table (fp) of the fingerprints that more than one row holds, by the exchange. fingerprints: one column fp of `bits` bits."""
+    """Staged table (fp, n) of the fingerprints that more than one row holds, by the exchange; n: lists that hold it. fingerprints: one column fp of `bits` bits."""
     owners = 4
     while (1 << owners) * PER_OWNER < rows and owners < 16:
         owners += 1
-    sent = staged(fingerprints.mapInArrow(_send(bits - owners), PAYLOAD), "fingerprint-lists")
+    # few sources with long lists: neighbouring partitions share a source, without an exchange
+    sources = max(fingerprints.sparkSession.sparkContext.defaultParallelism, -(-rows // PER_SOURCE))
+    sent = staged(fingerprints.coalesce(sources).mapInArrow(_send(bits - owners), PAYLOAD), "fingerprint-lists")
     answers = sent.groupBy("owner").applyInPandas(_answer, "src int, owner int, chunk int, bitmap binary")
     told = sent.join(answers, ["src", "owner", "chunk"]).mapInPandas(_suspects, "fp long")
-    return staged(told.distinct(), "suspect-fingerprints")
+    return staged(told.groupBy("fp").agg(F.count("*").alias("n")), "suspect-fingerprints")
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of exact_duplicates with the number that each has in the scan."""
-    doc, text = F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")
+def _judged(texts: DataFrame) -> DataFrame:
+    """(uid, doc_id, keep_id, group_size, kept, text_sha256) of (uid, doc_id, text). Only its own staged table is read for uid, so texts may number its rows anew each time."""
     sha = F.sha2("text", 256)
     fp = F.conv(F.substring("sha", 1, FINGERPRINT_BITS // 4), 16, 10).cast("long")
-    texts = docs.select(doc, text)
-    rows = staged(texts.select("doc_id", F.unhex(sha).alias("sha"), F.monotonically_increasing_id().alias("uid")), "text-hashes")
+    rows = staged(texts.select("doc_id", F.unhex(sha).alias("sha"), "uid"), "text-hashes")
     listed = rows.select(fp_of_binary("sha").alias("fp"))
     suspect = suspects(listed, rows.count())
 
-    shuffled = keyed_semi(texts.withColumn("sha", sha).withColumn("fp", fp).drop("sha"), suspect, "fp")
+    shuffled = spread_join(texts.select("doc_id", "text", sha.alias("sha")).withColumn("fp", fp).drop("sha"), suspect, "fp", "doc_id", "left_semi", least=LISTS)
     groups = shuffled.groupBy("fp", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1")
     groups = groups.select(F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "n")
     # one text for each digest; two would mean a SHA-256 collision
@@ -134,12 +138,12 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     groups = staged(groups.withColumn("n", F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts with one SHA-256")).cast("long")).otherwise(F.col("n"))).drop("texts"), "duplicate-groups")
 
     # of rows that repeat the kept id as well, the first stays
-    last = rows.join(groups, "sha").filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("sha").agg(F.min("uid").alias("keep_uid"))
+    last = spread_join(rows, groups, "sha", "uid").filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("sha").agg(F.min("uid").alias("keep_uid"))
     keepers = staged(groups.join(last, "sha"), "keepers")
     alone = F.col("n").isNull()
-    return rows.join(keepers, "sha", "left").select(
+    return spread_join(rows, keepers, "sha", "uid", "left").select(
         "uid",
-        F.col("doc_id").alias(id_col),
+        "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
         (alone | (F.col("uid") == F.col("keep_uid"))).alias("kept"),
@@ -156,7 +160,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     them is kept. An empty table gives an empty result. Other columns are not
     read, so their names can't clash.
     """
-    return _judged(docs, id_col, text_col).drop("uid")
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
+    return _judged(texts).select(F.col("doc_id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
 
 
 def fp_of_binary(col: str):
@@ -167,8 +172,10 @@ def fp_of_binary(col: str):
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_duplicates drops, with their own columns.
 
-    Dropped rows are told by their numbers in the scan, which are broadcast
-    while they are at most BROADCAST_KEYS; no text is shuffled for it.
+    The rows are numbered in a staged copy; the dropped ones' numbers are
+    broadcast where they fit, so no text is shuffled for it.
     """
-    gone = staged(_judged(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("uid").alias("__uid")), "dropped")
-    return without_keys(docs.withColumn("__uid", F.monotonically_increasing_id()), gone, "__uid").drop("__uid")
+    held = numbered(docs, "numbered-documents")
+    texts = held.select("uid", column_of("row", id_col).alias("doc_id"), F.coalesce(column_of("row", text_col).cast("string"), F.lit("")).alias("text"))
+    gone = staged(_judged(texts).filter(~F.col("kept")).select("uid"), "dropped")
+    return without_keys(held, gone, "uid").select("row.*")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_semi, staged, text_of, without_keys
+from .common import column_of, numbered, spread_join, staged, text_of, without_keys
 from .components import components
 from .wordhash import _ranges, blocks, mix, ngram_hashes, words
 
@@ -123,8 +123,7 @@ def _leaves(texts: DataFrame, threshold: float, runs: range, limit: int) -> tupl
     level = staged(signed.mapInArrow(_paths(threshold, runs), "bucket long, uid long"), "paths").distinct()
     depth, leaves, crowded = 1, None, None
     while True:
-        sized = level.join(level.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket")
-        sized = staged(sized, "nodes")
+        sized = staged(_sized(level, "node"), "nodes")
         dense = F.lit(False) if depth == 1 else F.col("n") * 2 >= F.col("above")
         ends = (F.col("n") <= limit) | dense | F.lit(depth >= DEEPEST)
         leaf = sized.filter(ends).select("bucket", "uid", "n")
@@ -138,6 +137,12 @@ def _leaves(texts: DataFrame, threshold: float, runs: range, limit: int) -> tupl
         level = staged(large.join(signed, "uid").mapInArrow(_paths(threshold, None), "bucket long, uid long, above long"), "paths").groupBy("bucket", "uid").agg(F.max("above").alias("above"))
 
 
+def _sized(rows: DataFrame, name: str) -> DataFrame:
+    """rows (bucket, uid, ...) of the buckets that hold more than one, with the bucket's count n; a bucket of any size is spread."""
+    counts = staged(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), f"{name}-counts")
+    return spread_join(rows, counts, "bucket", "uid")
+
+
 def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
     """rows (bucket, uid, ...) with their count n in the bucket, dealt to pairs of blocks: (bucket, i, j, own, ...), sorted by them."""
     parts = F.ceil(F.col("n") / block).cast("int")
@@ -312,25 +317,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = _in_blocks(leaves.join(known.select("uid", "sketch", "leaves"), "uid"), bucket)
     found = staged(dealt.mapInArrow(_candidates(threshold), "bucket long, uid long").distinct(), "candidates")
 
-    wanted = staged(known.join(found.select("uid").distinct(), "uid", "left_semi").select("tid"), "candidate-texts")
-    whole = keyed_semi(raw.select(sha.alias("tid"), lower.alias("text")), wanted, "tid").groupBy("tid").agg(F.first("text").alias("text"))
+    wanted = staged(known.join(found.select("uid").distinct(), "uid", "left_semi").select("tid", "mult"), "candidate-texts")
+    whole = spread_join(raw.select("doc_id", sha.alias("tid"), lower.alias("text")), wanted, "tid", "doc_id", "left_semi", "mult").groupBy("tid").agg(F.first("text").alias("text"))
     whole = staged(known.join(whole, "tid").drop("tid"), "candidate-sets")
-    sized = found.join(found.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
-    verified = staged(_in_blocks(sized.join(whole, "uid"), bucket).mapInArrow(_verify(threshold), "uid long, links long, to long"), "links")
+    verified = staged(_in_blocks(_sized(found, "candidate").join(whole, "uid"), bucket).mapInArrow(_verify(threshold), "uid long, links long, to long"), "links")
 
     links = verified.groupBy("uid").agg(F.sum("links").alias("links"))
     parts = components(verified.select(F.col("uid").alias("a"), F.col("to").alias("b"))).select(F.col("node").alias("uid"), "component")
     named = texts.select("uid", "tid", "mult").join(parts, "uid", "left").join(links, "uid", "left")
-    named = named.select("tid", F.coalesce("component", "uid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
-    rows = staged(signed.filter("sig IS NOT NULL").select("doc_id", "tid").join(named, "tid").select("doc_id", "component", "n_links"), "classed")
-    classes = rows.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    some = rows.join(classes, "component").select("doc_id", "class_id", "n_links")
+    named = staged(named.select("tid", "mult", F.coalesce("component", "uid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links")), "named-texts")
+    rows = staged(spread_join(signed.filter("sig IS NOT NULL").select("doc_id", "tid"), named, "tid", "doc_id", rows="mult").select("doc_id", "component", "n_links"), "classed")
+    classes = staged(rows.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "classes")
+    some = spread_join(rows, classes, "component", "doc_id").select("doc_id", "class_id", "n_links")
     none = signed.filter("sig IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return some.unionByName(none)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with their own columns, less all but the least id of each class; rows with a null id stay."""
-    classed = near_duplicates(docs, id_col, text_col)
-    gone = staged(classed.filter("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-duplicates")
-    return without_keys(docs.withColumn("__gone", F.col(id_col)), gone, "__gone").drop("__gone")
+    """docs with their own columns, of each class only the row with the least id.
+
+    Of rows that repeat the least id one stays; a null id is larger than any
+    other. The rows are numbered in a staged copy, so names of docs' columns
+    can't clash with any.
+    """
+    held = numbered(docs, "numbered-documents")
+    classed = near_duplicates(held.select("uid", column_of("row", text_col).alias("text")), "uid", "text")
+    rows = held.select("uid", column_of("row", id_col).alias("id")).join(classed.filter("n_links > 0").select(F.col("doc_id").alias("uid"), "class_id"), "uid")
+    rows = staged(rows, "near-duplicates")
+    stays = rows.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("uid"))).alias("first")).select(F.col("first.uid").alias("uid"))
+    return without_keys(held, staged(rows.select("uid").join(stays, "uid", "left_anti"), "near-duplicates-gone"), "uid").select("row.*")

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BROADCAST_KEYS, staged, text_of, without_keys
+from .common import spread_join, staged, text_of
 from .wordhash import blocks
 
 #: Labelled rows of each language that the trigram model is fitted on; its sample has about twice as many at most.
@@ -113,7 +114,7 @@ def _lower(text_col: str) -> Column:
 
 
 def _scorer(table: np.ndarray):
-    """(…, text) to (…, ll): tempered log likelihoods of each class and the number of trigrams last."""
+    """(…, text) to (…, ll), text being last: tempered log likelihoods of each class and the number of trigrams last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = len(table)
@@ -127,8 +128,7 @@ def _scorer(table: np.ndarray):
                 out.append(np.concatenate([score, n[:, None]], axis=1))
             flat = np.concatenate(out).ravel() if out else np.zeros(0)
             ll = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, classes + 1, dtype=np.int32)), pa.array(flat))
-            cols = [b.column(c) for c in ("uid", "doc_id", "declared", "host")]
-            yield pa.RecordBatch.from_arrays([*cols, ll], names=["uid", "doc_id", "declared", "host", "ll"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ll], names=[*b.schema.names[:-1], "ll"])
 
     return run
 
@@ -147,23 +147,28 @@ def host_of(url: Column) -> Column:
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", address_col: str = "source") -> DataFrame:
-    """One row per row of docs: uid, doc_id, declared, language, probability, kept.
+    """One row per row of docs: doc_id, declared, language, probability, kept.
 
     language is the class of the highest posterior among the known ones and
     the unknown class "und". A text without a word of letters is "und" with
     probability 1. kept is false where "und" has REJECT or more. A null or
     unknown declared language says nothing; a null address is a host of its
-    own. Ties go to the language first by name. uid numbers the rows of the
-    scan. An empty table gives an empty result. Other columns are not read.
+    own. Ties go to the language first by name. An empty table gives an empty
+    result. Other columns are not read.
     """
+    return _fused(docs, model, [F.col(id_col).cast("long").alias("row")], declared_col, address_col, text_col).select(F.col("row").alias("doc_id"), "declared", "language", "probability", "kept")
+
+
+def _fused(docs: DataFrame, model: tuple[list[str], np.ndarray], row: list[Column], declared_col: str, address_col: str, text_col: str) -> DataFrame:
+    """(row, declared, language, probability, kept): row is passed along as it is."""
     languages, table = model
     classes = [*languages, UNKNOWN]
-    inputs = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(declared_col).cast("string").alias("declared"), host_of(F.col(address_col).cast("string")).alias("host"), _lower(text_col))
-    scored = staged(inputs.mapInArrow(_scorer(table), "uid long, doc_id long, declared string, host string, ll array<double>"), "language-scores")
+    inputs = docs.select(*row, F.col(declared_col).cast("string").alias("declared"), host_of(F.col(address_col).cast("string")).alias("host"), _lower(text_col))
+    scored = staged(inputs.mapInArrow(_scorer(table), T.StructType([*inputs.schema.fields[:-1], T.StructField("ll", T.ArrayType(T.DoubleType()))])), "language-scores")
 
     grams = F.element_at("ll", len(classes) + 1)
     if not languages:
-        return scored.select("uid", "doc_id", "declared", F.lit(UNKNOWN).alias("language"), F.lit(1.0).alias("probability"), F.lit(False).alias("kept"))
+        return scored.select("row", "declared", F.lit(UNKNOWN).alias("language"), F.lit(1.0).alias("probability"), F.lit(False).alias("kept"))
 
     # soft counts of languages by host, then by suffix, then over all
     suffix = F.when(F.col("host").contains("."), F.substring_index("host", ".", -1)).otherwise("")
@@ -181,22 +186,19 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 
     by_suffix = counts.groupBy("suffix").agg(*sums("s"), F.sum("n").alias("whole"))
     by_suffix = by_suffix.select("suffix", *[p.alias(f"p{i}") for i, p in enumerate(smoothed("s", [F.lit(x) for x in overall]))])
-    priors = counts.join(by_suffix, "suffix").select("host", *[F.log(p).alias(f"prior{i}") for i, p in enumerate(smoothed("n", [F.col(f"p{i}") for i in range(len(languages))]))])
+    priors = counts.join(by_suffix, "suffix").select("host", "n", *[F.log(p).alias(f"prior{i}") for i, p in enumerate(smoothed("n", [F.col(f"p{i}") for i in range(len(languages))]))])
     priors = staged(priors, "host-priors")
-    if priors.count() <= BROADCAST_KEYS // 10:
-        priors = F.broadcast(priors)
 
     known = F.coalesce(F.col("declared").isin(*languages), F.lit(False))
     said = F.array(*[F.when(~known, 0.0).when(F.col("declared") == x, math.log(TRUST)).otherwise(math.log((1 - TRUST) / max(1, len(languages) - 1))) for x in languages], F.lit(math.log(UNKNOWN_PRIOR)))
     prior = F.array(*[F.coalesce(f"prior{i}", F.lit(math.log(overall[i]))) for i in range(len(languages))], F.lit(0.0))
-    evidence = scored.join(priors, "host", "left").select("uid", "doc_id", "declared", grams.alias("grams"), F.slice("ll", 1, len(classes)).alias("text"), said.alias("said"), prior.alias("prior"))
+    evidence = spread_join(scored, priors, "host", "ll", "left").select("row", "declared", grams.alias("grams"), F.slice("ll", 1, len(classes)).alias("text"), said.alias("said"), prior.alias("prior"))
     fused = evidence.withColumn("fused", F.zip_with(F.zip_with("text", "said", lambda a, b: a + b), "prior", lambda a, b: a + b))
-    posterior = fused.select("uid", "doc_id", "declared", "grams", _softmax(F.col("fused")).alias("p"))
+    posterior = fused.select("row", "declared", "grams", _softmax(F.col("fused")).alias("p"))
     best = F.array_max("p")
     silent = F.col("grams") == 0
     return posterior.select(
-        "uid",
-        "doc_id",
+        "row",
         "declared",
         F.when(silent, UNKNOWN).otherwise(F.element_at(F.array(*map(F.lit, classes)), F.array_position("p", best).cast("int"))).alias("language"),
         F.when(silent, 1.0).otherwise(F.round(best, 6)).alias("probability"),
@@ -207,8 +209,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 def drop_unknown(docs: DataFrame, model: tuple[list[str], np.ndarray], **columns: str) -> DataFrame:
     """docs with their own columns, less the rows that identify() does not keep.
 
-    Rejected rows are few; their scan numbers are broadcast while they are at
-    most BROADCAST_KEYS, and joined by shuffle beyond that.
+    A row goes through scoring and fusion as a struct beside its evidence, so
+    it is judged where it stands; names of its columns can't clash with any.
     """
-    gone = staged(identify(docs, model, **columns).filter(~F.col("kept")).select(F.col("uid").alias("__uid")), "rejected")
-    return without_keys(docs.withColumn("__uid", F.monotonically_increasing_id()), gone, "__uid").drop("__uid")
+    named = {"declared_col": "lang", "address_col": "source", "text_col": "text"} | columns
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return _fused(docs, model, [row], **named).filter("kept").select("row.*")

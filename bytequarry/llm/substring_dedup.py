@@ -12,7 +12,7 @@ its spans in order through an automaton of the earlier ones, takes the maximal
 spans whose matching statistics reach WINDOW as redundant, and adds only what
 is new. So a document meets the automata of the shards that hold something of
 it, not those of the whole corpus, and no automaton is larger than what
-HOT occurrences of one document's anchors bring.
+HOT occurrences of SHARD_ANCHORS anchors bring.
 
 Anchors with more than HOT occurrences (a passage that a third of all
 documents share) would make a shard without bound. Their windows are grouped
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_of
+from .common import fits, spread_join, staged, text_of
 from .exact_dedup import CHUNK, FINGERPRINT_BITS, PER_OWNER, _answer, golomb_decode, golomb_encode
 from .suffix_automaton import SuffixAutomaton
 from .wordhash import blocks, mix, ngram_hashes, sliding, words
@@ -41,6 +41,8 @@ WINDOW = 20
 GRAM = 6
 #: Occurrences up to which an anchor's windows go to an automaton.
 HOT = 256
+#: Anchors of one document that share a shard.
+SHARD_ANCHORS = 1 << 14
 
 _NONE = np.uint64((1 << 64) - 1)
 
@@ -76,9 +78,8 @@ def _list_anchors(shift: int, window: int, gram: int):
         if not fps or not sum(map(len, fps)):
             return
         fp, uid = np.concatenate(fps), np.concatenate(uids)
-        base_uid = int(uid.min())
         order = np.lexsort((uid, fp))
-        fp, uid = fp[order], (uid[order] - base_uid).astype(np.uint32)
+        fp, uid = fp[order], uid[order]
         values, first, times = np.unique(fp, return_index=True, return_counts=True)
         src, owners, out = TaskContext.get().partitionId(), values >> shift, []
         cuts = np.flatnonzero(np.diff(owners, prepend=-1))
@@ -87,9 +88,9 @@ def _list_anchors(shift: int, window: int, gram: int):
                 j = min(b, i + CHUNK)
                 base, k, unary, low = golomb_encode(values[i:j])
                 rows = uid[first[i] : first[j - 1] + times[j - 1]]
-                out.append((src, int(owners[a]), chunk, j - i, base, k, unary, low, np.packbits(times[i:j] > 1).tobytes(), base_uid, zlib.compress(times[i:j].astype("<u4").tobytes(), 1), zlib.compress(rows.astype("<u4").tobytes(), 1)))
-        names = ["src", "owner", "chunk", "n", "base", "k", "unary", "low", "twice", "base_uid", "times", "rows"]
-        types = [pa.int32()] * 4 + [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+                out.append((src, int(owners[a]), chunk, j - i, base, k, unary, low, np.packbits(times[i:j] > 1).tobytes(), zlib.compress(times[i:j].astype("<u4").tobytes(), 1), zlib.compress(rows.astype("<i8").tobytes(), 1)))
+        names = ["src", "owner", "chunk", "n", "base", "k", "unary", "low", "twice", "times", "rows"]
+        types = [pa.int32()] * 4 + [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
         for i in range(0, len(out), 64):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 64], strict=True), types, strict=True)], names=names)
 
@@ -103,7 +104,7 @@ def _rows_told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             keep = np.unpackbits(np.frombuffer(r.bitmap, np.uint8))[: r.n] > 0
             times = np.frombuffer(zlib.decompress(r.times), "<u4").astype(np.int64)
             values = np.repeat(golomb_decode(r.n, r.base, r.k, r.unary, r.low), times)
-            rows = np.frombuffer(zlib.decompress(r.rows), "<u4").astype(np.int64) + r.base_uid
+            rows = np.frombuffer(zlib.decompress(r.rows), "<i8")
             keep = np.repeat(keep, times)
             yield pd.DataFrame({"fp": values[keep], "uid": rows[keep]})
 
@@ -217,7 +218,7 @@ def redundant_windows(texts: DataFrame, rows: int, window: int = WINDOW, gram: i
     owners = 4
     while (1 << owners) * PER_OWNER < rows * 64 and owners < 16:
         owners += 1
-    schema = "src int, owner int, chunk int, n int, base long, k int, unary binary, low binary, twice binary, base_uid long, times binary, rows binary"
+    schema = "src int, owner int, chunk int, n int, base long, k int, unary binary, low binary, twice binary, times binary, rows binary"
     listed = texts.select("uid", F.encode("text", "UTF-8").alias("text"))
     sent = staged(listed.mapInArrow(_list_anchors(FINGERPRINT_BITS - owners, window, gram), schema), "anchor-lists")
     to_owner = sent.select("src", "owner", "chunk", "n", "base", "k", "unary", "low", "twice")
@@ -225,11 +226,15 @@ def redundant_windows(texts: DataFrame, rows: int, window: int = WINDOW, gram: i
     told = staged(sent.join(answers, ["src", "owner", "chunk"]).mapInPandas(_rows_told, "fp long, uid long"), "repeated-anchors")
 
     # an anchor's shard is the document in which it occurs first: a row's number stands for it
-    ids = texts.select("doc_id", "uid")
-    named = told.join(ids, "uid")
-    homes = named.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "uid")).alias("home"))
-    homes = homes.select("fp", F.when(F.col("n") > HOT, F.lit(-1).cast("long")).otherwise(F.col("home.uid")).alias("shard"))
-    anchors = staged(told.distinct().join(homes, "fp").groupBy("uid").agg(F.collect_list(F.struct("fp", "shard")).alias("anchors")), "document-anchors")
+    named = told.join(texts.select("doc_id", "uid"), "uid")
+    homes = staged(named.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "uid")).alias("home")).select("fp", "n", F.when(F.col("n") <= HOT, F.col("home.uid")).alias("home")), "anchor-homes")
+    # a document of very many anchors has several shards: a window has one anchor, so it meets its like in any case
+    long = staged(homes.filter("home IS NOT NULL").groupBy("home").agg(F.count("*").alias("anchors")).filter(F.col("anchors") > SHARD_ANCHORS), "long-homes")
+    parts = F.ceil(F.col("anchors") / SHARD_ANCHORS)
+    several = F.shiftrightunsigned(F.xxhash64("home", F.pmod(F.xxhash64("fp"), parts)), 1)
+    shard = F.when(F.col("home").isNull(), F.lit(-1).cast("long")).when(F.col("anchors").isNotNull(), several).otherwise(F.col("home"))
+    homes = staged(homes.join(F.broadcast(long) if fits(long) else long, "home", "left").select("fp", "n", shard.alias("shard")), "anchor-shards")
+    anchors = staged(spread_join(told.distinct(), homes, "fp", "uid").groupBy("uid").agg(F.collect_list(F.struct("fp", "shard")).alias("anchors")), "document-anchors")
     routes = texts.withColumn("text", F.encode("text", "UTF-8")).join(anchors, "uid").select("doc_id", "uid", "text", "anchors")
     routed = staged(routes.mapInArrow(_route(window, gram), "shard long, doc_id long, uid long, start long, words binary, h1 long, h2 long, n long"), "routed-spans")
 
@@ -278,13 +283,13 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Words are runs of bytes other than space and 0x09-0x0D, unchanged; a null
     text has none. Windows are judged on the input. Of equal windows the one
     with the smaller doc_id, or the earlier start, stays; a null id is smaller
-    than any other, and rows that repeat an id stand in the order of the scan.
+    than any other, and rows that repeat an id stand in the order in which they were numbered.
     kept_text joins the kept words by one space. Texts of fewer than `window`
     words come out whole. An empty table gives an empty result. Other columns
     are not read.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), text_of(text_col).alias("text"))
-    runs = redundant_windows(texts, docs.count(), window)
+    texts = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), text_of(text_col).alias("text")), "numbered-texts")
+    runs = redundant_windows(texts, texts.count(), window)
     by_row = staged(runs.groupBy("uid").agg(F.collect_list(F.struct("first", "n")).alias("runs")), "document-runs")
     joined = texts.withColumn("text", F.encode("text", "UTF-8")).join(by_row, "uid", "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(_strip(window), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
