@@ -2,7 +2,9 @@
 
 A package is a ZIP file whose members are stored, not deflated:
 archive/data.warc.gz (a gzip member for each record), indexes/index.cdxj (a
-line for each record: key, JSON with offset and length) and datapackage.json.
+line for each record: key, time, JSON with offset and length) and
+datapackage.json. Packages of other writers may index by CDX lines instead,
+and pack their indexes by gzip.
 The reader finds the central directory from the file's end, with ZIP64 records
 where 32 bits don't do, takes the archive's place from the member's local
 header, and reads each record by its range; no member is ever extracted.
@@ -10,6 +12,8 @@ header, and reads each record by its range; no member is ever extracted.
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 import io
 import json
@@ -20,14 +24,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from typing import BinaryIO
-from urllib.parse import quote
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, staged, text_of
+from .common import fresh_path, spread_join, staged, text_of
 
 #: Payloads shorter than this are always written in full.
 REVISIT_FROM = 100
@@ -35,6 +39,8 @@ REVISIT_FROM = 100
 PACKAGE_BYTES = 64 << 20
 #: Records that one row of the reader's plan asks for.
 RECORDS_A_READ = 2000
+#: Ends of the names of indexes by record; others, such as .idx, point into these.
+INDEXES = (".cdxj", ".cdx", ".cdxj.gz", ".cdx.gz")
 MAX32, MAX16 = 0xFFFFFFFF, 0xFFFF
 
 
@@ -160,13 +166,48 @@ class StoredZipWriter:
 DATE = datetime(2024, 1, 1, tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def record_uri(page_id: int | None, salt: int) -> str:
-    """The record's id: the page's, or a made one where the page has none."""
-    return f"<urn:page:{page_id}>" if page_id is not None else f"<urn:row:{salt}>"
+def record_uri(page_id: int | None) -> str:
+    """The record's id: the page's, or one of its own where the page has none."""
+    return f"<urn:page:{page_id}>" if page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"
 
 
 def uri_page(uri: str | None) -> int | None:
-    return int(uri[10:-1]) if uri and uri.startswith("<urn:page:") else None
+    number = uri[10:-1] if uri and uri.startswith("<urn:page:") else ""
+    return int(number) if number.lstrip("-").isdigit() else None
+
+
+def sort_key(url: str) -> str:
+    """The address as indexes sort it: host parts from the last, then path and query, in lower case."""
+    try:
+        parts = urlsplit(url)
+        host, port = parts.hostname or "", parts.port
+    except ValueError:
+        return quote(url.lower(), safe="")
+    rest = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    return quote(f"{','.join(reversed(host.split('.')))}{f':{port}' if port else ''}){rest}".lower(), safe=":/?#[]@!$&()*+,;=%~")
+
+
+def index_line(url: str, uri: str, digest: str, offset: int, length: int, filename: str) -> str:
+    """A CDXJ line: key, time, JSON."""
+    said = {"url": url, "digest": f"sha256:{digest}", "mime": "text/html", "status": "200", "offset": str(offset), "length": str(length), "filename": filename, "recordId": uri}
+    return f"{sort_key(url)} {DATE.translate(str.maketrans('', '', '-:TZ'))} {json.dumps(said)}"
+
+
+def index_spans(data: bytes) -> Iterator[tuple[str, int, int]]:
+    """(file name, offset, length) of the lines of an index, packed by gzip or not: CDXJ (key, time, JSON; the time may lack), or CDX, whose first line names its fields by letters."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    fields: list[bytes] = []
+    for line in data.splitlines():
+        if line.lstrip().startswith(b"CDX "):
+            fields = line.split()[1:]
+        elif fields and line.strip():
+            x = dict(zip(fields, line.split(), strict=False))
+            yield x[b"g"].decode(), int(x[b"V"]), int(x[b"S"])
+        elif line.strip() and not line.startswith(b"!"):
+            parts = line.split(b" ", 2)
+            said = json.loads(parts[2] if len(parts) == 3 and parts[1].isdigit() else line.partition(b" ")[2])
+            yield said["filename"], int(said["offset"]), int(said["length"])
 
 
 def write_record(kind: str, uri: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
@@ -185,21 +226,37 @@ def _head(data: bytes) -> tuple[str, dict[str, str], bytes]:
     return first, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, rest
 
 
+def _digest_fits(said: str, payload: bytes) -> bool:
+    """Whether a digest header (algorithm:value, hexadecimal or base 32) is that of the payload; one of an unknown algorithm says nothing."""
+    kind, _, value = said.partition(":")
+    kind = kind.lower().replace("-", "")
+    if kind not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    got = hashlib.new(kind, payload).digest()
+    return value.lower() == got.hex() or value.upper().rstrip("=") == base64.b32encode(got).decode().rstrip("=")
+
+
 def read_record(data: bytes) -> dict:
-    """type, uri, refers_to, url, payload_bytes, payload_digest, payload (None for a revisit) of a record's bytes."""
+    """type, uri, refers_to, url, payload_bytes, payload_digest, payload (None for a revisit) and error of a record's bytes.
+
+    error says what is unsound: no record, a block cut short, or a payload
+    whose digest is not the header's.
+    """
     first, warc, rest = _head(data)
     if not first.startswith("WARC/"):
-        raise ValueError("no WARC record")
-    block = rest[: int(warc["content-length"])]
-    _, http, payload = _head(block)
-    said, full = warc.get("warc-payload-digest", "").partition(":")[2], int(http.get("content-length", len(payload)))
-    out = {"type": warc["warc-type"], "uri": warc["warc-record-id"], "refers_to": warc.get("warc-refers-to"), "url": warc.get("warc-target-uri"), "payload_bytes": full, "payload_digest": said, "payload": None}
-    if warc["warc-type"] != "revisit":
-        got = hashlib.sha256(payload).hexdigest()
-        if len(payload) != full or said and got != said:
-            raise ValueError(f"payload of {out['uri']} is damaged")
-        out |= {"payload": payload, "payload_digest": got}
-    return out
+        return {"type": None, "uri": None, "refers_to": None, "url": None, "payload_bytes": None, "payload_digest": None, "payload": None, "error": "no WARC record"}
+    size = int(warc.get("content-length", "0"))
+    block, error = rest[:size], None if len(rest) >= size else "block is cut short"
+    kind, said = warc.get("warc-type"), warc.get("warc-payload-digest", "")
+    http, payload = ({}, block) if "application/http" not in warc.get("content-type", "") else _head(block)[1:]
+    known = said.partition(":")[2].lower() if said.lower().startswith("sha256:") else None
+    out = {"type": kind, "uri": warc.get("warc-record-id"), "refers_to": warc.get("warc-refers-to"), "url": warc.get("warc-target-uri"), "payload": None, "error": error}
+    if kind == "revisit":
+        length = http.get("content-length", "")
+        return out | {"payload_bytes": int(length) if length.isdigit() else None, "payload_digest": known}
+    if error is None and not _digest_fits(said, payload):
+        out["error"] = "payload is not what its digest says"
+    return out | {"payload": payload, "payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest()}
 
 
 # --- Spark -------------------------------------------------------------------
@@ -216,16 +273,16 @@ class _Package:
         self.uri = f"{folder}/{uuid.uuid4().hex}.wacz"
         self.archive, self.index = bytearray(), []
 
-    def add(self, record: bytes, uri: str) -> None:
+    def add(self, record: bytes, url: str, uri: str, digest: str) -> None:
         packed = zlib.compressobj(6, zlib.DEFLATED, 31)
         data = packed.compress(record) + packed.flush()
-        self.index.append((uri, len(self.archive), len(data)))
+        self.index.append(index_line(url, uri, digest, len(self.archive), len(data), "data.warc.gz"))
         self.archive += data
 
     def close(self, wide: bool) -> tuple[str, int]:
         fs, path = _opener(self.uri)
         fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        lines = "".join(f"{u} {json.dumps({'offset': o, 'length': n, 'filename': 'data.warc.gz'})}\n" for u, o, n in self.index).encode()
+        lines = "".join(f"{x}\n" for x in sorted(self.index)).encode()
         with fs.open_output_stream(path) as f:
             z = StoredZipWriter(f, wide)
             z.add("archive/data.warc.gz", bytes(self.archive))
@@ -244,19 +301,20 @@ def write_packages(pages: DataFrame, folder: str, wide: bool = False, id_col: st
     counts as larger than any other and is never referred to, so equal
     payloads with null ids alone are all responses. Equality is that of
     SHA-256 and length. A package a retried task left behind is in no list.
+    Rows that share an id share their record's id too.
     """
     html, url = text_of(html_col), text_of(url_col)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("size"))
-    firsts = rows.select("digest", "size", "page_id").filter(f"size >= {REVISIT_FROM}").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    told = rows.join(staged(firsts, "first-payloads"), "digest", "left").withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).select("page_id", "url", "html", "digest", "refers_to")
+    firsts = rows.select("digest", "size", "page_id").filter(f"size >= {REVISIT_FROM}").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    told = spread_join(rows, staged(firsts, "first-payloads"), "digest", "page_id", "left").withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).select("page_id", "url", "html", "digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        package, salt, done = None, 0, []
+        package, done = None, []
         for b in batches:
             for page, url, html, digest, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 package = package or _Package(folder)
-                uri = record_uri(page, salt := salt + 1)
-                package.add(write_record("revisit" if refers is not None else "response", uri, url, html.encode(), digest, record_uri(refers, 0) if refers is not None else None), uri)
+                uri = record_uri(page)
+                package.add(write_record("revisit" if refers is not None else "response", uri, url, html.encode(), digest, record_uri(refers) if refers is not None else None), url, uri, digest)
                 if len(package.archive) >= PACKAGE_BYTES:
                     done.append(package.close(wide))
                     package = None
@@ -276,13 +334,20 @@ def _plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with fs.open_input_file(path) as f:
                 z = ZipDirectory(f)
                 starts = {n.rpartition("/")[2]: z.start(m) for n, m in z.members.items() if n.startswith("archive/")}
-                lines = [json.loads(x.partition(b" ")[2]) for n, m in z.members.items() if n.startswith("indexes/") for x in z.read(m).splitlines()]
-            spans = [(starts[x["filename"]] + x["offset"], x["length"]) for x in lines]
+                lines = [x for n, m in z.members.items() if n.startswith("indexes/") and n.endswith(INDEXES) for x in index_spans(z.read(m))]
+            spans = [(starts[name.rpartition("/")[2]] + offset, n) for name, offset, n in lines]
             for i in range(0, len(spans), RECORDS_A_READ):
                 part = spans[i : i + RECORDS_A_READ]
                 yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([[s for s, _ in part]], pa.list_(pa.int64())), pa.array([[n for _, n in part]], pa.list_(pa.int64()))], names=["package", "starts", "lengths"])
 
 
+def _unpacked(data: bytes) -> dict:
+    try:
+        return read_record(zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data)
+    except (zlib.error, ValueError) as e:
+        return read_record(b"") | {"error": str(e)}
+
+
 def _fetch(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -293,9 +358,9 @@ def _fetch(with_payload: bool):
                         found = []
                         for at, n in zip(starts[i : i + 100], lengths[i : i + 100], strict=True):
                             f.seek(at)
-                            found.append(read_record(zlib.decompress(f.read(n), 31)))
-                        cols = [pa.array([uri_page(r["uri"]) for r in found], pa.int64()), pa.array([r["url"] for r in found], pa.string()), pa.array([r["payload_bytes"] for r in found], pa.int64()), pa.array([r["payload_digest"] for r in found], pa.string()), pa.array([r["type"] for r in found], pa.string()), pa.array([uri_page(r["refers_to"]) for r in found], pa.int64())]
-                        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+                            found.append(_unpacked(f.read(n)))
+                        cols = [pa.array([uri_page(r["uri"]) for r in found], pa.int64()), pa.array([r["url"] for r in found], pa.string()), pa.array([r["payload_bytes"] for r in found], pa.int64()), pa.array([r["payload_digest"] for r in found], pa.string()), pa.array([r["type"] for r in found], pa.string()), pa.array([uri_page(r["refers_to"]) for r in found], pa.int64()), pa.array([r["uri"] for r in found], pa.string()), pa.array([r["error"] for r in found], pa.string())]
+                        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "error"]
                         if with_payload:
                             cols, names = [*cols, pa.array([r["payload"] for r in found], pa.binary())], [*names, "payload"]
                         yield pa.RecordBatch.from_arrays(cols, names=names)
@@ -304,15 +369,17 @@ def _fetch(with_payload: bool):
 
 
 def read_packages(packages: DataFrame, with_payload: bool = False) -> DataFrame:
-    """One row per record of the packages (column package: their URIs): page_id, url, payload_bytes, payload_digest, record_type, refers_to, and the payload if asked for.
+    """One row per record of the packages (column package: their URIs): page_id, url, payload_bytes, payload_digest, record_type, refers_to, record_id, error, and the payload if asked for.
 
     The ranges are spread over the tasks, so a large package is read by many.
     A response's digest is taken from its payload and held against its header;
-    a revisit's digest and length are those its headers give.
+    a revisit's digest and length are those its headers give. page_id and
+    refers_to are null for ids that write_packages did not make. An unsound
+    record gives a row with `error`.
     """
     spans = packages.select("package").mapInArrow(_plan, "package string, starts array<long>, lengths array<long>").repartition(packages.sparkSession.sparkContext.defaultParallelism)
     more = ", payload binary" if with_payload else ""
-    return spans.mapInArrow(_fetch(with_payload), f"page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long{more}")
+    return spans.mapInArrow(_fetch(with_payload), f"page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, error string{more}")
 
 
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,3 +1,5 @@
+import base64
+import gzip
 import hashlib
 import io
 import random
@@ -78,8 +80,44 @@ def test_no_pages(pages):
 def test_damage_is_seen():
     data = warc_zip.write_record("response", "<urn:page:1>", "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None)
     assert warc_zip.read_record(data)["payload"] == b"payload"
-    with pytest.raises(ValueError, match="damaged"):
-        warc_zip.read_record(data.replace(b"payload\r\n", b"peyload\r\n"))
+    assert warc_zip.read_record(data)["error"] is None
+    assert warc_zip.read_record(data.replace(b"payload\r\n", b"peyload\r\n"))["error"] == "payload is not what its digest says"
+    assert warc_zip.read_record(data[:-12])["error"] == "block is cut short" and warc_zip.read_record(b"x")["error"] == "no WARC record"
+
+
+def test_a_package_of_another_writer(spark, tmp_path):
+    """Records of two archives; one is indexed by timestamped CDXJ with quoted numbers, packed by gzip, the other by CDX letters; digests are SHA-1 in base 32."""
+    def record(uri, payload, kind="response", digest=None):
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + payload
+        digest = digest or base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {uri}\r\nWARC-Target-URI: http://a.org/\r\nContent-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Length: {len(block)}\r\n\r\n"
+        return gzip.compress(head.encode() + block + b"\r\n\r\n")
+
+    one = [record("<urn:uuid:1>", b"first"), record("<urn:uuid:2>", b"second", digest="A" * 32)]
+    two = [record("<urn:uuid:3>", b"third")]
+    cdxj = f'org,a)/ 20200102030405 {{"url": "http://a.org/", "offset": "0", "length": "{len(one[0])}", "filename": "one.warc.gz"}}\n'
+    cdxj += f'org,a)/{{x}} 20200102030406 {{"offset": {len(one[0])}, "length": {len(one[1])}, "filename": "one.warc.gz"}}\n'
+    cdx = f" CDX N b a m s k r M S V g\norg,a)/ 20200102030407 http://a.org/ text/html 200 X - - {len(two[0])} 0 two.warc.gz\n"
+    with open(tmp_path / "x.wacz", "wb") as f:
+        z = warc_zip.StoredZipWriter(f)
+        z.add("archive/one.warc.gz", b"".join(one))
+        z.add("archive/two.warc.gz", b"".join(two))
+        z.add("indexes/index.cdxj.gz", gzip.compress(cdxj.encode()))
+        z.add("indexes/index.cdx", cdx.encode())
+        z.add("indexes/index.idx", b"!meta 0 {}\n")
+        z.close()
+    got = warc_zip.read_packages(spark.createDataFrame([(f"file://{tmp_path}/x.wacz",)], "package string"), with_payload=True).collect()
+    found = {r.record_id: (bytes(r.payload), r.error) for r in got}
+    assert found == {"<urn:uuid:1>": (b"first", None), "<urn:uuid:2>": (b"second", "payload is not what its digest says"), "<urn:uuid:3>": (b"third", None)}
+    assert all(r.page_id is None and r.url == "http://a.org/" for r in got)
+
+
+def test_index_lines():
+    line = warc_zip.index_line("https://M.Example.org:8080/A b?q=1", "<u>", "0", 7, 9, "d.warc.gz")
+    assert line.split(" ")[0] == "org,example,m:8080)/a%20b?q=1" and line.split(" ")[1] == "20240101000000"
+    assert list(warc_zip.index_spans(line.encode())) == [("d.warc.gz", 7, 9)]
+    assert list(warc_zip.index_spans(b'urn:x {"offset": 1, "length": 2, "filename": "f"}')) == [("f", 1, 2)]
+    assert warc_zip.sort_key("http://[bad") and warc_zip.sort_key("") == ")/"
 
 
 # --- extraction ----------------------------------------------------------------------
