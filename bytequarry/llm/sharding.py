@@ -1,14 +1,16 @@
 """Sharding by a hierarchical weighted hash tree (region, rack, shard).
 
-Each leaf has a draw for each key: an exponential waiting time at the rate of
-its weight, from a hash of key and leaf. A node's draw is the least of its
-children's, which is again exponential, at the rate of the node's whole
-weight. The descent takes the child with the least draw at each level: the
-region in proportion to the regions' weights, then the rack, then the shard.
-
-A leaf's draw depends on nothing but the key, the leaf's name and its weight.
-A change of weights thus moves keys only into the subtrees that gained and out
-of those that lost; one more shard takes keys only into itself.
+The descent starts at the root. At each level every child has a draw for the
+key: an exponential waiting time at the rate of its subtree's weight, from a
+hash of the key and the child's place in the tree. The child with the least
+draw is entered, so the keys spread in proportion to the weights at each level,
+and a key costs as many draws as the nodes on its way have children.
+
+A child's draw depends on nothing but the key, its place and its weight. Where
+weights change, a child that gains draws keys from its siblings, one that loses
+gives them up, and below a child whose subtree is the same nothing moves. A
+further shard gets a region of its own (`grown`), so it takes keys only into
+itself.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import staged, text_of
 
+#: Hexadecimal digits of a node's hash that make its draw.
+DIGITS = 13
+
 
 @dataclass(frozen=True)
 class Leaf:
@@ -30,43 +35,47 @@ class Leaf:
 
 
 def uniform_tree(shards: int, per_rack: int = 4, per_region: int = 8) -> list[Leaf]:
-    """Equal shards, filled into racks and regions in order; a further shard changes no other leaf."""
+    """Equal shards, filled into racks and regions in order."""
     return [Leaf(i, i // per_region, i % per_region // per_rack) for i in range(shards)]
 
 
-def _draw(key: Column, leaf: Leaf) -> Column:
-    """-ln(u) / weight for a u in (0, 1) of 52 hashed bits."""
-    name = F.lit(f"{leaf.region}/{leaf.rack}/{leaf.shard}")
-    u = (F.shiftrightunsigned(F.xxhash64(key, name), 12).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
-    return -F.log(u) / F.lit(leaf.weight)
+def grown(tree: list[Leaf], weight: float = 1.0) -> list[Leaf]:
+    """The tree with one more shard, alone in a region of its own; no other subtree changes."""
+    return [*tree, Leaf(max((x.shard for x in tree), default=-1) + 1, max((x.region for x in tree), default=-1) + 1, 0, weight)]
 
 
-def _least(draws: list[Column]) -> Column:
-    return F.least(*draws) if len(draws) > 1 else draws[0]
+def _draw(key: Column, place: str, weight: float) -> Column:
+    """-ln(u) / weight for a u in (0, 1) of the hash's first digits."""
+    u = (F.conv(F.left(F.md5(F.concat(key, F.lit(f"/{place}"))), F.lit(DIGITS)), 16, 10).cast("double") + 0.5) / float(16**DIGITS)
+    return -F.log(u) / F.lit(float(weight))
 
 
 def shard_of(key: Column, tree: list[Leaf]) -> Column:
-    """The shard (int) of a key: the descent by least draws. Leaves of weight 0 get nothing."""
+    """The shard (int) of a key, a text: the descent by least draws. Leaves of weight 0 get nothing."""
     leaves = [x for x in tree if x.weight > 0]
     if not leaves:
         raise ValueError("the tree has no leaf with a weight")
-    draws = F.array(*[_draw(key, x) for x in leaves])
-
-    def pick(node: list[int], names: list[tuple[int, ...]], level: int, got: Column) -> Column:
-        if level == 3:
-            return F.lit(leaves[node[0]].shard)
-        children: dict[int, list[int]] = {}
-        for i in node:
-            children.setdefault(names[i][level], []).append(i)
-        out, best = None, _least([F.element_at(got, i + 1) for i in node])
-        for part in reversed(list(children.values())):
-            below = pick(part, names, level + 1, got)
-            out = below if out is None else F.when(_least([F.element_at(got, i + 1) for i in part]) == best, below).otherwise(out)
+
+    def descend(inside: list[Leaf], above: tuple[int, ...]) -> Column:
+        if len(above) == 3:
+            return F.lit(inside[0].shard)
+        children: dict[int, list[Leaf]] = {}
+        for x in inside:
+            children.setdefault((x.region, x.rack, x.shard)[len(above)], []).append(x)
+        places = [(*above, name) for name in children]
+        below = list(children.values())
+        if len(below) == 1:
+            return descend(below[0], places[0])
+        draws = [_draw(key, ".".join(map(str, at)), sum(x.weight for x in some)) for at, some in zip(places, below, strict=True)]
+        if len(above) == 2:
+            return F.least(*[F.struct(d.alias("draw"), F.lit(some[0].shard).alias("shard")) for d, some in zip(draws, below, strict=True)])["shard"]
+        entered = F.least(*[F.struct(d.alias("draw"), F.lit(i).alias("child")) for i, d in enumerate(draws)])["child"]
+        out = descend(below[-1], places[-1])
+        for i in range(len(below) - 2, -1, -1):
+            out = F.when(entered == i, descend(below[i], places[i])).otherwise(out)
         return out
 
-    names = [(x.region, x.rack, x.shard) for x in leaves]
-    # the draws are made once for each key and then looked up by the descent
-    return F.element_at(F.transform(F.array(draws), lambda got: pick(list(range(len(leaves))), names, 0, got)), 1).cast("int")
+    return descend(leaves, ()).cast("int")
 
 
 def gapless_slots(df: DataFrame, shard_col: str, order: list[str], name: str = "slot") -> DataFrame:
@@ -90,7 +99,7 @@ def gapless_slots(df: DataFrame, shard_col: str, order: list[str], name: str = "
     return placed.join(F.broadcast(shift), (part == F.col("__part")) & (F.col(shard_col) == F.col("__shard"))).withColumn(name, F.col("__at") + F.col("__shift")).drop("__at", "__part", "__shard", "__shift")
 
 
-def assign_shards(docs: DataFrame, tree: list[Leaf], grown: list[Leaf], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign_shards(docs: DataFrame, tree: list[Leaf], larger: list[Leaf], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, size, text_crc32, law, shard, slot, grown_shard.
 
     The id and the tree alone decide (law `key`), so rows with one id share a
@@ -107,6 +116,6 @@ def assign_shards(docs: DataFrame, tree: list[Leaf], grown: list[Leaf], id_col:
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.lit("key").alias("law"),
         shard_of(key, tree).alias("shard"),
-        shard_of(key, grown).alias("grown_shard"),
+        shard_of(key, larger).alias("grown_shard"),
     )
     return gapless_slots(rows, "shard", [id_col, "size", "text_crc32"]).select(id_col, "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -1,3 +1,5 @@
+import hashlib
+import math
 import random
 import re
 import zlib
@@ -106,7 +108,8 @@ def test_sequences(spark, tokens_path):
 
 
 def test_sharding(docs, corpus, nothing):
-    tree, grown = sharding.uniform_tree(16), sharding.uniform_tree(17)
+    tree = sharding.uniform_tree(16)
+    grown = sharding.grown(tree)
     rows = sharding.assign_shards(docs, tree, grown).collect()
     assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in corpus)
     text = {r[0]: r[1] for r in corpus}
@@ -121,18 +124,43 @@ def test_sharding(docs, corpus, nothing):
     assert sharding.assign_shards(nothing, tree, grown).count() == 0
 
 
+def descended(key, tree):
+    """The descent, one key at a time."""
+    inside, place = [x for x in tree if x.weight > 0], ()
+    for level in ("region", "rack", "shard"):
+        best = None
+        for name in {getattr(x, level) for x in inside}:
+            at = ".".join(map(str, (*place, name)))
+            u = (int(hashlib.md5(f"{key}/{at}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13
+            draw = -math.log(u) / sum(x.weight for x in inside if getattr(x, level) == name)
+            best = min(best, (draw, name)) if best else (draw, name)
+        inside, place = [x for x in inside if getattr(x, level) == best[1]], (*place, best[1])
+    return inside[0].shard
+
+
 def test_weights_and_movement(spark):
     keys = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
     tree = [sharding.Leaf(i, i // 4, i // 2 % 2, 1.0 + i % 3) for i in range(8)]
     heavier = [sharding.Leaf(x.shard, x.region, x.rack, x.weight * (3 if x.shard == 5 else 1)) for x in tree]
     gone = [sharding.Leaf(x.shard, x.region, x.rack, 0 if x.shard == 2 else x.weight) for x in tree]
-    rows = keys.select(*[sharding.shard_of(F.col("k"), t).alias(n) for n, t in (("a", tree), ("b", heavier), ("c", gone), ("d", sharding.uniform_tree(17)), ("e", sharding.uniform_tree(18)))]).collect()
+    larger = sharding.grown(sharding.uniform_tree(17))
+    rows = keys.select("k", *[sharding.shard_of(F.col("k"), t).alias(n) for n, t in (("a", tree), ("b", heavier), ("c", gone), ("d", sharding.uniform_tree(17)), ("e", larger))]).collect()
     n = Counter(r.a for r in rows)
     whole = sum(x.weight for x in tree)
     assert all(abs(n[x.shard] / 20_000 - x.weight / whole) < 0.015 for x in tree)
-    assert all(r.a == r.b or r.b == 5 for r in rows) and any(r.a != r.b for r in rows)
-    assert all(r.a == r.c or r.a == 2 for r in rows)
-    assert all(r.d == r.e or r.e == 17 for r in rows)
+    at = {x.shard: (x.region, x.rack, x.shard) for x in tree}
+
+    def parted(x, y):
+        """(what was left, what was entered) at the level where two places part."""
+        k = next(i for i in range(3) if at[x][i] != at[y][i]) + 1
+        return at[x][:k], at[y][:k]
+
+    # keys enter only subtrees that gained, and leave only such as lost
+    assert any(r.a != r.b for r in rows) and all(r.a == r.b or parted(r.a, r.b)[1] == at[5][: len(parted(r.a, r.b)[1])] for r in rows)
+    assert all(r.a == r.c or parted(r.a, r.c)[0] == at[2][: len(parted(r.a, r.c)[0])] for r in rows) and all(r.c != 2 for r in rows)
+    assert all(r.e in (r.d, 17) for r in rows) and abs(sum(r.e == 17 for r in rows) / 20_000 - 1 / 18) < 0.01
+    for name, t in (("a", tree), ("b", heavier), ("c", gone), ("e", larger)):
+        assert all(r[name] == descended(r.k, t) for r in rows[:2000])
 
 
 # --- decontamination ----------------------------------------------------------------
