@@ -22,20 +22,21 @@ PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 16, 8, 6, 16
 #: Weight of a path's mean, so that one telling name among many still shows.
 PATH_SCALE = 3.0
 #: Pages made for training, passes over them, pages a step.
-PAGES, EPOCHS, BATCH = 2000, 10, 30
+PAGES, EPOCHS, BATCH = 3600, 9, 30
 SEED = 20240601
 
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_MARKS = ".,;:!?()"
 _PUNCT = re.compile(r"[.,;:!?]")
 
 
 @lru_cache(maxsize=50_000)
 def _path_ids(path: tuple[tuple[str, str], ...]) -> np.ndarray:
-    """Hashed names of the path: each element's tag, each with its nearest names, and the leaf's own again."""
+    """Hashed names of the path: each element's tag, each with its nearest names (those with digits tell nothing by themselves), and the leaf's own again."""
     names = []
     for i, (tag, said) in enumerate(path):
         names.append(tag)
-        names += [f".{x}" for x in _SPLIT.split(said) if x]
+        names += [f".{x if x.isalpha() else '#'}" for x in _SPLIT.split(said) if x]
         if i + 2 >= len(path):
             names.append(f"{tag}@{len(path) - i}")
     return np.array([zlib.crc32(x.encode()) % PATHS for x in names] or [0])
@@ -46,7 +47,7 @@ def features(blocks: list[Block]) -> tuple[list[np.ndarray], list[np.ndarray], n
     words, numbers = [], np.zeros((len(blocks), NUMBERS))
     for i, b in enumerate(blocks):
         w = b.text.lower().split()
-        words.append(np.array([zlib.crc32(x.encode()) for x in w], np.int64) % WORDS)
+        words.append(np.array([zlib.crc32(x.strip(_MARKS).encode()) for x in w], np.int64) % WORDS)
         numbers[i] = (np.log1p(len(w)) / 4, min(1.0, b.linked / len(b.text)), min(1.0, 8 * len(_PUNCT.findall(b.text)) / len(b.text)), min(2.0, len(b.text) / len(w) / 8), i / len(blocks), np.log1p(len(blocks)) / 5)
     return paths, words, numbers
 
@@ -149,11 +150,11 @@ class Labeller:
                 dc = dc * (1 - m) + dcell * f
             grads |= {f"x{d}": gx, f"h{d}": gh, f"c{d}": gc}
         for name, at, size, lists, scale in (("path", 0, PATH_DIM, 0, PATH_SCALE), ("word", PATH_DIM, WORD_DIM, 1, 1.0)):
-            g = np.zeros_like(p[name])
-            for k, page in enumerate(pages):
-                for t, ids in enumerate(page[lists]):
-                    np.add.at(g, ids, scale * dx[t, k, at : at + size] / len(ids))
-            grads[name] = g
+            ids = [i for page in pages for i in page[lists]]
+            n = np.array([len(i) for i in ids])
+            rows = np.concatenate([dx[: len(page[lists]), k, at : at + size] for k, page in enumerate(pages)]) * (scale / n)[:, None]
+            grads[name] = np.zeros_like(p[name])
+            np.add.at(grads[name], np.concatenate(ids), np.repeat(rows, n, axis=0))
         return float(loss), grads
 
 
@@ -161,25 +162,28 @@ class Labeller:
 
 _SOUNDS = ["the", "an", "er", "on", "in", "re", "ti", "ou", "st", "ng", "le", "de", "ch", "ei", "en", "ge", "que", "ar", "os", "ci", "é", "ñ", "ü", "ing", "ha", "wh", "be", "tion", "ly"]
 _SIDE = {
-    "nav": (["nav", "ul", "div"], ["", "menu", "nav", "navbar", "topnav", "breadcrumb", "breadcrumbs", "links", "navigation", "site-nav", "pagination", "tabs", "toc"], ["home", "about", "contact", "login", "search", "next", "previous"]),
-    "header": (["header", "div"], ["", "header", "site-header", "masthead", "top", "logo", "branding", "page-header"], ["welcome", "sign", "up"]),
-    "footer": (["footer", "div"], ["", "footer", "site-footer", "copyright", "legal", "bottom", "colophon"], ["©", "copyright", "rights", "reserved", "privacy", "terms", "·"]),
-    "aside": (["aside", "div", "section"], ["", "sidebar", "side", "widget", "related", "related-posts", "recommended", "popular", "trending", "more-stories"], ["related", "read", "more", "popular", "also"]),
-    "ad": (["div", "section", "aside"], ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner", "ad-slot", "sponsor"], ["sponsored", "buy", "now", "offer", "advertisement", "free"]),
-    "notice": (["div", "section"], ["notice", "cookie", "cookies", "cookie-notice", "consent", "gdpr", "alert", "banner", "newsletter", "subscribe", "popup", "modal", "paywall"], ["cookies", "accept", "subscribe", "newsletter", "agree", "we", "use"]),
-    "form": (["form", "div"], ["", "search", "login", "signup", "contact-form", "subscribe-form", "form"], ["name", "email", "submit", "password", "search", "send"]),
-    "comments": (["section", "div", "ol"], ["comments", "comment-list", "discussion", "replies", "responses", "disqus", "reader-comments", "user-comments"], ["reply", "said", "posted", "ago", "comment", "comments"]),
-    "share": (["div", "ul", "p"], ["share", "social", "tags", "meta", "byline", "share-buttons", "post-meta", "author-bio"], ["share", "tweet", "tags", "by", "posted"]),
+    "nav": (["nav", "ul", "div"], ["", "menu", "nav", "navbar", "topnav", "breadcrumb", "breadcrumbs", "links", "navigation", "site-nav", "pagination", "tabs", "toc"], "home news about contact login search next previous menu products services blog shop world sports politics business help faq sitemap archive events gallery start accueil inicio kontakt"),
+    "header": (["header", "div"], ["", "header", "site-header", "masthead", "top", "logo", "branding", "page-header"], "welcome sign official site online daily news skip content"),
+    "footer": (["footer", "div"], ["", "footer", "site-footer", "copyright", "legal", "bottom", "colophon"], "© copyright rights reserved privacy policy terms · powered inc ltd imprint contact sitemap"),
+    "aside": (["aside", "div", "section"], ["", "sidebar", "side", "widget", "related", "related-posts", "recommended", "popular", "trending", "more-stories"], "related read more popular see recent posts latest stories categories archives tags"),
+    "ad": (["div", "section", "aside"], ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner", "ad-slot", "sponsor"], "sponsored buy offer advertisement free ad sale save click here"),
+    "notice": (["div", "section"], ["notice", "cookie", "cookies", "cookie-notice", "consent", "gdpr", "alert", "banner", "newsletter", "subscribe", "popup", "modal", "paywall"], "cookies accept subscribe newsletter agree site continue"),
+    "form": (["form", "div"], ["", "search", "login", "signup", "contact-form", "subscribe-form", "form"], "name email submit password search send log remember"),
+    "comments": (["section", "div", "ol"], ["comments", "comment-list", "discussion", "replies", "responses", "disqus", "reader-comments", "user-comments"], "reply said posted ago comment comments leave anonymous"),
+    "share": (["div", "ul", "p"], ["share", "social", "tags", "meta", "byline", "share-buttons", "post-meta", "author-bio"], "share tweet tags posted facebook email print"),
 }
 _MAIN = ["", "content", "main", "post", "entry", "article", "article-body", "post-content", "entry-content", "story", "body", "text", "main-content", "story-body", "page-content"]
 
 
 class _Maker:
+    """One page. `style` says what its class names tell: named, none, or hashed."""
+
     def __init__(self, seed: int) -> None:
         self.r = random.Random(seed)
         self.out: list[str] = []
         self.labels: list[tuple[str, int]] = []
         self.n = 0
+        self.style = self.r.choices(["named", "none", "hashed"], [6, 2, 2])[0]
 
     def words(self, least: int, most: int, cues: list[str] | None = None) -> str:
         r = self.r
@@ -194,6 +198,17 @@ class _Maker:
         text = " ".join(w)
         return text.capitalize() + r.choice([".", ".", "", "!", "?"]) if r.random() < 0.7 else text
 
+    def said(self, kind: str, cues: list[str], most: int) -> str:
+        """Text of a block beside the article: of its kind's own words where names tell nothing."""
+        r = self.r
+        if kind == "footer" and r.random() < 0.5:
+            return f"{r.choice(['©', 'Copyright', 'Copyright ©', '(c)'])} {r.randint(1996, 2024)} {self.words(1, 3) if r.random() < 0.6 else ''} {r.choice(['', '', 'All rights reserved.', 'Privacy policy', 'Terms of use'])}"
+        if r.random() < (0.35 if self.style == "named" else 0.8):
+            w = r.sample(cues, r.randint(1, min(len(cues), 4 if most <= 6 else 9)))
+            mark = r.choice([" | ", " · ", " » ", " / "]) if kind in ("nav", "footer", "share") and len(w) > 1 and r.random() < 0.5 else " "
+            return mark.join(x.capitalize() if mark != " " else x for x in w).capitalize()
+        return self.words(1, most, cues)
+
     def put(self, text: str, label: int) -> str:
         """A marked text, so that its block can be told again after parsing."""
         self.n += 1
@@ -201,18 +216,24 @@ class _Maker:
         return f"q{self.n}z {text}"
 
     def attr(self, name: str) -> str:
-        return f' {self.r.choice(["class", "class", "id"])}="{name}"' if name else ""
-
-    def side(self, kind: str) -> str:
         r = self.r
-        tags, names, cues = _SIDE[kind]
+        if self.style == "hashed" and r.random() < 0.7:
+            name = f"{r.choice(['css', 'sc', 'x', 'jsx'])}-{r.randrange(1 << 32):x}"
+        elif self.style == "none":
+            name = ""
+        return f' {r.choice(["class", "class", "id"])}="{name}"' if name else ""
+
+    def side(self, kind: str, bare: bool = False) -> str:
+        """A part that is no article; bare: its items without a container."""
+        r = self.r
+        tags, names, cues = _SIDE[kind][0], _SIDE[kind][1], _SIDE[kind][2].split()
         name, tag = r.choice(names), r.choice(tags)
         if not name and tag not in ("nav", "header", "footer", "aside", "form"):
             name = r.choice([x for x in names if x])
         items = []
         for _ in range(r.randint(1, 8 if kind in ("nav", "comments", "aside") else 3)):
-            long = kind in ("comments", "notice", "ad") and r.random() < 0.6
-            text = self.put(self.words(1, 40 if long else 6, cues), 0)
+            long = kind in ("comments", "notice", "ad") and r.random() < 0.6 and (self.style == "named" or kind != "comments")
+            text = self.put(self.said(kind, cues, 40 if long else 6), 0)
             if kind in ("nav", "aside", "share", "footer") and r.random() < 0.7:
                 text = f'<a href="/{r.randrange(999)}">{text}</a>'
             if kind == "form":
@@ -220,47 +241,80 @@ class _Maker:
             wrap = r.choice(["li", "p", "div", "span-div"] if kind != "comments" else ["div", "article", "p", "li"])
             inner = {"li": f"<li>{text}</li>", "p": f"<p>{text}</p>", "div": f"<div>{text}</div>", "article": f'<article class="comment"><p>{text}</p></article>', "span-div": f"<div><span>{text}</span></div>"}[wrap]
             items.append(inner)
-        if len(items) == 1 and r.random() < 0.6:
-            return f"<{tag}{self.attr(name)}>{re.sub(r'</?(li|p|div|span)>', '', items[0])}</{tag}>"
+        if bare or len(items) == 1 and r.random() < 0.6:
+            body = re.sub(r"</?(li|p|div|span)>", "", items[0])
+            return body if bare else f"<{tag}{self.attr(name)}>{body}</{tag}>"
         body = "".join(items)
         if kind == "nav" and r.random() < 0.6:
             body = f"<ul>{body}</ul>"
         return f"<{tag}{self.attr(name)}>{body}</{tag}>"
 
+    def passage(self) -> str:
+        """A paragraph of the article."""
+        r = self.r
+        text = self.put(self.words(1, r.choice([1, 2, 4, 12, 40, 80])), 1)
+        x = r.random()
+        if x < 0.12:
+            text = f"<b>{text}<br>"
+        elif x < 0.25:
+            text = re.sub(r" (\w+) ", r' <a href="/x">\1</a> ', text, count=1)
+        return text
+
     def main(self) -> str:
         r = self.r
         bits = []
         if r.random() < 0.85:
-            bits.append(f"<h1>{self.put(self.words(1, 12), 1)}</h1>")
-        if r.random() < 0.25:
+            bits.append(f"<{(h := r.choice(['h1', 'h1', 'h1', 'h2']))}>{self.put(self.words(1, 12), 1)}</{h}>")
+        if r.random() < 0.25 and self.style == "named":
             bits.append(self.side("share"))
-        for _ in range(r.choice([1, 1, 2, 3, 5, 8, 12, 20])):
-            text = self.put(self.words(1, r.choice([1, 2, 4, 12, 40, 80])), 1)
-            x = r.random()
-            if x < 0.12:
-                text = f"<b>{text}<br>"
-            elif x < 0.25:
-                text = re.sub(r" (\w+) ", r' <a href="/x">\1</a> ', text, count=1)
-            tag = r.choices(["p", "h2", "li", "blockquote", "div", "td", "pre"], [20, 2, 2, 1, 2, 0.5, 0.3])[0]
-            bits.append({"li": f"<ul><li>{text}</li></ul>", "td": f"<table><tr><td>{text}</td></tr></table>"}.get(tag, f"<{tag}>{text}" + ("" if tag == "p" and r.random() < 0.2 else f"</{tag}>")))
-            if r.random() < 0.06:
+        plain = r.choices(["p", "div", "br"], [8, 1.5, 0.5])[0]
+        for _ in range(r.choice([1, 1, 2, 3, 3, 5, 8, 12, 20])):
+            text = self.passage()
+            tag = r.choices([plain, "h2", "li", "blockquote", "div", "td", "pre", "ul", "dl", "table", "figcaption", "section"], [20, 2, 1, 1, 2, 0.5, 0.3, 2, 0.4, 0.5, 0.3, 0.4])[0]
+            if tag in ("ul", "dl", "table"):
+                more = [text, *(self.passage() for _ in range(r.randint(1, 7)))]
+                if tag == "ul":
+                    tag = r.choice(["ul", "ol"])
+                    bits.append(f"<{tag}>{''.join(f'<li>{x}' + ('</li>' if r.random() < 0.9 else '') for x in more)}</{tag}>")
+                elif tag == "dl":
+                    bits.append(f"<dl>{''.join(f'<dt>{x}</dt>' if i % 2 == 0 else f'<dd>{x}</dd>' for i, x in enumerate(more))}</dl>")
+                else:
+                    bits.append(f"<table>{''.join(f'<tr><td>{x}</td></tr>' for x in more)}</table>")
+            elif tag == "br":
+                bits.append(f"{text}<br><br>{self.passage()}<p>{self.passage()}</p>" if r.random() < 0.5 else f"<p>{text}<br><br>{self.passage()}</p>")
+            else:
+                bits.append({"li": f"<ul><li>{text}</li></ul>", "td": f"<table><tr><td>{text}</td></tr></table>", "figcaption": f"<figure><img src=x><figcaption>{text}</figcaption></figure>", "section": f"<section><p>{text}</p></section>"}.get(tag, f"<{tag}>{text}" + ("" if tag == "p" and r.random() < 0.2 else f"</{tag}>")))
+            if r.random() < 0.06 and self.style == "named":
                 bits.append(self.side(r.choice(["ad", "aside", "notice", "form"])))
         body = "".join(bits)
         shape = r.random()
-        if shape < 0.5:
+        if shape < 0.42:
             body = f"<article{self.attr(r.choice(_MAIN)) if r.random() < 0.5 else ''}>{body}</article>"
             return f"<main>{body}</main>" if r.random() < 0.3 else body
-        if shape < 0.65:
+        if shape < 0.55:
             return f"<main{self.attr(r.choice(_MAIN))}>{body}</main>"
-        body = f"<{r.choice(['div', 'div', 'section'])}{self.attr(r.choice(_MAIN[1:]))}>{body}</div>"
+        if shape < 0.7:
+            return body
+        body = f"<{(t := r.choice(['div', 'div', 'section']))}{self.attr(r.choice(_MAIN[1:]))}>{body}</{t}>"
         return f"<div{self.attr(r.choice(['', 'wrapper', 'container', 'page', 'row']))}>{body}</div>"
 
     def page(self) -> tuple[list[Block], np.ndarray]:
         r = self.r
-        top = [self.side(k) for k in r.sample(["nav", "header", "ad", "notice", "nav", "share"], r.randint(0, 3))]
-        body = self.main()
-        low = [self.side(k) for k in r.sample(["footer", "comments", "aside", "ad", "form", "nav", "share", "footer", "notice"], r.randint(0, 4))]
-        html = "".join(top) + body + "".join(low)
+        upper, lower = ["nav", "header", "ad", "notice", "nav", "share"], ["footer", "comments", "aside", "ad", "form", "nav", "share", "footer", "notice"]
+        if self.style != "named":  # what no name tells must show by its words
+            upper, lower = ["nav", "nav", "header", "notice"], ["footer", "aside", "form", "footer", "notice"]
+        if r.random() < 0.08:  # a table lays the page out
+            rows = [f"<tr><td colspan=2>{self.side(k, r.random() < 0.6)}</td></tr>" for k in r.sample(upper, r.randint(0, 2))]
+            cells = [f"<td>{self.main()}</td>"]
+            if r.random() < 0.6:
+                cells.insert(r.randint(0, 1), f"<td>{self.side(r.choice(['nav', 'aside']))}</td>")
+            low = [f"<tr><td colspan=2>{self.side('footer', r.random() < 0.6)}</td></tr>"] * (r.random() < 0.7)
+            html = f"<table{r.choice(['', ' border=0', ' width=100%'])}>{''.join(rows)}<tr>{''.join(cells)}</tr>{''.join(low)}</table>"
+        else:
+            top = [self.side(k) for k in r.sample(upper, r.randint(0, 3))]
+            body = self.main()
+            low = [self.side(k) for k in r.sample(lower, r.randint(0, 4))]
+            html = "".join(top) + body + "".join(low)
         blocks = leaf_blocks(f"<html><head><title>x</title></head><body>{html}</body></html>")
         known = dict(self.labels)
         kept, labels = [], []

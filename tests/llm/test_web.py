@@ -3,10 +3,13 @@ import gzip
 import hashlib
 import io
 import random
+import time
 import zipfile
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from bytequarry.llm import block_labeller, html_blocks, html_extract, transcripts, warc_zip
@@ -136,6 +139,93 @@ def test_blocks():
     assert b.path == (("nav", "top menu"),) and b.linked == 3
 
 
+def slow_blocks(tokens):
+    """Texts of blocks from ready tokens, by plain search of the stack."""
+    stack, out, parts = [], [], []
+    at = lambda names: max((i for i, x in enumerate(stack) if x in names), default=-1)
+
+    def close():
+        if text := " ".join("".join(parts).split()):
+            out.append((text, tuple(x for x in stack_then if x in html_blocks.BLOCK)))
+        parts.clear()
+
+    stack_then = []
+    for kind, name in tokens:
+        if kind == "text":
+            if not parts:
+                stack_then = list(stack)
+            parts.append(name)
+            continue
+        if name in html_blocks.BLOCK:
+            close()
+        if kind == "end":
+            found = at([name])
+            if found < 0 or (name not in html_blocks.CELLS and found < at(["td", "th", "caption"])):
+                continue
+            if name not in html_blocks.BLOCK and at(html_blocks.BLOCK) > found:
+                stack[found] = ""
+            else:
+                del stack[found:]
+            continue
+        if name in html_blocks.ENDS:
+            found = at(html_blocks.ENDS[name])
+            if found >= 0 and found >= at(["table"] if name in html_blocks.CELLS else html_blocks.SCOPES):
+                del stack[found:]
+        if name in html_blocks.ENDS_P and at(["p"]) > at(html_blocks.SCOPES):
+            del stack[at(["p"]) :]
+        stack.append(name)
+    close()
+    return out
+
+
+NAMES = ["p", "div", "li", "ul", "b", "i", "table", "tr", "td", "tbody", "h1", "article", "dt", "dl"]
+TOKENS = st.lists(st.one_of(st.tuples(st.just("text"), st.sampled_from(["x", " y ", "\n", "z"])), st.tuples(st.sampled_from(["start", "end"]), st.sampled_from(NAMES))), max_size=40)
+
+
+@settings(max_examples=300, deadline=None)
+@given(TOKENS)
+def test_blocks_against_a_slow_parser(tokens):
+    html = "".join({"text": n, "start": f"<{n}>", "end": f"</{n}>"}[k] for k, n in tokens)
+    assert [(b.text, tuple(x for x, _ in b.path)) for b in html_blocks.leaf_blocks(html)] == [(t, p[-html_blocks.STEPS :]) for t, p in slow_blocks(tokens)]
+
+
+def test_odd_markup():
+    assert texts("a<!-->b<!--->c<!-- x --!>d<!--never") == ["abcd"]
+    assert texts("<p title=don't>x</p><p title='a>b' class=\"c\">y") == ["x", "y"]
+    assert texts('<p title="never closed>x</p><p>y') == ["x", "y"]
+    assert texts("<a href=/x/>t</a> u</><?php y ?>") == ["t u"]
+    assert html_blocks.leaf_blocks("<a href=/x/>t</a>u")[0].linked == 1
+    assert html_blocks.leaf_blocks("<a href=x><p>in</a>out")[0].linked == 2
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a b="', "<div>x", "<i>x", "</i><div>", "<!--a-->", "<i><p></i>", "<li>x<ul>", "<p title=don't>x"])
+def test_time_grows_with_the_page(part):
+    began = time.process_time()
+    for end in ("", ">", '">'):
+        html_blocks.leaf_blocks(part * (300_000 // len(part)) + end)
+    assert time.process_time() - began < 12
+
+
+SHAPES = {
+    "in the body": ("<html><body><h1>Storm hits coast</h1><p>The storm reached the coast on Monday night.</p><p>Thousands of people lost power as trees fell.</p><p>Officials said repairs would take days.</p></body></html>", 4),
+    "a list": ('<html><body><nav><a href="/">Home</a></nav><article><h1>How to bake bread</h1><p>Follow these steps.</p><ol><li>Mix the flour and the water.</li><li>Let the dough rest for an hour.</li><li>Bake it until it is brown.</li></ol></article><footer>Copyright 2020</footer></body></html>', 5),
+    "bare divisions": ("<html><body><div>The river rose quickly after the rain last week.</div><div>Many farmers moved their animals to higher ground before dawn.</div><div>The water has now begun to fall, the council said.</div></body></html>", 3),
+    "laid out by a table": ("<html><body><table width=100%><tr><td>Home | News</td></tr><tr><td><h2>Old page</h2><p>This is the story of a small village in the hills.</p><p>It was built by farmers long ago, and few have left since.</p></td></tr><tr><td>Copyright 2001</td></tr></table></body></html>", 3),
+    "sections": ('<html><body><header><a href="/">Site</a></header><main><section><h2>First part</h2><p>Words of the first part go here.</p></section><section><h2>Second part</h2><p>Words of the second part go here.</p><ul><li>one point</li><li>another point</li></ul></section></main><aside><h3>Related</h3><ul><li><a href=x>Other story</a></li></ul></aside></body></html>', 6),
+    "definitions": ('<html><body><div class="menu"><a href="/">Home</a></div><div id="content"><h1>Glossary</h1><dl><dt>Alloy</dt><dd>A metal made of two or more others.</dd><dt>Ore</dt><dd>Rock that holds a metal.</dd></dl></div><form><label>Search</label><input></form></body></html>', 5),
+    "quotations and cells": ("<html><body><header><h2><a href=/>The Daily</a></h2><nav><ul><li><a href=/w>World</a></li><li><a href=/s>Sport</a></li></ul></nav></header><article><header><h1>Mayor resigns</h1></header><p>The mayor resigned on Tuesday after a long debate.</p><blockquote><p>I have done what I could.</p></blockquote><table><tr><th>Year</th><th>Votes</th></tr><tr><td>2019</td><td>51 percent</td></tr></table><pre>end of report</pre></article><section class=comments><p>Great news, thanks!</p></section><footer><p>All rights reserved</p></footer></body></html>", 8),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_shapes_written_by_hand(shape):
+    html, lines = SHAPES[shape]
+    got = html_extract.extract([html], block_labeller.trained())[0].split("\n")
+    every = texts(html)
+    skipped = {"Home", "Home | News", "Copyright 2001", "Copyright 2020", "Site", "Related", "Other story", "Search", "The Daily", "World", "Sport", "Great news, thanks!", "All rights reserved"}
+    assert len(got) == lines and got == [t for t in every if t not in skipped]
+
+
 def test_gradients():
     pages = [(block_labeller.features(b), l) for b, l in block_labeller.made_pages(4, 9)]
     net = block_labeller.Labeller()
