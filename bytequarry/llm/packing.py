@@ -1,6 +1,8 @@
 """Mixture-controlled packing by deficit round-robin.
 
-Each source is a queue: its documents' tokens, one after the other. In each
+Each source is a queue: its documents' tokens, one after the other; sources
+that have less than a token a round share queues, unless they have targets,
+for no sequence could show such a share. In each
 round every queue gets its quantum (target share times ROUND tokens), serves
 the whole tokens of what it has been given so far, and carries the rest as its
 deficit into the next round. The stream of what the rounds serve is cut into
@@ -11,7 +13,9 @@ queue that runs dry leaves its place to the others.
 What queue s has served after r rounds is floor(r * quantum), at most its
 total; the deficit is the remainder. So any task can work out the state of the
 round-robin at any round from the queues' totals alone: deficits carry across
-sequences and partitions without a sequential pass, and no token is shuffled.
+sequences and partitions without a sequential pass. A task needs no more than
+where its documents begin in their queues: these places are broadcast while
+they fit, and met by a shuffle of the ids beyond that.
 """
 
 from __future__ import annotations
@@ -27,16 +31,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, text_of
+from .common import fits, staged, text_of
 
 #: Quanta are in units of 2**-16 token; totals up to 2**46 tokens fit a long.
 UNIT = 16
 #: Chunks of text whose ids a worker remembers.
 REMEMBERED = 400_000
-#: Queues that the schedule, which each task holds whole, may have; of more sources the smaller ones share queues.
-MAX_QUEUES = 20_000
-#: Cells (rounds times queues) of the schedule that are worked out at once.
-CELLS = 1 << 18
+#: Sources with targets that have queues of their own, the largest first.
+MAX_TARGETS = 10_000
+#: Cells (rounds times queues) of the schedule that are worked out at once, and tokens of documents that are cut at once.
+CELLS, TOKENS_AT_ONCE = 1 << 18, 1 << 20
 
 
 class ChunkTokenizer:
@@ -203,10 +207,10 @@ class Schedule:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
-def pack(docs: DataFrame, path: str, length: int = 1024, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", added: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = 1024, targets: dict[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", added: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
-    targets: share of the tokens by source (as a string, None as ""); sources
+    targets: share of the tokens by source (as a string; None: null); sources
     that it lacks share what it leaves in proportion to their tokens. Without
     targets the shares are those of the corpus, so all queues end together.
     added: whether the file's added tokens, such as <|endoftext|>, are found
@@ -217,7 +221,7 @@ def pack(docs: DataFrame, path: str, length: int = 1024, targets: dict[str, floa
     read. Only the very last sequence may be short.
     """
     rows = tokenized(docs, path, id_col, text_col, source_col, added)
-    own = {("=" + k if k else "null"): float(v) for k, v in (targets or {}).items()}
+    own = {("null" if k is None else f"={k}"): float(v) for k, v in (targets or {}).items()}
     totals = rows.groupBy("queue", "part").agg(F.sum("n").alias("n"))
     if own:
         wanted = rows.sparkSession.createDataFrame(list(own.items()), "queue string, target double")
@@ -225,12 +229,15 @@ def pack(docs: DataFrame, path: str, length: int = 1024, targets: dict[str, floa
     else:
         totals = totals.withColumn("target", F.lit(None).cast("double"))
     sizes = staged(totals.groupBy("queue", "target").agg(F.sum("n").alias("n")), "queue-sizes")
-    lane = F.col("queue")
-    if sizes.count() > MAX_QUEUES:
-        shared = max(1, MAX_QUEUES // 4)
-        alone = staged(sizes.orderBy(F.col("target").isNull(), F.col("n").desc(), "queue").limit(MAX_QUEUES - shared).select("queue", F.lit(True).alias("alone")), "queues-alone")
-        totals, sizes = (x.join(F.broadcast(alone), "queue", "left") for x in (totals, sizes))
-        lane = F.when(F.col("alone"), lane).otherwise(F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(shared)).cast("string")))
+    # a source with less than a token a round shares a queue with others like it
+    whole = sizes.agg(F.sum("n")).first()[0] or 0
+    large = F.col("target").isNull() & (F.col("n") * length >= whole)
+    named = sizes.filter("target IS NOT NULL").orderBy(F.col("n").desc(), "queue").limit(MAX_TARGETS)
+    alone = staged(named.unionByName(sizes.filter(large)).select("queue", F.lit(True).alias("alone")), "queues-alone")
+    rest = sizes.join(F.broadcast(alone), "queue", "left_anti").agg(F.sum("n")).first()[0] or 0
+    shared = max(1, rest * length // max(1, whole))
+    totals, sizes = (x.join(F.broadcast(alone), "queue", "left") for x in (totals, sizes))
+    lane = F.when(F.col("alone"), F.col("queue")).otherwise(F.concat(F.lit("#"), F.pmod(F.xxhash64("queue"), F.lit(shared)).cast("string")))
     order = Window.partitionBy("lane").orderBy("part", "queue").rowsBetween(Window.unboundedPreceding, -1)
     before = staged(totals.withColumn("lane", lane).withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).select("queue", "part", "lane", "before"), "queue-offsets")
     free = F.when(F.col("target").isNull(), F.col("n")).otherwise(0)
@@ -244,8 +251,12 @@ def pack(docs: DataFrame, path: str, length: int = 1024, targets: dict[str, floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = tokenizer(path, added).dtype
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
+            sizes = np.cumsum(whole.column("n").to_numpy())
+            i = 0
+            while i < whole.num_rows:
+                # documents of so many tokens together, or one that has more
+                k = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + TOKENS_AT_ONCE, side="right")))
+                b, i = whole.slice(i, min(k - i, 512)), min(k, i + 512)
                 n = b.column("n").to_numpy()
                 start = b.column("start").to_numpy() + b.column("before").to_numpy(zero_copy_only=False)
                 queues = b.column("queue").to_pylist()
@@ -259,7 +270,7 @@ def pack(docs: DataFrame, path: str, length: int = 1024, targets: dict[str, floa
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"],
                 )
 
-    placed = rows.join(before, ["queue", "part"]).select("doc_id", "queue", "lane", "start", "before", "n", "ids")
+    placed = rows.join(F.broadcast(before) if fits(before) else before, ["queue", "part"]).select("doc_id", "queue", "lane", "start", "before", "n", "ids")
     return placed.mapInArrow(run, PIECES)
 
 

@@ -36,7 +36,7 @@ def test_more_than_64_languages(spark):
 
 
 def test_more_sources_than_queues(spark, tokens_path, monkeypatch):
-    monkeypatch.setattr(packing, "MAX_QUEUES", 8)
+    monkeypatch.setattr(packing, "TOKENS_AT_ONCE", 50)
     rows = [(i, f"text number {i} of its source " * (1 + i % 5), None if i % 30 == 29 else f"s{i % 30}") for i in range(240)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     for targets in (None, {"s3": 0.5}):
@@ -114,3 +114,37 @@ def test_counts_over_the_seams_of_tasks(spark):
     want = np.log(moves / moves.sum(axis=1, keepdims=True))
     model = transcripts.fit(ordered)
     assert np.allclose(model.step, want[:3]) and np.allclose(model.start, want[3])
+
+
+def test_a_rare_source_with_a_long_text(spark, tokens_path):
+    """A source of a billionth of a corpus's tokens: one document of more than a million tokens, beside many other queues."""
+    import resource
+    import time
+
+    plan = packing.Schedule([10**15, 2 * 10**6, *([10**12] * 50)], [1.0, 2e-9, *([1e-3] * 50)], 1024)
+    began, before = time.process_time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    doc, at, size, place = plan.pieces(np.array([1]), np.array([0]), np.array([1_300_000]), 1024)
+    assert size.sum() == 1_300_000 and (np.diff(place) > 0).all() and (doc == 0).all()
+    assert time.process_time() - began < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20
+
+
+def test_targets_of_sources_without_a_name(spark, tokens_path):
+    rows = [(i, "some words of text here " * 4, (None, "", "s")[i % 3]) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(df, tokens_path, 64, {None: 0.5, "": 0.25}).filter("sequence_id < 4").groupBy("source").agg(F.sum("length").alias("n")).collect()
+    share = {r.source: r.n / 256 for r in got}
+    assert abs(share[None] - 0.5) < 0.05 and abs(share[""] - 0.25) < 0.05
+
+
+def test_tiny_sources_share_queues(spark, tokens_path):
+    rows = [(i, "word " * 40, "big") for i in range(400)] + [(1000 + i, f"tiny {i}", f"t{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = packing.pack(df, tokens_path, 64).collect()
+    assert {r.doc_id for r in got} == {i for i, _, _ in rows}
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append(r)
+        assert r.source == ("big" if r.doc_id < 1000 else f"t{r.doc_id - 1000}")
+    assert all(sum(r.length for r in x) == 64 for s, x in by.items() if s < max(by))
+    tiny = [sum(r.length for r in x if r.source != "big") / 64 for s, x in sorted(by.items()) if s < max(by)]
+    assert max(tiny) - min(tiny) < 0.08
