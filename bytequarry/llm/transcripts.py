@@ -1,15 +1,17 @@
-"""Transcript parsing: roles of turns by a hidden Markov model, then canonical rendering.
+"""Transcript parsing: turns and roles of raw transcripts by a hidden Markov model over lines, then canonical rendering.
 
-States are roles. A turn's observation is its speaker marker ("User:", "###
-Response:", "<|system|>"), its length, its number of lines and whether it asks.
-Initial, transition and emission counts come from labelled turns by grouped
-sums; the best roles of a conversation are found by Viterbi.
+A state is a role and whether a line begins a turn of it. A line's observation
+is its speaker marker ("User:", "### Response:", "<|system|>"), its length and
+its kind (blank, question, list, code, other). Initial, transition and emission
+counts come from labelled lines by grouped sums; the best states of a
+transcript are found by Viterbi, and each line that begins a turn begins one in
+the rendering too. Where turns begin in the source plays no part in it.
 
-Turns are dealt by ranges of (conversation, turn), so a conversation of any
-length is spread over tasks. A task first sums up the conversations at its two
+Lines are dealt by ranges of (transcript, place), so a transcript of any
+length is spread over tasks. A task first sums up the transcripts at its two
 ends as best scores from each entering to each leaving state; chaining those
 few matrices fixes the states at the seams, and each task then decodes its own
-part. The result is as likely as that of one pass over the whole conversation;
+part. The result is as likely as that of one pass over the whole transcript;
 of equally likely ones it may be another.
 """
 
@@ -24,71 +26,92 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_of
+from .common import shared_dir, staged, text_of
 
 #: Words that name a speaker, by the role they stand for.
 SPEAKERS = {"user": "user|human|customer|question|instruction|prompt|me|q", "assistant": "assistant|bot|ai|model|agent|answer|response|output|a", "system": "system|context|developer|sys", "tool": "tool|function|observation|result"}
 #: Feature: number of values.
-FEATURES = {"marker": len(SPEAKERS) + 1, "length": 16, "lines": 5, "asks": 2}
-#: Turns that a marker of a role's own name counts as before any are seen.
+FEATURES = {"marker": len(SPEAKERS) + 1, "length": 16, "kind": 5}
+#: Lines that a marker of a role's own name counts as before any are seen, where a turn begins; and lines without any, elsewhere.
 MARKER_PRIOR = 200.0
-#: Marks of a task's first and last turn among its counts.
+#: Log chance of a move that no transcript makes: to a later line of another role's turn.
+NEVER = -1e9
+#: Marks of a task's first and last line among its counts.
 FIRST, LAST = -1, -2
-#: Turns that are decoded side by side.
-TURNS_AT_ONCE = 20_000
-#: Scores of moves that are held at once, for conversations side by side.
+#: Lines that are decoded side by side.
+LINES_AT_ONCE = 20_000
+#: Scores of moves that are held at once, for transcripts side by side.
 MOVES_AT_ONCE = 1 << 23
-_OPEN, _CLOSE = r"^\s*(?:#{1,6}\s*|\*\*|\[|<\|?(?:im_start\|>)?|\()?", r"(?:\*\*|\]|\|?>|\))?\s*[:>\n\]]\s*"
+#: Ways to write a speaker's marker before a turn.
+STYLES = ["{Name}: ", "### {Name}:\n", "<|{name}|>\n", "**{Name}:** ", "[{Name}] "]
+_OPEN, _CLOSE = r"(?:#{1,6}\s*|\*\*|\[|<\|?(?:im_start\|>)?|\()", r"\s*(?::?(?:\*\*|\]|\|?>|\)):?|:|$)"
 
 
-def _marked(text: Column, names: str) -> Column:
-    return F.regexp_like(text, F.lit(f"(?is){_OPEN}(?:{names})(?:\\s*\\d+)?{_CLOSE}"))
+def _marker(names: str) -> str:
+    """A speaker's name in brackets or the like, or with a colon, at a line's start."""
+    return f"(?i)^\\s*(?:{_OPEN}(?:{names})(?:\\s*\\d+)?{_CLOSE}|(?:{names})(?:\\s*\\d+)?\\s*:)\\s*"
 
 
-def marker_of(text: Column) -> Column:
-    """0 for a turn without a speaker marker, else 1 + the place of its role in SPEAKERS."""
+def marker_of(line: Column) -> Column:
+    """0 for a line without a speaker marker, else 1 + the place of its role in SPEAKERS."""
     out = F.lit(0)
     for i, names in reversed(list(enumerate(SPEAKERS.values()))):
-        out = F.when(_marked(text, names), i + 1).otherwise(out)
+        out = F.when(F.regexp_like(line, F.lit(_marker(names))), i + 1).otherwise(out)
     return out
 
 
-def without_marker(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?is){_OPEN}(?:{'|'.join(SPEAKERS.values())})(?:\\s*\\d+)?{_CLOSE}", "")
+def marker_text(line: Column, role: Column) -> Column:
+    """The marker of the role at a line's start, or nothing."""
+    out = F.lit("")
+    for name, names in SPEAKERS.items():
+        out = F.when(role == name, F.regexp_extract(line, _marker(names), 0)).otherwise(out)
+    return out
 
 
-def observed(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str | None = "role") -> DataFrame:
-    """(conv_id, turn, role, text, code): code numbers the combination of feature values."""
-    text = text_of(text_col)
-    length = F.least(F.lit(15), F.floor(F.log2(F.length(text) + 1))).cast("int")
-    lines = F.least(F.lit(4), F.length(text) - F.length(F.replace(text, F.lit("\n"))))
-    asks = F.rtrim(text).endswith("?").cast("int")
-    code = ((marker_of(text) * 16 + length) * 5 + lines) * 2 + asks
+def written(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str = "role") -> DataFrame:
+    """Raw transcripts of labelled turns: (conv_id, turn, role, text), each turn after its speaker's marker in the STYLE of its conversation (its id modulo their number). A null role writes none."""
+    conv, role = F.col(conv_col).cast("long"), F.col(role_col).cast("string")
+    style = F.pmod(F.coalesce(conv, F.lit(0)), F.lit(len(STYLES)))
+    mark = F.lit("")
+    for i, form in enumerate(STYLES):
+        before, name, after = form.replace("{Name}", "\0N\0").replace("{name}", "\0n\0").split("\0")
+        mark = F.when(style == i, F.concat(F.lit(before), F.initcap(role) if name == "N" else role, F.lit(after))).otherwise(mark)
+    return turns.select(conv.alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), F.concat(F.coalesce(mark, F.lit("")), text_of(text_col)).alias("text"))
+
+
+def observed(transcripts: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str | None = "role") -> DataFrame:
+    """(conv_id, turn, uid, line, role, text, code) for each line of texts, which may be whole transcripts or parts of them; uid numbers the rows, code the combination of feature values."""
     role = F.col(role_col).cast("string") if role_col else F.lit(None).cast("string")
-    return turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text"), code.cast("int").alias("code"))
+    rows = staged(transcripts.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.monotonically_increasing_id().alias("uid"), role.alias("role"), text_of(text_col).alias("text")), "transcripts")
+    lines = rows.select("conv_id", "turn", "uid", "role", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    text = F.col("text")
+    length = F.least(F.lit(15), F.floor(F.log2(F.length(text) + 1))).cast("int")
+    kind = F.when(F.trim(text) == "", 0).when(F.rtrim(text).endswith("?"), 1).when(F.regexp_like(text, F.lit(r"^\s*(?:[-*+\u2022]|\d+[.)])\s")), 2).when(F.regexp_like(text, F.lit(r"^(?:```|    |\t)")), 3).otherwise(4)
+    return lines.select("conv_id", "turn", "uid", "line", "role", "text", ((marker_of(text) * 16 + length) * 5 + kind).cast("int").alias("code"))
 
 
 def in_order(observations: DataFrame) -> DataFrame:
-    """Rows by (conv_id, turn), nulls first, ties by text; checkpointed, so that later passes see the same tasks."""
+    """Rows by (conv_id, turn, uid, line), nulls first; checkpointed, so that later passes see the same tasks."""
     shared_dir(observations.sparkSession)
-    keys = ["conv_id", "turn", "text", "role"]
+    keys = ["conv_id", "turn", "uid", "line"]
     return observations.repartitionByRange(*keys).sortWithinPartitions(*keys).checkpoint()
 
 
 @dataclass
 class Model:
+    """States are 2 * role for a turn's first line and 2 * role + 1 for its others."""
+
     roles: list[str]
     start: np.ndarray
     step: np.ndarray
     emit: dict[str, np.ndarray]
 
     def scores(self, codes: np.ndarray) -> np.ndarray:
-        """(turns, roles) log chance of the observations."""
-        asks, rest = codes % 2, codes // 2
-        lines, rest = rest % 5, rest // 5
+        """(lines, states) log chance of the observations."""
+        kind, rest = codes % 5, codes // 5
         length, marker = rest % 16, rest // 16
         e = self.emit
-        return e["marker"][:, marker].T + e["length"][:, length].T + e["lines"][:, lines].T + e["asks"][:, asks].T
+        return e["marker"][:, marker].T + e["length"][:, length].T + e["kind"][:, kind].T
 
 
 def _cut(conv: np.ndarray, valid: np.ndarray) -> np.ndarray:
@@ -103,9 +126,9 @@ def _convs(b: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(ordered: DataFrame) -> Model:
-    """The model of labelled turns, in_order(). Counts are summed on the executors; what lies between two tasks is counted from their ends, two rows a task."""
+    """The model of labelled lines, in_order(). Counts are summed on the executors; what lies between two tasks is counted from their ends, two rows a task."""
     roles = [r[0] for r in ordered.filter("role IS NOT NULL").select("role").distinct().orderBy("role").collect()]
-    n, index = len(roles), {r: i for i, r in enumerate(roles)}
+    n, index = 2 * len(roles), {r: i for i, r in enumerate(roles)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, before, first = np.zeros((n + 1, n), np.int64), None, None
@@ -113,16 +136,17 @@ def fit(ordered: DataFrame) -> Model:
             if not b.num_rows:
                 continue
             conv, valid = _convs(b)
-            role = [index.get(x, -1) for x in b.column("role").to_pylist()]
-            for c, v, r in zip(conv.tolist(), valid.tolist(), role, strict=True):
-                if before is None:  # the first of a task may stand inside a conversation
-                    first = (c, v, r)
+            later = b.column("line").to_numpy() > 0
+            state = [2 * index[x] + l if x is not None else -1 for x, l in zip(b.column("role").to_pylist(), later.tolist(), strict=True)]
+            for c, v, s in zip(conv.tolist(), valid.tolist(), state, strict=True):
+                if before is None:  # the first of a task may stand inside a transcript
+                    first = (c, v, s)
                 elif before[:2] != (c, v):
-                    if r >= 0:
-                        counts[n, r] += 1
-                elif r >= 0 and before[2] >= 0:
-                    counts[before[2], r] += 1
-                before = (c, v, r)
+                    if s >= 0:
+                        counts[n, s] += 1
+                elif s >= 0 and before[2] >= 0:
+                    counts[before[2], s] += 1
+                before = (c, v, s)
         i, j = np.nonzero(counts)
         rows = [(a, b, k, None, None) for a, b, k in zip(i.tolist(), j.tolist(), counts[i, j].tolist(), strict=True)]
         if first:
@@ -131,31 +155,37 @@ def fit(ordered: DataFrame) -> Model:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["i", "j", "n", "part", "conv_id"])
 
-    moves = np.full((n + 1, max(n, 1)), 0.5)
+    moves = np.full((n + 1, n), 0.5)
     ends: dict[tuple[int, int], tuple[int | None, int]] = {}
-    for r in ordered.select("conv_id", "role").mapInArrow(run, "i long, j long, n long, part long, conv_id long").groupBy("i", "j", "part", "conv_id").agg(F.sum("n").alias("n")).collect():
+    for r in ordered.select("conv_id", "line", "role").mapInArrow(run, "i long, j long, n long, part long, conv_id long").groupBy("i", "j", "part", "conv_id").agg(F.sum("n").alias("n")).collect():
         if r["part"] is None:
             moves[r["i"], r["j"]] += r["n"]
         else:
             ends[r["part"], r["i"]] = (r["conv_id"], r["j"])
     last = None
     for part in sorted({p for p, _ in ends}):
-        conv, role = ends[part, FIRST]
-        if role >= 0 and (last is None or last[0] != conv):
-            moves[n, role] += 1
-        elif role >= 0 and last[1] >= 0:
-            moves[last[1], role] += 1
+        conv, state = ends[part, FIRST]
+        if state >= 0 and (last is None or last[0] != conv):
+            moves[n, state] += 1
+        elif state >= 0 and last[1] >= 0:
+            moves[last[1], state] += 1
         last = ends[part, LAST]
-    table = {k: np.full((max(n, 1), v), 0.5) for k, v in FEATURES.items()}
+    table = {k: np.full((n, v), 0.5) for k, v in FEATURES.items()}
+    table["marker"][1::2, 0] += MARKER_PRIOR
     for k, name in enumerate(SPEAKERS):
         if name in index:
-            table["marker"][index[name], k + 1] += MARKER_PRIOR
-    for r in ordered.filter("role IS NOT NULL").groupBy("role", "code").count().collect():
-        i, code = index[r["role"]], r["code"]
-        for k, v in (("asks", code % 2), ("lines", code // 2 % 5), ("length", code // 10 % 16), ("marker", code // 160)):
+            table["marker"][2 * index[name], k + 1] += MARKER_PRIOR
+    for r in ordered.filter("role IS NOT NULL").groupBy("role", (F.col("line") > 0).alias("later"), "code").count().collect():
+        i, code = 2 * index[r["role"]] + r["later"], r["code"]
+        for k, v in (("kind", code % 5), ("length", code // 5 % 16), ("marker", code // 80)):
             table[k][i, v] += r["count"]
+    if not n:
+        return Model(["user"], np.array([0.0, NEVER]), np.zeros((2, 2)), {k: np.zeros((2, v)) for k, v in FEATURES.items()})
     logs = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
-    return Model(roles or ["user"], logs(moves[-1]), logs(moves[:-1]) if n else np.zeros((1, 1)), {k: logs(v) for k, v in table.items()})
+    start, step, s = logs(moves[-1]), logs(moves[:-1]), np.arange(n)
+    start[1::2] = NEVER
+    step[(s[None, :] % 2 == 1) & (s[:, None] // 2 != s[None, :] // 2)] = NEVER
+    return Model(roles, start, step, {k: logs(v) for k, v in table.items()})
 
 
 def viterbi(score: np.ndarray, enter: np.ndarray, step: np.ndarray, leave: int | None = None) -> np.ndarray:
@@ -203,7 +233,7 @@ def _viterbi_many(scores: list[np.ndarray], enter: list[np.ndarray], step: np.nd
 
 
 def _ends(model: Model):
-    """Per task: of its first and last conversation, the best score from each state before it to each last state in it."""
+    """Per task: of its first and last transcript, the best score from each state before it to each last state in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, first, last, mat, only = TaskContext.get().partitionId(), None, None, None, None
@@ -231,10 +261,10 @@ def _ends(model: Model):
 
 
 def _seams(ordered: DataFrame, model: Model) -> dict[tuple[int, int | None], tuple[int | None, int | None]]:
-    """(task, conversation): (state before its part there, last state of its part), for conversations that several tasks hold. At most two rows a task come to the driver."""
+    """(task, transcript): (state before its part there, last state of its part), for transcripts that several tasks hold. At most two rows a task come to the driver."""
     rows = sorted(ordered.select("conv_id", "code").mapInArrow(_ends(model), "part int, place int, conv_id long, fresh array<double>, through array<double>").collect(), key=lambda r: (r["part"], r["place"]))
     out: dict[tuple[int, int | None], tuple[int | None, int | None]] = {}
-    s = len(model.roles)
+    s = len(model.start)
     at = 0
     while at < len(rows):
         end = at + 1
@@ -259,20 +289,24 @@ def _seams(ordered: DataFrame, model: Model) -> dict[tuple[int, int | None], tup
 
 
 def recover(ordered: DataFrame, model: Model) -> DataFrame:
-    """One row per turn of in_order(): conv_id, turn, declared (the role it came with), role (recovered), rendered.
-
-    The declared role plays no part in the recovery. A null text is empty, a
-    null conv_id is one conversation, a null turn stands first; turns that
-    repeat a number stand in the order of their texts. rendered is the turn
-    without its speaker marker in the form <|role|>, the text, <|end|>, each on
-    lines of its own. An empty table gives an empty result.
+    """One row per line of in_order(): conv_id, turn, uid, line, declared (the role it came with), number (of the recovered turn in its transcript, from 0), role (recovered), begins (a turn), marker, rendered.
+
+    Declared roles, turns and places of lines play no part in the recovery. A
+    null text is one empty line, a null conv_id is one transcript, a null turn
+    stands first; rows that repeat a turn stand in the order of their uid.
+    rendered is the line in canonical form: where a turn begins, <|role|> on a
+    line of its own and the rest of the line, if any, without the marker that
+    names the role; else the line as it is. What is cut stands in `marker`, so
+    no text is lost; a transcript's rendering is its lines in order. An empty
+    table gives an empty result.
     """
     seams = _seams(ordered, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        part, before = TaskContext.get().partitionId(), (None, 0)
 
         def decode(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            nonlocal before
             t = pa.Table.from_batches(held).combine_chunks()
             conv, valid = _convs(t)
             cuts = _cut(conv, valid)
@@ -280,9 +314,15 @@ def recover(ordered: DataFrame, model: Model) -> DataFrame:
             parts = [score[a:z] for a, z in zip(cuts, np.append(cuts[1:], len(conv)), strict=True)]
             known = [seams.get((part, int(conv[a]) if valid[a] else None), (None, None)) for a in cuts]
             enter = [model.start if e is None else model.step[e] for e, _ in known]
-            states = np.concatenate(_viterbi_many(parts, enter, model.step, [x for _, x in known]))
-            roles = pa.array([model.roles[i] for i in states.tolist()], pa.string())
-            return pa.RecordBatch.from_arrays([t.column(c).combine_chunks() if t.column(c).num_chunks != 1 else t.column(c).chunk(0) for c in ("conv_id", "turn", "role")] + [roles, t.column("text").chunk(0)], names=["conv_id", "turn", "declared", "role", "text"])
+            paths = _viterbi_many(parts, enter, model.step, [x for _, x in known])
+            seen = []
+            for a, p in zip(cuts, paths, strict=True):
+                key = (int(conv[a]), bool(valid[a]))
+                seen.append(np.cumsum(p % 2 == 0) + (before[1] if before[0] == key else 0))
+                before = (key, int(seen[-1][-1]))
+            states = np.concatenate(paths)
+            cols = [t.column(c).chunk(0) for c in ("conv_id", "turn", "uid", "line", "role", "text")]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([model.roles[i] for i in (states // 2).tolist()], pa.string()), pa.array(states % 2 == 0), pa.array(np.full(len(conv), part), pa.int32()), pa.array(np.concatenate(seen), pa.int64())], names=["conv_id", "turn", "uid", "line", "declared", "text", "role", "begins", "part", "seen"])
 
         held, n = [], 0
         for b in batches:
@@ -290,8 +330,8 @@ def recover(ordered: DataFrame, model: Model) -> DataFrame:
                 continue
             conv, valid = _convs(b)
             cut = int(_cut(conv, valid)[-1])
-            if n >= TURNS_AT_ONCE or b.num_rows >= TURNS_AT_ONCE:
-                # all but the last conversation, which may go on, unless this batch goes on with what is held
+            if n >= LINES_AT_ONCE or b.num_rows >= LINES_AT_ONCE:
+                # all but the last transcript, which may go on, unless this batch goes on with what is held
                 last_c, last_v = _convs(held[-1]) if held else (None, None)
                 same = held and cut == 0 and last_c[-1] == conv[0] and last_v[-1] == valid[0]
                 if not same and (held or cut):
@@ -303,13 +343,26 @@ def recover(ordered: DataFrame, model: Model) -> DataFrame:
         if held:
             yield decode(held)
 
-    found = ordered.mapInArrow(run, "conv_id long, turn long, declared string, role string, text string")
-    rendered = F.concat(F.lit("<|"), "role", F.lit("|>\n"), F.trim(without_marker(F.col("text"))), F.lit("\n<|end|>\n"))
-    return found.select("conv_id", "turn", "declared", "role", rendered.alias("rendered"))
-
-
-def raw_turns(transcripts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(conv_id, turn, text) of raw transcripts: a turn begins at each line with a speaker marker; lines before the first are one."""
-    names = "|".join(SPEAKERS.values())
-    pieces = F.split(text_of(text_col), f"(?i)\\n(?=[ \\t]*(?:#{{1,6}}[ \\t]*|\\*\\*|\\[|<\\|?|\\()?(?:{names})(?:\\s*\\d+)?(?:\\*\\*|\\]|\\|?>|\\))?[ \\t]*[:>\\]])")
-    return transcripts.select(F.col(id_col).cast("long").alias("conv_id"), F.posexplode(pieces).alias("turn", "text"))
+    found = staged(ordered.mapInArrow(run, "conv_id long, turn long, uid long, line int, declared string, text string, role string, begins boolean, part int, seen long"), "decoded-lines")
+    # turns of a transcript that earlier tasks hold: known for at most two transcripts a task
+    spanning = sorted({(p, c is None, c or 0) for p, c in seams})
+    shared = found.sparkSession.createDataFrame([(p, None if none else c) for p, none, c in spanning], "part int, conv_id long")
+    counts = found.join(F.broadcast(shared), (found["part"] == shared["part"]) & found["conv_id"].eqNullSafe(shared["conv_id"]), "left_semi").groupBy("part", "conv_id").agg(F.max("seen").alias("n")).collect()
+    so_far: dict = {}
+    shift = []
+    for r in sorted(counts, key=lambda r: r["part"]):
+        shift.append((r["part"], r["conv_id"], so_far.get(r["conv_id"], 0)))
+        so_far[r["conv_id"]] = so_far.get(r["conv_id"], 0) + r["n"]
+    moved = found.sparkSession.createDataFrame(shift, "p int, c long, earlier long")
+    placed = found.join(F.broadcast(moved), (F.col("part") == F.col("p")) & F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    marker = F.when(F.col("begins"), marker_text(F.col("text"), F.col("role"))).otherwise("")
+    rest = F.substring("text", F.length("marker") + 1, F.length("text"))
+    head = F.concat(F.lit("<|"), "role", F.lit("|>"), F.when(rest == "", "").otherwise(F.concat(F.lit("\n"), rest)))
+    numbered = placed.withColumn("marker", marker).withColumn("number", F.col("seen") + F.coalesce("earlier", F.lit(0)) - 1)
+    return numbered.select("conv_id", "turn", "uid", "line", "declared", "number", "role", "begins", "marker", F.when(F.col("begins"), head).otherwise(F.col("text")).alias("rendered"))
+
+
+def turns_of(lines: DataFrame) -> DataFrame:
+    """(conv_id, number, role, rendered): the lines of recover() joined to turns. A turn is gathered in one task, so this is for transcripts whose turns fit there."""
+    rows = lines.groupBy("conv_id", "number").agg(F.first("role").alias("role"), F.sort_array(F.collect_list(F.struct("turn", "uid", "line", "rendered"))).alias("lines"))
+    return rows.select("conv_id", "number", "role", F.array_join("lines.rendered", "\n").alias("rendered"))

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import io
+import itertools
 import random
 import time
 import zipfile
@@ -276,30 +277,80 @@ def talk(conv, r):
 CONV = "conv_id long, turn long, role string, text string"
 
 
+def lines_of(spark, rows, **more):
+    return transcripts.in_order(transcripts.observed(spark.createDataFrame(rows, CONV), **more))
+
+
+def in_their_order(ordered, model):
+    return sorted(transcripts.recover(ordered, model).collect(), key=lambda x: (x.conv_id is not None, x.conv_id or 0, x.turn is not None, x.turn or 0, x.uid, x.line))
+
+
 def test_roles_of_held_out_conversations(spark):
+    """Fitted on marked transcripts, read without any mark: breaks and roles by lengths, kinds and turn-taking alone; and with marks, whole."""
     r = random.Random(4)
     rows = [x for c in range(200) for x in talk(c, r)]
     df = spark.createDataFrame([(*x, 1, "z") for x in rows], f"{CONV}, code int, declared string")
     model = transcripts.fit(transcripts.in_order(transcripts.observed(df.filter("conv_id % 2 = 0"))))
     got = transcripts.recover(transcripts.in_order(transcripts.observed(df.filter("conv_id % 2 = 1"))), model).collect()
-    assert len(got) == sum(x[0] % 2 for x in rows)
-    assert np.mean([g.role == g.declared for g in got]) > 0.97
+    assert len(got) == sum(len(x[3].split("\n")) for x in rows if x[0] % 2)
+    assert np.mean([g.role == g.declared for g in got]) > 0.9
+    marked = transcripts.written(df)
+    model = transcripts.fit(transcripts.in_order(transcripts.observed(marked.filter("conv_id % 2 = 0"))))
+    got = transcripts.recover(transcripts.in_order(transcripts.observed(marked.filter("conv_id % 2 = 1"))), model)
+    turns = {(t.conv_id, t.number): (t.role, t.rendered) for t in transcripts.turns_of(got).collect()}
+    want, number = {}, {}
+    for c, _, role, text in rows:
+        if c % 2:
+            number[c] = number.get(c, -1) + 1
+            want[c, number[c]] = (role, f"<|{role}|>\n{text}")
+    assert turns == want
+
+
+def test_whole_transcripts_are_parsed(spark):
+    """A transcript in one text, with a marker-like line inside an answer."""
+    r = random.Random(9)
+    model = transcripts.fit(transcripts.in_order(transcripts.observed(transcripts.written(spark.createDataFrame([x for c in range(60) for x in talk(c, r)], CONV)))))
+    raw = [(1, "User: what is it?\n### Assistant:\nanswer answer answer answer answer\nResult: answer answer answer answer\nHuman: what is word word?\n<|assistant|>\nanswer answer answer answer answer answer"), (2, None)]
+    ordered = transcripts.in_order(transcripts.observed(spark.createDataFrame(raw, "conv_id long, text string").selectExpr("conv_id", "cast(0 as long) AS turn", "text"), role_col=None))
+    lines = transcripts.recover(ordered, model)
+    turns = {t.number: (t.role, t.rendered) for t in transcripts.turns_of(lines.filter("conv_id = 1")).collect()}
+    assert turns == {0: ("user", "<|user|>\nwhat is it?"), 1: ("assistant", "<|assistant|>\nanswer answer answer answer answer\nResult: answer answer answer answer"), 2: ("user", "<|user|>\nwhat is word word?"), 3: ("assistant", "<|assistant|>\nanswer answer answer answer answer answer")}
+    assert [x.marker for x in in_their_order(ordered, model) if x.conv_id == 1] == ["User: ", "### Assistant:", "", "", "Human: ", "<|assistant|>", ""]
 
 
 def test_seams_keep_the_best_score(spark):
     r = random.Random(6)
     rows = [(5, i, role, text) for i, (_, _, role, text) in enumerate(x for c in range(60) for x in talk(c, r))]
-    df = spark.createDataFrame(rows, CONV)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    ordered = transcripts.in_order(transcripts.observed(df))
+    ordered = lines_of(spark, rows)
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert ordered.rdd.getNumPartitions() > 1
     model = transcripts.fit(ordered)
-    codes = np.array([x.code for x in sorted(ordered.collect(), key=lambda x: x.turn)])
+    codes = np.array([x.code for x in sorted(ordered.collect(), key=lambda x: (x.turn, x.line))])
     score = model.scores(codes)
     path = lambda p: model.start[p[0]] + score[np.arange(len(p)), p].sum() + model.step[p[:-1], p[1:]].sum()
-    got = np.array([model.roles.index(x.role) for x in sorted(transcripts.recover(ordered, model).collect(), key=lambda x: x.turn)])
-    assert abs(path(got) - path(transcripts.viterbi(score, model.start, model.step))) < 1e-6
+    got = in_their_order(ordered, model)
+    states = np.array([2 * model.roles.index(x.role) + (not x.begins) for x in got])
+    assert abs(path(states) - path(transcripts.viterbi(score, model.start, model.step))) < 1e-6
+    assert [x.number for x in got] == (np.cumsum([x.begins for x in got]) - 1).tolist()
+
+
+def test_recovery_is_the_best_path_of_all(spark):
+    """The query against every path there is, on short transcripts."""
+    r = random.Random(11)
+    rows = [(c, i, r.choice(["user", "assistant"]), r.choice(["what is it?", "words of an answer here", "", "User: hm", "- a point"])) for c in range(30) for i in range(r.randint(1, 4))]
+    ordered = lines_of(spark, rows)
+    model = transcripts.fit(ordered)
+    by = {}
+    for x in sorted(ordered.collect(), key=lambda x: (x.conv_id, x.turn, x.line)):
+        by.setdefault(x.conv_id, []).append(x.code)
+    got = {}
+    for x in in_their_order(ordered, model):
+        got.setdefault(x.conv_id, []).append(2 * model.roles.index(x.role) + (not x.begins))
+    for c, codes in by.items():
+        score, n = model.scores(np.array(codes)), len(codes)
+        total = lambda p: model.start[p[0]] + sum(score[i, p[i]] for i in range(n)) + sum(model.step[p[i], p[i + 1]] for i in range(n - 1))  # noqa: B023, E731
+        assert abs(total(got[c]) - max(map(total, itertools.product(range(4), repeat=n)))) < 1e-9
 
 
 def test_viterbi_is_the_best_path():
@@ -313,13 +364,12 @@ def test_viterbi_is_the_best_path():
 
 
 def test_transcript_edges(spark):
-    rows = [(1, 0, "user", None), (1, 0, "user", None), (1, 1, "assistant", ""), (None, None, None, "x"), (None, 3, "user", "User: hello"), (2, 0, None, "long " * 20_000)]
-    df = spark.createDataFrame(rows, CONV)
-    ordered = transcripts.in_order(transcripts.observed(df))
+    rows = [(1, 0, "user", None), (1, 0, "user", None), (1, 1, "assistant", ""), (None, None, None, "x"), (None, 3, "user", "User: hello"), (2, 0, None, "long " * 20_000), (3, 0, "user", "Question: kept in its answer")]
+    ordered = lines_of(spark, rows)
     got = transcripts.recover(ordered, transcripts.fit(ordered)).collect()
     assert len(got) == len(rows)
-    assert any(r.rendered == "<|user|>\nhello\n<|end|>\n" for r in got)
-    empty = transcripts.in_order(transcripts.observed(df.limit(0)))
-    assert transcripts.recover(empty, transcripts.fit(empty)).count() == 0
-    raw = spark.createDataFrame([(1, "intro\nUser: hi\nmore\n### Assistant: yes"), (2, None)], "i long, t string")
-    assert [r.text for r in transcripts.raw_turns(raw, "i", "t").orderBy("conv_id", "turn").collect()] == ["intro", "User: hi\nmore", "### Assistant: yes", ""]
+    assert any((r.rendered, r.marker) == ("<|user|>\nhello", "User: ") for r in got)
+    assert all(r.marker + r.rendered.removeprefix(f"<|{r.role}|>").removeprefix("\n") in {x[3] or "" for x in rows} for r in got)
+    empty = lines_of(spark, rows)
+    empty = transcripts.in_order(transcripts.observed(spark.createDataFrame(rows, CONV).limit(0)))
+    assert transcripts.recover(empty, transcripts.fit(empty)).count() == 0 and transcripts.written(spark.createDataFrame(rows, CONV)).count() == len(rows)
