@@ -13,6 +13,7 @@ log P(language | all) = text + declared + host, up to a constant:
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import spread_join, staged, text_of
+from .html_blocks import leaf_blocks
 from .wordhash import blocks
 
 #: Labelled rows of each language that the trigram model is fitted on; its sample has about twice as many at most.
@@ -146,6 +148,32 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")), url, F.lit("")))
 
 
+def declared_language(html: str) -> str | None:
+    """The main subtag of the language that a page's markup declares: the html element's, or that of a content-language meta; null if none."""
+    head = re.search(r"<html(?=[\s>])[^>]*", html, re.I)
+    said = head and re.search(r"\s(?:xml:)?lang\s*=\s*[\"']?\s*([a-z]{2,3})\b", head[0], re.I)
+    if not said:
+        for meta in re.finditer(r"<meta(?=\s)[^>]*", html, re.I):
+            if re.search(r"content-language", meta[0], re.I) and (said := re.search(r"\scontent\s*=\s*[\"']?\s*([a-z]{2,3})\b", meta[0], re.I)):
+                break
+    return said[1].lower() if said else None
+
+
+def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(page_id, url, declared, text) of web pages: the language that the markup declares, and the text of all blocks. A null html is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 512):
+                b = whole.slice(i, 512)
+                html = b.column(2).to_pylist()
+                said, text = [declared_language(x) for x in html], ["\n".join(y.text for y in leaf_blocks(x)) for x in html]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(said, pa.string()), pa.array(text, pa.string())], names=["page_id", "url", "declared", "text"])
+
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("html"))
+    return rows.mapInArrow(run, "page_id long, url string, declared string, text string")
+
+
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", address_col: str = "source") -> DataFrame:
     """One row per row of docs: doc_id, declared, language, probability, kept.
 

@@ -62,10 +62,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .language_id import fit, identify
+    from .language_id import fit, identify, page_evidence
 
-    docs = _table(spark, sf_dir, "documents")
-    return identify(docs, fit(docs)).select("doc_id", "declared", "language", "probability", "kept")
+    pages = page_evidence(_table(spark, sf_dir, "pages"))
+    found = identify(pages, fit(_table(spark, sf_dir, "documents")), id_col="page_id", declared_col="declared", address_col="url")
+    return found.withColumnRenamed("doc_id", "page_id")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

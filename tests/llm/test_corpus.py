@@ -27,11 +27,11 @@ def test_tokenizer_equals_the_library(tokens_path, corpus):
         assert np.frombuffer(own.ids(text), own.dtype).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
-def pieces_hold(rows, docs, path, length):
+def pieces_hold(rows, docs, path, length, added=False):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not added
     want = Counter()
     for d, text, *_ in docs:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
@@ -239,22 +239,3 @@ def test_language_edges(docs, corpus, nothing, languages):
     assert left.columns == docs.columns and left.count() == sum(r.kept for r in rows)
     assert language_id.identify(nothing, model).count() == 0
     assert language_id.fit(nothing)[0] == [] and language_id.identify(docs, language_id.fit(nothing)).filter("kept").count() == 0
-
-
-# --- pipeline -----------------------------------------------------------------------------
-
-
-def test_pipeline_stages(spark, docs, tmp_path, languages):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    spark.createDataFrame([(1, "some item that nothing holds anywhere")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, now, str(tmp_path))
-        assert after.columns == docs.columns, name
-        after.write.parquet(str(tmp_path / name))
-        before, now = now, spark.read.parquet(str(tmp_path / name))
-        assert 0 < now.count() <= before.count()
-    pieces = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
-    assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in now.collect()}
-    assert now.groupBy(F.coalesce("text", F.lit(""))).count().filter("count > 1").count() == 0
