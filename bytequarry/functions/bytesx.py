@@ -98,7 +98,7 @@ def scaled_offset(value: Column, flags: Column, unit: int = 0x800) -> Column:
 
 def zstring(data: Column, offset: Offset, size: Offset) -> Column:
     """Text of a fixed field, up to its first NUL."""
-    return F.split_part(F.decode(slice_bytes(data, offset, size), F.lit("UTF-8")), F.lit("\0"), F.lit(1))
+    return F.split_part(F.decode(slice_bytes(data, offset, size), "UTF-8"), F.lit("\0"), F.lit(1))
 
 
 def nibble_swap(data: Column) -> Column:
@@ -117,6 +117,11 @@ def le_bytes(value: Column, n: int) -> Column:
     return F.unhex(F.concat(*each))
 
 
+def from_base64(text: Column) -> Column:
+    """The bytes of base-64 text; null where it is none."""
+    return F.try_to_binary(text, F.lit("base64"))
+
+
 def contains_any(data: Column, needles: list[bytes]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(data, F.lit(n)) for n in needles])
 
@@ -127,7 +132,7 @@ def byte_at_most(value: Column, limit: int) -> Column:
 
 def looks_textual(data: Column) -> Column:
     """No byte below 0x09; bytes of 0x80 and more only as valid UTF-8 that does not begin in the first three bytes."""
-    text = F.decode(data, F.lit("ISO-8859-1"))
+    text = F.decode(data, "ISO-8859-1")
     low = text.rlike("[\\x00-\\x08]")
     high = text.rlike("[\\x80-\\xFF]")
     early = F.substring(text, 1, 3).rlike("[\\x80-\\xFF]")

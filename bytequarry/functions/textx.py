@@ -119,6 +119,34 @@ def matches_any(text: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.rlike("^" + glob_regex(p)) for p in patterns], F.lit(False))
 
 
+def contains_any_case(text: Column, needles: list[str]) -> Column:
+    """Whether a text holds any of some words, case aside."""
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(n.lower())) for n in needles], F.lit(False))
+
+
+def pattern_tags(text: Column, patterns: list[str], tags: list[str]) -> Column:
+    """STRUCT of tags by the first pattern that fits the whole text: its named groups; a tag that the pattern lacks, or empty, is null."""
+    out = {t: F.lit(None).cast("string") for t in tags}
+    for p in reversed(patterns):
+        places = re.compile(p.replace("(?<", "(?P<")).groupindex
+        whole = f"^(?:{p})$"
+        for t in tags:
+            value = _empty_null(F.regexp_extract(text, whole, places[t])) if t in places else F.lit(None).cast("string")
+            out[t] = F.when(F.regexp_like(text, F.lit(whole)), value).otherwise(out[t])
+    return F.struct(*[c.alias(t) for t, c in out.items()])
+
+
+def decibels(share: Column, silent: float = -96.0) -> Column:
+    """A linear volume (1: full) in decibels; no volume is `silent`."""
+    return F.when(share <= 0, F.lit(silent)).otherwise(20 * F.log10(share))
+
+
+def volume_command(share: Column) -> Column:
+    """The text command that plays at a linear volume, in hundredths."""
+    return F.concat(F.lit("v"), F.round(share, 2).cast("decimal(9,2)").cast("string"))
+
+
 def url_path(url: Column, cut: str | Column | None = None, out: str | Column = "", filevar: str | Column | None = None, name: Column | None = None) -> Column:
     """The local path of an address.
 

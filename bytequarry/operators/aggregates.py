@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,3 +65,25 @@ def any_active(df: DataFrame, group: list[str], flags: str, n: int) -> DataFrame
 
 def mean_vector(df: DataFrame, group: list[str], vector: str, dim: int) -> DataFrame:
     return df.groupBy(*group).agg(F.array(*[F.avg(F.get(F.col(vector), F.lit(i))) for i in range(dim)]).alias("mean"))
+
+
+def byte_counts(df: DataFrame, data: str, mask: bytes = b"\0") -> DataFrame:
+    """(byte, n): how often each value occurs in all blobs, each byte XORed with the mask's at its place. A task sends 256 numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(256, np.int64)
+        key = np.frombuffer(mask, np.uint8)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                if x:
+                    counts += np.bincount(np.frombuffer(x, np.uint8) ^ np.resize(key, len(x)), minlength=256)
+        at = np.flatnonzero(counts)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["byte", "n"])
+
+    return df.select(data).mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n"))
+
+
+def merged_names(df: DataFrame, group: list[str], stem: str, name: str) -> DataFrame:
+    """(group, stem, names): the distinct names of events that share a stem, in order."""
+    return df.groupBy(*group, stem).agg(F.array_sort(F.collect_set(name)).alias("names"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,54 +43,49 @@ def cases(text: Column) -> Column:
     return F.array_distinct(F.array(text, F.lower(text), F.upper(text), F.concat(F.upper(F.left(text, F.lit(1))), F.lower(F.substring(text, F.lit(2), F.length(text))))))
 
 
-def _expand_one(template: str) -> list[str] | None:
-    """Expansions of the first field that is not %s, or None if there is none."""
-    at = 0
-    while (at := template.find("%", at)) >= 0:
-        kind = template[at + 1 : at + 2]
-        if kind == "s":
-            at += 2
-            continue
-        head, rest = template[:at], template[at + 1 :]
-        if kind == "c":
-            return [head + c + rest[1:] for c in LETTERS]
-        if kind == "[":
-            inside, _, tail = rest[1:].partition("]")
-            return [head + c + tail for c in inside]
-        body, zero = rest, ""
-        if body[:1] == "0":
-            zero, body = "0", body[1:]
-        digits, body = (int(body[0]), body[1:]) if body[:1].isdigit() else (1, body)
-        if body[:1] not in ("i", "d", "x", "X") or digits >= 9:
-            return []
-        base, show, body = 10 if body[0] in "id" else 16, "d" if body[0] in "id" else body[0], body[1:]
-        step = limit = 0
-        for mark in ":^":
-            if body[:1] == mark:
-                value, _, body = body[1:].partition(mark)
-                step, limit = (int(value), limit) if mark == ":" else (step, int(value))
-        spec = f"{zero}{digits}{show}" if zero or digits > 1 else show
-        return [head + format(i, spec) + body for i in range(0, limit or base**digits, step or 1)]
-    return None
-
-
-def expand_template(template: str) -> list[str]:
-    """All names of a template: %c a letter, %[abc] one of these, %0Nd:step:^limit^ numbers (i, d, x, X); %s stays for a word."""
-    ready, todo = [], [template]
-    while todo:
-        t = todo.pop()
-        more = _expand_one(t)
-        if more is None:
-            ready.append(t)
-        else:
-            todo += reversed(more)
-    return ready
+#: Fields of a template: a letter, one of some characters, a number of some width, step and limit.
+_FIELD = re.compile(r"%(?:(c)|\[([^\]]*)\]|(0?)(\d*)([idxX])(?::(\d+):)?(?:\^(\d+)\^)?)")
 
 
 def expanded(templates: DataFrame, template: str) -> DataFrame:
-    """templates with one row per expansion in `name`."""
-    run = F.udf(expand_template, "array<string>")
-    return templates.withColumn("name", F.explode(run(template)))
+    """templates with one row per expansion in `name`.
+
+    %c is a letter, %[abc] one of these, %0Nd:step:^limit^ a number (i, d, x,
+    X; all of N digits, from 0 by step, below limit); %s stays for a word. A
+    field's values are a sequence that is exploded, so a wide field is as many
+    rows and never a list in one task. The templates' distinct forms come to
+    the driver, for each is a plan of its own: they are a short list.
+    """
+    forms = [r[0] for r in templates.select(template).filter(F.col(template).isNotNull()).distinct().collect()]
+    out = None
+    for form in forms:
+        rows, at = templates.filter(F.col(template) == form).withColumn("name", F.lit("")), 0
+        for m in _FIELD.finditer(form):
+            letter, some, zero, digits, kind, step, limit = m.groups()
+            rows = rows.withColumn("name", F.concat("name", F.lit(form[at : m.start()])))
+            at = m.end()
+            if kind is None:
+                rows = rows.withColumn("__v", F.explode(F.array(*map(F.lit, LETTERS if letter else some)))) if letter or some else rows.withColumn("__v", F.lit(None).cast("string")).filter(F.lit(False))
+            else:
+                width, base = int(digits or 1), 10 if kind in "id" else 16
+                last = (int(limit) if limit and int(limit) else base**width) - 1
+                rows = _numbers(rows, last, int(step or 0) or 1)
+                shown = F.col("__n").cast("string") if base == 10 else F.hex("__n") if kind == "X" else F.lower(F.hex("__n"))
+                rows = rows.withColumn("__v", F.when(F.length(shown) >= width, shown).otherwise(F.lpad(shown, width, "0" if zero else " "))).drop("__n")
+            rows = rows.withColumn("name", F.concat("name", "__v")).drop("__v")
+        rows = rows.withColumn("name", F.concat("name", F.lit(form[at:])))
+        out = rows if out is None else out.unionByName(rows)
+    return out if out is not None else templates.withColumn("name", F.lit("")).limit(0)
+
+
+def _numbers(rows: DataFrame, last: int, step: int, at_once: int = 1_000_000) -> DataFrame:
+    """rows with __n: 0, step, 2 * step ... up to last, by sequences of at most `at_once`."""
+    n = last // step + 1
+    starts = rows.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"), F.lit(at_once).cast("bigint"))))
+    if n > at_once:
+        starts = starts.repartition(min(1000, -(-n // at_once)), "__s")
+    ends = F.least(F.col("__s") + (at_once - 1), F.lit(n - 1).cast("bigint"))
+    return starts.withColumn("__n", F.explode(F.transform(F.sequence("__s", ends), lambda i: i * step))).drop("__s")
 
 
 def mined_templates(words: DataFrame, word: str, sep: str = "_") -> DataFrame:
@@ -155,6 +152,16 @@ def swap_list(order: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def swaps(order: Column) -> Column:
+    """swap_list of an array column of a permutation, as an array of structs (a, b) of places."""
+
+    @F.pandas_udf("array<struct<a: int, b: int>>")
+    def run(orders: pd.Series) -> pd.Series:
+        return orders.map(lambda x: [{"a": a, "b": b} for a, b in swap_list(list(x))], na_action="ignore")
+
+    return run(order)
+
+
 def owned_names(found: DataFrame, contexts: DataFrame) -> DataFrame:
     """Recovered (hash, name) with the context that owns the hash: the first by order; those in none come last with a null context. contexts: (ctx, ctx_order, hash)."""
     owner = contexts.groupBy("hash").agg(F.min_by("ctx", "ctx_order").alias("ctx"), F.min("ctx_order").alias("ctx_order"))

@@ -122,3 +122,10 @@ def with_implied_ids(ids: DataFrame, col: str, mask: int, mapping: dict[int, int
     for a, b in mapping.items():
         implied = F.when(kind == a, F.col(col) - a + b).otherwise(F.lit(None) if implied is None else implied)
     return ids.select(F.explode(F.array_compact(F.array(F.col(col), implied))).alias(col)).distinct()
+
+
+def prefix_groups(df: DataFrame, id_col: str, keys: list[str], text: Column, n: int) -> DataFrame:
+    """Rows that share their keys and the first n characters of a text with others: keys, prefix, id, first_id (the group's least), members. Pairs are implied by the group."""
+    rows = df.select(*keys, F.left(text, F.lit(n)).alias("prefix"), F.col(id_col))
+    groups = rows.groupBy(*keys, "prefix").agg(F.min(id_col).alias("first_id"), F.count("*").alias("members")).filter("members > 1")
+    return rows.join(groups, [*keys, "prefix"])

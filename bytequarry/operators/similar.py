@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,35 +39,71 @@ def dtw(a: np.ndarray, b: np.ndarray) -> float:
     return float(best[-1] / (len(a) + len(b)))
 
 
-def weighted(parts: dict[str, float], weights: dict[str, float] = WEIGHTS) -> float:
+def weighted(parts: dict, weights: dict[str, float] = WEIGHTS):
+    """The parts' mean by weight; numbers or arrays."""
     whole = sum(weights[k] for k in parts)
     return sum(weights[k] * v for k, v in parts.items()) / whole if whole else 0.0
 
 
 def best_matches(left: DataFrame, right: DataFrame, id_col: str, vector: str, block: str, exclude_self: bool = True) -> DataFrame:
-    """For each left row the right row of its block with the highest cosine: id, match_id, score (6 digits). Ties: the least id.
+    """For each left row the right row of its block with the highest cosine: id, match_id, score (6 digits). Ties: the least id."""
 
-    Each block's right side is cut into pieces of BLOCK_ROWS that are met by
-    its left rows, so no task holds more than a piece of either side; the best
-    of each piece meet in a grouped maximum.
+    def score(l: pd.DataFrame, r: pd.DataFrame) -> np.ndarray:
+        return cosine(np.stack(l.v.to_numpy()).astype(float), np.stack(r.v.to_numpy()).astype(float))
+
+    return _best(left, right, id_col, block, {"v": vector}, score, exclude_self)
+
+
+def weighted_matches(left: DataFrame, right: DataFrame, id_col: str, block: str, vector: str | None = None, tempo: str | None = None, loudness: str | None = None, seconds: str | None = None, frames: str | None = None, tempo_apart: float | None = None, seconds_apart: float | None = None, weights: dict[str, float] = WEIGHTS, exclude_self: bool = False) -> DataFrame:
+    """For each left row the right row of its block with the highest weighted score: id, match_id, score (6 digits). Ties: the least id.
+
+    The parts of the score are those whose columns are given: closeness of
+    tempo and of loudness, closeness by warping of `frames` (arrays of
+    vectors), by distance of `vector`, and its cosine; each with its weight,
+    over the weights of the parts. Pairs whose tempo is more than tempo_apart
+    away, or whose durations differ by more than seconds_apart of the longer,
+    are none, and only the others are warped.
     """
-    pieces = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_ROWS)).cast("int")
-    sizes = right.groupBy(block).agg(F.count("*").alias("n"))
-    dealt_l = left.select(F.col(id_col).alias("id"), F.col(block).alias("b"), F.col(vector).alias("v"))
-    dealt_r = right.select(F.col(id_col).alias("id"), F.col(block).alias("b"), F.col(vector).alias("v"))
+    columns = {k: c for k, c in (("v", vector), ("tempo", tempo), ("loudness", loudness), ("seconds", seconds), ("frames", frames)) if c}
+
+    def score(l: pd.DataFrame, r: pd.DataFrame) -> np.ndarray:
+        apart = lambda c: np.abs(l[c].to_numpy(float)[:, None] - r[c].to_numpy(float))
+        near = np.ones((len(l), len(r)), bool)
+        if tempo and tempo_apart is not None:
+            near &= apart("tempo") <= tempo_apart
+        if seconds and seconds_apart is not None:
+            near &= apart("seconds") <= seconds_apart * np.maximum(l.seconds.to_numpy(float)[:, None], r.seconds.to_numpy(float))
+        parts = {c: closeness(apart(c)) for c in ("tempo", "loudness") if c in columns}
+        if vector:
+            a, b = np.stack(l.v.to_numpy()).astype(float), np.stack(r.v.to_numpy()).astype(float)
+            square = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T
+            parts |= {"euclid": closeness(np.sqrt(np.maximum(square, 0))), "cosine": cosine(a, b)}
+        if frames:
+            warped = np.zeros(near.shape)
+            fl, fr = ([np.stack(x).astype(float) for x in side.frames] for side in (l, r))
+            for i, j in zip(*np.nonzero(near), strict=True):
+                warped[i, j] = closeness(dtw(fl[i], fr[j]))
+            parts["dtw"] = warped
+        return np.where(near, weighted(parts, weights), -np.inf)
+
+    return _best(left, right, id_col, block, columns, score, exclude_self)
+
+
+def _best(left: DataFrame, right: DataFrame, id_col: str, block: str, columns: dict[str, str], score: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], exclude_self: bool) -> DataFrame:
+    """For each left row the best of its block: each block is cut into pieces of BLOCK_ROWS on both sides, pieces meet in pairs, and the best of each pair of pieces meet in a grouped maximum. No task holds more than a piece of either side; the number of pairs is a block's own rows squared, so blocks are the caller's way to keep it small."""
+    cut = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK_ROWS)).cast("int")
+    sizes = left.groupBy(F.col(block).alias("b")).agg(F.count("*").alias("m")).join(right.groupBy(F.col(block).alias("b")).agg(F.count("*").alias("n")), "b")
     sized = F.broadcast(sizes) if sizes.limit(100_001).count() <= 100_000 else sizes
-    parts_l = left.groupBy(block).agg(F.count("*").alias("m"))
-    rows_l = dealt_l.join(sized.withColumnRenamed(block, "b"), "b").join(parts_l.withColumnRenamed(block, "b"), "b")
-    own_l = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_ROWS)).cast("int")).cast("int")
-    rows_l = rows_l.select("b", own_l.alias("i"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("j"), "id", "v", F.lit(True).alias("left"))
-    rows_r = dealt_r.join(sized.withColumnRenamed(block, "b"), "b").join(parts_l.withColumnRenamed(block, "b"), "b")
-    rows_r = rows_r.select("b", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK_ROWS)).cast("int") - 1)).alias("i"), F.pmod(F.xxhash64("id"), pieces).cast("int").alias("j"), "id", "v", F.lit(False).alias("left"))
+    side = lambda df: df.select(F.col(id_col).alias("id"), F.col(block).alias("b"), *[F.col(c).alias(k) for k, c in columns.items()]).join(sized, "b")
+    own, every = (lambda n: F.pmod(F.xxhash64("id"), cut(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), cut(n) - 1)))
+    rows_l = side(left).withColumn("i", own("m")).withColumn("j", every("n")).withColumn("left", F.lit(True))
+    rows_r = side(right).withColumn("i", every("m")).withColumn("j", own("n")).withColumn("left", F.lit(False))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         l, r = pdf[pdf.left], pdf[~pdf.left].sort_values("id")
         if not len(l) or not len(r):
             return pd.DataFrame({"id": [], "match_id": [], "score": []})
-        s = np.round(cosine(np.stack(l.v.to_numpy()).astype(float), np.stack(r.v.to_numpy()).astype(float)), 6)
+        s = np.round(score(l, r), 6)
         if exclude_self:
             s[l.id.to_numpy()[:, None] == r.id.to_numpy()] = -np.inf
         at = s.argmax(axis=1)

@@ -414,3 +414,6 @@ SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n, round(s
 def hourly_totals(events):
     """Batch form of the streaming extension's tumbling window."""
     return events.groupBy("user_id", F.window("ts", "1 hour")["start"].alias("hour")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+from . import columns  # noqa: E402, F401  (registers its queries)

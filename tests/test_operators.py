@@ -48,9 +48,12 @@ def test_rank_over_tasks(spark):
 def test_names(spark):
     one = spark.range(1)
     assert set(one.select(names.subsequences(F.lit("a_b_c")).alias("x")).first()["x"]) == {"a", "b", "c", "a_b", "b_c", "a_b_c"}
-    assert names.expand_template("x%[ab]_%02d^3^") == [f"x{c}_{i:02d}" for c in "ab" for i in range(3)]
-    assert names.expand_template("%c") == list("abcdefghijklmnopqrstuvwxyz")
-    assert len(names.expand_template("%2x:16:")) == 16 and names.expand_template("%s_x") == ["%s_x"]
+    made = lambda *forms: [r["name"] for r in names.expanded(spark.createDataFrame([(f,) for f in forms], "f string"), "f").collect()]
+    assert sorted(made("x%[ab]_%02d^3^")) == [f"x{c}_{i:02d}" for c in "ab" for i in range(3)]
+    assert sorted(made("%c")) == list("abcdefghijklmnopqrstuvwxyz") and made() == []
+    assert len(made("%2x:16:")) == 16 and made("%s_x") == ["%s_x"]
+    assert made("a%09d^2^", "b%012X:16:^32^") == ["a000000000", "a000000001", "b000000000000", "b000000000010"]
+    assert names.expanded(spark.createDataFrame([("%07d",)], "f string"), "f").count() == 10_000_000
     words = spark.createDataFrame([(0, "# no"), (1, "fooBar x-y"), (2, "FOOBAR")], "seq int, line string")
     got = {r.word: r.original for r in names.word_list(words, "line").collect()}
     assert got["foobar"] == "FOOBAR" and "foo_bar" in got and "x" in got and "no" not in got
