@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,7 +104,11 @@ def zstring(data: Column, offset: Offset, size: Offset) -> Column:
 
 
 def nibble_swap(data: Column) -> Column:
-    return F.unhex(F.regexp_replace(F.hex(data), "(.)(.)", "$2$1"))
+    @F.pandas_udf("binary")
+    def run(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda x: ((v := np.frombuffer(x, np.uint8)) << 4 | v >> 4).tobytes(), na_action="ignore")
+
+    return run(data)
 
 
 def patch(data: Column, offset: Offset, new: Column) -> Column:
@@ -140,5 +146,5 @@ def looks_textual(data: Column) -> Column:
 
 
 def concat_in_order(group_bytes: Column) -> Column:
-    """Bytes of an array of structs (seq, payload), joined by seq."""
-    return F.aggregate(F.array_sort(group_bytes), F.lit(b""), lambda acc, x: F.concat(acc, x["payload"]))
+    """Bytes of an array of structs (seq, payload), joined by seq: as hexadecimal text, which is joined in one pass."""
+    return F.unhex(F.array_join(F.transform(F.array_sort(group_bytes), lambda x: F.hex(x["payload"])), ""))

@@ -150,6 +150,51 @@ def lzss_bytes(data: bytes) -> bytes:
     return bytes(out)
 
 
+class _Bits:
+    """Bits of flag bytes, highest first; a flag byte is taken from the stream when the one before is used up."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.at, self.left, self.flags = data, 0, 0, 0
+
+    def byte(self) -> int:
+        self.at += 1
+        return self.data[self.at - 1]
+
+    def bit(self) -> int:
+        if not self.left:
+            self.flags, self.left = self.byte(), 8
+        self.left -= 1
+        return self.flags >> self.left & 1
+
+
+def gprs_bytes(data: bytes) -> bytes:
+    """Flag bits among bytes: 0 a literal byte; 10 a byte that says how far back (256 less it; 0 ends); 11 a byte and four bits that say it less 255. Then a length: 1, doubled with a new bit added for each pair of a 1 and that bit, and one more byte than it is copied."""
+    bits, out = _Bits(data), bytearray()
+    while True:
+        if not bits.bit():
+            out.append(bits.byte())
+            continue
+        if not bits.bit():
+            low = bits.byte()
+            if not low:
+                return bytes(out)
+            back = 256 - low
+        else:
+            far = bits.byte() - 256
+            for _ in range(4):
+                far = 2 * far + bits.bit()
+            back = 255 - far
+        n = 1
+        while bits.bit():
+            n = 2 * n + bits.bit()
+        if back > len(out):
+            raise ValueError("copy from before the data")
+        for _ in range(n + 1):
+            out.append(out[-back])
+        if bits.at >= len(data):
+            return bytes(out)
+
+
 def inflate_bytes(data: bytes, kind: str) -> bytes | None:
     try:
         if kind in ("zlib", "deflate"):
@@ -162,13 +207,17 @@ def inflate_bytes(data: bytes, kind: str) -> bytes | None:
             return zstandard.ZstdDecompressor().decompressobj().decompress(data)
         if kind == "lzss":
             return lzss_bytes(data)
+        if kind == "gprs":
+            return gprs_bytes(data)
+        if kind == "nibbles":
+            return bytes((b << 4 | b >> 4) & 255 for b in data)
         return data if kind in ("copy", "", None) else None
     except Exception:
         return None
 
 
 #: Codecs that inflate_bytes knows; others give null and the error unsupported_codec.
-CODECS = ("copy", "zlib", "deflate", "lzma", "zstd", "lzss")
+CODECS = ("copy", "zlib", "deflate", "lzma", "zstd", "lzss", "gprs", "nibbles")
 
 
 def inflate(data: Column, kind: str = "zlib") -> Column:

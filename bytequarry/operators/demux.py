@@ -70,4 +70,4 @@ def deblocked(df: DataFrame, content: str, block: int = 0x4000, first: int = 0x3
     n = F.greatest(F.lit(0), F.ceil((F.length(data) - first) / block)).cast("int")
     starts = F.concat(F.array(F.lit(0)), F.transform(F.filter(F.sequence(F.lit(0), n), lambda i: i < n), lambda i: i * block + first))
     pieces = F.transform(starts, lambda s: F.substring(data, s + head + 1, F.when(s == 0, first).otherwise(block) - head))
-    return df.withColumn(content, F.aggregate(pieces, F.lit(b""), lambda a, x: F.concat(a, x)))
+    return df.withColumn(content, F.unhex(F.array_join(F.transform(pieces, lambda x: F.hex(x)), "")))

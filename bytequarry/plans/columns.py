@@ -236,7 +236,7 @@ def spelling_retries(part):
     """A table whose keys are spelled in one of three ways, looked up by trying them in turn."""
     stem = F.concat(F.lit("Key_"), F.col("p_partkey").cast("string"))
     kept = F.when(F.col("p_partkey") % 3 == 0, stem).when(F.col("p_partkey") % 3 == 1, F.lower(stem)).otherwise(F.upper(stem))
-    found = sets.key_spellings(part.select(stem.alias("item")), part.select(kept.alias("key"), F.col("p_size").alias("value")), "item", "key", "value", [stem if False else F.col("item"), F.lower("item"), F.upper("item")])
+    found = sets.key_spellings(part.select(stem.alias("item")), part.select(kept.alias("key"), F.col("p_size").alias("value")), "item", "key", "value", [F.col("item"), F.lower("item"), F.upper("item")])
     return found.select(F.substring("item", 5, 20).cast("bigint").alias("p_partkey"), "value")
 
 

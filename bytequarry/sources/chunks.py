@@ -208,7 +208,76 @@ def _bink(data: bytes) -> Iterator[tuple[str, int, int, int, int]]:
         yield "vide", 0, 0, begin, end
 
 
-FILM, MUL, XAV, IPUS, SMV, SMK, BINK = (Dialect(_trimmed, spans=f) for f in (_film, _mul, _xav, _ipus, _smv, _smk, _bink))
+def _siff(data: bytes) -> Iterator[tuple[str, int, int, int, int]]:
+    """Big-endian heads up to the body, then little-endian blocks of size and flags: 1 four bytes of motion, 4 an audio part whose size counts its own four bytes; what is left is video."""
+    if data[:4] != b"SIFF" or data[8:16] != b"VBV1VBHD":
+        raise ValueError("other signature")
+    at = 0x1C + struct.unpack_from(">I", data, 0x10)[0]
+    yield "head", 0, 0, 0, at
+    while at + 6 <= len(data):
+        size, flags = struct.unpack_from("<IH", data, at)
+        if flags & 2 or size < 6:
+            raise ValueError("unknown flag")
+        begin = at + 6 + (4 if flags & 1 else 0)
+        if flags & 4:
+            length = struct.unpack_from("<I", data, begin)[0]
+            yield "audi", 0, flags, begin + 4, begin + length
+            begin += length
+        if begin < at + size:
+            yield "vide", 0, flags, begin, min(at + size, len(data))
+        at += size
+
+
+def _str(data: bytes) -> Iterator[tuple[str, int, int, int, int]]:
+    """A head of 0x800 bytes with the sizes of the first video group and of audio blocks, then audio and video by turns; a group names the next one's size."""
+    if data[:4] != b"str\0":
+        raise ValueError("other signature")
+    video, block, first = struct.unpack_from("<I", data, 0x18)[0], *struct.unpack_from("<II", data, 0x2C)
+    if not video or not block or not first:
+        raise ValueError("no video, or no audio")
+    yield "head", 0, 0, 0, 0x800
+    at, audio = 0x800, first
+    while at < len(data):
+        yield "audi", 0, 0, at, min(at + audio, len(data))
+        at += audio
+        if at >= len(data):
+            return
+        if data[at : at + 15] != b"GroupOfDataInfo" or not video:
+            raise ValueError("no group of data")
+        after = struct.unpack_from("<I", data, at + 0x28)[0]
+        yield "vide", 0, 0, at, min(at + video, len(data))
+        at, video, audio = at + video, after, block
+
+
+def _vid1(order: str):
+    def spans(data: bytes) -> Iterator[tuple[str, int, int, int, int]]:
+        """A head of 0x20 bytes and one of 12, chunks VIDH and AUDH, then frames: a head of 0x20 bytes and chunks of id and size, of which AUDD is audio."""
+        word = lambda at: struct.unpack_from(order + "I", data, at)[0]
+        mark = lambda x: x if order == ">" else x[::-1]
+        if data[:4] != mark(b"VID1") or data[0x2C:0x30] != mark(b"VIDH"):
+            raise ValueError("other signature")
+        at = 0x2C + word(0x30)
+        if data[at : at + 4] != mark(b"AUDH"):
+            raise ValueError("no audio")
+        after = at + word(at + 4)
+        yield "head", 0, 0, at, after
+        at = after
+        while at + 8 <= len(data):
+            name, size = mark(data[at : at + 4]), word(at + 4)
+            if name == b"FRAM":
+                at += 0x20
+                continue
+            if size < 8:
+                return
+            yield ("audi" if name == b"AUDD" else "vide", 0, 0, at, min(at + size, len(data)))
+            at += size
+
+    return spans
+
+
+FILM, MUL, XAV, IPUS, SMV, SMK, BINK, SIFF, STR, VID1, VID1_LE = (Dialect(_trimmed, spans=f) for f in (_film, _mul, _xav, _ipus, _smv, _smk, _bink, _siff, _str, _vid1(">"), _vid1("<")))
+#: Dialects by name.
+DIALECTS = {"trimmed": TRIMMED, "blocks": BLOCKS, "sectors": SECTORS, "schl": SCHL, "snh1": SNH1, "riff": RIFF_CHUNKS, "bytes": BYTE_CHUNKS, "pairs": VIDEO_AUDIO_PAIRS, "film": FILM, "mul": MUL, "xav": XAV, "ipus": IPUS, "smv": SMV, "smk": SMK, "bink": BINK, "siff": SIFF, "str": STR, "vid1": VID1, "vid1_le": VID1_LE}
 
 
 def read_chunks(data: bytes, dialect: Dialect) -> Iterator[tuple]:
@@ -237,8 +306,8 @@ def read_chunks(data: bytes, dialect: Dialect) -> Iterator[tuple]:
         at, seq = after, seq + 1
 
 
-def walk(files: DataFrame, path: str, content: str, dialect: Dialect) -> DataFrame:
-    """One row per chunk: path and SCHEMA. Order is in seq. A bad chunk ends its file with one row of error."""
+def walk(files: DataFrame, path: str, content: str, dialect: Dialect | str) -> DataFrame:
+    """One row per chunk: path and SCHEMA. Order is in seq. A bad chunk ends its file with one row of error. dialect: one, or the column that holds the name of one."""
     names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +315,8 @@ def walk(files: DataFrame, path: str, content: str, dialect: Dialect) -> DataFra
             for i in range(b.num_rows):
                 data = b.column(1)[i].as_py()
                 held = []
-                for row in read_chunks(data, dialect) if data is not None else ():
+                form = DIALECTS[b.column("dialect")[i].as_py()] if isinstance(dialect, str) else dialect
+                for row in read_chunks(data, form) if data is not None else ():
                     held.append(row)
                     if len(held) == 256:
                         yield _batch(b.column(0)[i].as_py(), b.column(0).type, held, path, names)
@@ -255,7 +325,7 @@ def walk(files: DataFrame, path: str, content: str, dialect: Dialect) -> DataFra
                     yield _batch(b.column(0)[i].as_py(), b.column(0).type, held, path, names)
 
     kind = files.schema[path].dataType.simpleString()
-    return files.select(path, content).mapInArrow(run, f"{path} {kind}, {SCHEMA}")
+    return files.select(F.col(path), F.col(content), *([F.col(dialect).alias("dialect")] if isinstance(dialect, str) else [])).mapInArrow(run, f"{path} {kind}, {SCHEMA}")
 
 
 def _batch(key, key_type, rows: list[tuple], path: str, names: list[str]) -> pa.RecordBatch:

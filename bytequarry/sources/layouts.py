@@ -1,33 +1,19 @@
-"""Directory layouts of archive formats, for toc.entries. All values here are fixed values of the formats."""
+"""Directory layouts of archive formats, and readers of those with rules of their own, for toc.entries. All values here are fixed values of the formats."""
 
 from __future__ import annotations
 
+from .archives import READERS, Reader
 from .toc import FLAT, Layout
 
-LAYOUTS: dict[str, Layout] = {
+LAYOUTS: dict[str, Layout | Reader] = READERS | {
     "flat": FLAT,
-    "capcom_arc": Layout(magic=b"\0CRA", big=True, count=(6, "u16"), table=8, stride=0x50, fields={"name": (0, "s64"), "size": (0x44, "u32"), "offset": (0x4C, "u32")}),
     "capcom_dlcp": Layout(big=True, count=(0x0C, "u32"), table=0x10, inline=(("name", "p8"), ("offset", "u32")), sized="next"),
-    "capcom_sspr": Layout(magic=b"SSPR", big="guess", count=(8, "u32"), table=0x10, stride=0x10, fields={"name_at": (0, "u32"), "offset": (4, "u32"), "size": (0x0C, "u32")}),
-    "cave_bin": Layout(magic=b"\x17\x01\x09\xC0", count=(0x0C, "u32"), table=0x24, stride=0x114, fields={"size": (4, "u32"), "offset": (0x0C, "u32"), "name": (0x10, "s260")}),
-    "cave_bin_be": Layout(magic=b"\x17\x01\x09\xC0", big=True, count=(0x0C, "u32"), table=0x24, stride=0x114, fields={"size": (4, "u32"), "offset": (0x0C, "u32"), "name": (0x10, "s260")}),
-    "cavia_fpk": Layout(magic=b"fpk\0", count=(8, "u32"), table=(0x14, "u32"), base=(0x28, "u32"), stride=0x10, fields={"offset": (4, "u32"), "size": (8, "u32")}),
-    "entis_noa": Layout(magic=b"Entis", count=(0x50, "u32"), table=0x54, base=0x50, inline=(("size", "u64"), ("a", "u64"), ("offset", "u64"), ("b", "u64"), ("c", "u32"), ("name", "p32"))),
-    "fpk": Layout(count=(4, "u32"), table=0x10, stride=0x30, fields={"name": (0, "s32"), "offset": (0x24, "u32"), "size": (0x2C, "u32")}),
-    "platinum_pkz": Layout(magic=b"pkzl", count=(0x10, "u32"), table=(0x14, "u32"), stride=0x20, fields={"name_offset": (0, "u32"), "full": (8, "u64"), "offset": (0x10, "u64"), "packed": (0x18, "u64"), "size": (8, "u64")}, packed_codec="zstd"),
-    "platinum_dat": Layout(magic=b"DAT\0", big="guess", count=(4, "u32"), arrays={"offset": (8, "u32"), "name": (0x10, "sized"), "size": (0x14, "u32")}),
-    "premium_agency_pa": Layout(magic=b"PAA\0", count=(8, "u32"), table=(0x0C, "u32"), stride=0x10, fields={"name_at": (0, "u32"), "size": (4, "u32"), "offset": (8, "u32")}),
     "spk": Layout(magic=b"\0ISF", count=(8, "u32"), table=0x10, stride=0x10, fields={"name_at": (0, "u32"), "offset": (4, "u32"), "size": (8, "u32")}),
-    "redspark_pack": Layout(magic=b"PACK", big=True, count=(4, "u32"), table=8, stride=8, fields={"offset": (0, "u32"), "size": (4, "u32")}),
-    "torus_pak": Layout(magic=b"PAK\0", big="guess", count=(4, "u32"), table=8, stride=0x0C, fields={"offset": (4, "u32"), "size": (8, "u32")}),
-    "irem_fat": Layout(magic=b"FAT ", count=(4, "u32"), table=(0xF4, "u32"), base=(0xFC, "u32"), stride=0x10, fields={"offset": (0, "u32"), "size": (4, "u32"), "name_at": (0x0C, "u32")}),
-    "irem_fat_short": Layout(magic=b"FAT ", count=(4, "u32"), table=(0xF4, "u32"), base=(0xFC, "u32"), stride=0x0C, fields={"offset": (0, "u32"), "size": (4, "u32"), "name_at": (8, "u32")}),
     "tecmo_fhd": Layout(magic=b"\0DHF", count=(0x0C, "u32"), arrays={"size": (0x10, "u32"), "kind": (0x14, "u8"), "name": (0x1C, "zz"), "offset": (0x20, "u32")}, unit=0x800, skip=(0xFFFFFFFF,)),
     "loco_garc": Layout(magic=b"GARC", count=(0x14, 8, "u32"), table=(0x14, 0x10, "u32"), stride=0x18, fields={"size": (4, "u32"), "offset": (8, "u32"), "name_at": (0x0C, "u32")}),
     "loco_sector": Layout(magic=b"GIMG", count=(8, "u32"), table=0x0C, stride=0x10, fields={"name_at": (0, "u32"), "offset": (4, "u32"), "size": (0x0C, "u32")}, unit=0x800),
     "bigrp_midi": Layout(count=(8, "u32"), table=(0, "u32"), stride=(4, "u32"), fields={"kind": (8, "u32"), "offset": (0x10, "u32"), "size": (0x14, "u32")}, only={"kind": 2}, relative=True),
     "atomiswave": Layout(find=b"G1ROM FILESYSTEM", count=(0x10, "u32"), table=0x40, stride=0x40, fields={"offset": (8, "u32"), "size": (0x0C, "u32"), "name": (0x10, "s48")}, skip=(0,)),
     "koei_g1l": Layout(magic=b"_L1G", swapped=b"G1L_", count=(0x14, "u32"), table=0x18, stride=4, fields={"offset": (0, "u32")}, sized="next", once=True),
-    "koei_link": Layout(magic=b"LINK", count=(4, "u32"), table=0x10, stride=8, fields={"offset": (0, "u32"), "size": (4, "u32")}),
     "sector_offsets": Layout(stride=4, fields={"offset": (0, "u32")}, unit=0x800, sized="next", skip=(0xFFFFFFFF,)),
 }

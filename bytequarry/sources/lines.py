@@ -14,7 +14,7 @@ DIRECTIVES = {"out": "out", "folder": "out", "url": "prefix", "prefix": "prefix"
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, seq, line) of text files; each file is read whole, so seq is its own line number."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("seq", "line"))
 
 

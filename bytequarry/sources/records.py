@@ -54,36 +54,57 @@ def textual(data: bytes) -> bool:
 
 
 def messages(data: bytes, path: list[int] | None = None) -> Iterator[tuple]:
-    """Fields of a message without a schema; what is not text is taken for a message if it parses as one."""
+    """Fields of a message without a schema; what is not text is taken for a message if it parses as one, at any depth. Of a message that is damaged the fields before that come first."""
+    whole: list[tuple] = []
+    try:
+        _fields(data, whole)
+        damage = None
+    except (ValueError, IndexError) as e:
+        damage = e
+    held = [(path or [], iter(whole))]
+    while held:
+        path, left = held[-1]
+        got = next(left, None)
+        if got is None:
+            held.pop()
+            continue
+        number, wire, value, body = got
+        text = body.decode() if body is not None and textual(body) else None
+        yield (path, number, wire, value, body, text)
+        if body is not None and text is None:
+            inner: list[tuple] = []
+            try:
+                _fields(body, inner)
+            except (ValueError, IndexError):
+                continue
+            held.append(([*path, number], iter(inner)))
+    if damage:
+        raise damage
+
+
+def _fields(data: bytes, out: list[tuple]) -> None:
+    """Put (field, wire type, number, bytes) of one level into out. Raises ValueError where the data is no message."""
     from decimal import Decimal
 
-    at, path = 0, path or []
+    at = 0
     while at < len(data):
         tag, at = varint(data, at)
         number, wire = tag >> 3, tag & 7
         if wire == 0:
             value, at = varint(data, at)
-            yield (path, number, wire, Decimal(value), None, None)
+            out.append((number, wire, Decimal(value), None))
         elif wire in (1, 5):
             n = 8 if wire == 1 else 4
             if at + n > len(data):
                 raise ValueError("field out of the data")
-            yield (path, number, wire, Decimal(int.from_bytes(data[at : at + n], "little")), None, None)
+            out.append((number, wire, Decimal(int.from_bytes(data[at : at + n], "little")), None))
             at += n
         elif wire == 2:
             n, at = varint(data, at)
             if at + n > len(data):
                 raise ValueError("field out of the data")
-            body, at = data[at : at + n], at + n
-            if textual(body):
-                yield (path, number, wire, None, body, body.decode())
-                continue
-            yield (path, number, wire, None, body, None)
-            try:
-                inner = list(messages(body, [*path, number])) if len(path) < 32 else []
-            except (ValueError, IndexError):
-                inner = []
-            yield from inner
+            out.append((number, wire, None, data[at : at + n]))
+            at += n
         else:
             raise ValueError(f"wire type {wire}")
 

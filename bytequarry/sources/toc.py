@@ -10,14 +10,17 @@ from __future__ import annotations
 
 import re
 import struct
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codecs import CODECS, inflate_bytes
+from .archives import Reader
 
 #: (offset, type), or (offset of a pointer, what to add to it, type).
 Field = tuple[int, str] | tuple[int, int, str]
@@ -149,6 +152,7 @@ def read_entries(layout: Layout, data: bytes, payload_size: int | None = None) -
             rows.append({k: view.read(at + o, t) for k, (o, t) in layout.fields.items()} | {"place": at})
             at += view.either(layout.stride)
     base, names = view.either(layout.base) + mark, view.either(layout.names)
+    ends = _ends(layout, rows, base, size) if layout.sized != "field" else []
     out, seen = [], set()
     for i, r in enumerate(rows):
         raw = r.get("offset", 0)
@@ -156,44 +160,61 @@ def read_entries(layout: Layout, data: bytes, payload_size: int | None = None) -
             continue
         seen.add(raw)
         offset = raw * layout.unit + base + (r["place"] if layout.relative else 0)
-        if layout.sized == "field":
-            n = r["size"]
-        else:
-            later = sorted({x["offset"] for x in rows if x["offset"] > raw}) if layout.once else None
-            later = [x * layout.unit + base for x in later] if later is not None else [x["offset"] * layout.unit + base for x in rows[i + 1 :] if x["offset"] not in layout.skip]
-            n = (later[0] if later else size) - offset
+        n = r["size"] if layout.sized == "field" else ends[i] - offset
         name = view.read(names + r["name_at"], "z") if "name_at" in r else r.get("name", f"{i:08d}")
         codec = layout.codecs.get(r["flag"], "copy") if "flag" in r else layout.packed_codec if layout.packed_codec and r.get("packed", n) != r.get("full", n) else "copy"
         out.append({"idx": i, "name": name, "offset": offset, "size": n, "packed": r.get("packed", n), "codec": codec})
     return out
 
 
+def _ends(layout: Layout, rows: list[dict], base: int, size: int) -> list[int]:
+    """Where each entry ends: at the next entry's offset, or (once) at the next larger one; the last at the data's end."""
+    if layout.once:
+        known = sorted({r["offset"] for r in rows})
+        return [known[k] * layout.unit + base if (k := bisect_right(known, r["offset"])) < len(known) else size for r in rows]
+    out, end = [0] * len(rows), size
+    for i in range(len(rows) - 1, -1, -1):
+        out[i] = end
+        if rows[i]["offset"] not in layout.skip:
+            end = rows[i]["offset"] * layout.unit + base
+    return out
+
+
 SCHEMA = "idx int, name string, offset long, size long, packed long, codec string, payload binary, error string"
 
 
-def entries(files: DataFrame, path: str, content: str, layout: Layout, data: str | None = None, keep: str | None = None, payload: bool = True) -> DataFrame:
+def found_entries(layout: Layout | Reader, toc: bytes, body: bytes) -> list[dict]:
+    """The entries of a directory by its layout, or by a reader of its own."""
+    if isinstance(layout, Layout):
+        return read_entries(layout, toc, len(body))
+    return [{"idx": i, "name": name, "offset": offset, "size": size, "packed": packed, "codec": codec} for i, (name, offset, size, packed, codec) in enumerate(layout(toc, body))]
+
+
+def entries(files: DataFrame, path: str, content: str, layout: Layout | Reader | str, data: str | None = None, keep: str | None = None, payload: bool = True) -> DataFrame:
     """One row per entry: path and SCHEMA.
 
-    data: the column that holds the payloads, where it is another file's.
-    keep: a pattern that names must hold, tested before a payload is cut out
-    or decoded. A file of another layout gives one row with the error; a codec
-    that is not at hand, or damaged data, a null payload and an error.
+    layout: a Layout, a reader, or the column that holds the name of one of
+    the known ones. data: the column that holds the payloads, where it is
+    another file's. keep: a pattern that names must hold, tested before a
+    payload is cut out or decoded. A file of another layout gives one row with
+    the error; a codec that is not at hand, or damaged data, a null payload
+    and an error.
     """
     wanted = re.compile(keep) if keep else None
     names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
     types = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
 
-    def rows_of(toc: bytes, body: bytes) -> Iterator[tuple]:
+    def rows_of(form: Layout | Reader, toc: bytes, body: bytes) -> Iterator[tuple]:
         try:
-            found = read_entries(layout, toc, len(body))
-        except (ValueError, KeyError, struct.error) as e:
+            found = found_entries(form, toc, body)
+        except (ValueError, KeyError, IndexError, struct.error) as e:
             yield (None, None, None, None, None, None, None, str(e))
             return
         for e in found:
             if wanted and not wanted.search(e["name"]):
                 continue
             cut, error = None, None
-            if not 0 <= e["offset"] <= len(body) or e["offset"] + e["packed"] > len(body):
+            if not 0 <= e["offset"] <= len(body) or e["packed"] < 0 or e["offset"] + e["packed"] > len(body):
                 error = "slice out of the data"
             elif payload:
                 cut = body[e["offset"] : e["offset"] + e["packed"]]
@@ -204,19 +225,23 @@ def entries(files: DataFrame, path: str, content: str, layout: Layout, data: str
             yield (e["idx"], e["name"], e["offset"], e["size"], e["packed"], e["codec"], cut, error)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if isinstance(layout, str):
+            from .layouts import LAYOUTS
         for b in batches:
             for i in range(b.num_rows):
                 toc = b.column(1)[i].as_py()
                 if toc is None:
                     continue
-                got = list(rows_of(toc, (b.column(2)[i].as_py() or b"") if data else toc))
-                for j in range(0, len(got), 256):
-                    part = got[j : j + 256]
+                body = (b.column("body")[i].as_py() or b"") if data else toc
+                form = LAYOUTS.get(b.column("layout")[i].as_py()) if isinstance(layout, str) else layout
+                got = rows_of(form, toc, body) if form else iter([(None, None, None, None, None, None, None, "unknown layout")])
+                while part := list(islice(got, 256)):
                     cols = [pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * len(part), b.column(0).type), *cols], names=[path, *names])
 
     kind = files.schema[path].dataType.simpleString()
-    return files.select(path, content, *([data] if data else [])).mapInArrow(run, f"{path} {kind}, {SCHEMA}")
+    more = ([F.col(data).alias("body")] if data else []) + ([F.col(layout).alias("layout")] if isinstance(layout, str) else [])
+    return files.select(F.col(path), F.col(content), *more).mapInArrow(run, f"{path} {kind}, {SCHEMA}")
 
 
 def tree_entries(data: bytes, root: int, names: int, children: int) -> Iterator[tuple[str, int, int, str]]:

@@ -3,6 +3,7 @@ import json
 import struct
 import zlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def test_layouts(spark):
     z = zlib.compress(b"plain" * 9)
     df = spark.createDataFrame([("arc", arc), ("dlcp", dlcp), ("par", par)], "path string, content binary")
     got = lambda p, k: [(r.name, bytes(r.payload)) for r in toc.entries(df.filter(F.col("path") == p), "path", "content", LAYOUTS[k]).orderBy("idx").collect()]
-    assert got("arc", "capcom_arc") == [("one", b"DATA")]
+    assert got("arc", "capcom_arc") == [("one.bin", b"DATA")]
     assert got("dlcp", "capcom_dlcp") == [("a", b"xyz"), ("b", b"12")]
     assert [p for _, p in got("par", "platinum_dat")] == [b"hi", b"you"]
     assert [n for n, _ in got("par", "platinum_dat")] == ["a.x", "b.y"]
@@ -54,19 +55,21 @@ def test_layouts(spark):
 
 
 def test_marks_entries_and_trees():
-    read = lambda k, d, n=None: [(e["name"], e["offset"], e["size"]) for e in toc.read_entries(LAYOUTS[k], d, n)]
+    read = lambda k, d, n=None: [(e["name"], e["offset"], e["size"]) for e in toc.found_entries(LAYOUTS[k], d, bytes(n) if n else d)]
     wave = b"junk" + (b"G1ROM FILESYSTEM" + struct.pack("<I", 2)).ljust(0x40, b"\0") + struct.pack("<4I", 0, 0, 0, 9) + bytes(48) + struct.pack("<4I", 0, 0, 0xC0, 4) + b"f".ljust(48, b"\0") + b"DATA"
     assert read("atomiswave", wave) == [("f", 4 + 0xC0, 4)] and wave[4 + 0xC0 :] == b"DATA"
     midi = struct.pack("<3I", 12, 24, 2) + struct.pack("<6I", 0, 0, 1, 0, 0, 0) + struct.pack("<6I", 0, 0, 2, 0, 24, 3) + b"abc"
     assert read("bigrp_midi", midi) == [("00000001", 60, 3)]
-    link = b"LINK" + struct.pack("<3I", 1, 0, 0) + struct.pack("<2I", 24, 1) + b"x"
-    assert read("koei_link", link) == [("00000000", 24, 1)]
+    link = b"LINK" + struct.pack("<3I", 2, 0, 0) + struct.pack("<4I", 32, 4, 36, 4) + b"x..._DBW"
+    assert read("koei_link", link) == [("01.wbd", 36, 4)]
     g1l = b"_L1G" + bytes(16) + struct.pack("<4I", 3, 40, 36, 40) + bytes(4) + b"four"
     assert read("koei_g1l", g1l) == [("00000000", 40, 4), ("00000001", 36, 4)]
     fhd = b"\0DHF" + bytes(8) + struct.pack("<6I", 1, 0x30, 0x34, 0, 0x38, 0x40) + bytes(12) + struct.pack("<I", 5) + bytes(4) + struct.pack("<2I", 0x44, 0x47) + struct.pack("<I", 2) + b"d/\0n\0"
     assert read("tecmo_fhd", fhd, 0x2000) == [("d/n", 0x1000, 5)]
-    noa = b"Entis".ljust(0x40, b"\0") + b"DirEntry" + bytes(8) + struct.pack("<I", 1) + struct.pack("<4QII", 3, 0, 0x30, 0, 0, 1) + b"n" + bytes(3) + b"abc"
-    assert read("entis_noa", noa) == [("n", 0x80, 3)]
+    noa = b"Entis".ljust(16, b"\0") + b"ERISA-Archive file".ljust(0x30, b"\0") + b"DirEntry" + bytes(8) + struct.pack("<I", 1) + struct.pack("<4QII", 3, 0, 0x3D, 0, 0, 1) + b"n" + b"filedata" + struct.pack("<Q", 3) + b"abc"
+    assert read("entis_noa", noa) == [("n", 0x8D, 3)]
+    with pytest.raises(ValueError, match="another size"):
+        read("entis_noa", noa.replace(struct.pack("<Q", 3) + b"abc", struct.pack("<Q", 4) + b"abc"))
     garc = b"GARC" + bytes(16) + struct.pack("<I", 0x18) + b"FILE" + struct.pack("<4I", 0, 1, 0, 0x2C) + struct.pack("<6I", 0, 2, 0x46, 0x44, 0, 0) + b"f\0ab"
     assert read("loco_garc", garc) == [("f", 0x46, 2)]
     names = b"r\0a\0"
@@ -223,3 +226,27 @@ def test_timing(spark):
     df = spark.createDataFrame([("a", plain), ("b", b"")], "k string, content binary")
     assert {r.k: r.error is None for r in timing.durations(df, "k", "content").collect()} == {"a": True, "b": True}
     assert binascii.crc32(b"123456789") == 0xCBF43926
+
+
+def test_many_entries_without_sizes():
+    """Sizes by the next offset cost time in proportion to the entries."""
+    n = 60_000
+    data = b"_L1G" + bytes(16) + struct.pack("<I", n) + struct.pack(f"<{n}I", *[0x18 + 4 * n + i for i in range(n)]) + bytes(n)
+    got = toc.read_entries(LAYOUTS["koei_g1l"], data)
+    assert len(got) == n and {e["size"] for e in got} == {1}
+
+
+def test_codes_of_the_lz_stream():
+    from bytequarry.functions.codecs import gprs_bytes, inflate_bytes
+    from bytequarry.plans.samples import gprs_twice
+
+    assert gprs_bytes(gprs_twice("abcdefgh")) == b"abcdefghabcdefgh"
+    assert inflate_bytes(b"\x80", "gprs") is None
+
+
+def test_message_nesting_is_followed_to_the_end():
+    data = b"\x08\x01"
+    for _ in range(60):
+        data = b"\x0a" + bytes([len(data) & 127 | 128, len(data) >> 7]) + data if len(data) > 127 else b"\x0a" + bytes([len(data)]) + data
+    rows = list(records.messages(data))
+    assert max(len(r[0]) for r in rows) == 60
