@@ -250,3 +250,16 @@ def test_message_nesting_is_followed_to_the_end():
         data = b"\x0a" + bytes([len(data) & 127 | 128, len(data) >> 7]) + data if len(data) > 127 else b"\x0a" + bytes([len(data)]) + data
     rows = list(records.messages(data))
     assert max(len(r[0]) for r in rows) == 60
+
+
+def test_tracks_of_any_length():
+    from bytequarry.plans.samples import track
+
+    long = track([(1, 2)] * 200_000, -1, 500)
+    assert timing.walk(long, 500).steps == 200_000 * 2 * 500_000
+    again = bytes(12) + bytes([0x81]) + struct.pack(">HB", 12, 1) + b"\x83"
+    with pytest.raises(ValueError, match="plays itself"):
+        timing.walk(again, 1)
+    # parts of parts, each of 200 events that play the next one, are worked out once each
+    deep = b"".join(bytes([0x81]) + struct.pack(">HB", 12 + 4 * 200 * (k + 1), 200) for k in range(20) for _ in range(200)) + bytes([0, 60, 100, 1, 1]) * 200 + b"\x83"
+    assert timing.walk(bytes(12) + deep[: 4 * 1] + deep[4:], 1).steps >= 200**20
