@@ -93,6 +93,79 @@ def xor_feedback(data: Column, state: int) -> Column:
     return _mapped(lambda x: feedback_xor(x, state))(data)
 
 
+def video_masks(key: int) -> tuple[bytes, bytes, bytes]:
+    """(two masks of video, one of audio), 32 bytes each, of a caller's 56-bit key."""
+    k = [key >> 8 * i & 255 for i in range(8)]
+    m = [0] * 32
+    # Fixed rules of the format: each place from the key's bytes and earlier places; a pair is (how, operands).
+    m[0:7] = [k[0], k[1], k[2], k[3] - 0x34, k[4] + 0xF9, k[5] ^ 0x13, k[6] + 0x61]
+    rules = [
+        (7, "^", 0, None, 0xFF), (8, "+", 2, 1, 0), (9, "-", 1, 7, 0), (10, "^", 2, None, 0xFF), (11, "^", 1, None, 0xFF), (12, "+", 11, 9, 0), (13, "-", 8, 3, 0), (14, "^", 13, None, 0xFF),
+        (15, "-", 10, 11, 0), (16, "-", 8, 15, 0), (17, "^", 16, 7, 0), (18, "^", 15, None, 0xFF), (19, "^", 3, None, 0x10), (20, "-", 4, None, 0x32), (21, "+", 5, None, 0xED), (22, "^", 6, None, 0xF3),
+        (23, "-", 19, 15, 0), (24, "+", 21, 7, 0), (25, "~", 19, None, 0x21), (26, "^", 20, 23, 0), (27, "+", 22, 22, 0), (28, "+", 23, None, 0x44), (29, "+", 3, 4, 0), (30, "-", 5, 22, 0), (31, "^", 29, 19, 0),
+    ]
+    m = [x & 255 for x in m]
+    for to, how, a, b, c in rules:
+        other = c if b is None else m[b]
+        m[to] = {"^": m[a] ^ other, "+": m[a] + other, "-": m[a] - other, "~": other - m[a]}[how] & 255
+    first = bytes(m)
+    second = bytes(x ^ 0xFF for x in m)
+    return first, second, bytes(b"URUC"[i >> 1 & 3] if i & 1 else m[i] ^ 0xFF for i in range(32))
+
+
+def video_unmasked(data: bytes, masks: tuple[bytes, bytes, bytes], plain: bool = False) -> bytes:
+    """A video payload whose bytes from 0x40 on are masked, the first 0x100 of these by what follows them; shorter ones are as they are. plain: mask it instead."""
+    if len(data) - 0x40 < 0x200:
+        return data
+    out = np.frombuffer(data, np.uint8).copy()
+    body, first, second = out[0x40:], np.frombuffer(masks[0], np.uint8), np.frombuffer(masks[1], np.uint8)
+    n = len(body) - 0x100
+    rows = np.zeros((-(-n // 32), 32), np.uint8)
+
+    def forward() -> None:
+        # the lead is masked by the running XOR of what follows it once plain
+        lead = np.bitwise_xor.accumulate(np.concatenate([first[None], body[0x100:0x200].reshape(8, 32)]), axis=0)[1:]
+        body[:0x100] ^= lead.ravel()
+
+    def rest() -> None:
+        rows.ravel()[:n] = body[0x100:]
+        if plain:  # cipher = plain ^ mask, mask of the next row = plain ^ second
+            masked = rows ^ np.concatenate([second[None], rows[:-1] ^ second])
+            rows[:] = masked
+        else:  # each row is needed in plain for the next
+            mask = second
+            for r in rows:
+                r ^= mask
+                mask = r ^ second
+        body[0x100:] = rows.ravel()[:n]
+
+    if plain:
+        forward()
+        rest()
+    else:
+        rest()
+        forward()
+    return out.tobytes()
+
+
+def audio_unmasked(data: bytes, masks: tuple[bytes, bytes, bytes]) -> bytes:
+    """An audio payload whose bytes from 0x140 on are masked; its own inverse."""
+    out = np.frombuffer(data, np.uint8).copy()
+    out[0x140:] ^= np.resize(np.frombuffer(masks[2], np.uint8), max(0, len(out) - 0x140))
+    return out.tobytes()
+
+
+def unmask_stream(data: Column, kind: Column, key: int) -> Column:
+    """Payloads of @SFV and @SFA chunks without their masks; others as they are."""
+    masks = video_masks(key)
+
+    @F.pandas_udf("binary")
+    def run(blobs: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([None if d is None else video_unmasked(bytes(d), masks) if k == "@SFV" else audio_unmasked(bytes(d), masks) if k == "@SFA" else bytes(d) for d, k in zip(blobs, kinds, strict=True)])
+
+    return run(data, kind)
+
+
 _REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
 
 
@@ -209,6 +282,10 @@ def inflate_bytes(data: bytes, kind: str) -> bytes | None:
             return lzss_bytes(data)
         if kind == "gprs":
             return gprs_bytes(data)
+        if kind == "chunks":
+            from ..sources.archives import stepped_chunks
+
+            return stepped_chunks(data)
         if kind == "nibbles":
             return bytes((b << 4 | b >> 4) & 255 for b in data)
         return data if kind in ("copy", "", None) else None
@@ -217,7 +294,7 @@ def inflate_bytes(data: bytes, kind: str) -> bytes | None:
 
 
 #: Codecs that inflate_bytes knows; others give null and the error unsupported_codec.
-CODECS = ("copy", "zlib", "deflate", "lzma", "zstd", "lzss", "gprs", "nibbles")
+CODECS = ("copy", "zlib", "deflate", "lzma", "zstd", "lzss", "gprs", "nibbles", "chunks")
 
 
 def inflate(data: Column, kind: str = "zlib") -> Column:

@@ -162,8 +162,10 @@ def swaps(order: Column) -> Column:
     return run(order)
 
 
-def owned_names(found: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Recovered (hash, name) with the context that owns the hash: the first by order; those in none come last with a null context. contexts: (ctx, ctx_order, hash)."""
+def owned_names(found: DataFrame, contexts: DataFrame, last: tuple[str, ...] = ("VA",)) -> DataFrame:
+    """Recovered (hash, name) with the context that owns the hash: the first by order, contexts named in `last` after all others; those in none come last with a null context. contexts: (ctx, ctx_order, hash)."""
+    highest = contexts.agg(F.max("ctx_order").alias("m"))
+    contexts = contexts.crossJoin(F.broadcast(highest)).withColumn("ctx_order", F.when(F.col("ctx").isin(*last), F.col("ctx_order") + F.col("m") + 1).otherwise(F.col("ctx_order"))).drop("m") if last else contexts
     owner = contexts.groupBy("hash").agg(F.min_by("ctx", "ctx_order").alias("ctx"), F.min("ctx_order").alias("ctx_order"))
     return found.join(owner, "hash", "left").orderBy(F.col("ctx_order").asc_nulls_last(), F.lower("name"))
 

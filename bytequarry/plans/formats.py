@@ -110,8 +110,8 @@ def assembled_payloads(part):
 # --- streams --------------------------------------------------------------------------
 
 #: Streams whose audio chunks have another id than "audi", and heads of their payloads.
-_AUDIO = {"trimmed": "@SFA", "blocks": "00020001", "sectors": "01", "schl": "SCDl", "snh1": "1SNd", "riff": "01wb"}
-_HEADS = {"sectors": 20, "mul": 16, "xav": 4, "smk": 4, "vid1": 8, "vid1_le": 8}
+_AUDIO = {"xa10": "Xa10", "ad10": "Ad11", "au00": "au01", "trimmed": "@SFA", "blocks": "00020001", "sectors": "01", "schl": "SCDl", "snh1": "1SNd", "riff": "01wb"}
+_HEADS = {"xa10": 8, "ad10": 8, "au00": 8, "sectors": 20, "mul": 16, "xav": 4, "smk": 4, "vid1": 8, "vid1_le": 8}
 
 
 @query("part", sql=f"""
@@ -413,3 +413,103 @@ def unpacked_payloads(part):
     sealed = F.substring(F.aes_encrypt(F.encode("_n", "UTF-8"), key, F.lit("CBC"), F.lit("PKCS"), F.lit(iv)), F.lit(17), F.lit(1 << 20))
     plain = codecs.aes_ctr(codecs.aes_ctr(F.encode("_n", "UTF-8"), b"0123456789abcdef"), b"0123456789abcdef")
     return out.withColumn("aes", F.decode(codecs.aes_cbc(sealed, key, iv), "UTF-8")).withColumn("ctr", F.decode(plain, "UTF-8")).drop("_n")
+
+
+# --- objects, sections, masks ----------------------------------------------------------------
+
+_VERSION = "([1769728, 2031632, 2425098, 2425117])[p_partkey % 4 + 1]"
+
+
+@query("part", sql=f"""
+WITH o AS (SELECT p_partkey AS k, {_VERSION} AS version, p_size % 2 = 0 AS big, ([1, 6, 5, 8])[p_partkey // 4 % 4 + 1] AS type, p_partkey * 3 AS c FROM part)
+SELECT CASE WHEN type = 6 AND version <> 1769728 THEN c ELSE k END AS id, CAST(version AS INT) AS version, big, CAST(type AS BIGINT) AS type, CASE WHEN type IN (1, 6) THEN c END AS companion, CASE type WHEN 1 THEN true WHEN 6 THEN c % 2 = 1 END AS streamed,
+       CASE type WHEN 1 THEN c % 2 = 1 WHEN 6 THEN true END AS ahead, CASE WHEN type = 5 THEN (k + 2) || ',' || (k + 3) || ',' || (k + 4) ELSE '' END AS items FROM o""")
+def object_fields(part):
+    """Fields of objects of four versions and both byte orders, by a table of places."""
+    from ..sources import objects
+
+    found = objects.objects(_objects(part), "p_partkey")
+    return found.select("id", "version", "big", "type", "companion", "streamed", "ahead", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
+
+
+def _objects(part: DataFrame) -> DataFrame:
+    version = F.element_at(F.array(*map(F.lit, (0x001B0100, 0x001F0010, 0x0025010A, 0x0025011D))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    kind = F.element_at(F.array(F.lit(1), F.lit(6), F.lit(5), F.lit(8)), (F.floor(F.col("p_partkey") / 4) % 4 + 1).cast("int"))
+    write = lambda k, v, s, t: samples.versioned_object(v, s % 2 == 0, k, t, 3 * k, [k + 2, k + 3, k + 4])
+    return part.select("p_partkey", written(write, F.col("p_partkey"), version, F.col("p_size"), kind).alias("content"))
+
+
+@query("part", sql=f"""
+WITH k AS (SELECT p_partkey AS k, {_VERSION} AS version, ([1, 6, 5, 8])[p_partkey // 4 % 4 + 1] AS type, p_partkey * 3 AS c FROM part),
+o AS (SELECT CASE WHEN type = 6 AND version <> 1769728 THEN c ELSE k END AS id, * FROM k)
+SELECT id, 'stream' AS role, c AS needs FROM o WHERE type = 1 OR type = 6 AND c % 2 = 1
+UNION ALL SELECT id, 'ahead', CASE WHEN version = 1769728 THEN 805306368 | c ELSE c END FROM o WHERE (type = 1 AND c % 2 = 1 OR type = 6) AND id <> c
+UNION ALL SELECT id, 'item' || i, id + 2 + i FROM o, (SELECT unnest([0, 1, 2]) AS i) WHERE type = 5""")
+def object_companions(part):
+    """What each object needs: its stream, what is kept ahead of it, its sequence's items."""
+    from ..sources import objects
+
+    return objects.companions(objects.objects(_objects(part), "p_partkey")).select("id", "role", "needs")
+
+
+@query("part", sql=f"""
+WITH {_ITEMS} SELECT path, 'NAME' AS section, CAST(i AS INT) AS idx, 'reqd' AS kind, 1000 + i AS a, i AS b, text FROM p
+UNION ALL SELECT DISTINCT path, 'TONE', 0, 'tone', 1, 127, NULL FROM p UNION ALL SELECT DISTINCT path, 'TONE', 0, 'sub', 2, 99, NULL FROM p
+UNION ALL SELECT path, 'TONE', CAST(i AS INT), CASE WHEN i % 2 = 1 THEN 'seqd' ELSE 'wave' END, k, CASE WHEN i % 2 = 1 THEN -1 ELSE i END, NULL FROM p
+UNION ALL SELECT path, 'WAVE', CAST(i AS INT), 'wave', NULL, NULL, NULL FROM p UNION ALL SELECT DISTINCT path, 'LVAR', 0, 'lvar', -1500, 2250, NULL FROM p""")
+def definition_sections(part):
+    """Names, tones, waves and variables of sound definitions."""
+    files = files_of(part).select("path", written(lambda x: samples.sound_sections(_pairs(x)), F.col("items")).alias("content"))
+    return records.read(files, "sound_sections").select("path", "section", "idx", "kind", "a", "b", "text")
+
+
+@query("part", sql=f"""
+WITH {_ITEMS} SELECT path, CAST(i AS INT) AS part, text FROM p""")
+def block_run_payloads(part):
+    """Runs of flagged blocks found in unknown data."""
+    files = files_of(part).select("path", written(lambda x: samples.block_run(_pairs(x)), F.col("items")).alias("content"))
+    text = F.regexp_replace(F.regexp_replace(F.decode(F.substring("payload", F.lit(13), F.length("payload")), "ISO-8859-1"), "(?s)\\x00*E\\x00\\x00\\x08tail$", ""), "\\x00+$", "")
+    return records.read(files, "block_runs").select("path", "part", text.alias("text"))
+
+
+@query("part", sql=f"""
+WITH {_ITEMS} SELECT 'dt' AS kind, path, printf('ed%04d', k) AS name, i % 2 = 1 AS looped, 100 + i AS loop_start, 150 + i AS loop_end FROM p UNION ALL SELECT 'tbb', path, left(name, 12), i % 2 = 1, 100 + i, 150 + i FROM p""")
+def loop_record_tables(part):
+    files = files_of(part)
+    out = None
+    for kind in ("dt", "tbb"):
+        rows = records.read(files.select("path", written(lambda x, kind=kind: samples.loop_record(kind, _pairs(x)), F.col("items")).alias("content")), f"loop_records_{kind}")
+        rows = rows.select(F.lit(kind).alias("kind"), "path", "name", "looped", "loop_start", "loop_end")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("part", sql="""
+WITH p AS (SELECT p_brand AS folder, p_partkey AS k, p_size AS s, CAST(replace(p_brand, 'Brand#', '') AS INT) % 4 AS t FROM part)
+SELECT folder, CASE t WHEN 0 THEN 'bgmtbl.txt' WHEN 1 THEN 'bgmtbl.txt_switch' WHEN 2 THEN 'bgmtbl.tbl' ELSE 'map.txt' END AS "table", CASE WHEN t = 3 THEN 'M' || k ELSE 'T' || k END AS title, CASE WHEN t = 3 THEN 'm' || k ELSE 'ed' || k END AS name,
+       CASE WHEN t = 3 THEN k * 10 + s <> 99999999 ELSE k % 2 = 1 END AS looped, CASE WHEN t = 1 THEN CAST(floor(k * 10 * 48000 / 44100) AS BIGINT) ELSE k * 10 END AS loop_start,
+       CASE t WHEN 0 THEN k * 10 + s WHEN 1 THEN CAST(floor((k * 10 + s) * 48000 / 44100) AS BIGINT) WHEN 2 THEN s ELSE k * 10 + s END AS loop_end FROM p""")
+def loop_text_tables(part):
+    """The first known text table of each folder, its loops by the rules of its kind."""
+    from ..sources import lines
+
+    kind = F.regexp_replace("p_brand", "Brand#", "").cast("int") % 4
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    table = F.element_at(F.array(*map(F.lit, lines.LOOP_TABLES[:4])), kind + 1)
+    start = (F.col("p_partkey") * 10).cast("string")
+    plain = F.concat_ws(" ", F.lit("bgmtbl"), F.concat(F.lit("T"), key), F.concat(F.lit("ed"), key), (F.col("p_partkey") % 2).cast("string"), start, size)
+    mapped = F.concat_ws(" ", key, F.concat(F.lit("M"), key), F.lit("x"), start, (F.col("p_partkey") * 10 + F.col("p_size")).cast("string"))
+    rows = part.select(F.col("p_brand").alias("folder"), table.alias("table"), F.col("p_partkey").alias("seq"), F.when(kind == 3, mapped).otherwise(plain).alias("line"))
+    other = part.select(F.col("p_brand").alias("folder"), F.lit("t_bgm._dt").alias("table"), F.col("p_partkey").alias("seq"), plain.alias("line"))
+    marks = part.select(F.col("p_brand").alias("folder"), table.alias("table"), F.lit(-1).cast("bigint").alias("seq"), F.when(kind == 3, "#BGMTable").otherwise("//tbl").alias("line")).distinct()
+    return lines.loop_tables(rows.unionByName(other).unionByName(marks)).select("folder", "table", "title", "name", "looped", "loop_start", "loop_end")
+
+
+@query("documents", sql="""
+SELECT doc_id, k.kind, md5(text) AS digest FROM documents, (SELECT unnest(['@SFV', '@SFA', '@CUE']) AS kind) k WHERE text IS NOT NULL""")
+def unmasked_streams(documents):
+    """Payloads masked by a caller's key, the video's by a writer of its own, and unmasked."""
+    key = 0x00123456789ABCDE
+    texts = documents.filter("text IS NOT NULL").select("doc_id", F.explode(F.array(F.lit("@SFV"), F.lit("@SFA"), F.lit("@CUE"))).alias("kind"), F.encode("text", "UTF-8").alias("d"))
+    masked = written(lambda kind, d: samples.masked(kind, bytes(d), codecs.video_masks(key)), F.col("kind"), F.col("d"))
+    return texts.select("doc_id", "kind", F.md5(codecs.unmask_stream(masked, F.col("kind"), key)).alias("digest"))

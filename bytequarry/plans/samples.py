@@ -656,3 +656,159 @@ def gprs_twice(text: str) -> bytes:
         left -= 1
         packed[at] |= x << left
     return bytes(packed)
+
+
+# --- linked and packed archives, objects, sections ---------------------------------------
+
+
+@sample(name="printf('%08x', k)")
+def yeti_gear(items: Items) -> Archive:
+    n, packed = len(items), []
+    for i, (name, p) in enumerate(items):
+        if i % 2:
+            parts = []
+            for j in range(0, len(p), 16):
+                own, z = p[j : j + 16], zlib.compress(p[j : j + 16])
+                parts.append(z if len(z) != 16 else own if len(own) == 16 else zlib.compress(own, 0))
+            ends, at = b"", 0
+            for z in parts:
+                at += len(z)
+                ends += struct.pack("<I", at)
+            packed.append((name, b"\4" + ends + b"".join(parts)))
+        else:
+            packed.append((name, p))
+    at, body = _laid(packed, 0x20 + 17 * n)
+    head = b"[ GEAR BigFile ]" + struct.pack("<4I", 0x6F, 0xAA080004, n, 0)
+    return head + struct.pack(f"<{n}Q", *at) + struct.pack(f"<{n}I", *[len(p) for _, p in items]) + struct.pack(f"<{n}I", *[int(x[1:].split(".")[0]) for x, _ in items]) + bytes(i % 2 for i in range(n)) + body, None
+
+
+def _sound_fat(order: str) -> Callable[[Items], Archive]:
+    def write(items: Items) -> Archive:
+        at, body = _laid(items, 0)
+        rows = [struct.pack(order + "3I", 0x30000000 + int(n[1:].split(".")[0]), o, len(p)) for (n, p), o in zip(items, at, strict=True)]
+        hidden = struct.pack(order + "3I", 0x10000001, 0, 1)
+        first, second = rows[: len(rows) // 2], rows[len(rows) // 2 :]
+        out = (struct.pack(order + "I", 1).ljust(0x1C, b"\0") + struct.pack(order + "4I", 1, 77, len(first) + 1, 0x10000002)) + struct.pack(order + "II", 0, 1) + b"".join(first)
+        return out + struct.pack(order + "I", len(second) + 1) + hidden + b"".join(second), body
+
+    return write
+
+
+for _o, _n in (("<", "le"), (">", "be")):
+    sample(layout="sound_bin_fat", name="printf('%s/%08x.bao', CASE WHEN i < n // 2 THEN 'sound' ELSE 'English' END, 805306368 + k)", key=f"sound_bin_fat_{_n}")(_sound_fat(_o))
+
+
+def _forge(version: int) -> Callable[[Items], Archive]:
+    def write(items: Items) -> Archive:
+        wide = version >= 0x1B
+        row, record = 20 if wide else 16, 0x30 + 0x110 if version >= 0x1D else 0x2C + 0x80 + (20 if wide else 16)
+        info = 64
+        first = info + 64
+        halves = [items[: len(items) // 2], items[len(items) // 2 :]]
+        sections, at = [], first
+        for half in halves:
+            sections.append(at)
+            at += 48 + (row + record) * len(half)
+        wrap = (lambda p: b"FILEDATA" + bytes(0x80 + 0xFF) + struct.pack("<IIQ", 0, len(p), 0) + bytes(36 + 1) + p) if not wide else (lambda p: b"word" + p) if version <= 0x1C else (lambda p: p)
+        wrapped = [(n, wrap(p)) for n, p in items]
+        spots, body = _laid(wrapped, at)
+        out, done = b"", 0
+        for s, half in zip(sections, halves, strict=True):
+            n = len(half)
+            names = s + 48 + row * n
+            after = sections[1] if s == sections[0] else -1
+            out += struct.pack("<IIQqIIQQ", n, 0, 0, after, 0, 0, names, 0)
+            for i in range(n):
+                k = int(half[i][0][1:].split(".")[0])
+                out += struct.pack("<II", spots[done + i], 0) + (struct.pack("<III", k, 0, len(wrapped[done + i][1])) if wide else struct.pack("<II", k, len(wrapped[done + i][1])))
+            for i in range(n):
+                size = len(wrapped[done + i][1])
+                if version >= 0x1D:
+                    out += (struct.pack("<I", size) + struct.pack("<Q", int(half[i][0][1:].split(".")[0]))).ljust(record, b"\0")
+                else:
+                    out += (struct.pack("<I", size).ljust(0x2C, b"\0") + half[i][0].encode()).ljust(record, b"\0")
+            done += n
+        head = (b"scimitar\0" + struct.pack("<6I", version, info, 0, 0, 0, 0)).ljust(info, b"\0")
+        chunk = struct.pack("<3I", len(items), 0, 0) + (bytes(8) if wide else bytes(4)) + struct.pack("<qII", -1, 5000, 2) + struct.pack("<Q", first)
+        return (head + chunk).ljust(first, b"\0") + out + body, None
+
+    return write
+
+
+sample(layout="scimitar_forge", key="scimitar_1a")(_forge(0x1A))
+sample(layout="scimitar_forge", key="scimitar_1b")(_forge(0x1B))
+sample(layout="scimitar_forge", name="printf('%08x_%s', k, lower(lpad(to_base(k % 256, 16), 2, '0')) || lower(lpad(to_base(k // 256, 16), 2, '0')) || '000000000000')", key="scimitar_1d")(_forge(0x1D))
+
+STREAMS |= {"xa10": _words(b"SCHl", b"Xa10", b"MADk", ">"), "ad10": _words(b"head", b"Ad11", b"MADk", "<"), "au00": _words(b"head", b"au01", b"MADk", ">")}
+
+
+def versioned_object(version: int, big: bool, number: int, kind: int, companion: int, items: list[int]) -> bytes:
+    """An object of a version, with a gap word before its entries in odd ones."""
+    order = ">" if big else "<"
+    places = {0x001B0100: (0xA4, 0x44, 0x50, 0x9C, 0x74, 0x54, 0x78, 0x54), 0x001F0010: (0xA4, 0x44, 0x50, 0x9C, 0x28, 0x54, 0x78, 0x54)}.get(version, (0xB4, 0x4C, 0x54, 0xA0, 0x28, 0x58, 0x7C, 0x5C))
+    entries = places[0] - 4 if version == 0x0025011D and not big else places[0]
+    data = bytearray(entries + 4 + 0x14 * max(1, len(items)))
+    put = lambda at, v: struct.pack_into(order + "I", data, at, v)
+    struct.pack_into(">I", data, 0, version)
+    put(0x20, 0x20000000)
+    put(0x2C, kind)
+    put(0x28, number)
+    if kind == 1:
+        put(places[1], companion), put(places[2], 1), put(places[3], companion % 2)
+    elif kind == 6:
+        put(places[4], companion), put(places[5], companion % 2), put(places[6], 1)
+    elif kind == 5:
+        put(places[7], len(items))
+        if number % 2:
+            entries += 4
+        for i, x in enumerate(items):
+            put(entries + 0x14 * i, x)
+    return bytes(data)
+
+
+def sound_sections(items: Items) -> bytes:
+    """Names, one tone of one sub with an item for each, waves, and a variable."""
+    n = len(items)
+    section = lambda name, body: name + struct.pack("<I", len(body)) + body
+    texts, rows = b"", b""
+    for i, (_, p) in enumerate(items):
+        rows += struct.pack("<3I", 12 * (n - i) + len(texts), 1000 + i, i)
+        texts += p + b"\0"
+    names = struct.pack("<II", 0, n) + rows + texts
+    tone = struct.pack("<II", 0, 1) + struct.pack("<IHHII", 0, 1, 127, 1, 4) + struct.pack("<IHHHHI", 0, 0, 2, 99, n, 4) + b"".join(struct.pack("<HhIHH", 0, -1 if i % 2 else i, int(x[1:].split(".")[0]), 0, 127) for i, (x, _) in enumerate(items))
+    waves = struct.pack("<II", 0, n) + b"".join(struct.pack("<I", 64 * i) for i in range(n))
+    lvar = struct.pack("<II", 0, 1) + bytes(24) + struct.pack("<ff", -1.5, 2.25)
+    body = section(b"NAME", names) + section(b"TONE", tone) + section(b"WAVE", waves) + section(b"LVAR", lvar)
+    return (b"SXDF" + struct.pack("<HHII", 1, 0, 0x60 + len(body), 0)).ljust(0x60, b"\0") + body
+
+
+def block_run(items: Items) -> bytes:
+    """Runs among noise; of every second the tail is missing."""
+    block = lambda flag, body: struct.pack(">I", flag << 24 | 4 + len(body)) + body
+    padded = lambda p: p + bytes(-len(p) % 4)
+    return b"".join(b"junk" + block(0x48, b"head") + block(0x44, padded(p)) + (block(0x45, b"tail") if i % 2 == 0 else bytes(4)) for i, (_, p) in enumerate(items))
+
+
+def loop_record(kind: str, items: Items) -> bytes:
+    k = lambda n: int(n[1:].split(".")[0])
+    if kind == "dt":
+        return b"".join(struct.pack("<iiIHH", 100 + i, 50, k(n), i, i % 2) for i, (n, _) in enumerate(items))
+    return b"".join(struct.pack("<i12sHHi", 100 + i, n.encode(), i, i % 2, 150 + i) for i, (n, _) in enumerate(items))
+
+
+def masked(kind: str, data: bytes, masks: tuple[bytes, bytes, bytes]) -> bytes:
+    """A payload as its stream masks it, byte by byte."""
+    out = bytearray(data)
+    if kind == "@SFA":
+        for i in range(0x140, len(out)):
+            out[i] ^= masks[2][i & 31]
+    elif kind == "@SFV" and len(out) - 0x40 >= 0x200:
+        lead = bytearray(masks[0])
+        for i in range(0x100):
+            lead[i & 31] ^= data[0x140 + i]
+            out[0x40 + i] ^= lead[i & 31]
+        run = bytearray(masks[1])
+        for i in range(0x100, len(out) - 0x40):
+            out[0x40 + i] ^= run[i & 31]
+            run[i & 31] = data[0x40 + i] ^ masks[1][i & 31]
+    return bytes(out)

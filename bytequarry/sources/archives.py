@@ -270,6 +270,93 @@ def listed_tracks(data: bytes, body: bytes) -> Iterator[Entry]:
         yield _plain(f"{i:03}__{offset:08x}.adpcm", offset, int(words[2][1:], 16))
 
 
+@reader
+def yeti_gear(data: bytes, body: bytes) -> Iterator[Entry]:
+    """Parallel arrays of offset, size, name's checksum and whether it is packed: then chunks of a power of two, deflated where that is shorter, behind their ends."""
+    _need(data[:16] == b"[ GEAR BigFile ]", "other signature")
+    n = struct.unpack_from("<I", data, 0x18)[0]
+    at = 0x20
+    offsets, sizes, names = struct.unpack_from(f"<{n}Q", data, at), struct.unpack_from(f"<{n}I", data, at + 8 * n), struct.unpack_from(f"<{n}I", data, at + 12 * n)
+    for i in range(n):
+        offset, size = offsets[i], sizes[i]
+        if not data[at + 16 * n + i]:
+            yield _plain(f"{names[i]:08x}", offset, size)
+            continue
+        count = -(-size // (1 << body[offset]))
+        end = struct.unpack_from("<I", body, offset + 1 + 4 * (count - 1))[0] if count else 0
+        yield f"{names[i]:08x}", offset, size, 1 + 4 * count + end, "chunks"
+
+
+@reader
+def sound_bin_fat(data: bytes, body: bytes) -> Iterator[Entry]:
+    """Folders of (id, offset, size) over one body, the first with their ids, those of languages without. Ids of class 0x10 go, and objects of class 0x20 of no audible type."""
+    order = _smaller_order(data, 0)
+    dirs, at = struct.unpack_from(order + "I", data, 0x1C)[0], 0x20
+    for folder in ("sound", "English", "French", "German", "Italian", "Spanish"):
+        for _ in range(dirs):
+            if at + 4 > len(data):
+                return
+            at += 4 if folder == "sound" else 0
+            n = struct.unpack_from(order + "I", data, at)[0]
+            at += 4
+            for _ in range(n):
+                number, offset, size = struct.unpack_from(order + "3I", data, at)
+                at += 12
+                kind = number >> 24 & 0xF0
+                known = kind == 0x20 and body[offset : offset + 4] in (b"\x01\x1b\x02\x00", b"\x00\x02\x1b\x01")
+                if kind != 0x10 and not (known and struct.unpack_from(order + "I", body, offset + 0x28)[0] not in (1, 5, 6)):
+                    yield _plain(f"{folder}/{number:08x}.bao", offset, size)
+
+
+@reader
+def scimitar_forge(data: bytes, body: bytes) -> Iterator[Entry]:
+    """Sections that name the next one; each has a table of offsets, hashes and sizes, and one of names. Old versions wrap a payload in a head of its own, later ones in a word or nothing."""
+    _need(data[:9] == b"scimitar\0", "other signature")
+    version, info = struct.unpack_from("<II", data, 9)
+    alone = struct.unpack_from("<I", data, 29)[0] == 1
+    wide = version >= 0x1B
+    place = struct.unpack_from("<Q", data, info + 12 + (8 if wide else 4) + 8 + 8)[0]
+    met = set()
+    while 0 < place < len(data) and place not in met:
+        met.add(place)
+        n, _, _, after, _, _, names, _ = struct.unpack_from("<IIQqIIQQ", data, place)
+        at, row, record = place + 48, 20 if wide else 16, 0x30 + 0x110 if version >= 0x1D else 0x2C + 0x80 + (20 if wide else 16)
+        for i in range(n):
+            offset, _, code, *rest = struct.unpack_from(f"<{row // 4}I", data, at + row * i)
+            size, spot = rest[-1], names + record * i
+            if version >= 0x1D:
+                name = f"{code:08x}_{data[spot + 4 : spot + 12].hex()}"
+            else:
+                size = struct.unpack_from("<I", data, spot)[0]
+                name = _text(data, spot + 0x2C, 0x80) or f"{code:08x}"
+            if not wide:
+                _need(body[offset : offset + 8] == b"FILEDATA", "payload without a head")
+                own = struct.unpack_from("<I", body, offset + 8 + 0x80 + 0xFF + 4)[0]
+                offset, size = offset + 8 + 0x80 + 0xFF + 16 + 36 + 1, own or size
+            elif version <= 0x1C and not alone:
+                offset, size = offset + 4, size - 4
+            packed = body[offset : offset + 4] in (b"\x33\xaa\xfb\x57", b"\x99\xfa\x04\x10", b"\x41\xfa\x99\x00")
+            yield _plain(name + (".compressed" if packed else ""), offset, size)
+        place = after
+
+
+def stepped_chunks(data: bytes) -> bytes:
+    """Chunks of 2**bits bytes behind their ends: a byte of bits, the ends, the chunks; one shorter than it should be is deflated."""
+    size, n = 1 << data[0], 0
+    ends: list[int] = []
+    while 1 + 4 * n + (ends[-1] if ends else -1) != len(data):
+        if 5 + 4 * n > len(data):
+            raise ValueError("chunks without an end")
+        ends.append(struct.unpack_from("<I", data, 1 + 4 * n)[0])
+        n += 1
+    out, begin, base = b"", 0, 1 + 4 * n
+    for end in ends:
+        part = data[base + begin : base + end]
+        out += part if len(part) == size else zlib.decompress(part)
+        begin = end
+    return out
+
+
 def executable_table(start: int, count: int, flagged: bool = True) -> Reader:
     """A table inside an executable over a disc file: (offset with two flag bits below, a word, size), or (sector, size). Flags 3 mark what is packed by an own scheme, 1 what is not there."""
 

@@ -61,6 +61,17 @@ def _tagged(ids: tuple[str, ...], with_head: bool = True, align: int = 1):
     return read
 
 
+def _guessed(data: bytes, at: int, big: bool) -> Chunk | None:
+    """Id and size words, the size in the byte order that makes it smaller; an id or a size of 0 ends the stream. The payload is the whole chunk."""
+    if at + 8 > len(data):
+        return None
+    raw = data[at + 4 : at + 8]
+    size = min(int.from_bytes(raw, "big"), int.from_bytes(raw, "little"))
+    if not size or not any(data[at : at + 4]):
+        return None
+    return data[at : at + 4].decode("latin-1"), 0, 0, at, min(at + size, len(data)), at + size
+
+
 SECTOR = 0x930
 
 
@@ -99,6 +110,7 @@ SNH1 = Dialect(_tagged(("1SNh", "1SNl", "1SNd", "1SNe", "kVGT", "fVGT", "MADk",
 RIFF_CHUNKS = Dialect(_tagged((), False, 2), start=12)
 BYTE_CHUNKS = Dialect(_id_then_u24)
 VIDEO_AUDIO_PAIRS = Dialect(_pairs)
+XA10, AD10, AU00 = (Dialect(_guessed, keep=ids) for ids in (("Xa10",), ("Ad10", "Ad11"), ("VLC0", "au00", "au01")))
 
 
 def _film(data: bytes) -> Iterator[tuple[str, int, int, int, int]]:
@@ -277,7 +289,7 @@ def _vid1(order: str):
 
 FILM, MUL, XAV, IPUS, SMV, SMK, BINK, SIFF, STR, VID1, VID1_LE = (Dialect(_trimmed, spans=f) for f in (_film, _mul, _xav, _ipus, _smv, _smk, _bink, _siff, _str, _vid1(">"), _vid1("<")))
 #: Dialects by name.
-DIALECTS = {"trimmed": TRIMMED, "blocks": BLOCKS, "sectors": SECTORS, "schl": SCHL, "snh1": SNH1, "riff": RIFF_CHUNKS, "bytes": BYTE_CHUNKS, "pairs": VIDEO_AUDIO_PAIRS, "film": FILM, "mul": MUL, "xav": XAV, "ipus": IPUS, "smv": SMV, "smk": SMK, "bink": BINK, "siff": SIFF, "str": STR, "vid1": VID1, "vid1_le": VID1_LE}
+DIALECTS = {"trimmed": TRIMMED, "blocks": BLOCKS, "sectors": SECTORS, "schl": SCHL, "snh1": SNH1, "riff": RIFF_CHUNKS, "bytes": BYTE_CHUNKS, "pairs": VIDEO_AUDIO_PAIRS, "film": FILM, "mul": MUL, "xav": XAV, "ipus": IPUS, "smv": SMV, "smk": SMK, "bink": BINK, "siff": SIFF, "str": STR, "vid1": VID1, "vid1_le": VID1_LE, "xa10": XA10, "ad10": AD10, "au00": AU00}
 
 
 def read_chunks(data: bytes, dialect: Dialect) -> Iterator[tuple]:

@@ -81,3 +81,45 @@ def kept(df: DataFrame, name: str, include: list[str], exclude: list[str] = ())
     """Rows whose name fits a pattern, and none of the excluded ones."""
     cond = matches_any(F.col(name), include) if include else F.lit(True)
     return df.filter(cond & ~matches_any(F.col(name), list(exclude)) if exclude else cond)
+
+
+# --- tables of loops ----------------------------------------------------------------
+
+#: Tables that may stand side by side, the first of which holds.
+LOOP_TABLES = ["bgmtbl.txt", "bgmtbl.txt_switch", "bgmtbl.tbl", "map.txt", "BOOT.BIN", "t_bgm._dt", "bgmtbl.tbbdec"]
+
+
+def loop_tables(lines: DataFrame) -> DataFrame:
+    """(folder, table, seq, title, name, looped, loop_start, loop_end) of text tables, the first of LOOP_TABLES in each folder. lines: (folder, table, seq, line).
+
+    Lines `bgmtbl title name flag start end` give the loop's end in .tbl
+    tables, else its length where the table has no comment (//tbl) or the name
+    begins with ed and the title is not BGM_Nothing; `y3bg... start length`
+    has names alone; lines between #BGMTable and #EndBGMTable of a map are
+    `id name x start end`, whose end is none at 10000000 or 99999999. What is
+    no number counts as 0. Positions of a switch table are at another rate.
+    """
+    from pyspark.sql import Window
+
+    known = F.array(*map(F.lit, LOOP_TABLES))
+    rank = F.array_position(known, F.col("table"))
+    first = lines.filter(rank > 0).groupBy("folder").agg(F.min(rank).alias("rank"))
+    rows = lines.withColumn("rank", rank).join(first, ["folder", "rank"])
+    whole = Window.partitionBy("folder")
+    upto = whole.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    said = F.max(F.when(F.col("line").startswith("//tbl"), 1).otherwise(0)).over(upto) == 1
+    inside = F.last(F.when(F.col("line").startswith("#EndBGMTable"), 0).when(F.col("line").startswith("#BGMTable"), 1), ignorenulls=True).over(upto) == 1
+    over = F.max(F.when(F.col("line").startswith("#EndBGMTable"), 1).otherwise(0)).over(upto) == 1
+    rows = rows.withColumn("said", said).withColumn("inside", F.coalesce(inside, F.lit(False)) & ~over).withColumn("w", F.filter(F.split(F.trim("line"), r"\s+"), lambda x: x != ""))
+    word = lambda i: F.get("w", F.lit(i))
+    number = lambda i: F.coalesce(F.expr(f"try_cast(get(w, {i}) AS bigint)"), F.lit(0))
+    is_map = F.col("table") == "map.txt"
+    std, y3 = ~is_map & F.col("line").startswith("bgmtbl"), ~is_map & F.col("line").startswith("y3bg") & (word(0) != "y3bg22_")
+    mapped = is_map & F.col("inside") & ~F.col("line").startswith("//ID") & ~F.col("line").startswith("#BGMTable") & (F.size("w") > 4) & ~((word(1) == "bgm01") & word(0).startswith("//"))
+    length = ~F.col("table").endswith(".tbl") & (~F.col("said") | ((word(1) != "BGM_Nothing") & word(2).startswith("ed")))
+    end = F.when(std & length, number(4) + number(5)).when(std, number(5)).when(y3, number(1) + number(2)).otherwise(number(4))
+    start = F.when(std, number(4)).when(y3, number(1)).otherwise(number(3))
+    looped = F.when(std, number(3) != 0).when(y3, end > 0).otherwise((end > 0) & ~end.isin(10000000, 99999999))
+    rate = lambda c: F.when(F.col("table").endswith("_switch"), F.floor(c * F.lit(48000) / F.lit(44100))).otherwise(c)
+    out = rows.filter(std | y3 | mapped)
+    return out.select("folder", "table", "seq", F.when(std, word(1)).when(is_map, F.upper(word(1))).alias("title"), F.when(std, word(2)).when(y3, word(0)).otherwise(F.lower(word(1))).alias("name"), looped.alias("looped"), rate(start).cast("bigint").alias("loop_start"), rate(end).cast("bigint").alias("loop_end"))

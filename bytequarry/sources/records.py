@@ -387,6 +387,144 @@ def _ogg_crc(data: bytes) -> int:
     return crc
 
 
+# --- loop tables of fixed records ---------------------------------------------------
+
+LOOPS_SCHEMA = "name string, looped boolean, loop_start long, loop_end long, error string"
+
+
+def loop_records(kind: str, start: int = 0, count: int | None = None) -> Callable[[bytes], Iterator[tuple]]:
+    """Records of loops: "boot" (id, name, flag, start, end), "dt" (start, length, number, id, flag; names are made of the number), "tbb" (start, name, id, flag, end). Records without a name go."""
+    form = {"boot": "<H12sHii", "dt": "<iiIHH", "tbb": "<i12sHHi"}[kind]
+    width = struct.calcsize(form)
+
+    def run(data: bytes) -> Iterator[tuple]:
+        n = count if count is not None else (len(data) - start) // width
+        for i in range(n):
+            x = struct.unpack_from(form, data, start + i * width)
+            if kind == "dt":
+                yield (f"ed{x[2]:04}", bool(x[4]), x[0], x[0] + x[1])
+                continue
+            name = x[1].strip(b"\0").decode()
+            if name:
+                yield (name, bool(x[2] if kind == "boot" else x[3]), x[3] if kind == "boot" else x[0], x[4])
+
+    return run
+
+
+# --- sections of sound definitions ----------------------------------------------------
+
+SECTIONS_SCHEMA = "section string, idx int, parent int, kind string, offset long, a long, b long, text string, error string"
+
+
+def sound_sections(data: bytes) -> Iterator[tuple]:
+    """SXDF: sections of id and size behind a head of 0x60 bytes. Names (their hash, and what they name), waves and sequences (their places), tones (range) with subs (range) and items (a wave or a sequence), variables (their least and most in thousandths). Offsets count from the word that holds them."""
+    if data[:4] != b"SXDF":
+        raise ValueError("other signature")
+    end, at = struct.unpack_from("<I", data, 8)[0], 0x60
+
+    def text(place: int) -> str:
+        stop = data.find(b"\0", place)
+        return data[place : stop if stop >= 0 else len(data)].decode("utf-8", "replace")
+
+    def tones(base: int, n: int) -> Iterator[tuple]:
+        for i in range(n):
+            place = base + 16 * i
+            _, least, most, subs, rel = struct.unpack_from("<IHHII", data, place)
+            yield ("TONE", i, None, "tone", place, least, most, None)
+            for j in range(subs):
+                sub = place + 12 + rel + 16 * j
+                _, _, low, high, items, own = struct.unpack_from("<IHHHHI", data, sub)
+                yield ("TONE", j, i, "sub", sub, low, high, None)
+                for k in range(items):
+                    item = sub + 12 + own + 12 * k
+                    _, note, number, _, _ = struct.unpack_from("<HhIHH", data, item)
+                    yield ("TONE", k, j, "seqd" if note < 0 else "wave", item, number, note, None)
+
+    while at + 8 <= min(end, len(data)):
+        name, size = data[at : at + 4].decode("latin-1"), struct.unpack_from("<I", data, at + 4)[0]
+        n, base = struct.unpack_from("<I", data, at + 12)[0] if size >= 8 else 0, at + 16
+        if name in ("NAME", "LVRN", "RXFN"):
+            named = {"NAME": "reqd", "LVRN": "lvar", "RXFN": "rxdf"}[name]
+            for i in range(n):
+                rel, code, number = struct.unpack_from("<III", data, base + 12 * i)
+                yield (name, i, None, named, base + 12 * i, code, number, text(base + 12 * i + rel))
+        elif name == "TONE":
+            yield from tones(base, n)
+        elif name == "WAVE":
+            for i in range(n):
+                yield (name, i, None, "wave", base + 4 * i + struct.unpack_from("<I", data, base + 4 * i)[0], None, None, None)
+        elif name == "SEQD":
+            for i in range(n):
+                place = base + 4 * i + struct.unpack_from("<I", data, base + 4 * i)[0]
+                length, rel = struct.unpack_from("<II", data, place + 12)
+                yield (name, i, None, "seqd", place + 16 + rel, length, None, None)
+        elif name == "LVAR":
+            for i in range(n):
+                least, most = struct.unpack_from("<ff", data, base + 32 * i + 24)
+                yield (name, i, None, "lvar", base + 32 * i, round(least * 1000), round(most * 1000), None)
+        at += 8 + size
+
+
+def block_runs(head: int = 0x48, body: int = 0x44, tail: int = 0x45) -> Callable[[bytes], Iterator[tuple]]:
+    """Runs of blocks (a flag byte, 24 bits of size, big-endian) in unknown data, found every 4 bytes: a head of under 0xFF bytes, bodies, a tail. A run that another flag breaks ends there."""
+
+    def run(data: bytes) -> Iterator[tuple]:
+        at, part, begin = 0, 0, None
+        while at + 4 <= len(data):
+            word = int.from_bytes(data[at : at + 4], "big")
+            flag, size = word >> 24, word & 0xFFFFFF
+            if begin is None:
+                if flag == head and 4 <= size < 0xFF:
+                    begin, at = at, at + size
+                else:
+                    at += 4
+                continue
+            if flag in (head, body, tail) and size >= 4:
+                at += size
+                if flag != tail:
+                    continue
+                stop = at
+            else:
+                stop, at = at, at + 4
+            yield (part, begin, data[begin:stop])
+            part, begin = part + 1, None
+        if begin is not None:
+            yield (part, begin, data[begin:])
+
+    return run
+
+
+def bitpacked_head(data: bytes, at: int = 0) -> bool:
+    """Whether bit-packed audio may begin there: a version's page head, then version, channels and rate that go together."""
+    if len(data) - at < 0x50:
+        return False
+    if data[at] == 0x48 and not any(data[at + 1 : at + 10]):
+        version, at = 1, at + 10
+    elif data[at] == 8:
+        version, at = 0, at + 1
+    else:
+        return False
+    head = int.from_bytes(data[at : at + 2], "big")
+    return head >> 14 == version and head >> 11 & 7 != 0 and not (head >> 9 & 3 == 3 and head >> 1 & 0xFF > 10)
+
+
+def carved_valid(plausible: Callable[[bytes, int], bool], size_of: Callable[[bytes, int], int], step: int = 1) -> Callable[[bytes], Iterator[tuple]]:
+    """Objects in unknown data without a mark: at each multiple of `step` a test of plausibility, then one that reads the whole object and tells its size, 0 for none. The scan goes on after an object."""
+
+    def run(data: bytes) -> Iterator[tuple]:
+        at = 0
+        while at < len(data):
+            size = size_of(data, at) if plausible(data, at) else 0
+            if size <= 0 or at + size > len(data):
+                at += step
+                continue
+            payload = data[at : at + size]
+            yield (at, "", payload, zlib.crc32(payload))
+            at += -(-size // step) * step
+
+    return run
+
+
 # --- msgpack --------------------------------------------------------------------------------
 
 JSON_SCHEMA = "json string, error string"
@@ -455,6 +593,10 @@ PARSERS: dict[str, tuple[Callable[[bytes], Iterator[tuple]], str]] = {
     "chunked_asset": (chunked_asset, CUT_SCHEMA),
     "padded_chunks": (padded_chunks, CUT_SCHEMA),
     "silent_cuts": (silent_cuts(), CUT_SCHEMA),
+    "sound_sections": (sound_sections, SECTIONS_SCHEMA),
+    "block_runs": (block_runs(), CUT_SCHEMA),
+    "loop_records_dt": (loop_records("dt"), LOOPS_SCHEMA),
+    "loop_records_tbb": (loop_records("tbb"), LOOPS_SCHEMA),
 }
 
 
