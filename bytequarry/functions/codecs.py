@@ -282,10 +282,14 @@ def inflate_bytes(data: bytes, kind: str) -> bytes | None:
             return lzss_bytes(data)
         if kind == "gprs":
             return gprs_bytes(data)
-        if kind == "chunks":
-            from ..sources.archives import stepped_chunks
-
-            return stepped_chunks(data)
+        if kind in ("chunks", "keyed", "sized_zlib", "sized_zlib_short") or str(kind).startswith("aligned:"):
+            from ..sources import archives
+
+            if kind == "keyed":
+                return archives.keyed_chunk(data)[16:]
+            if kind == "chunks":
+                return archives.stepped_chunks(data)
+            return archives.aligned_chunks(data, int(kind[8:])) if kind.startswith("aligned:") else archives.sized_chunks(data, kind.endswith("short"))
         if kind == "nibbles":
             return bytes((b << 4 | b >> 4) & 255 for b in data)
         return data if kind in ("copy", "", None) else None
@@ -294,7 +298,7 @@ def inflate_bytes(data: bytes, kind: str) -> bytes | None:
 
 
 #: Codecs that inflate_bytes knows; others give null and the error unsupported_codec.
-CODECS = ("copy", "zlib", "deflate", "lzma", "zstd", "lzss", "gprs", "nibbles", "chunks")
+CODECS = ("copy", "zlib", "deflate", "lzma", "zstd", "lzss", "gprs", "nibbles", "chunks", "keyed", "sized_zlib", "sized_zlib_short")
 
 
 def inflate(data: Column, kind: str = "zlib") -> Column:

@@ -90,19 +90,20 @@ def unsound_archives(part):
 
 @query("part", sql=f"""
 WITH {_ITEMS} SELECT 'blocks' AS kind, path, CAST(i AS INT) AS part, repeat(text, 3) AS text FROM p WHERE i = 0
-UNION ALL SELECT 'files', path, CAST(i AS INT), text FROM p UNION ALL SELECT 'asset', path, 0, repeat(text, 9) FROM p WHERE i = 0 UNION ALL SELECT 'padded', path, 0, repeat(text, 9) FROM p WHERE i = 0""")
+UNION ALL SELECT 'files', path, CAST(i AS INT), text FROM p UNION ALL SELECT 'runs', path, CAST(i AS INT), text FROM p UNION ALL SELECT 'asset', path, 0, repeat(text, 9) FROM p WHERE i = 0 UNION ALL SELECT 'padded', path, 0, repeat(text, 9) FROM p WHERE i = 0""")
 def assembled_payloads(part):
     """Payloads that lie in pieces: stripped blocks, chunked files, deflated chunks of two kinds."""
     files = files_of(part)
     first = lambda n: (lambda x, n=n: _pairs(x)[0][1] * n)
     forms = {
         "blocks": (lambda x: samples.stripped_blocks(first(3)(x)), archives.stripped_blocks), "files": (lambda x: samples.chunked_files(_pairs(x)), archives.chunked_files),
-        "asset": (lambda x: samples.chunked_asset(first(9)(x)), repair.chunked_asset), "padded": (lambda x: samples.padded_chunks(first(9)(x)), repair.padded_chunks),
+        "runs": (lambda x: samples.stream_runs(_pairs(x)), archives.stream_runs), "asset": (lambda x: samples.chunked_asset(first(9)(x)), repair.chunked_asset), "padded": (lambda x: samples.padded_chunks(first(9)(x)), repair.padded_chunks),
     }
     out = None
     for kind, (write, read) in forms.items():
         got = blobs.parsed(files.select("path", written(write, F.col("items")).alias("content")), "path", "content", read, repair.CUT_SCHEMA)
-        rows = got.select(F.lit(kind).alias("kind"), "path", "part", F.coalesce("error", read_back(F.col("payload"))).alias("text"))
+        text = F.regexp_extract(F.decode("payload", "ISO-8859-1"), "(?s)^RVWS.{12}BGAV.{4}(.*?)LLIF", 1) if kind == "runs" else read_back(F.col("payload"))
+        rows = got.select(F.lit(kind).alias("kind"), "path", "part", F.coalesce("error", text).alias("text"))
         out = rows if out is None else out.unionByName(rows)
     return out
 

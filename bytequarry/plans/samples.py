@@ -812,3 +812,110 @@ def masked(kind: str, data: bytes, masks: tuple[bytes, bytes, bytes]) -> bytes:
             out[0x40 + i] ^= run[i & 31]
             run[i & 31] = data[0x40 + i] ^ masks[1][i & 31]
     return bytes(out)
+
+
+# --- directories of large engines -------------------------------------------------------------
+
+
+def _deflated(p: bytes) -> bytes:
+    z = zlib.compressobj(9, zlib.DEFLATED, -15)
+    return z.compress(p) + z.flush()
+
+
+def _key(name: str) -> int:
+    return int(name[1:].split(".")[0])
+
+
+def _dunia(mark: bytes, order: str, version: int, flags: int = 0) -> Callable[[Items], Archive]:
+    kind = 3 if b"3" in mark else 2 if b"FAT" in mark or b"TAF" in mark else 0
+
+    def write(items: Items) -> Archive:
+        import lzma
+
+        late = kind == 2 and version >= 9
+        own = ">" if late and flags & 0xFF in (2, 3) else order
+        out, body = b"", bytes(16)
+        for i, (n, p) in enumerate(items):
+            packer, packed, size = 0, p, 0
+            if kind == 3 and i % 2:
+                z = _deflated(p)
+                packed, size = struct.pack("<HHH", 1, 0xFFF, len(z)).ljust(16, b"\0") + z, len(p)
+            elif late and i % 2:
+                packed, size = lzma.compress(p), len(p)
+            body += bytes(-len(body) % (1 << max(kind, 1)))
+            at, k, z = len(body), _key(n), len(packed)
+            high, low = at >> kind, (at & (1 << kind) - 1) << 32 - kind | z if kind else 0
+            if kind == 0:
+                out += struct.pack(own + "3I", at, len(p), k)
+            elif late:
+                out += struct.pack(own + "Q3I", k << 32 | 7, size << 2 | packer, high, low)
+            elif kind == 2:
+                out += struct.pack(own + "IIQII", 0, 0, k, low, high)
+            else:
+                out += struct.pack(own + "4I", k, size << 3, low, high)
+            body += packed
+        head = mark + (struct.pack(order + "II", version, flags) if kind else b"") + (bytes(8) if late else b"")
+        return head + struct.pack(order + "I", len(items)) + out, body
+
+    return write
+
+
+for _m, _o, _v, _f, _n in ((b"3TAF", "<", 2, 0, "printf('%08x', k)"), (b"FAT3", ">", 2, 0, "printf('%08x', k)"), (b"2TAF", "<", 5, 0, "printf('%08x', k)"), (b"2TAF", "<", 9, 1, "printf('%08x%08x', 7, k)"), (b"2TAF", "<", 10, 3, "printf('%08x%08x', k, 7)"), (b"DAT2", "<", 0, 0, "printf('%08x', k)"), (b"2TAD", ">", 0, 0, "printf('%08x', k)")):
+    sample(layout="dunia_fat", name=_n, key=f"dunia_{_m.decode().lower()}_{_v}")(_dunia(_m, _o, _v, _f))
+
+
+@sample(name="'a/Squeak/' || name || CASE i % 3 WHEN 0 THEN '' WHEN 1 THEN '.raw' ELSE '.asset' END")
+def torus_hnk(items: Items) -> Archive:
+    block = lambda kind, p: struct.pack("<IHH", len(p), kind, 0) + p
+    head = lambda folder, n: block(0x71, struct.pack("<5H", 0, 8, 1, len(folder), len(n)) + folder + n)
+    out = block(0x70, b"\0" * 4) + head(b"Other", b"x") + block(0x10, b"skipped")
+    for i, (n, p) in enumerate(items):
+        out += head(b"a/Squeak", n.encode()) + block((0x190, 0x91, 0x93)[i % 3], p)
+    return out + block(0x72, b""), None
+
+
+def _rdb(mark: bytes) -> Callable[[Items], Archive]:
+    def write(items: Items) -> Archive:
+        out = mark + struct.pack("<II", 0x20, 16) + bytes(16) if mark != b"IDRK0000" else b""
+        for i, (n, p) in enumerate(items):
+            short = struct.pack("<HII", len(zlib.compress(p)), 0, 0) + zlib.compress(p)
+            data, flags = ((p, 0), (struct.pack("<I", len(zlib.compress(p))) + zlib.compress(p), 0x100000), (short, 0x400000))[i % 3]
+            whole = 56 + 12 + 5 + len(data)
+            out += b"IDRK0000" + struct.pack("<QQQIIIIII", whole, len(data), len(p), 5, _key(n), 0x563BDEF1, flags, 0, 1) + bytes(12 + 5) + data
+            out += bytes(-len(out) % 4 if mark == b"_DRK0000" else -whole % 16)
+            if i == 0:  # one whose payload lies elsewhere
+                out += b"IDRK0000" + struct.pack("<QQQIIIIII", 64, 8, 8, 0, 1, 2, 0x10000, 0, 0) + bytes(8)
+        return out, None
+
+    return write
+
+
+for _m in (b"_DRK0000", b"PDRK0000"):
+    sample(layout="koei_rdb", name="printf('%08x.563bdef1', k)", key=f"koei_{_m[:4].decode().lower()}")(_rdb(_m))
+
+
+@sample(name="name || '.bytes'")
+def abbp(items: Items) -> Archive:
+    def chunk(p: bytes, key: int) -> bytes:
+        out, x = bytearray(p), key
+        for i in range(len(out)):
+            x = (x * 5 + 1) & 255
+            out[i] ^= x
+        return b"DATA" + struct.pack("<IIB", 1, len(p), 0) + bytes(11) + bytes([key]) + bytes(7) + bytes(out)
+
+    parts = [(n, chunk(b"checksum16 bytes" + p, 7 + i)) for i, (n, p) in enumerate(items)]
+    at, body = _laid(parts, 0)
+    table = chunk(bytes(16) + struct.pack("<I", len(items)) + b"".join(struct.pack("<IQII", 0, o, len(p), len(n)) + n.encode() for (n, _), o, (_, p) in zip(items, at, items, strict=True)), 99)
+    return b"ABBP" + struct.pack("<IQQQQ", 1, 0, 0, len(table), 0) + bytes(24) + table + body, None
+
+
+@sample(name="printf('%04d.%s', i, CASE WHEN i % 2 = 0 THEN 'vis' ELSE 'move' END)", head=4)
+def kces_sectors(items: Items) -> Archive:
+    marked = [(n, ((b"VISA" if i % 2 == 0 else b"MOVE") + p).ljust(0x800, b"\0")) for i, (n, p) in enumerate(items)]
+    return struct.pack(f"<{len(items) + 2}I", *range(1, len(items) + 2), 0), bytes(0x800) + b"".join(p for _, p in marked)
+
+
+def stream_runs(items: Items) -> bytes:
+    """SWVR files among words of zero and fillers."""
+    block = lambda name, p: name[::-1] + struct.pack("<I", 8 + len(p)) + p
+    return bytes(8) + b"".join(block(b"SWVR", b"12345678") + block(b"VAGB", p) + bytes(4) + block(b"FILL", b"xx") for _, p in items)

@@ -340,6 +340,152 @@ def scimitar_forge(data: bytes, body: bytes) -> Iterator[Entry]:
         place = after
 
 
+@reader
+def dunia_fat(data: bytes, body: bytes) -> Iterator[Entry]:
+    """FAT2, FAT3 and DAT2 directories of either byte order: records by the version, in which the low bits of sizes tell the packer and the high ones of packed sizes go on with the offset."""
+    kind, order = {b"3TAF": (3, "<"), b"FAT3": (3, ">"), b"2TAF": (2, "<"), b"FAT2": (2, ">"), b"DAT2": (0, "<"), b"2TAD": (0, ">")}.get(data[:4], (None, ""))
+    _need(kind is not None, "other signature")
+    version, flags, at = 0, 0, 4
+    if kind:
+        version, flags = struct.unpack_from(order + "II", data, 4)
+        at = 20 if kind == 2 and version >= 9 else 12
+    n = struct.unpack_from(order + "I", data, at)[0]
+    at += 4
+    late = kind == 2 and version >= 9
+    swapped = late and flags & 0xFF in (2, 3)
+    order = ">" if swapped else order
+    chunked = late and flags >> 8 & 0xFF == 4
+    for _ in range(n):
+        if kind == 0:
+            offset, size, code = struct.unpack_from(order + "3I", data, at)
+            at += 12
+            yield _plain(f"{code:08x}", offset, size)
+            continue
+        if late:
+            code, size, offset, packed = struct.unpack_from(order + "Q3I", data, at)
+            at += 20
+            high, low = code >> 32, code & MAX32
+            name = f"{high:08x}{low:08x}" if swapped else f"{low:08x}{high:08x}"
+        elif kind == 2:
+            size, _, code, packed, offset = struct.unpack_from(order + "IIQII", data, at)
+            at += 24
+            name = f"{code & MAX32:08x}"
+        else:
+            code, size, packed, offset = struct.unpack_from(order + "4I", data, at)
+            at += 16
+            name = f"{code:08x}"
+        bits = kind
+        offset, packed = offset << bits | packed >> (32 - bits), packed & (1 << 32 - bits) - 1
+        packer, size = size & (1 << bits) - 1, size >> bits
+        if not size:
+            if packed:
+                yield _plain(name, offset, packed)
+        elif kind == 3 or chunked and packer == 2:
+            yield name, offset, size, packed, f"aligned:{offset & 15}"
+        else:
+            yield name, offset, size, packed, ("lzma", "lzo", "copy", "xmem")[packer] if late else "oodle" if version == 6 else "lzo"
+
+
+@reader
+def torus_hnk(data: bytes, body: bytes) -> Iterator[Entry]:
+    """Blocks of size, type and flag; a header block (0x71) gives folder and name to those that follow. Blocks of sound folders, by their types."""
+    at, folder, name = 0, ".", "root"
+    ends = {0x90: "", 0x91: ".raw", 0x92: "", 0x93: ".asset"}
+    while at + 8 <= len(data):
+        size, kind, _ = struct.unpack_from("<IHH", data, at)
+        at += 8
+        if kind == 0x71:
+            fn, nn = struct.unpack_from("<HH", data, at + 6)
+            folder, name = _text(data, at + 10, fn), _text(data, at + 10 + fn, nn)
+        elif kind not in (0x70, 0x72, 2) and folder.endswith("Squeak"):
+            yield _plain(f"{folder}/{name}{ends.get(kind & 0xFF, '.bin')}", at, size)
+        at += size
+
+
+@reader
+def koei_rdb(data: bytes, body: bytes) -> Iterator[Entry]:
+    """Records of ids and flags, each followed by its payload: as it is, or in deflated chunks. Records of payloads that lie elsewhere give no entry."""
+    _need(data[:8] in (b"_DRK0000", b"PDRK0000", b"IDRK0000"), "other signature")
+    at = 0 if data[:4] == b"IDRK" else struct.unpack_from("<I", data, 8)[0]
+    while at + 56 <= len(data) and data[at : at + 8] == b"IDRK0000":
+        whole, size, full, extra, name, kind, flags, _, more = struct.unpack_from("<QQQIIIIII", data, at + 8)
+        spot = at + 56 + 12 * more + extra
+        if size and not flags & 0x30000:
+            packers = {0: "copy", 0x100000: "sized_zlib", 0x400000: "sized_zlib_short", 0x200000: "lz4"}
+            yield f"{name:08x}.{kind:08x}", spot, full, size, packers.get(flags & 0x700000, "encrypted")
+        at = spot + size
+        at += -at % 4 if data[:4] == b"_DRK" else -whole % 16
+
+
+@reader
+def abbp(data: bytes, body: bytes) -> Iterator[Entry]:
+    """A directory and payloads as DATA chunks under a keystream from the first byte of each chunk's key; payloads have a checksum of 16 bytes before them."""
+    _need(data[:4] == b"ABBP", "other signature")
+    base = 0x40 + struct.unpack_from("<Q", data, 0x18)[0]
+    table = keyed_chunk(data[0x40:])
+    at = 20
+    for _ in range(struct.unpack_from("<I", table, 16)[0]):
+        _, offset, _, n = struct.unpack_from("<IQII", table, at)
+        name, at = table[at + 20 : at + 20 + n].decode("utf-8", "replace"), at + 20 + n
+        size = struct.unpack_from("<I", body, base + offset + 8)[0]
+        yield f"{name}.bytes", base + offset, size - 16, 32 + size, "keyed"
+
+
+@reader
+def kces_sectors(data: bytes, body: bytes) -> Iterator[Entry]:
+    """Sector numbers in a row over a disc file, each payload up to the next; a number that isn't larger ends them. Kinds by their marks."""
+    # The marks of kinds.
+    kinds = {b"\0\0\1\xba": "pss", b"\1\0d\x08": "vig", b"ef\1\0": "swp", b"wp\2\0": "swp", b"VISA": "vis", b"P2BT": "p2bt", b"MOVE": "move", b"GbTs": "gbts"}
+    for i in range(len(data) // 4 - 1):
+        a, b = (x * 0x800 for x in struct.unpack_from("<II", data, 4 * i))
+        if b <= a:
+            return
+        if len(body) % 0x800:
+            b = min(b, len(body))
+        yield _plain(f"{i:04}.{kinds.get(body[a : a + 4], 'dat')}", a, b - a)
+
+
+MAX32 = 0xFFFFFFFF
+
+
+def keyed_chunk(data: bytes) -> bytes:
+    """The plain content of a DATA chunk: a head of 32 bytes with its size and key, then bytes under key * 5 + 1 again and again."""
+    _need(data[:4] == b"DATA", "no chunk")
+    size, packed, key = struct.unpack_from("<I", data, 8)[0], data[12], data[24]
+    _need(packed == 0, "packed chunk")
+    out = bytearray(data[32 : 32 + size])
+    for i in range(len(out)):
+        key = (key * 5 + 1) & 255
+        out[i] ^= key
+    return bytes(out)
+
+
+def sized_chunks(data: bytes, short: bool) -> bytes:
+    """Deflated chunks, each behind its size: a word, or half of one and eight more bytes."""
+    at, out = 0, b""
+    while at + 4 <= len(data):
+        n = struct.unpack_from("<H" if short else "<I", data, at)[0]
+        at += 10 if short else 4
+        out += zlib.decompress(data[at : at + n])
+        at += n
+    return out
+
+
+def aligned_chunks(data: bytes, phase: int) -> bytes:
+    """Chunks of up to 0x10000 bytes, deflated or (size 0) as they are: rows of 16 bytes hold their sizes, six in the first row and eight in others, each row followed by its chunks at places of one phase of 16."""
+    n, out, row, first = struct.unpack_from("<H", data, 0)[0], b"", 0, 2
+    while n > 0:
+        at = row + 16
+        here = min(n, 8 - first)
+        for size in struct.unpack_from(f"<{here}H", data, row + 2 * first):
+            take = size or 0x10000
+            out += zlib.decompressobj(-15).decompress(data[at : at + take]) if size else data[at : at + take]
+            at += take
+            at += (phase - (at + phase)) % 16
+        n, row, first = n - here, at, 0
+    return out
+
+
 def stepped_chunks(data: bytes) -> bytes:
     """Chunks of 2**bits bytes behind their ends: a byte of bits, the ends, the chunks; one shorter than it should be is deflated."""
     size, n = 1 << data[0], 0
@@ -413,6 +559,30 @@ def stripped_blocks(data: bytes) -> Iterator[tuple]:
     yield (0, 0, bytes(out[:clean]))
 
 
+def stream_runs(data: bytes) -> Iterator[tuple]:
+    """SWVR files: each begins at a block of that mark and holds the blocks up to the next one; fillers at the ends of sectors are a word long, words of zero are passed over."""
+    at, part, begin, held = 0, 0, 0, b""
+    begun = False
+    while at + 8 <= len(data):
+        name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        if not any(name) or not size:
+            at += 4
+            continue
+        if name == b"LLIF" and ((at + 4) % 0x6000 == 0 or (at + 4) % 0x10000 == 0 or size > 0x100000):
+            size = 4
+        _need(size <= 0x100000, "bad size")
+        if name == b"RVWS":
+            if begun:
+                yield (part, begin, held)
+                part += 1
+            begun, begin, held = True, at, b""
+        if begun:
+            held += data[at : at + size]
+        at += size
+    if begun:
+        yield (part, begin, held)
+
+
 def chunked_files(data: bytes) -> Iterator[tuple]:
     """CTRL: files as SHOC chunks, begun by a head (extension reversed, size) and followed by stored or deflated parts, whose content lies behind 0x2C more bytes; fillers go."""
     _need(data[:4] == b"CTRL", "other signature")
