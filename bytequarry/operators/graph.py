@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _held(df: DataFrame) -> DataFrame:
-    """df checkpointed, so that lineage stays short; in a temporary folder only where none is configured."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        local = tempfile.mkdtemp(prefix="bytequarry-")
-        atexit.register(shutil.rmtree, local, True)
-        spark.sparkContext.setCheckpointDir(f"file://{local}")
-    return df.checkpoint()
+from .staging import held
 
 
 def resolvable(target: Column) -> Column:
@@ -32,25 +21,14 @@ def reach(roots: DataFrame, edges: DataFrame) -> DataFrame:
     Each round joins the newly reached nodes with the edges and drops what was
     reached before, until nothing is new; cycles end there too.
     """
-    seen = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))
-    front = seen
+    edges = held(edges.select("src", "dst"))
+    front = seen = held(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")))
     for depth in count(1):
-        front = front.select("root", F.col("node").alias("src")).join(edges.select("src", "dst"), "src").select("root", F.col("dst").alias("node")).distinct()
-        front = _held(front.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        step = front.select("root", F.col("node").alias("src")).join(edges, "src").select("root", F.col("dst").alias("node")).distinct()
+        front = held(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(front)
-    return seen
-
-
-def levels(edge_tables: list[DataFrame], root: DataFrame) -> DataFrame:
-    """Reachability through layers of known order, each (src, dst) with its own kind of ids: counts of distinct nodes by root and depth."""
-    front, out = root.select(F.col("node").alias("root"), "node"), None
-    for depth, edges in enumerate(edge_tables, 1):
-        front = front.join(edges, front["node"] == edges["src"]).select("root", F.col("dst").alias("node"))
-        got = front.groupBy("root").agg(F.count_distinct("node").alias("reached")).withColumn("depth", F.lit(depth))
-        out = got if out is None else out.unionByName(got)
-    return out
 
 
 def ordered_leaves(roots: DataFrame, edges: DataFrame, is_leaf: Column) -> DataFrame:
@@ -59,7 +37,7 @@ def ordered_leaves(roots: DataFrame, edges: DataFrame, is_leaf: Column) -> DataF
     out = None
     while True:
         step = front.join(edges, (front["node"] == edges["src"]) & ~F.array_contains("above", F.col("dst"))).select("root", F.col("dst").alias("node"), F.concat("path", F.array(F.col("ordinal").cast("int"))).alias("path"), F.concat("above", F.array("dst")).alias("above"), is_leaf.alias("leaf"))
-        step = _held(step)
+        step = held(step)
         hit = step.filter("leaf").select("root", F.col("node").alias("leaf"), F.col("path").alias("place"))
         out = hit if out is None else out.unionByName(hit)
         front = step.filter("NOT leaf").drop("leaf")
@@ -72,10 +50,10 @@ def inherited(own: DataFrame, base: DataFrame) -> DataFrame:
     state = own.select("node", "values", F.col("node").alias("at"), F.array("node").alias("met"))
     while True:
         up = state.join(base.select(F.col("node").alias("at"), "base"), "at").join(own.select(F.col("node").alias("base"), F.col("values").alias("more")), "base").filter(~F.array_contains("met", F.col("base")))
-        moved = _held(up.select("node", F.concat("more", "values").alias("values"), F.col("base").alias("at"), F.concat("met", F.array("base")).alias("met")))
+        moved = held(up.select("node", F.concat("more", "values").alias("values"), F.col("base").alias("at"), F.concat("met", F.array("base")).alias("met")))
         if moved.isEmpty():
             break
-        state = _held(state.join(moved.select("node").distinct(), "node", "left_anti").unionByName(moved))
+        state = held(state.join(moved.select("node").distinct(), "node", "left_anti").unionByName(moved))
     return state.select("node", F.array_distinct("values").alias("values"))
 
 
@@ -85,7 +63,7 @@ def tree_paths(nodes: DataFrame) -> DataFrame:
     done = front.select("node", "path")
     while True:
         below = nodes.select("node", "parent", "name").join(front.select(F.col("node").alias("parent"), "path", "above"), "parent").filter(~F.array_contains("above", F.col("node")))
-        front = _held(below.select("node", F.concat("path", F.lit("/"), "name").alias("path"), F.concat("above", F.array("node")).alias("above")))
+        front = held(below.select("node", F.concat("path", F.lit("/"), "name").alias("path"), F.concat("above", F.array("node")).alias("above")))
         if front.isEmpty():
             return done
         done = done.unionByName(front.select("node", "path"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import held
+
 
 def sizes_by_next(df: DataFrame, group: list[str], offset: str, end: Column, order: list[str] | None = None) -> DataFrame:
     """df with size: the next offset of the group less its own; the last ends at `end`. order: where offsets may repeat."""
@@ -99,13 +101,12 @@ def ranked(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame
 
     A range exchange sorts the rows over many tasks; a row's place is the count
     of the tasks before (as many numbers as tasks) and its own place there. The
-    sorted rows are checkpointed where the session has a folder for it, else
-    kept, so that both passes see the same tasks.
+    sorted rows are checkpointed, so that both passes see the same tasks.
     """
     spark = df.sparkSession
     keys = [f"__k{i}" for i in range(len(order))]
     rows = df.select("*", *[c.alias(k) for c, k in zip(order, keys, strict=True)]).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
-    rows = rows.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else rows.persist()
+    rows = held(rows)
     part = F.shiftright("__at", 33)
     before, offsets = 0, []
     for r in sorted(rows.groupBy(part.alias("p")).count().collect(), key=lambda r: r["p"]):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bytesx, codecs
 from ..operators import demux, manifest, timing
+from ..operators.staging import shared_dir
 from ..sources import archives, blobs, chunks, records, repair, toc, utf_table
 from . import samples
 from .queries import query
@@ -333,17 +334,10 @@ def structured_texts(part, nation):
 
 
 def _folder(df: DataFrame, name: str) -> str:
-    """A new folder for files, below the one that spark.checkpoint.dir names; a temporary one only in local mode without it."""
-    import tempfile
+    """A new folder for files that all executors reach."""
     import uuid
 
-    spark = df.sparkSession
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        place = f"file://{tempfile.mkdtemp(prefix='bytequarry-')}"
-    return f"{place.rstrip('/')}/bytequarry/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(df.sparkSession)}/bytequarry/{name}-{uuid.uuid4().hex}"
 
 
 @query("nation", "region", sql="""
@@ -514,3 +508,18 @@ def unmasked_streams(documents):
     texts = documents.filter("text IS NOT NULL").select("doc_id", F.explode(F.array(F.lit("@SFV"), F.lit("@SFA"), F.lit("@CUE"))).alias("kind"), F.encode("text", "UTF-8").alias("d"))
     masked = written(lambda kind, d: samples.masked(kind, bytes(d), codecs.video_masks(key)), F.col("kind"), F.col("d"))
     return texts.select("doc_id", "kind", F.md5(codecs.unmask_stream(masked, F.col("kind"), key)).alias("digest"))
+
+
+@query("part", sql=f"WITH {_ITEMS} SELECT path, text FROM p")
+def validated_objects(part):
+    """Objects without a mark in unknown data, by a plausible head and a check of the whole."""
+    import struct
+    import zlib
+
+    def size_of(data: bytes, at: int) -> int:
+        size, crc = struct.unpack_from("<II", data, at + 4)
+        return size if 12 < size <= len(data) - at and zlib.crc32(data[at + 12 : at + size]) == crc else 0
+
+    files = files_of(part).select("path", written(lambda x: samples.unmarked_objects(_pairs(x)), F.col("items")).alias("content"))
+    found = blobs.parsed(files, "path", "content", records.carved_valid(records.bitpacked_head, size_of), records.CARVED_SCHEMA)
+    return found.select("path", read_back(F.col("payload"), 12).alias("text"))

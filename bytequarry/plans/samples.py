@@ -919,3 +919,13 @@ def stream_runs(items: Items) -> bytes:
     """SWVR files among words of zero and fillers."""
     block = lambda name, p: name[::-1] + struct.pack("<I", 8 + len(p)) + p
     return bytes(8) + b"".join(block(b"SWVR", b"12345678") + block(b"VAGB", p) + bytes(4) + block(b"FILL", b"xx") for _, p in items)
+
+
+def unmarked_objects(items: Items) -> bytes:
+    """Objects without a mark among noise: a bit-packed head, size, checksum, content; before each a like head whose checksum is wrong."""
+    out = b""
+    for i, (_, p) in enumerate(items):
+        body = p.ljust(0x50, b"\0")
+        head = struct.pack(">BHB", 8, 2 << 11 | 1 << 9 | 44 << 1, 0)
+        out += b"noise" + head + struct.pack("<II", 12 + len(body), zlib.crc32(body) ^ 1) + head + struct.pack("<II", 12 + len(body), zlib.crc32(body)) + body + b"n" * i
+    return out + bytes(0x50)
