@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes that a broadcast table may take in an executor's memory, by row_bytes(); a larger one joins by shuffle.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 16 << 20
 #: A key of more rows than this, and of more than a HOT_SHARE of all, is dealt to several tasks.
 HOT_ROWS, HOT_SHARE = 10_000, 50_000
 
