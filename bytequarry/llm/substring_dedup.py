@@ -215,7 +215,7 @@ def _stream(window: int):
 
 def redundant_windows(texts: DataFrame, rows: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(uid, first, n): runs of n consecutive windows from word `first` on that also start earlier, less the windows at `first` of rows with n = 0. texts: (doc_id, uid, text)."""
-    owners = 4
+    owners = 6
     while (1 << owners) * PER_OWNER < rows * 64 and owners < 16:
         owners += 1
     schema = "src int, owner int, chunk int, n int, base long, k int, unary binary, low binary, twice binary, times binary, rows binary"
