@@ -67,3 +67,18 @@ def moves(df: DataFrame, src: Column, dst: Column) -> DataFrame:
 def loop_command(file: Column, start: Column, end: Column) -> Column:
     """A text command that plays a file with loop points, or null without them."""
     return F.when(end.isNotNull() & (end > 0), F.format_string("%s #I %d %d", file, start, end))
+
+
+def sheet_renames(sheets: DataFrame, waves: DataFrame) -> DataFrame:
+    """(file, line): commands that give cue sheets and their wave files the sheet's name; what has none, or its own already, is a remark. Several wave files of one content are told apart by [1], [2] ... in the order of their names. sheets: (file, name, kind, wave_md5); waves: (file, wave_md5)."""
+    from .ordered import numbered
+
+    def command(file: Column, new: Column, fine: Column) -> Column:
+        return F.concat(F.when(fine, "REM #").otherwise(""), F.lit("ren "), file, F.lit(" "), new)
+
+    nameless = F.coalesce(F.col("name"), F.lit("")).isin("", "?")
+    own = F.concat(F.coalesce("name", F.lit("")), F.lit("."), "kind")
+    first = sheets.select("file", command(F.col("file"), own, nameless | (F.lower("file") == F.lower(own))).alias("line"))
+    met = numbered(sheets.select("name", "wave_md5", F.col("file").alias("sheet")).join(waves.select("file", "wave_md5"), "wave_md5"), ["sheet"], ["file"], "i")
+    new = F.concat(F.coalesce("name", F.lit("")), F.when(F.col("i") > 0, F.concat(F.lit("["), F.col("i").cast("string"), F.lit("]"))).otherwise(""), F.lit(".awb"))
+    return first.unionByName(met.select("file", command(F.col("file"), new, nameless | (F.col("file") == new)).alias("line")))

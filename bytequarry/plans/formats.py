@@ -523,3 +523,30 @@ def validated_objects(part):
     files = files_of(part).select("path", written(lambda x: samples.unmarked_objects(_pairs(x)), F.col("items")).alias("content"))
     found = blobs.parsed(files, "path", "content", records.carved_valid(records.bitpacked_head, size_of), records.CARVED_SCHEMA)
     return found.select("path", read_back(F.col("payload"), 12).alias("text"))
+
+
+@query("part", sql=f"""
+WITH {_ITEMS}, o AS (SELECT path, i, k, text FROM p)
+SELECT path, 'mode' AS field, 10 * k + 2 AS id, i % 3 AS value, ([ 'Bank', 'Stream', 'Prefetch'])[i % 3 + 1] AS text FROM o UNION ALL SELECT path, 'source', 10 * k + 2, k + 1, NULL FROM o
+UNION ALL SELECT path, 'scope', 10 * k + 3, 2, 'Global' FROM o UNION ALL SELECT path, 'action', 10 * k + 3, 4, 'Play' FROM o UNION ALL SELECT path, 'target', 10 * k + 3, k, NULL FROM o
+UNION ALL SELECT path, 'action0', 10 * k + 4, k + 2, NULL FROM o UNION ALL SELECT path, 'action1', 10 * k + 4, k + 3, NULL FROM o
+UNION ALL SELECT path, 'name', NULL, i, text FROM o UNION ALL SELECT DISTINCT path, 'version', NULL, 120, NULL FROM o UNION ALL SELECT DISTINCT path, 'id', NULL, 77, NULL FROM o UNION ALL SELECT DISTINCT path, 'platform', NULL, NULL, 'Linux' FROM o""")
+def bank_fields(part):
+    """Typed fields of banks: sounds, event actions and sequences, names, platform."""
+    files = files_of(part).select("path", written(lambda x: samples.event_bank(_pairs(x)), F.col("items")).alias("content"))
+    return records.read(files, "bank_details").select("path", "field", F.col("object_id").alias("id"), "value", "text")
+
+
+@query("part", sql="""
+WITH p AS (SELECT p_partkey AS k, p_type || ' ' || p_partkey // 2 AS w FROM part WHERE p_partkey % 2 = 0),
+f AS (SELECT k, w, unnest(range(1 + k % 3)) AS i FROM p)
+SELECT 's' || k || '.acb' AS file, CASE WHEN k % 8 = 0 THEN 'REM #ren s' || k || '.acb s' || k || '.acb' ELSE 'ren s' || k || '.acb cue' || k || '.acb' END AS line FROM p
+UNION ALL SELECT 'w' || k || '_' || i || '.awb', 'ren w' || k || '_' || i || '.awb ' || CASE WHEN k % 8 = 0 THEN 's' ELSE 'cue' END || k || CASE WHEN i > 0 THEN '[' || i || ']' ELSE '' END || '.awb' FROM f""")
+def cue_renames(part):
+    """Rename commands of cue sheets and of the wave files whose checksums they name."""
+    rows = part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("k"), F.encode(F.concat("p_type", F.lit(" "), F.floor(F.col("p_partkey") / 2).cast("string")), "UTF-8").alias("p"))
+    name = F.concat(F.when(F.col("k") % 8 == 0, "s").otherwise("cue"), F.col("k").cast("string"))
+    file = F.concat(F.lit("s"), F.col("k").cast("string"), F.lit(".acb"))
+    sheets = rows.select(file.alias("path"), written(lambda n, p, k: samples.cue_sheet(n, bytes(p), k % 4 == 0), name, F.col("p"), F.col("k")).alias("content"))
+    waves = rows.select(F.explode(F.sequence(F.lit(0), (F.col("k") % 3).cast("int"))).alias("i"), "k", "p").select(F.concat(F.lit("w"), F.col("k").cast("string"), F.lit("_"), F.col("i").cast("string"), F.lit(".awb")).alias("file"), F.md5(F.concat(F.lit(b"AFS2"), "p")).alias("wave_md5"))
+    return manifest.sheet_renames(utf_table.cue_sheets(sheets).withColumnRenamed("path", "file"), waves)

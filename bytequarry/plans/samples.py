@@ -929,3 +929,27 @@ def unmarked_objects(items: Items) -> bytes:
         head = struct.pack(">BHB", 8, 2 << 11 | 1 << 9 | 44 << 1, 0)
         out += b"noise" + head + struct.pack("<II", 12 + len(body), zlib.crc32(body) ^ 1) + head + struct.pack("<II", 12 + len(body), zlib.crc32(body)) + body + b"n" * i
     return out + bytes(0x50)
+
+
+def event_bank(items: Items) -> bytes:
+    """A bank of a sound, an action and a sequence for each item, with its version, names and platform; big-endian."""
+    objects, n = b"", 0
+    for i, (name, p) in enumerate(items):
+        k = int(name[1:].split(".")[0])
+        for kind, body in ((2, struct.pack(">IBII", 0, i % 3, k + 1, 0)), (3, struct.pack(">BBI", 2, 4, k)), (4, struct.pack(">BII", 2, k + 2, k + 3)), (7, p)):
+            objects += struct.pack(">BII", kind, 4 + len(body), 10 * k + kind) + body
+            n += 1
+    chunk = lambda name, body: name + struct.pack(">I", len(body)) + body
+    names = struct.pack(">I", len(items)) + b"".join(struct.pack(">HHI", i, 0, len(p) + 1) + p + b"\0" for i, (_, p) in enumerate(items))
+    return chunk(b"BKHD", struct.pack(">5I", 120, 77, 0, 0, 0)) + chunk(b"INIT", names) + chunk(b"HIRC", struct.pack(">I", n) + objects) + chunk(b"PLAT", struct.pack(">I", 5) + b"Linux")
+
+
+def cue_sheet(name: str, payload: bytes, nested: bool) -> bytes:
+    """A cue sheet that names its wave file's checksum, in a cell or in a table of its own."""
+    import hashlib
+
+    from ..sources.utf_table import build
+
+    digest = hashlib.md5(b"AFS2" + payload).digest()
+    cell = build("StreamAwb", [("Name", "string", "row"), ("Hash", "data", "row")], [[name, digest]]) if nested else digest
+    return build("Header", [("Name", "string", "row"), ("VersionString", "string", "row"), ("StreamAwbHash", "data", "row")], [[name, "\nACB Format/PC Ver.1.30\n", cell]])

@@ -175,6 +175,53 @@ def sound_bank(data: bytes) -> Iterator[tuple]:
         at += 8 + size
 
 
+DETAILS_SCHEMA = "chunk string, object_no int, object_type int, object_id long, field string, value long, text string, error string"
+# What the modes of sounds, and the scopes and actions of events, are called.
+SOUND_MODES = {0: "Bank", 1: "Stream", 2: "Prefetch"}
+EVENT_SCOPES = {1: "Game object by Switch/Trigger", 2: "Global", 3: "Game object by refid", 4: "Game object by State", 5: "All", 9: "All except refid"}
+EVENT_ACTIONS = {1: "Stop", 2: "Pause", 3: "Resume", 4: "Play", 5: "Trigger", 6: "Mute", 7: "UnMute", 8: "Set Voice Pitch", 9: "Reset Voice Pitch", 10: "Set Voice Volume", 11: "Reset Voice Volume", 12: "Set Bus Volume", 13: "Reset Bus Volume", 16: "Enable State", 17: "Disable State", 18: "Set State", 19: "Set Game Parameter", 20: "Reset Game Parameter", 25: "Set Switch"}
+
+
+def bank_details(data: bytes) -> Iterator[tuple]:
+    """Fields of a bank's chunks (version and id, settings, names, platform) and of its sounds, event actions and event sequences; other objects have none."""
+    order = ">" if struct.unpack_from(">I", data, 4)[0] < struct.unpack_from("<I", data, 4)[0] else "<"
+    word = lambda at: struct.unpack_from(order + "I", data, at)[0]
+    at = 0
+    while at + 8 <= len(data):
+        name, size, o = data[at : at + 4].decode("latin-1"), word(at + 4), at + 8
+        if name == "BKHD":
+            yield (name, None, None, None, "version", word(o), None)
+            yield (name, None, None, None, "id", word(o + 4), None)
+        elif name == "STMG":
+            for i in range(word(o + 8)):
+                yield (name, i, None, word(o + 12 + 12 * i), "setting", word(o + 16 + 12 * i), None)
+        elif name == "PLAT":
+            yield (name, None, None, None, "platform", None, data[o + 4 : o + 4 + word(o)].split(b"\0")[0].decode("utf-8", "replace"))
+        elif name == "INIT":
+            n, o = word(o), o + 4
+            for i in range(n):
+                length = word(o + 4)
+                yield (name, i, None, None, "name", struct.unpack_from(order + "H", data, o)[0], data[o + 8 : o + 8 + length].split(b"\0")[0].decode("utf-8", "replace"))
+                o += 8 + length
+        elif name == "HIRC":
+            n, o = word(o), o + 4
+            for i in range(n):
+                kind, length, number = struct.unpack_from(order + "BII", data, o)
+                body = o + 9
+                if kind == 2:
+                    yield (name, i, kind, number, "mode", data[body + 4], SOUND_MODES.get(data[body + 4]))
+                    yield (name, i, kind, number, "source", word(body + 5), None)
+                elif kind == 3:
+                    yield (name, i, kind, number, "scope", data[body], EVENT_SCOPES.get(data[body]))
+                    yield (name, i, kind, number, "action", data[body + 1], EVENT_ACTIONS.get(data[body + 1]))
+                    yield (name, i, kind, number, "target", word(body + 2), None)
+                elif kind == 4:
+                    for k in range(data[body]):
+                        yield (name, i, kind, number, f"action{k}", word(body + 1 + 4 * k), None)
+                o += 5 + length
+        at += 8 + size
+
+
 WAVES_SCHEMA = "stream_no int, stream_id long, tag_no int, tag_type int, tag_offset long, tag_size long, channel int, samples long, rate int, codec int, error string"
 
 
@@ -582,6 +629,7 @@ PARSERS: dict[str, tuple[Callable[[bytes], Iterator[tuple]], str]] = {
     "tlv": (messages, TLV_SCHEMA),
     "external_tags": (external_tags, TAGS_SCHEMA),
     "sound_bank": (sound_bank, BANK_SCHEMA),
+    "bank_details": (bank_details, DETAILS_SCHEMA),
     "wave_container": (wave_container, WAVES_SCHEMA),
     "trailing_strings": (trailing_strings, STRINGS_SCHEMA),
     "sized_names": (sized_names, STRINGS_SCHEMA),

@@ -184,6 +184,16 @@ def cells(files: DataFrame, id_col: str = "path", content: str = "content", skip
     return files.select(id_col, content).mapInArrow(run, f"{id_col} {kind}, {CELLS}")
 
 
+def cue_sheets(files: DataFrame, id_col: str = "path", content: str = "content") -> DataFrame:
+    """(id, name, kind, wave_md5) of cue sheets, tables named Header: kind is acb or acf by the format that the file names, else unk; wave_md5 is that of its wave file, from the cell StreamAwbHash or the table in it, null where it is all zeros."""
+    found = cells(files, id_col, content)
+    top = found.filter((F.size("table_path") == 0) & (F.col("table") == "Header")).groupBy(id_col).agg(F.max(F.when(F.col("name") == "Name", F.trim("text_value"))).alias("name"), F.max(F.when((F.col("name") == "StreamAwbHash") & (F.length("data_value") == 16), F.lower(F.hex("data_value")))).alias("own"))
+    inner = found.filter((F.size("table_path") == 1) & F.startswith(F.get("table_path", F.lit(0)), F.lit("StreamAwbHash[")) & (F.col("table") == "StreamAwb") & (F.col("name") == "Hash")).groupBy(id_col).agg(F.max(F.lower(F.hex("data_value"))).alias("inner"))
+    kind = files.select(id_col, F.when(F.contains(F.col(content), F.lit(b"ACB Format")), "acb").when(F.contains(F.col(content), F.lit(b"ACF Format")), "acf").otherwise("unk").alias("kind"))
+    md5 = F.coalesce("own", "inner")
+    return top.join(inner, id_col, "left").join(kind, id_col).select(id_col, "name", "kind", F.when(md5 != "0" * 32, md5).alias("wave_md5"))
+
+
 def pivoted(cell_rows: DataFrame, id_col: str, names: list[str]) -> DataFrame:
     """Top-level rows side by side: id, row and a text column for each name."""
     value = F.coalesce(F.col("text_value"), F.col("int_value").cast("string"), F.col("float_value").cast("string"))
