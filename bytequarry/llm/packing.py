@@ -23,6 +23,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,10 @@ MAX_TARGETS = 10_000
 CELLS, TOKENS_AT_ONCE = 1 << 18, 1 << 20
 
 
+#: Spaces with no white space beside them.
+_SINGLE = re.compile(r"(?<=\S) (?=\S)")
+
+
 class ChunkTokenizer:
     """Ids of a byte-level BPE file of the tokenizers library, with remembered chunks.
 
@@ -68,13 +73,14 @@ class ChunkTokenizer:
         for t in tokens:
             ranks.pop(t.encode(), None)
         self.dtype = np.dtype("<u2") if max(*vocab.values(), *tokens.values()) < 1 << 16 else np.dtype("<u4")
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
         self._added = re.compile("|".join(map(re.escape, tokens))).search if added and tokens else None
         self._path, self._library = path, None
         self._encode = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._known: dict[str, bytes] = {}
 
     def _bytes(self, text: str) -> bytes:
-        return np.array(self._encode(text), self.dtype).tobytes()
+        return array(self._code, self._encode(text)).tobytes()
 
     def _by_library(self, text: str) -> bytes:
         if self._library is None:
@@ -90,10 +96,15 @@ class ChunkTokenizer:
         if self._added and self._added(text):
             return self._by_library(text)
         chunks = text.split(" ")
-        if len(chunks) < 4 or not all(chunks) or any(c[0].isspace() or c[-1].isspace() for c in chunks):
-            return self._bytes(text)
-        known, rest = self._known, chunks[1:]
-        out = [self._bytes(chunks[0]), *map(known.get, rest)]
+        return self._joined(chunks) or self._joined(_SINGLE.split(text), split=True)
+
+    def _joined(self, chunks: list[str], split: bool = False) -> bytes | None:
+        """The ids of chunks that single spaces part; None where one of them has white space at an end, so the text must be split (split: it was) with more care. Such chunks are never remembered, so only new ones are looked at."""
+        known = self._known
+        first, rest = chunks[0], chunks[1:]
+        if not split and (not first or first[-1].isspace()):
+            return None
+        out = [self._bytes(first), *map(known.get, rest)]
         if None in out:
             if len(known) > REMEMBERED:
                 known.clear()
@@ -101,8 +112,11 @@ class ChunkTokenizer:
                 if x is None:
                     c = rest[i - 1]
                     if (x := known.get(c)) is None:
+                        odd = not c or c[0].isspace() or c[-1].isspace()
+                        if odd and not split:
+                            return None
                         x = self._bytes(f" {c}")
-                        if len(c) < 64:
+                        if len(c) < 64 and not odd:
                             known[c] = x
                     out[i] = x
         return b"".join(out)
