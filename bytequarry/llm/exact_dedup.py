@@ -112,7 +112,7 @@ def _suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def suspects(fingerprints: DataFrame, rows: int, bits: int = FINGERPRINT_BITS) -> DataFrame:
     """Staged table (fp, n) of the fingerprints that more than one row holds, by the exchange; n: lists that hold it. fingerprints: one column fp of `bits` bits."""
     owners = 4
-    while (1 << owners) * PER_OWNER < rows and owners < 16:
+    while (1 << owners) * PER_OWNER < rows and owners < 24:
         owners += 1
     # few sources with long lists: neighbouring partitions share a source, without an exchange
     sources = max(fingerprints.sparkSession.sparkContext.defaultParallelism, -(-rows // PER_SOURCE))
