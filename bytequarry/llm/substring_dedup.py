@@ -12,7 +12,7 @@ its spans in order through an automaton of the earlier ones, takes the maximal
 spans whose matching statistics reach WINDOW as redundant, and adds only what
 is new. So a document meets the automata of the shards that hold something of
 it, not those of the whole corpus, and no automaton is larger than what
-HOT occurrences of SHARD_ANCHORS anchors bring.
+HOT occurrences of the anchors in SHARD_BYTES of text bring.
 
 Anchors with more than HOT occurrences (a passage that a third of all
 documents share) would make a shard without bound. Their windows are grouped
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits, spread_join, staged, text_of
+from .common import spread_join, staged, text_of
 from .exact_dedup import CHUNK, FINGERPRINT_BITS, PER_OWNER, _answer, golomb_decode, golomb_encode
 from .suffix_automaton import SuffixAutomaton
 from .wordhash import blocks, mix, ngram_hashes, sliding, words
@@ -41,8 +41,8 @@ WINDOW = 20
 GRAM = 6
 #: Occurrences up to which an anchor's windows go to an automaton.
 HOT = 256
-#: Anchors of one document that share a shard.
-SHARD_ANCHORS = 1 << 14
+#: Bytes of a document whose anchors share a shard; a longer one has several shards.
+SHARD_BYTES = 1 << 16
 
 _NONE = np.uint64((1 << 64) - 1)
 
@@ -98,7 +98,7 @@ def _list_anchors(shift: int, window: int, gram: int):
 
 
 def _rows_told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per source: (fingerprint, row) of the anchors that the owners' bitmaps mark."""
+    """Per source: (fingerprint, row, times) of the anchors that the owners' bitmaps mark. A row lies in one source, so each pair comes once."""
     for lists in batches:
         for r in lists.itertuples():
             keep = np.unpackbits(np.frombuffer(r.bitmap, np.uint8))[: r.n] > 0
@@ -106,7 +106,10 @@ def _rows_told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             values = np.repeat(golomb_decode(r.n, r.base, r.k, r.unary, r.low), times)
             rows = np.frombuffer(zlib.decompress(r.rows), "<i8")
             keep = np.repeat(keep, times)
-            yield pd.DataFrame({"fp": values[keep], "uid": rows[keep]})
+            values, rows = values[keep], rows[keep]
+            # both are sorted, rows within their values
+            first = np.flatnonzero(np.append(True, (values[1:] != values[:-1]) | (rows[1:] != rows[:-1]))) if len(rows) else np.zeros(0, np.int64)
+            yield pd.DataFrame({"fp": values[first], "uid": rows[first], "times": np.diff(np.append(first, len(rows)))})
 
 
 def _route(window: int, gram: int):
@@ -214,27 +217,25 @@ def _stream(window: int):
 
 
 def redundant_windows(texts: DataFrame, rows: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(uid, first, n): runs of n consecutive windows from word `first` on that also start earlier, less the windows at `first` of rows with n = 0. texts: (doc_id, uid, text)."""
+    """(uid, first, n): runs of n consecutive windows from word `first` on that also start earlier, less the windows at `first` of rows with n = 0. texts: (doc_id, uid, parts, text)."""
     owners = 6
-    while (1 << owners) * PER_OWNER < rows * 64 and owners < 16:
+    while (1 << owners) * PER_OWNER < rows * 64 and owners < 24:
         owners += 1
     schema = "src int, owner int, chunk int, n int, base long, k int, unary binary, low binary, twice binary, times binary, rows binary"
     listed = texts.select("uid", F.encode("text", "UTF-8").alias("text"))
     sent = staged(listed.mapInArrow(_list_anchors(FINGERPRINT_BITS - owners, window, gram), schema), "anchor-lists")
     to_owner = sent.select("src", "owner", "chunk", "n", "base", "k", "unary", "low", "twice")
     answers = staged(to_owner.groupBy("owner").applyInPandas(_answer, "src int, owner int, chunk int, bitmap binary"), "anchor-answers")
-    told = staged(sent.join(answers, ["src", "owner", "chunk"]).mapInPandas(_rows_told, "fp long, uid long"), "repeated-anchors")
+    told = staged(sent.join(answers, ["src", "owner", "chunk"]).mapInPandas(_rows_told, "fp long, uid long, times long"), "repeated-anchors")
 
     # an anchor's shard is the document in which it occurs first: a row's number stands for it
-    named = told.join(texts.select("doc_id", "uid"), "uid")
-    homes = staged(named.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "uid")).alias("home")).select("fp", "n", F.when(F.col("n") <= HOT, F.col("home.uid")).alias("home")), "anchor-homes")
-    # a document of very many anchors has several shards: a window has one anchor, so it meets its like in any case
-    long = staged(homes.filter("home IS NOT NULL").groupBy("home").agg(F.count("*").alias("anchors")).filter(F.col("anchors") > SHARD_ANCHORS), "long-homes")
-    parts = F.ceil(F.col("anchors") / SHARD_ANCHORS)
-    several = F.shiftrightunsigned(F.xxhash64("home", F.pmod(F.xxhash64("fp"), parts)), 1)
-    shard = F.when(F.col("home").isNull(), F.lit(-1).cast("long")).when(F.col("anchors").isNotNull(), several).otherwise(F.col("home"))
-    homes = staged(homes.join(F.broadcast(long) if fits(long) else long, "home", "left").select("fp", "n", shard.alias("shard")), "anchor-shards")
-    anchors = staged(spread_join(told.distinct(), homes, "fp", "uid").groupBy("uid").agg(F.collect_list(F.struct("fp", "shard")).alias("anchors")), "document-anchors")
+    named = told.join(texts.select("doc_id", "uid", "parts"), "uid")
+    homes = named.groupBy("fp").agg(F.sum("times").alias("n"), F.min(F.struct("doc_id", "uid", "parts")).alias("home"))
+    # a very long document has several shards: a window has one anchor, so it meets its like in any case
+    several = F.shiftrightunsigned(F.xxhash64("home.uid", F.pmod(F.xxhash64("fp"), F.col("home.parts"))), 1)
+    shard = F.when(F.col("n") > HOT, F.lit(-1).cast("long")).when(F.col("home.parts") > 1, several).otherwise(F.col("home.uid"))
+    homes = staged(homes.select("fp", "n", shard.alias("shard")), "anchor-shards")
+    anchors = staged(spread_join(told.select("fp", "uid"), homes, "fp", "uid").groupBy("uid").agg(F.collect_list(F.struct("fp", "shard")).alias("anchors")), "document-anchors")
     routes = texts.withColumn("text", F.encode("text", "UTF-8")).join(anchors, "uid").select("doc_id", "uid", "text", "anchors")
     routed = staged(routes.mapInArrow(_route(window, gram), "shard long, doc_id long, uid long, start long, words binary, h1 long, h2 long, n long"), "routed-spans")
 
@@ -288,7 +289,8 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words come out whole. An empty table gives an empty result. Other columns
     are not read.
     """
-    texts = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), text_of(text_col).alias("text")), "numbered-texts")
+    parts = F.ceil((F.octet_length(text_of(text_col)) + 1) / SHARD_BYTES)
+    texts = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), parts.alias("parts"), text_of(text_col).alias("text")), "numbered-texts")
     runs = redundant_windows(texts, texts.count(), window)
     by_row = staged(runs.groupBy("uid").agg(F.collect_list(F.struct("first", "n")).alias("runs")), "document-runs")
     joined = texts.withColumn("text", F.encode("text", "UTF-8")).join(by_row, "uid", "left").select("doc_id", "text", "runs")

@@ -41,9 +41,9 @@ def test_near_copies_by_shuffle(docs, corpus, by_shuffle):
     assert got == brute_links([(r[0], r[1]) for r in corpus])
 
 
-@pytest.mark.parametrize("anchors", [1 << 14, 3])
-def test_repeats_by_shuffle(docs, corpus, by_shuffle, monkeypatch, anchors):
-    monkeypatch.setattr(substring_dedup, "SHARD_ANCHORS", anchors)
+@pytest.mark.parametrize("size", [1 << 16, 100])
+def test_repeats_by_shuffle(docs, corpus, by_shuffle, monkeypatch, size):
+    monkeypatch.setattr(substring_dedup, "SHARD_BYTES", size)
     ordered = sorted(corpus, key=lambda r: (r[0] is not None, r[0] or 0))
     got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.strip_repeats(docs).collect()), key=str)
     assert got == brute_spans([(r[0], r[1]) for r in ordered], 20)
