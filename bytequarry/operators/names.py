@@ -111,10 +111,12 @@ def candidates(words: DataFrame, templates: DataFrame, word: str = "word", templ
 
 
 def products(sections: list[DataFrame], col: str, sep: str = "_") -> DataFrame:
-    """Names of one part from each section, in order."""
+    """Names of one part from each section, in order. Sections after the first are short lists, broadcast after a count; the names stay where their first parts are."""
+    from .sets import small
+
     out = sections[0].select(F.col(col).alias("name"))
     for s in sections[1:]:
-        out = out.crossJoin(s.select(F.col(col).alias("__p"))).select(F.concat("name", F.lit(sep), "__p").alias("name"))
+        out = out.crossJoin(small(s.select(F.col(col).alias("__p")))).select(F.concat("name", F.lit(sep), "__p").alias("name"))
     return out
 
 
@@ -132,10 +134,12 @@ def number_names(spark: SparkSession, form: str, start: int, stop: int, step: in
 
 
 def combinations(parts: DataFrame, col: str, k: int, sep: str = "_", repeat: bool = True) -> DataFrame:
-    """(name): all names of k parts; without repeat, each part once in a name."""
+    """(name): all names of k parts; without repeat, each part once in a name. The parts are a short list, broadcast after a count."""
+    from .sets import small
+
     out = parts.select(F.col(col).alias("name"), F.array(col).alias("used"))
     for _ in range(k - 1):
-        more = parts.select(F.col(col).alias("__p"))
+        more = small(parts.select(F.col(col).alias("__p")))
         out = out.join(more, F.lit(True) if repeat else ~F.array_contains("used", F.col("__p")))
         out = out.select(F.concat("name", F.lit(sep), "__p").alias("name"), F.array_append("used", F.col("__p")).alias("used"))
     return out.select("name")
@@ -171,13 +175,13 @@ def owned_names(found: DataFrame, contexts: DataFrame, last: tuple[str, ...] = (
 
 
 def frontier_search(letters: DataFrame, triples: DataFrame, known: DataFrame, depth: int, prefix: str = "") -> DataFrame:
-    """(hash, name): names of up to `depth` characters after a prefix whose FNV-1 hash is known; each next character must make an allowed triple. triples: (pair, next)."""
+    """(hash, name): names of up to `depth` characters after a prefix whose FNV-1 hash is known; each next character must make an allowed triple. letters: an alphabet; triples: (pair, next)."""
     front = letters.select(F.concat(F.lit(prefix), "letter").alias("name"))
     out = None
     for _ in range(depth):
         hashed = front.select(fnv1(F.col("name")).alias("hash"), "name").join(known.select("hash"), "hash", "left_semi")
         out = hashed if out is None else out.unionByName(hashed)
         longer = front.filter(F.length("name") >= 2).withColumn("pair", F.right("name", F.lit(2))).join(triples, "pair").select(F.concat("name", "next").alias("name"))
-        shorter = front.filter(F.length("name") < 2).crossJoin(letters).select(F.concat("name", "letter").alias("name"))
+        shorter = front.filter(F.length("name") < 2).crossJoin(F.broadcast(letters)).select(F.concat("name", "letter").alias("name"))
         front = longer.unionByName(shorter)
     return out
