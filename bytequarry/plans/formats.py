@@ -126,7 +126,7 @@ def stream_audio(part):
     files = files.select(F.concat_ws("|", "form", "path").alias("file"), "form", blob.alias("content"))
     found = chunks.walk(files, "file", "content", "form").withColumn("form", F.split_part("file", F.lit("|"), F.lit(1)))
     wanted = F.coalesce(F.create_map(*[F.lit(x) for kv in _AUDIO.items() for x in kv])[F.col("form")], F.lit("audi"))
-    audio = (F.col("id") == wanted) & ((F.col("form") != "sectors") | (F.shiftright("type", 8).bitwiseAND(0x0E) == 4)) & ((F.col("form") != "xav") | (F.col("type") != 0x5F))
+    audio = (F.col("id") == wanted) & ((F.col("form") != "sectors") | (F.shiftright("type", 8).bitwiseAND(0x0E) == 4)) & ((F.col("form") != "xav") | (F.col("type") != 0x5F)) & ((F.col("form") != "packets") | (F.col("channel") == 0))
     skip = F.coalesce(F.create_map(*[F.lit(x) for kv in _HEADS.items() for x in kv])[F.col("form")], F.lit(0))
     rows = found.filter(audio | F.col("error").isNotNull()).select("file", "form", "seq", F.encode(F.concat(F.coalesce("error", read_back(F.col("payload"), skip)), F.lit("|")), "UTF-8").alias("payload"))
     joined = demux.streams(rows, ["file", "form"])
@@ -550,3 +550,15 @@ def cue_renames(part):
     sheets = rows.select(file.alias("path"), written(lambda n, p, k: samples.cue_sheet(n, bytes(p), k % 4 == 0), name, F.col("p"), F.col("k")).alias("content"))
     waves = rows.select(F.explode(F.sequence(F.lit(0), (F.col("k") % 3).cast("int"))).alias("i"), "k", "p").select(F.concat(F.lit("w"), F.col("k").cast("string"), F.lit("_"), F.col("i").cast("string"), F.lit(".awb")).alias("file"), F.md5(F.concat(F.lit(b"AFS2"), "p")).alias("wave_md5"))
     return manifest.sheet_renames(utf_table.cue_sheets(sheets).withColumnRenamed("path", "file"), waves)
+
+
+@query("part", sql="""
+SELECT p_partkey, 'codec = PCFX' || chr(10) || 'codec_mode = 3' || chr(10) || CASE WHEN p_partkey % 3 <> 0 THEN 'interleave = 0x' || lower(to_base(p_size * 16, 16)) || chr(10) ELSE '' END || 'channels = ' || CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END || chr(10)
+       || 'sample_rate = ' || ([31468, 15734, 8000])[p_partkey % 3 + 1] || chr(10) || 'start_offset = 0x' || lower(to_base(p_partkey * 2048, 16)) || chr(10) || 'num_samples = data_size' AS header FROM part""")
+def option_headers(part):
+    """Text headers of raw streams from lines of encoder options."""
+    from ..sources import lines
+
+    rate = F.element_at(F.array(F.lit("31560"), F.lit("15780"), F.lit("8000")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    line = F.concat(F.lit("enc /f"), rate, F.when(F.col("p_partkey") % 3 == 0, " /m").otherwise(""), F.lit(" /bs0x"), F.hex((F.col("p_size") * 16).cast("bigint")), F.lit(" /lp0 /o0x"), F.hex(F.col("p_partkey") * 2048), F.lit(" out.bin"))
+    return lines.stream_headers(part.select("p_partkey", line.alias("line"))).select("p_partkey", "header")

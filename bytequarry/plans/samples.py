@@ -953,3 +953,24 @@ def cue_sheet(name: str, payload: bytes, nested: bool) -> bytes:
     digest = hashlib.md5(b"AFS2" + payload).digest()
     cell = build("StreamAwb", [("Name", "string", "row"), ("Hash", "data", "row")], [[name, digest]]) if nested else digest
     return build("Header", [("Name", "string", "row"), ("VersionString", "string", "row"), ("StreamAwbHash", "data", "row")], [[name, "\nACB Format/PC Ver.1.30\n", cell]])
+
+
+@sample(name="printf('%03d.enc', i)", head=1)
+def keyed_pack(items: Items) -> Archive:
+    half = max(1, len(items) // 2)
+    marked = [(n, b"\1" + p) for n, p in items]
+    at, body = _laid(marked, 0)
+    rows = [struct.pack("<II", o, len(p)) for o, (_, p) in zip(at, marked, strict=True)]
+    first = struct.pack("<H", half) + b"\xff" + b"".join(rows[:half])
+    rest = [*rows[half:], struct.pack("<II", 0xFFFFFFFF, 5), struct.pack("<II", 9, 0)]
+    second = struct.pack("<H", len(rest)) + b"\xff" + b"".join(rest)
+    table = b"\0\0" + bytes((0x79 + 6 * i ^ 0xFF) & 255 for i in (2, 3)) + bytes(4) + struct.pack("<III", 0, 0xFFFFFFFF, len(first)) + first + second + bytes(5)
+    # the mark of the first payload ends the zeros, so it is under the key too
+    whole = table + body
+    keyed = bytes(b ^ (0x79 + 6 * (i & 0x7F)) & 255 for i, b in enumerate(table + body[:1]))
+    return keyed + whole[len(keyed) :], None
+
+
+@stream
+def packets(parts: list[bytes]) -> bytes:
+    return b"".join(bytes(0x3800) + p.ljust(0x600, b"\0") + bytes(0x600) for p in parts)

@@ -445,6 +445,29 @@ def kces_sectors(data: bytes, body: bytes) -> Iterator[Entry]:
         yield _plain(f"{i:04}.{kinds.get(body[a : a + 4], 'dat')}", a, b - a)
 
 
+@reader
+def keyed_pack(data: bytes, body: bytes) -> Iterator[Entry]:
+    """Tables under a key of 0x80 bytes that rise by 6: their places, up to a word over 0x10000, which begins the first; each a count, a bit for each file, and offsets and sizes. Payloads lie behind the zeros after the last table."""
+    _need(data[2:4] == b"\xff\xff", "not keyed")
+    plain = bytes(b ^ (0x79 + 6 * (i & 0x7F)) & 255 for i, b in enumerate(data[:0x8000]))
+    at, places = 8, []
+    while (value := struct.unpack_from("<I", plain, at)[0]) <= 0x10000 or value == MAX32:
+        if value != MAX32:
+            places.append(value)
+        at += 4
+    found, end = [], at
+    for place in places:
+        n = struct.unpack_from("<H", plain, at + place)[0]
+        spot = at + place + 2 + -(-n // 8)
+        found += [struct.unpack_from("<II", plain, spot + 8 * i) for i in range(n)]
+        end = spot + 8 * n
+    while end < len(plain) and not plain[end]:
+        end += 1
+    real = [(o, n) for o, n in found if MAX32 not in (o, n) and n]
+    for i, (offset, size) in enumerate(real):
+        yield _plain(f"{i:03}.enc", offset + end, size)
+
+
 MAX32 = 0xFFFFFFFF
 
 

@@ -287,9 +287,24 @@ def _vid1(order: str):
     return spans
 
 
-FILM, MUL, XAV, IPUS, SMV, SMK, BINK, SIFF, STR, VID1, VID1_LE = (Dialect(_trimmed, spans=f) for f in (_film, _mul, _xav, _ipus, _smv, _smk, _bink, _siff, _str, _vid1(">"), _vid1("<")))
+#: Sizes of the packets of discs, of the audio frames at their ends, and of what counts of a frame.
+PACKET, FRAME, HEARD = 0x4400, 0x600, 0x41C
+
+
+def _packets(data: bytes) -> Iterator[tuple[str, int, int, int, int]]:
+    """Packets of one size that end with an audio frame for each of two channels."""
+    for at in range(0, len(data), PACKET):
+        audio = at + PACKET - 2 * FRAME
+        yield "vide", 0, 0, at, min(audio, len(data))
+        for channel in (0, 1):
+            begin = audio + FRAME * channel
+            if begin < len(data):
+                yield "audi", channel, 0, begin, min(begin + HEARD, len(data))
+
+
+FILM, MUL, XAV, IPUS, SMV, SMK, BINK, SIFF, STR, VID1, VID1_LE, PACKETS = (Dialect(_trimmed, spans=f) for f in (_film, _mul, _xav, _ipus, _smv, _smk, _bink, _siff, _str, _vid1(">"), _vid1("<"), _packets))
 #: Dialects by name.
-DIALECTS = {"trimmed": TRIMMED, "blocks": BLOCKS, "sectors": SECTORS, "schl": SCHL, "snh1": SNH1, "riff": RIFF_CHUNKS, "bytes": BYTE_CHUNKS, "pairs": VIDEO_AUDIO_PAIRS, "film": FILM, "mul": MUL, "xav": XAV, "ipus": IPUS, "smv": SMV, "smk": SMK, "bink": BINK, "siff": SIFF, "str": STR, "vid1": VID1, "vid1_le": VID1_LE, "xa10": XA10, "ad10": AD10, "au00": AU00}
+DIALECTS = {"trimmed": TRIMMED, "blocks": BLOCKS, "sectors": SECTORS, "schl": SCHL, "snh1": SNH1, "riff": RIFF_CHUNKS, "bytes": BYTE_CHUNKS, "pairs": VIDEO_AUDIO_PAIRS, "film": FILM, "mul": MUL, "xav": XAV, "ipus": IPUS, "smv": SMV, "smk": SMK, "bink": BINK, "siff": SIFF, "str": STR, "vid1": VID1, "vid1_le": VID1_LE, "xa10": XA10, "ad10": AD10, "au00": AU00, "packets": PACKETS}
 
 
 def read_chunks(data: bytes, dialect: Dialect) -> Iterator[tuple]:

@@ -83,6 +83,21 @@ def kept(df: DataFrame, name: str, include: list[str], exclude: list[str] = ())
     return df.filter(cond & ~matches_any(F.col(name), list(exclude)) if exclude else cond)
 
 
+def stream_headers(lines: DataFrame, line: str = "line") -> DataFrame:
+    """lines with `header`: the text header of a raw stream that a line of encoder options describes: /f rate, /m mono, /bs0x interleave, /o0x start. Rates a little off the standard ones are put right."""
+    # Rates of the encoder and what they stand for.
+    rates = {31560: 31468, 15780: 15734, 7890: 7868}
+    given = F.regexp_extract(line, r"/f *(\d+)", 1).cast("bigint")
+    rate = given
+    for a, b in rates.items():
+        rate = F.when(given == a, b).otherwise(rate)
+    mono = F.regexp_like(line, F.lit(r"/m(\s|$)"))
+    block, start = (F.conv(F.nullif(F.regexp_extract(line, rf"/{o} *0x([0-9a-fA-F]+)", 1), F.lit("")), 16, 10).cast("bigint") for o in ("bs", "o"))
+    hexed = lambda c: F.concat(F.lit("0x"), F.lower(F.hex(F.coalesce(c, F.lit(0)))))
+    said = F.array(F.lit("codec = PCFX"), F.lit("codec_mode = 3"), F.when(~mono, F.concat(F.lit("interleave = "), hexed(block))), F.concat(F.lit("channels = "), F.when(mono, "1").otherwise("2")), F.concat(F.lit("sample_rate = "), rate.cast("string")), F.concat(F.lit("start_offset = "), hexed(start)), F.lit("num_samples = data_size"))
+    return lines.withColumn("header", F.array_join(said, "\n"))
+
+
 # --- tables of loops ----------------------------------------------------------------
 
 #: Tables that may stand side by side, the first of which holds.
