@@ -414,3 +414,20 @@ _IMA = "7 8 9 10 11 12 13 14 16 17 19 21 23 25 28 31 34 37 41 45 50 55 60 66 73
 
 def _ima_steps() -> list[int]:
     return [int(x) for x in _IMA.split()]
+
+
+def samples_of(kind: str = "ima", big: bool = False):
+    """UDF of BINARY to array<short>: "ima" (4 bits a sample, low nibble first), "pcm16" or "pcm8" (unsigned)."""
+
+    def run(data: bytes) -> np.ndarray:
+        if kind == "ima":
+            return ima_adpcm(data)
+        if kind == "pcm16":
+            return np.frombuffer(data[: len(data) // 2 * 2], ">i2" if big else "<i2").astype(np.int16)
+        return ((np.frombuffer(data, np.uint8).astype(np.int16) - 128) << 8).astype(np.int16)
+
+    @F.pandas_udf("array<short>")
+    def decode(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda x: run(bytes(x)), na_action="ignore")
+
+    return decode

@@ -126,7 +126,7 @@ def stream_audio(part):
     files = files.select(F.concat_ws("|", "form", "path").alias("file"), "form", blob.alias("content"))
     found = chunks.walk(files, "file", "content", "form").withColumn("form", F.split_part("file", F.lit("|"), F.lit(1)))
     wanted = F.coalesce(F.create_map(*[F.lit(x) for kv in _AUDIO.items() for x in kv])[F.col("form")], F.lit("audi"))
-    audio = (F.col("id") == wanted) & ((F.col("form") != "sectors") | (F.shiftright("type", 8).bitwiseAND(0x0E) == 4)) & ((F.col("form") != "xav") | (F.col("type") != 0x5F)) & ((F.col("form") != "packets") | (F.col("channel") == 0))
+    audio = (F.col("id") == wanted) & ((F.col("form") != "sectors") | (F.shiftright("type", 8).bitwiseAND(0x0E) == 4)) & ((F.col("form") != "xav") | (F.col("type") != 0x5F)) & (~F.col("form").isin("packets", "hvqm4") | (F.col("channel") == 0))
     skip = F.coalesce(F.create_map(*[F.lit(x) for kv in _HEADS.items() for x in kv])[F.col("form")], F.lit(0))
     rows = found.filter(audio | F.col("error").isNotNull()).select("file", "form", "seq", F.encode(F.concat(F.coalesce("error", read_back(F.col("payload"), skip)), F.lit("|")), "UTF-8").alias("payload"))
     joined = demux.streams(rows, ["file", "form"])
@@ -562,3 +562,33 @@ def option_headers(part):
     rate = F.element_at(F.array(F.lit("31560"), F.lit("15780"), F.lit("8000")), (F.col("p_partkey") % 3 + 1).cast("int"))
     line = F.concat(F.lit("enc /f"), rate, F.when(F.col("p_partkey") % 3 == 0, " /m").otherwise(""), F.lit(" /bs0x"), F.hex((F.col("p_size") * 16).cast("bigint")), F.lit(" /lp0 /o0x"), F.hex(F.col("p_partkey") * 2048), F.lit(" out.bin"))
     return lines.stream_headers(part.select("p_partkey", line.alias("line"))).select("p_partkey", "header")
+
+
+_STEPS = "[" + codecs._IMA.replace(" ", ", ") + "]"
+_STATE = "{{'c': {c}, 'p': 0, 'i': 0, 'o': []::INT[]}}"
+
+
+@query("part", sql=f"""
+WITH b AS (SELECT p_partkey, list_transform(range(octet_length(encode(p_name))), lambda i: ('0x' || substr(hex(encode(p_name)), 2 * i + 1, 2))::INT) AS b FROM part),
+n AS (SELECT p_partkey, b, list_prepend({_STATE.format(c="0")}, list_transform(flatten(list_transform(b, lambda x: [x & 15, x >> 4])), lambda c: {_STATE.format(c="c")})) AS n FROM b),
+d AS (SELECT p_partkey, b, list_reduce(n, lambda a, y: {{'c': ({_STEPS})[a.i + 1], 'p': greatest(-32768, least(32767, a.p + (CASE WHEN y.c & 8 > 0 THEN -1 ELSE 1 END) * ((({_STEPS})[a.i + 1] >> 3) + (CASE WHEN y.c & 4 > 0 THEN ({_STEPS})[a.i + 1] ELSE 0 END) + (CASE WHEN y.c & 2 > 0 THEN ({_STEPS})[a.i + 1] >> 1 ELSE 0 END) + (CASE WHEN y.c & 1 > 0 THEN ({_STEPS})[a.i + 1] >> 2 ELSE 0 END)))),
+  'i': greatest(0, least(88, a.i + CASE WHEN y.c & 4 > 0 THEN 2 * (y.c & 7) - 6 ELSE -1 END)), 'o': list_append(a.o, greatest(-32768, least(32767, a.p + (CASE WHEN y.c & 8 > 0 THEN -1 ELSE 1 END) * ((({_STEPS})[a.i + 1] >> 3) + (CASE WHEN y.c & 4 > 0 THEN ({_STEPS})[a.i + 1] ELSE 0 END) + (CASE WHEN y.c & 2 > 0 THEN ({_STEPS})[a.i + 1] >> 1 ELSE 0 END) + (CASE WHEN y.c & 1 > 0 THEN ({_STEPS})[a.i + 1] >> 2 ELSE 0 END))))) }}).o AS o FROM n)
+SELECT p_partkey, array_to_string(o, ',') AS ima, array_to_string(list_transform(b, lambda x: (x - 128) * 256), ',') AS pcm8, array_to_string(list_transform(range(len(b) // 2), lambda i: CASE WHEN b[2 * i + 1] >= 128 THEN b[2 * i + 1] * 256 + b[2 * i + 2] - 65536 ELSE b[2 * i + 1] * 256 + b[2 * i + 2] END), ',') AS pcm16 FROM d""")
+def decoded_samples(part):
+    """Samples of names taken for audio of three codings."""
+    data = F.encode("p_name", "UTF-8")
+    shown = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return part.select("p_partkey", shown(codecs.samples_of("ima")(data)).alias("ima"), shown(codecs.samples_of("pcm8")(data)).alias("pcm8"), shown(codecs.samples_of("pcm16", True)(data)).alias("pcm16"))
+
+
+@query("documents", sql="""
+WITH d AS (SELECT doc_id, text AS a, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN left(text, 9) || chr(35) || substr(text, 11) ELSE text || 'x' END AS b FROM documents WHERE length(text) >= 12 AND length(text) = octet_length(encode(text)) AND substr(text, 10, 1) <> chr(35))
+SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN 9 WHEN 2 THEN length(a) END AS exact, CASE doc_id % 3 WHEN 2 THEN length(a) // 2 * 2 + CASE WHEN length(a) % 2 = 1 THEN NULL ELSE 0 END END AS grown FROM d""")
+def first_differences(documents):
+    """Where payloads begin to differ, byte by byte; and within a wide tolerance of samples."""
+    plain = documents.filter("length(text) >= 12 AND length(text) = octet_length(text) AND substr(text, 10, 1) <> '#'")
+    text, kind = F.col("text"), F.col("doc_id") % 3
+    other = F.when(kind == 0, text).when(kind == 1, F.concat(F.left(text, F.lit(9)), F.lit("#"), F.substring(text, F.lit(11), F.length(text)))).otherwise(F.concat(text, F.lit("x")))
+    a, b = F.encode(text, "UTF-8"), F.encode(other, "UTF-8")
+    near = codecs.first_difference("s16", 65536)(a, b)
+    return plain.select("doc_id", codecs.first_difference()(a, b).alias("exact"), F.when(F.length("text") % 2 == 0, near).alias("grown"))

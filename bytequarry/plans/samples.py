@@ -974,3 +974,16 @@ def keyed_pack(items: Items) -> Archive:
 @stream
 def packets(parts: list[bytes]) -> bytes:
     return b"".join(bytes(0x3800) + p.ljust(0x600, b"\0") + bytes(0x600) for p in parts)
+
+
+@stream
+def hvqm4(parts: list[bytes]) -> bytes:
+    """Blocks of a video and an audio frame of two tracks, the second a copy in reverse."""
+    out, last = b"", 0
+    for i, p in enumerate(parts):
+        audio = struct.pack(">HHII", 0, 1 if i == 0 else 2, 4 + 2 * len(p), len(p)) + p + p[::-1]
+        frames = struct.pack(">HHI", 1, 0x10, 5) + b"video" + audio
+        out += struct.pack(">5I", last, len(frames), 1, 1, 0x01000000 if i % 2 else 0) + frames
+        last = len(frames)
+    head = b"HVQM4 1.5".ljust(16, b"\0") + struct.pack(">5I", 0x44, len(out), len(parts), len(parts), len(parts))
+    return head.ljust(0x3C, b"\0") + bytes([1, 4, 0, 1]) + struct.pack(">I", 32000) + out

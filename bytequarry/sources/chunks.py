@@ -287,6 +287,32 @@ def _vid1(order: str):
     return spans
 
 
+def _hvqm4(data: bytes) -> Iterator[tuple[str, int, int, int, int]]:
+    """A head of 0x44 bytes, then blocks that name the size of the one before, their own, and the number of their frames; a frame has type (0 audio), format and size, audio a count of samples first and its tracks one after the other."""
+    if data[:6] != b"HVQM4 " or data[6:9] not in (b"1.3", b"1.5") or struct.unpack_from(">I", data, 0x10)[0] != 0x44:
+        raise ValueError("other signature")
+    blocks, tracks = struct.unpack_from(">I", data, 0x18)[0], 1 + data[0x3F]
+    yield "head", 0, 0, 0, 0x44
+    at, last = 0x44, 0
+    for _ in range(blocks):
+        before, size, videos, audios, flags = struct.unpack_from(">5I", data, at)
+        if before != last or flags not in (0, 0x01000000):
+            raise ValueError("bad block")
+        at, last = at + 20, size
+        for _ in range(videos + audios):
+            kind, form, length = struct.unpack_from(">HHI", data, at)
+            at += 8
+            if kind == 0:
+                part, rest = divmod(length - 4, tracks)
+                if rest:
+                    raise ValueError("audio of uneven tracks")
+                for t in range(tracks):
+                    yield "audi", t, form, at + 4 + part * t, at + 4 + part * (t + 1)
+            else:
+                yield "vide", 0, form, at, at + length
+            at += length
+
+
 #: Sizes of the packets of discs, of the audio frames at their ends, and of what counts of a frame.
 PACKET, FRAME, HEARD = 0x4400, 0x600, 0x41C
 
@@ -302,9 +328,9 @@ def _packets(data: bytes) -> Iterator[tuple[str, int, int, int, int]]:
                 yield "audi", channel, 0, begin, min(begin + HEARD, len(data))
 
 
-FILM, MUL, XAV, IPUS, SMV, SMK, BINK, SIFF, STR, VID1, VID1_LE, PACKETS = (Dialect(_trimmed, spans=f) for f in (_film, _mul, _xav, _ipus, _smv, _smk, _bink, _siff, _str, _vid1(">"), _vid1("<"), _packets))
+FILM, MUL, XAV, IPUS, SMV, SMK, BINK, SIFF, STR, VID1, VID1_LE, HVQM4, PACKETS = (Dialect(_trimmed, spans=f) for f in (_film, _mul, _xav, _ipus, _smv, _smk, _bink, _siff, _str, _vid1(">"), _vid1("<"), _hvqm4, _packets))
 #: Dialects by name.
-DIALECTS = {"trimmed": TRIMMED, "blocks": BLOCKS, "sectors": SECTORS, "schl": SCHL, "snh1": SNH1, "riff": RIFF_CHUNKS, "bytes": BYTE_CHUNKS, "pairs": VIDEO_AUDIO_PAIRS, "film": FILM, "mul": MUL, "xav": XAV, "ipus": IPUS, "smv": SMV, "smk": SMK, "bink": BINK, "siff": SIFF, "str": STR, "vid1": VID1, "vid1_le": VID1_LE, "xa10": XA10, "ad10": AD10, "au00": AU00, "packets": PACKETS}
+DIALECTS = {"trimmed": TRIMMED, "blocks": BLOCKS, "sectors": SECTORS, "schl": SCHL, "snh1": SNH1, "riff": RIFF_CHUNKS, "bytes": BYTE_CHUNKS, "pairs": VIDEO_AUDIO_PAIRS, "film": FILM, "mul": MUL, "xav": XAV, "ipus": IPUS, "smv": SMV, "smk": SMK, "bink": BINK, "siff": SIFF, "str": STR, "vid1": VID1, "vid1_le": VID1_LE, "xa10": XA10, "ad10": AD10, "au00": AU00, "packets": PACKETS, "hvqm4": HVQM4}
 
 
 def read_chunks(data: bytes, dialect: Dialect) -> Iterator[tuple]:
