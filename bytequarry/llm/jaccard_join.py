@@ -172,24 +172,46 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table
         yield key, pa.Table.from_batches(held)
 
 
+def _met_before(leaves: pa.ChunkedArray, bucket: int) -> np.ndarray:
+    """(rows, rows): whether two rows share a leaf less than this one, where they are compared instead."""
+    lists = leaves.combine_chunks()
+    value, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
+    n = len(lists)
+    row = np.repeat(np.arange(n), np.diff(ends, prepend=0))
+    before = value < bucket
+    value, row = value[before], row[before]
+    _, column, times = np.unique(value, return_inverse=True, return_counts=True)
+    shared = times > 1
+    keep = shared[column]
+    column, row = (np.cumsum(shared) - 1)[column[keep]], row[keep]
+    met = np.zeros((n, n), bool)
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    for at in range(0, int(shared.sum()), 2048):
+        lo, hi = np.searchsorted(column, [at, at + 2048])
+        part = np.zeros((n, 2048), np.float32)
+        part[row[lo:hi], column[lo:hi] - at] = 1
+        met |= part @ part.T > 0
+    return met
+
+
 def _pairs(key: tuple, t: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a group's rows whose sketches agree in `least` slots and whose least common leaf this is."""
     bucket, i, j = key
     n = t.num_rows
-    own = t.column("own").to_numpy()
     sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(n, SLOTS)
-    lists = t.column("leaves").to_pylist()
-    sets = [frozenset(x) for x in lists]
+    own = t.column("own").to_numpy()
+    here = ~_met_before(t.column("leaves"), bucket)
+    if i != j:
+        here &= own[:, None] != own
     left, right = [], []
     for a in range(n - 1):
-        alike = (sketch[a + 1 :] == sketch[a]).sum(axis=1) >= least
-        if i != j:
-            alike &= own[a + 1 :] != own[a]
-        for b in (np.flatnonzero(alike) + a + 1).tolist():
-            if min(sets[a] & sets[b]) == bucket:
-                left.append(a)
-                right.append(b)
-    return np.array(left, np.int64), np.array(right, np.int64)
+        others = np.flatnonzero(here[a, a + 1 :]) + a + 1
+        if len(others):
+            alike = others[(sketch[others] == sketch[a]).sum(axis=1) >= least]
+            left.append(np.full(len(alike), a, np.int64))
+            right.append(alike)
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _least_matches(threshold: float) -> int:
