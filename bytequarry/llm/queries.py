@@ -92,13 +92,13 @@ _U = "((('0x' || left(md5(k || '/' || {place}), 13))::BIGINT + 0.5) / 4503599627
 ORACLES = {
     "op5_sharding": f"""
 WITH t AS (SELECT i AS shard, i // 8 AS region, i % 8 // 4 AS rack, g FROM range({SHARDS}) a(i), (VALUES (0), (1)) b(g) UNION ALL SELECT {SHARDS}, 2, 0, 1),
-d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, encode(coalesce(text, '')) AS b FROM documents),
+d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, hex(encode(coalesce(text, ''))) AS b FROM documents),
 k AS (SELECT DISTINCT k FROM d),
 r AS (SELECT k, g, arg_min(region, -ln({_U.format(place="region")}) / w) AS region FROM k, (SELECT g, region, count(*) AS w FROM t GROUP BY ALL) GROUP BY ALL),
 q AS (SELECT k, g, region, arg_min(rack, -ln({_U.format(place="region || '.' || rack")}) / w) AS rack FROM r JOIN (SELECT g, region, rack, count(*) AS w FROM t GROUP BY ALL) USING (g, region) GROUP BY ALL),
 s AS (SELECT k, g, arg_min(shard, -ln({_U.format(place="region || '.' || rack || '.' || shard")})) AS shard FROM q JOIN t USING (g, region, rack) GROUP BY ALL),
 c AS (SELECT list(v ORDER BY i) AS c FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) x(i))),
-h AS (SELECT doc_id, k, octet_length(b) + 1 AS size, list_prepend(4294967295::BIGINT, list_transform(range(octet_length(b)), lambda i: ('0x' || substr(hex(b), 2 * i + 1, 2))::BIGINT)) AS bytes FROM d),
+h AS (SELECT doc_id, k, length(b) // 2 + 1 AS size, list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(b, '..'), lambda x: ('0x' || x)::BIGINT)) AS bytes FROM d),
 z AS (SELECT doc_id, k, CAST(size AS BIGINT) AS size, xor(list_reduce(bytes, lambda a, b: xor(a >> 8, c[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM h, c)
 SELECT doc_id, size, text_crc32, 'key' AS law, CAST(o.shard AS INT) AS shard, row_number() OVER (PARTITION BY o.shard ORDER BY doc_id, size, text_crc32) - 1 AS slot, CAST(n.shard AS INT) AS grown_shard
 FROM z JOIN s o ON o.k = z.k AND o.g = 0 JOIN s n ON n.k = z.k AND n.g = 1
@@ -114,13 +114,13 @@ FROM l
 """,
     "op7_substring_dedup": """
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x09-\\x0D ]+'), lambda x: x <> '') AS w FROM documents),
-x AS (SELECT doc_id, unnest(range(len(w) - 19)) AS i, w FROM d WHERE len(w) >= 20),
-r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY sha256(array_to_string(w[i + 1:i + 20], ' ')) ORDER BY doc_id, i) AS n FROM x),
-g AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM r WHERE n > 1) GROUP BY doc_id),
-k AS (SELECT doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN g USING (doc_id)),
 p AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
-s AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT p.* FROM p ANTI JOIN (SELECT doc_id, unnest(gone) AS i FROM g) USING (doc_id, i)) GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k LEFT JOIN s USING (doc_id)
+x AS (SELECT doc_id, i, string_agg(word, ' ') OVER v AS k, count(*) OVER v AS c FROM p WINDOW v AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM x WHERE c = 20),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM r WHERE n > 1),
+c AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+s AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM p ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)
 """,
     "op4_jaccard_join": """
 WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x09-\\x0D ]+'), lambda x: x <> '') AS w FROM documents),
