@@ -81,8 +81,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_decontamination, op3_html_extraction, op4_jaccard_join, op5_sharding, op6_transcripts, op7_substring_dedup, op8_language_id, op9_warc, op10_exact_dedup]
+    found = [op1_packing, op2_decontamination, op3_html_extraction, op4_jaccard_join, op5_sharding, op6_transcripts, op7_substring_dedup, op8_language_id, op9_warc, op10_exact_dedup, op13_collocations]
     return {f.__name__: f for f in found}
 
 
@@ -137,6 +143,21 @@ SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM documents JOIN k O
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+""",
+    "op13_collocations": """
+WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(p, '[ \\x09]+'), lambda x: x <> '') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM d)),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM i, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE i + m - 1 <= len(w)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m >= 2),
+s AS (SELECT c.lang, c.m, c.phrase, a, k, x.f AS l, y.f AS r, n, CAST((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+      FROM c JOIN n ON n.lang = c.lang JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT DISTINCT b.lang, b.phrase FROM b JOIN b z ON z.lang = b.lang AND z.m > b.m AND contains(' ' || z.phrase || ' ', ' ' || b.phrase || ' ') AND z.a >= b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM b ANTI JOIN o USING (lang, phrase) QUALIFY rank <= 2000
 """,
     "op9_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
