@@ -81,6 +81,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie
+
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .collocations import collocations
 
@@ -88,7 +94,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_decontamination, op3_html_extraction, op4_jaccard_join, op5_sharding, op6_transcripts, op7_substring_dedup, op8_language_id, op9_warc, op10_exact_dedup, op13_collocations]
+    found = [op1_packing, op2_decontamination, op3_html_extraction, op4_jaccard_join, op5_sharding, op6_transcripts, op7_substring_dedup, op8_language_id, op9_warc, op10_exact_dedup, op12_prefix_trie, op13_collocations]
     return {f.__name__: f for f in found}
 
 
@@ -96,6 +102,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _U = "((('0x' || left(md5(k || '/' || {place}), 13))::BIGINT + 0.5) / 4503599627370496.0)"
 
 ORACLES = {
+    "op12_prefix_trie": """
+WITH c AS (SELECT list(v ORDER BY i) AS c FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) x(i))),
+t AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, t, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: xor(a >> 8, c[(xor(a, b) & 255) + 1])), 4294967295) % 9 AS h FROM t, c),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.t, [])[1:h.h], h.t[h.h + 1:]) AS t FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, d, len(t) = d AS ends, md5(CAST(t[1:d] AS VARCHAR) || d) AS k, CASE WHEN d > 0 THEN md5(CAST(t[1:d - 1] AS VARCHAR) || (d - 1)) END AS up, CASE WHEN d > 0 THEN strlen(t[d].x) ELSE 0 END AS b FROM (SELECT conv_id, t, unnest(range(len(t) + 1)) AS d FROM r)),
+n AS (SELECT k, any_value(up) AS up, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(b) AS own, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY k),
+k AS (SELECT up AS k, count(*) AS n_children FROM n GROUP BY up),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (k)),
+s AS (SELECT a.k, sum(m.own) AS saved_tokens, count(*) FILTER (m.n_children = 0) AS n_leaves FROM m JOIN p a ON a.conv_id = m.conv_id AND a.d <= m.depth GROUP BY a.k)
+SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM m JOIN s USING (k) LEFT JOIN m u ON u.k = m.up
+""",
     "op5_sharding": f"""
 WITH t AS (SELECT i AS shard, i // 8 AS region, i % 8 // 4 AS rack, g FROM range({SHARDS}) a(i), (VALUES (0), (1)) b(g) UNION ALL SELECT {SHARDS}, 2, 0, 1),
 d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, hex(encode(coalesce(text, ''))) AS b FROM documents),
