@@ -50,7 +50,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
         while len(data) - start > 2 * BLOCK and (cut := data.find(b"\n", start + BLOCK)) >= 0:
             yield lang, data[start : cut + 1]
             start = cut + 1
-        yield lang, data[start:]
+        if start < len(data):
+            yield lang, data[start:]
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):

@@ -203,7 +203,7 @@ def _segment_nodes(t: pa.Table) -> pa.Table:
 
 def _long_nodes(rows: DataFrame, segment: int) -> DataFrame:
     """Nodes of the conversations of large families, one row for each conversation and depth, without gathering a conversation anywhere."""
-    placed = ranked(rows, [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("digest")])
+    placed = ranked(rows, [F.col("conv_id"), F.col("turn"), F.col("digest")])  # nulls first
     convs = placed.groupBy("conv_id", "family").agg(F.min("place").alias("start"), F.count("*").alias("n"))
     h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % MOST
     bases = convs.filter("conv_id = family").select("family", F.col("n").alias("of_base"))
