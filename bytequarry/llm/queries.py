@@ -81,6 +81,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rule_ensemble import rate
+
+    return rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .prefix_trie import prefix_trie
 
@@ -94,7 +100,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_decontamination, op3_html_extraction, op4_jaccard_join, op5_sharding, op6_transcripts, op7_substring_dedup, op8_language_id, op9_warc, op10_exact_dedup, op12_prefix_trie, op13_collocations]
+    found = [op1_packing, op2_decontamination, op3_html_extraction, op4_jaccard_join, op5_sharding, op6_transcripts, op7_substring_dedup, op8_language_id, op9_warc, op10_exact_dedup, op11_rule_ensemble, op12_prefix_trie, op13_collocations]
     return {f.__name__: f for f in found}
 
 
