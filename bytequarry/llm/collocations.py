@@ -1,11 +1,12 @@
 """Phrase collocation mining: merged count-min sketches, exact counts of the survivors, scores, subsumption.
 
-The first pass makes a count-min sketch of all phrases of one to five words in
-each task; the sketches are summed cell by cell, and of the sum only a bit a
-cell is kept: whether it reaches the least count. A cell holds at least what
-any of its phrases has, so no frequent phrase is lost. The second pass counts
-those phrases exactly, by their words, whose cells and whose shorter parts all
-reach the least count. A noisy sketch costs time there, never a result.
+The first pass makes a count-min sketch of all words and pairs in each task, a
+further one of the longer phrases whose pairs may all be frequent. Sketches
+are summed cell by cell, and of a sum only a bit a cell is kept: whether it
+reaches the least count. A cell holds at least what any of its phrases has, so
+no frequent phrase is lost. The last pass counts those phrases exactly, by
+their words, whose cells and whose shorter parts all reach the least count. A
+noisy sketch costs time there, never a result.
 
 What moves: the sketches (bounded by ROWS, MAX_BITS and one for each task,
 tasks growing with the text), and the survivors' partial counts.
@@ -28,10 +29,14 @@ from .wordhash import mix, range_hashes
 
 #: Rows of the sketch; cells of a row lie between 2**MIN_BITS and 2**MAX_BITS, one for each BYTES_PER_CELL of text.
 ROWS, MIN_BITS, MAX_BITS, BYTES_PER_CELL = 3, 16, 24, 16
-#: Bytes of text in a sketch, beyond the tasks that the cluster runs at once.
+#: Bytes of text in a task and its sketch, beyond the tasks that the cluster runs at once.
 BYTES_PER_SKETCH = 4 << 30
 #: Bytes of text that are worked on at once; longer texts are cut where pieces end.
 BLOCK = (2 << 20) - (1 << 17)
+#: Distinct phrases whose counts a task keeps before it hands them on.
+COMBINED = 1 << 19
+#: Phrases that are added to a sketch at once.
+STRIDE = 1 << 15
 #: Cells of a part of the sketch, that is of a row of the exchange.
 PART_BITS = 16
 
@@ -94,23 +99,43 @@ def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     return ((h & np.uint64(0xFFFFFFFF)) + np.uint64(row) * ((h >> np.uint64(32)) | np.uint64(1)) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def _sketched(bits: int, longest: int, least: int):
-    """Per task: its sketch in parts (part, cells), each cell clipped to the least count."""
+def _kind(least: int) -> type:
+    """Of a cell: holds the least count and STRIDE more."""
+    return np.uint16 if least < STRIDE else np.uint32
+
+
+def _living(w: _Words, maps: dict, bits: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(words, hashes, starts) of the phrases whose shorter parts are all heavy and whose own cells are; what has no map is taken for heavy."""
+    alive = None
+    for n, h, whole in w.phrases(longest):
+        at = np.flatnonzero(whole if alive is None else whole & alive[:-1] & alive[1:])
+        if n in maps:
+            for row in range(ROWS):
+                c = _cells(h[at], row, bits)
+                at = at[(maps[n][row][c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 > 0]
+        if not len(at):
+            return
+        alive = np.zeros(len(h), bool)
+        alive[at] = True
+        yield n, h, at
+
+
+def _sketched(bits: int, sizes: range, known, least: int):
+    """Per task: its sketch in parts (part, cells). A cell that reaches the least count is no longer added to, so small integers do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, since = np.zeros((ROWS, 1 << bits), np.uint32), 0
+        sketch = np.zeros((ROWS, 1 << bits), _kind(least))
+        one = sketch.dtype.type(1)
         for lang, data in _blocks(batches):
-            for _, h, whole in _Words(lang, data).phrases(longest):
-                h = h[whole]
-                for row in range(ROWS):
-                    np.add.at(sketch[row], _cells(h, row, bits), np.uint32(1))
-            since += len(data)
-            if since > 1 << 30:  # far from what a cell can hold
-                np.minimum(sketch, least, out=sketch)
-                since = 0
+            for n, h, at in _living(_Words(lang, data), known.value, bits, sizes[-1]):
+                h = h[at if n in sizes else at[:0]]
+                for i in range(0, len(h), STRIDE):
+                    for row in range(ROWS):
+                        c = _cells(h[i : i + STRIDE], row, bits)
+                        np.add.at(sketch[row], c[sketch[row][c] < least], one)
         flat = sketch.reshape(-1, 1 << min(bits, PART_BITS))
         for i in range(0, len(flat), 16):
-            some = [(j, np.minimum(flat[j], least).astype(np.uint32).tobytes()) for j in range(i, min(i + 16, len(flat))) if flat[j].any()]
+            some = [(j, np.minimum(flat[j], least).tobytes()) for j in range(i, min(i + 16, len(flat))) if flat[j].any()]
             if some:
                 yield pa.RecordBatch.from_arrays([pa.array([j for j, _ in some], pa.int32()), pa.array([c for _, c in some], pa.binary())], names=["part", "cells"])
 
@@ -129,16 +154,16 @@ def _merged(least: int):
                     if at is not None:
                         yield done()
                     at, total = part, 0
-                total = total + np.frombuffer(cells.as_buffer(), np.uint32).astype(np.uint64)
+                total = total + np.frombuffer(cells.as_buffer(), _kind(least)).astype(np.uint64)
         if at is not None:
             yield done()
 
     return run
 
 
-def heavy_cells(texts: DataFrame, bits: int, tasks: int, longest: int, least: int) -> np.ndarray:
-    """ROWS bitmaps, packed, of the cells whose count over all tasks of (lang, text) reaches `least`; at most ROWS * 2**(MAX_BITS - 3) bytes."""
-    sent = texts.coalesce(tasks).mapInArrow(_sketched(bits, longest, least), "part int, cells binary")
+def heavy_cells(texts: DataFrame, bits: int, tasks: int, sizes: range, known, least: int) -> np.ndarray:
+    """ROWS bitmaps, packed, of the cells where phrases of `sizes` words come to `least` over all tasks of (lang, text); at most ROWS * 2**(MAX_BITS - 3) bytes. known: a broadcast of maps of shorter phrases."""
+    sent = texts.coalesce(tasks).mapInArrow(_sketched(bits, sizes, known, least), "part int, cells binary")
     merged = sent.repartition("part").sortWithinPartitions("part").mapInArrow(_merged(least), "part int, heavy binary")
     part = 1 << min(bits, PART_BITS)
     out = np.zeros((ROWS << bits) // 8, np.uint8).reshape(-1, part // 8)
@@ -147,10 +172,41 @@ def heavy_cells(texts: DataFrame, bits: int, tasks: int, longest: int, least: in
     return out.reshape(ROWS, -1)
 
 
+def heavy_maps(texts: DataFrame, bits: int, tasks: int, longest: int, least: int):
+    """A broadcast of the bitmaps for each number of words. Words and pairs have a sketch, longer phrases another one, which only those enter whose pairs are all heavy."""
+    context, maps = texts.sparkSession.sparkContext, {}
+    for sizes in (range(1, min(longest, 2) + 1), range(3, longest + 1)):
+        if len(sizes):
+            found = heavy_cells(texts, bits, tasks, sizes, context.broadcast(dict(maps)), least)
+            maps |= dict.fromkeys(sizes, found)
+    return context.broadcast(maps)
+
+
+def _summed(rows: list[pa.RecordBatch]) -> pa.Table:
+    return pa.Table.from_batches(rows).group_by(["lang", "words", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "words", "phrase", "n"])
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts added up over the blocks of a task, as far as COMBINED rows reach."""
+    held, rows, least = [], 0, 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows - least > COMBINED:
+            total = _summed(held)
+            if total.num_rows > COMBINED:
+                yield from total.to_batches(1 << 16)
+                held, rows, least = [], 0, 0
+            else:
+                held, rows, least = total.to_batches(), total.num_rows, total.num_rows
+    if held:
+        yield from _summed(held).to_batches(1 << 16)
+
+
 def _counted(heavy, bits: int, longest: int):
-    """Per block: (lang, words, phrase, n) of the phrases whose cells and shorter parts are heavy, counted by their words; with 0 words the number of all."""
+    """Per task: (lang, words, phrase, n) of the phrases whose cells and shorter parts are heavy, counted by their words; with 0 words the number of all."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = heavy.value
         for lang, data in _blocks(batches):
             w = _Words(lang, data)
@@ -164,22 +220,15 @@ def _counted(heavy, bits: int, longest: int):
             words = pa.Array.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(offsets), pa.py_buffer(w.buf[w.inside])])
             single = words.dictionary_encode().indices.to_numpy().astype(np.int64)
             yield _batch(lang, 0, pa.array([""]), [len(w)])
-            ids, alive = single, None
-            for n, h, whole in w.phrases(longest):
-                whole = whole if alive is None else whole & alive[:-1] & alive[1:]
-                at = np.flatnonzero(whole)
-                for row in range(ROWS):
-                    c = _cells(h[at], row, bits)
-                    at = at[(maps[row][c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 > 0]
-                if not len(at):
-                    break
+            ids = single
+            for n, h, at in _living(w, maps, bits, longest):
                 key = single[at] if n == 1 else ids[at] << 32 | single[at + n - 1]
                 code, _ = pd.factorize(key)
                 count = np.bincount(code)
                 where = np.empty(len(count), np.int64)
                 where[code[::-1]] = at[::-1]
-                alive, ids = np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-                alive[at], ids[at] = True, code
+                ids = np.zeros(len(h), np.int64)
+                ids[at] = code
                 sizes = first_byte[where + n] - 1 - first_byte[where]
                 ends = np.cumsum(sizes)
                 bytes_at = np.arange(ends[-1]) + np.repeat(first_byte[where] - ends + sizes, sizes)
@@ -187,6 +236,9 @@ def _counted(heavy, bits: int, longest: int):
                 for i in range(0, len(where), 1 << 16):
                     yield _batch(lang, n, phrases[i : i + (1 << 16)].cast(pa.string()), count[i : i + (1 << 16)])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _combined(counts(batches))
+
     return run
 
 
@@ -207,8 +259,8 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max(MIN_BITS, int(size // BYTES_PER_CELL).bit_length()), MAX_BITS)
     tasks = max(spark.sparkContext.defaultParallelism, -(-size // BYTES_PER_SKETCH))
-    heavy = spark.sparkContext.broadcast(heavy_cells(texts, bits, tasks, longest, least))
-    counted = texts.mapInArrow(_counted(heavy, bits, longest), "lang string, words int, phrase string, n long")
+    heavy = heavy_maps(texts, bits, tasks, longest, least)
+    counted = texts.coalesce(tasks).mapInArrow(_counted(heavy, bits, longest), "lang string, words int, phrase string, n long")
     return staged(counted.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "phrase-counts")
 
 

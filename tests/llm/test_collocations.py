@@ -68,6 +68,11 @@ def test_small_blocks_and_full_sketches_give_the_same(spark, monkeypatch):
     assert all(b.endswith(b"\n") for _, b in lang_blocks)
     monkeypatch.setattr(c, "MIN_BITS", 4)
     monkeypatch.setattr(c, "MAX_BITS", 4)
+    parts = list(c._combined(c._batch("en", 1, c.pa.array([str(i % 7), "x"]), [1, i]) for i in range(40)))
+    assert sum(c.pa.Table.from_batches(parts).column("n").to_pylist()) == 40 + sum(range(40)) and sum(b.num_rows for b in parts) == 8
+    monkeypatch.setattr(c, "COMBINED", 5)
+    parts = list(c._combined(c._batch("en", 1, c.pa.array([str(i % 7), "x"]), [1, i]) for i in range(40)))
+    assert sum(c.pa.Table.from_batches(parts).column("n").to_pylist()) == 40 + sum(range(40))
     assert found(c.collocations(frame_, least=4)) == want == brute(rows, least=4)
 
 
