@@ -32,7 +32,7 @@ ROWS, MIN_BITS, MAX_BITS, BYTES_PER_CELL = 3, 16, 24, 16
 #: Bytes of text in a task and its sketch, beyond the tasks that the cluster runs at once.
 BYTES_PER_SKETCH = 4 << 30
 #: Bytes of text that are worked on at once; longer texts are cut where pieces end.
-BLOCK = (2 << 20) - (1 << 17)
+BLOCK = (1 << 20) - (1 << 16)
 #: Distinct phrases whose counts a task keeps before it hands them on.
 COMBINED = 1 << 19
 #: Phrases that are added to a sketch at once.
