@@ -7,6 +7,11 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Bytes that a broadcast table may take in an executor's memory, by its rows' estimated size.
+BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,3 +30,14 @@ def held(df: DataFrame) -> DataFrame:
     """df checkpointed, so that each pass reads what the one before wrote, whatever executors are lost."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def row_bytes(schema: T.StructType) -> int:
+    """About what a row takes in a hash relation; for strings and nested values a guess, so keep long ones out of what is broadcast."""
+    return 48 + sum(8 if isinstance(f.dataType, T.NumericType | T.BooleanType | T.DatetimeType) else 64 for f in schema)
+
+
+def light(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it is counted small enough, else as it is, to be shuffled."""
+    most = BROADCAST_BYTES // row_bytes(df.schema)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bytesx, hashx, textx
-from ..operators import aggregates, classify, graph, manifest, names, ordered, sets, similar
+from ..operators import aggregates, classify, graph, manifest, names, ordered, scans, sets, similar
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -217,6 +217,23 @@ def lag_reset(events):
     return ordered.falls(events, ["user_id"], ["ts", "event_id"], "value").select("event_id", "falls")
 
 
+@query("events", sql="""
+WITH o AS (SELECT *, 64 + length(props) AS size, lag(event_type = 'purchase', 1, false) OVER w AS opens FROM events WINDOW w AS (ORDER BY ts, event_id))
+SELECT event_id, CAST(sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER w AS BIGINT) AS island,
+       last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER w AS carried,
+       CAST(sum(size) OVER w - size AS BIGINT) AS "offset", row_number() OVER w - 1 AS n, coalesce(value < lag(value) OVER w, false) AS falls,
+       CAST(coalesce(lead(event_id) OVER w, 0) - event_id AS BIGINT) AS size
+FROM o WINDOW w AS (ORDER BY ts, event_id)""")
+def scans_of_one_key(events):
+    """All events as one run, cut into parts of some thousand rows that are scanned apart."""
+    by, hot = ["ts", "event_id"], 1000
+    rows = ordered.islands_after(events, [], by, F.col("event_type") == "purchase", hot=hot)
+    rows = ordered.carried(rows, [], by, F.when(F.col("event_type") == "signup", F.col("value")), "carried", hot=hot)
+    rows = scans.running(rows, [], by, {"offset": scans.Running("sum", 64 + F.length("props"), False), "n": scans.Running("sum", F.lit(1), False)}, hot)
+    rows = ordered.sizes_by_next(ordered.falls(rows, [], by, "value", hot=hot), [], "event_id", F.lit(0), by, hot=hot)
+    return rows.select("event_id", "island", "carried", "offset", "n", "falls", "size")
+
+
 @query("conversations", sql="SELECT conv_id, role, string_agg(text, '' ORDER BY turn) AS stream FROM conversations GROUP BY conv_id, role")
 def demux_concat(conversations):
     return aggregates.joined_in_order(conversations, ["conv_id", "role"], "turn", F.col("text"), "", "stream")
