@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import light
+from .warping import best_scores
+
 #: Rows that a block of the right side holds.
 BLOCK_ROWS = 4096
 #: Weights of the parts of a score.
@@ -54,7 +57,7 @@ def best_matches(left: DataFrame, right: DataFrame, id_col: str, vector: str, bl
     return _best(left, right, id_col, block, {"v": vector}, score, exclude_self)
 
 
-def weighted_matches(left: DataFrame, right: DataFrame, id_col: str, block: str, vector: str | None = None, tempo: str | None = None, loudness: str | None = None, seconds: str | None = None, frames: str | None = None, tempo_apart: float | None = None, seconds_apart: float | None = None, weights: dict[str, float] = WEIGHTS, exclude_self: bool = False) -> DataFrame:
+def weighted_matches(left: DataFrame, right: DataFrame, id_col: str, block: str, vector: str | None = None, tempo: str | None = None, loudness: str | None = None, seconds: str | None = None, frames: str | None = None, tempo_apart: float | None = None, seconds_apart: float | None = None, band: int | None = None, weights: dict[str, float] = WEIGHTS, exclude_self: bool = False) -> DataFrame:
     """For each left row the right row of its block with the highest weighted score: id, match_id, score (6 digits). Ties: the least id.
 
     The parts of the score are those whose columns are given: closeness of
@@ -62,7 +65,8 @@ def weighted_matches(left: DataFrame, right: DataFrame, id_col: str, block: str,
     vectors), by distance of `vector`, and its cosine; each with its weight,
     over the weights of the parts. Pairs whose tempo is more than tempo_apart
     away, or whose durations differ by more than seconds_apart of the longer,
-    are none, and only the others are warped.
+    are none. Of the others only those are warped whose bound may beat what is
+    known (see warping), within `band` frames of the diagonal if one is given.
     """
     columns = {k: c for k, c in (("v", vector), ("tempo", tempo), ("loudness", loudness), ("seconds", seconds), ("frames", frames)) if c}
 
@@ -79,11 +83,11 @@ def weighted_matches(left: DataFrame, right: DataFrame, id_col: str, block: str,
             square = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T
             parts |= {"euclid": closeness(np.sqrt(np.maximum(square, 0))), "cosine": cosine(a, b)}
         if frames:
-            warped = np.zeros(near.shape)
             fl, fr = ([np.stack(x).astype(float) for x in side.frames] for side in (l, r))
-            for i, j in zip(*np.nonzero(near), strict=True):
-                warped[i, j] = closeness(dtw(fl[i], fr[j]))
-            parts["dtw"] = warped
+            if exclude_self:
+                near &= l.id.to_numpy()[:, None] != r.id.to_numpy()
+            rest = sum((weights[k] * v for k, v in parts.items()), np.zeros(near.shape))
+            return best_scores(fl, fr, near, rest, weights["dtw"], weights["dtw"] + sum(weights[k] for k in parts), band)[0]
         return np.where(near, weighted(parts, weights), -np.inf)
 
     return _best(left, right, id_col, block, columns, score, exclude_self)
@@ -93,7 +97,7 @@ def _best(left: DataFrame, right: DataFrame, id_col: str, block: str, columns: d
     """For each left row the best of its block: each block is cut into pieces of BLOCK_ROWS on both sides, pieces meet in pairs, and the best of each pair of pieces meet in a grouped maximum. No task holds more than a piece of either side; the number of pairs is a block's own rows squared, so blocks are the caller's way to keep it small."""
     cut = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK_ROWS)).cast("int")
     sizes = left.groupBy(F.col(block).alias("b")).agg(F.count("*").alias("m")).join(right.groupBy(F.col(block).alias("b")).agg(F.count("*").alias("n")), "b")
-    sized = F.broadcast(sizes) if sizes.limit(100_001).count() <= 100_000 else sizes
+    sized = light(sizes)
     side = lambda df: df.select(F.col(id_col).alias("id"), F.col(block).alias("b"), *[F.col(c).alias(k) for k, c in columns.items()]).join(sized, "b")
     own, every = (lambda n: F.pmod(F.xxhash64("id"), cut(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), cut(n) - 1)))
     rows_l = side(left).withColumn("i", own("m")).withColumn("j", every("n")).withColumn("left", F.lit(True))

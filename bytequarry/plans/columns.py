@@ -614,6 +614,22 @@ def weighted_matches(embeddings):
     return similar.weighted_matches(left, right, "vec_id", "block", vector="v", tempo="tempo", loudness="loudness", seconds="seconds", tempo_apart=20, seconds_apart=0.1)
 
 
+@query("embeddings", sql="""
+WITH e AS (SELECT vec_id, label, (vec_id % 17) / 16 AS loudness, list_transform(range(8), lambda i: CAST(embedding[i * 8 + 1:i * 8 + 8] AS DOUBLE[])) AS f FROM embeddings),
+p AS (SELECT a.vec_id, b.vec_id AS match_id, 1 / (1 + abs(a.loudness - b.loudness)) AS l,
+  list_transform(a.f, lambda x: list_transform(b.f, lambda y: sqrt(list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))))) AS c
+  FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id),
+w AS (SELECT vec_id, match_id, l, list_last(list_reduce(list_prepend([0::DOUBLE, 'inf', 'inf', 'inf', 'inf', 'inf', 'inf', 'inf', 'inf'], c), lambda u, row:
+  list_reduce(list_prepend(['inf'::DOUBLE], list_transform(range(1, 9), lambda j: [row[j] + 0::DOUBLE, least(u[j], u[j + 1])])), lambda t, x: list_append(t, x[1] + least(x[2], list_last(t)))))) / 16 AS d FROM p),
+s AS (SELECT vec_id, match_id, round((0.25 * l + 2.5 / (1 + d)) / 2.75, 6) AS score FROM w)
+SELECT vec_id, match_id, score FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, match_id) = 1""")
+def warped_matches(embeddings):
+    """The best match of each sequence of eight frames by warping and loudness, among those of its label."""
+    frames = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(F.col("embedding"), i * 8 + 1, F.lit(8)))
+    rows = embeddings.select("vec_id", "label", frames.alias("frames"), ((F.col("vec_id") % 17) / 16).alias("loudness"))
+    return similar.weighted_matches(rows, rows, "vec_id", "label", frames="frames", loudness="loudness", exclude_self=True)
+
+
 @query("part", sql="""
 WITH p AS (SELECT p_brand AS problem, p_partkey % 6 AS l, p_size % 6 AS r, max(round(p_retailprice, 2)) AS score FROM part GROUP BY ALL),
 o AS (SELECT problem, list({'l': l, 'r': r, 's': score} ORDER BY score DESC, l, r) AS x FROM p GROUP BY problem),

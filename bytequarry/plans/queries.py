@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bytesx, hashx, textx
-from ..operators import aggregates, classify, graph, manifest, names, ordered, scans, sets, similar
+from ..operators import aggregates, classify, graph, greedy, manifest, names, nearest, ordered, scans, sets, similar
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,6 +169,24 @@ def similar_top1(embeddings):
     return similar.best_matches(embeddings, embeddings, "vec_id", "embedding", "label")
 
 
+@query("embeddings", sql=_COSINE.replace("a.label = b.label AND ", "") + "SELECT vec_id, match_id, score FROM t WHERE r = 1")
+def nearest_of_all(embeddings):
+    """The most alike of all other vectors, without a block, by cells whose bounds allow it."""
+    return nearest.nearest(embeddings, embeddings, "vec_id", "embedding", cell_rows=256).select("vec_id", "match_id", "score")
+
+
+@query("lineitem", sql="""
+WITH p AS (SELECT l_suppkey AS l, l_partkey AS r, max(l_extendedprice) AS s FROM lineitem GROUP BY ALL),
+o AS (SELECT list({'l': l, 'r': r, 's': s} ORDER BY s DESC, l, r) AS x FROM p),
+k AS (SELECT list_reduce(x, lambda a, y: CASE WHEN list_contains(a.u, y.l) OR list_contains(a.w, y.r) THEN a ELSE {'u': list_append(a.u, y.l), 'w': list_append(a.w, y.r), 'k': list_append(a.k, y)} END,
+  {'u': []::BIGINT[], 'w': []::BIGINT[], 'k': []::STRUCT(l BIGINT, r BIGINT, s DOUBLE)[]}).k AS k FROM o)
+SELECT 'all' AS problem, unnest(k).l AS l_suppkey, unnest(k).r AS l_partkey, unnest(k).s AS price FROM k""")
+def greedy_in_rounds(lineitem):
+    """One problem over all suppliers and parts: the greedy choice by price, in rounds of pairs that are first on both sides."""
+    pairs = lineitem.select(F.lit("all").alias("problem"), "l_suppkey", "l_partkey", F.col("l_extendedprice").alias("price"))
+    return greedy.one_to_one_in_rounds(pairs, "problem", "l_suppkey", "l_partkey", "price", task_pairs=1000)
+
+
 @query("embeddings", sql=_COSINE + "SELECT round((avg(score) + 0.5 * stddev_pop(score)) * 0.65, 6) AS threshold FROM t WHERE r = 1")
 def auto_threshold(embeddings):
     best = similar.best_matches(embeddings, embeddings, "vec_id", "embedding", "label")
