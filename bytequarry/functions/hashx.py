@@ -49,6 +49,26 @@ def joaat(text: Column, seed: int | Column = 0, finish: bool = True) -> Column:
     return F.aggregate(byte_values(fold_path(text)), start, step, end if finish else None)
 
 
+def _xor_undone(h: Column, shift: int) -> Column:
+    """x of h = x ^ x >> shift, in 32 bits."""
+    out = h
+    for s in range(shift, 32, shift):
+        out = out.bitwiseXOR(F.shiftrightunsigned(h, s))
+    return out
+
+
+def joaat_state(value: Column) -> Column:
+    """The rolling state of which joaat's end makes the value."""
+    h = _times32(value.cast("bigint"), pow(1 + (1 << 15), -1, 1 << 32))
+    return _times32(_xor_undone(h, 11), pow(1 + (1 << 3), -1, 1 << 32))
+
+
+def joaat_without_suffix(state: Column, suffix: Column) -> Column:
+    """The rolling state before a known suffix, folded as joaat folds it."""
+    back = lambda h, b: _mask(_times32(_xor_undone(h, 6), pow(1 + (1 << 10), -1, 1 << 32)) - b)
+    return F.aggregate(F.reverse(byte_values(fold_path(suffix))), state.cast("bigint"), back)
+
+
 def low29(value: Column) -> Column:
     return value.bitwiseAND(F.lit(0x1FFFFFFF))
 

@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashx import fnv1, joaat, low29
+from ..functions.hashx import fnv1, fnv1_without_suffix, joaat, joaat_state, joaat_without_suffix, low29
 from ..functions.textx import camel_split, name_tokens
+from .staging import held, light
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -105,18 +106,14 @@ def word_list(lines: DataFrame, line: str, max_length: int = 500, max_parts: int
 
 def candidates(words: DataFrame, templates: DataFrame, word: str = "word", template: str = "template") -> DataFrame:
     """(name): every template with every word. The template list is a small dimension, broadcast after a count; words stay where they are."""
-    from .sets import small
-
-    return words.crossJoin(small(templates.select(template))).select(F.replace(F.col(template), F.lit("%s"), F.col(word)).alias("name"))
+    return words.crossJoin(light(templates.select(template))).select(F.replace(F.col(template), F.lit("%s"), F.col(word)).alias("name"))
 
 
 def products(sections: list[DataFrame], col: str, sep: str = "_") -> DataFrame:
     """Names of one part from each section, in order. Sections after the first are short lists, broadcast after a count; the names stay where their first parts are."""
-    from .sets import small
-
     out = sections[0].select(F.col(col).alias("name"))
     for s in sections[1:]:
-        out = out.crossJoin(small(s.select(F.col(col).alias("__p")))).select(F.concat("name", F.lit(sep), "__p").alias("name"))
+        out = out.crossJoin(light(s.select(F.col(col).alias("__p")))).select(F.concat("name", F.lit(sep), "__p").alias("name"))
     return out
 
 
@@ -128,6 +125,29 @@ def recovered(names: DataFrame, known: DataFrame, name: str = "name", hash_col:
     return found.join(ids, hash_col, "left_semi").select(hash_col, name)
 
 
+#: Rolling hashes whose steps can be undone: the state after a prefix, and of an id the state before a suffix.
+REVERSIBLE: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]] = {
+    "joaat": (lambda prefix: joaat(prefix, finish=False), lambda value, suffix: joaat_without_suffix(joaat_state(value), suffix)),
+    "fnv1": (fnv1, fnv1_without_suffix),
+}
+
+
+def met_in_the_middle(prefixes: DataFrame, suffixes: DataFrame, known: DataFrame, prefix: str = "prefix", suffix: str = "suffix", hash_col: str = "hash", kind: str = "joaat") -> DataFrame:
+    """(hash, prefix, suffix) of all names prefix + suffix whose hash is known, without hashing each name.
+
+    Prefixes are hashed once; each known id is pulled back over each suffix,
+    which undoes the hash's steps, and states meet in an equi-join: |P| +
+    |S| x |known| hashes in place of |P| x |S|. Steps are one-to-one, so a
+    meeting is a match. Use it where ids are fewer than prefixes. Nulls give
+    nothing, repeated words and ids count once.
+    """
+    after, before = REVERSIBLE[kind]
+    states = prefixes.select(F.col(prefix).alias("prefix")).dropna().distinct().withColumn("state", after(F.col("prefix")))
+    ids, ends = known.select(F.col(hash_col).cast("bigint").alias("hash")).dropna().distinct(), suffixes.select(F.col(suffix).alias("suffix")).dropna().distinct()
+    pulled = ids.crossJoin(light(held(ends))).withColumn("state", before(F.col("hash"), F.col("suffix")))
+    return pulled.join(states, "state").select(F.col("hash").alias(hash_col), F.col("prefix").alias(prefix), F.col("suffix").alias(suffix))
+
+
 def number_names(spark: SparkSession, form: str, start: int, stop: int, step: int = 1, partitions: int | None = None) -> DataFrame:
     """(name): a printf form filled with each number of a range, made in parallel."""
     return spark.range(start, stop, step, partitions).select(F.format_string(form, "id").alias("name"))
@@ -135,11 +155,9 @@ def number_names(spark: SparkSession, form: str, start: int, stop: int, step: in
 
 def combinations(parts: DataFrame, col: str, k: int, sep: str = "_", repeat: bool = True) -> DataFrame:
     """(name): all names of k parts; without repeat, each part once in a name. The parts are a short list, broadcast after a count."""
-    from .sets import small
-
     out = parts.select(F.col(col).alias("name"), F.array(col).alias("used"))
     for _ in range(k - 1):
-        more = small(parts.select(F.col(col).alias("__p")))
+        more = light(parts.select(F.col(col).alias("__p")))
         out = out.join(more, F.lit(True) if repeat else ~F.array_contains("used", F.col("__p")))
         out = out.select(F.concat("name", F.lit(sep), "__p").alias("name"), F.array_append("used", F.col("__p")).alias("used"))
     return out.select("name")

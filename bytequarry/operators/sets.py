@@ -5,14 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a small side that may be broadcast after they are counted.
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `limit` rows; else as it is, to be shuffled."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
+from .staging import held, light
 
 def duplicate_groups(df: DataFrame, key: Column, id_col: str) -> DataFrame:
     """Rows that share their key with others: id, digest, group_size, first_id. Members meet by their group, never in pairs."""
@@ -42,10 +35,56 @@ def unreferenced(items: DataFrame, references: DataFrame, on: str) -> DataFrame:
     return items.join(references.select(on).distinct(), on, "left_anti")
 
 
+def _print(member: Column) -> list[Column]:
+    """An order-free print of a set: its size, and sums of two hashes of each member in halves that can't overflow."""
+    halves = [x for seed in (11, 12) for x in (F.xxhash64(F.lit(seed), member).bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(F.xxhash64(F.lit(seed), member), 32))]
+    return [F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(halves)]]
+
+
+def set_classes(members: DataFrame, owner: str, member: str) -> DataFrame:
+    """(owner, set_id, n_members) of each owner whose set equals another's: set_id is the least such owner.
+
+    Sets are never gathered: owners meet by a print of their set, made by
+    partial aggregates, and each member of an owner is looked up among those
+    of the least owner with its print. Owners that only seem equal go round
+    again. Null members and owners don't count, and empty sets equal nothing.
+    """
+    rows = held(members.select(F.col(owner).alias("o"), F.col(member).alias("x")).dropna().distinct())
+    prints = rows.groupBy("o").agg(*_print(F.col("x")))
+    same = [c for c in prints.columns if c != "o"]
+    open_, out = held(prints), None
+    while True:
+        groups = held(open_.groupBy(*same).agg(F.min("o").alias("first"), F.count("*").alias("owners")).filter("owners > 1").drop("owners"))
+        if groups.isEmpty():
+            break
+        claimed = held(open_.join(light(groups), same).select("o", "first", "n"))
+        asked = rows.join(claimed, "o")
+        firsts = asked.filter("o = first").select("first", "x")
+        found = asked.join(firsts, ["first", "x"]).groupBy("o", "first", "n").agg(F.count("*").alias("shared"))
+        found = held(found.withColumn("right", F.col("shared") == F.col("n")))
+        # a first one that nothing equals is in no class
+        alone = found.filter("right").groupBy("first").agg(F.count("*").alias("owners")).filter("owners > 1").select("first")
+        right = found.filter("right").join(alone, "first").select("o", F.col("first").alias("set_id"), F.col("n").alias("n_members"))
+        out = right if out is None else out.unionByName(right)
+        left = found.filter("NOT right OR right IS NULL").select("o").unionByName(claimed.select("o").join(found.select("o"), "o", "left_anti"))
+        open_ = held(open_.join(left.distinct(), "o", "left_semi"))
+    empty = rows.limit(0).select("o", F.col("o").alias("set_id"), F.lit(0).cast("long").alias("n_members"))
+    return (empty if out is None else out).withColumnRenamed("o", owner)
+
+
 def equal_sets(members: DataFrame, owner: str, member: str) -> DataFrame:
-    """(set_id, owners, n_members): owners that hold exactly the same set, where several do. Empty sets equal nothing. Pairs are implied by the group."""
-    sets = members.groupBy(owner).agg(F.array_sort(F.collect_set(member)).alias("members"))
-    return sets.groupBy("members").agg(F.count("*").alias("owners"), F.min(owner).alias("set_id")).filter("owners > 1").select("set_id", "owners", F.size("members").cast("long").alias("n_members"))
+    """(set_id, owners, n_members): how many owners hold exactly the same set, where several do. Pairs are implied by the group."""
+    return set_classes(members, owner, member).groupBy("set_id").agg(F.count("*").alias("owners"), F.max("n_members").alias("n_members")).select("set_id", "owners", "n_members")
+
+
+def set_partners(members: DataFrame, owner: str, member: str, name: str) -> DataFrame:
+    """(owner, set_id, n_members, partners): how many owners of another name hold the owner's very set; those with none are left out. name: a column of members, one value for each owner."""
+    names = members.select(owner, F.col(name).alias("__name")).dropna().groupBy(owner).agg(F.min("__name").alias("__name"))
+    named = held(set_classes(members, owner, member).join(names, owner, "left"))
+    whole = named.groupBy("set_id").agg(F.count("*").alias("__all"))
+    alike = named.groupBy("set_id", "__name").agg(F.count("*").alias("__same"))
+    counted = alike.join(whole, "set_id").select(F.col("set_id").alias("__set"), F.col("__name").alias("__alike"), (F.col("__all") - F.col("__same")).alias("partners")).filter("partners > 0")
+    return named.join(counted, (F.col("set_id") == F.col("__set")) & F.col("__name").eqNullSafe(F.col("__alike"))).select(owner, "set_id", "n_members", "partners")
 
 
 def range_count(left: DataFrame, right: DataFrame, value: str, width: int) -> DataFrame:

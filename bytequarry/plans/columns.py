@@ -614,6 +614,21 @@ def weighted_matches(embeddings):
     return similar.weighted_matches(left, right, "vec_id", "block", vector="v", tempo="tempo", loudness="loudness", seconds="seconds", tempo_apart=20, seconds_apart=0.1)
 
 
+@query("lineitem", "customer", sql=f"""
+WITH p AS (SELECT DISTINCT 'Order' || l_orderkey AS prefix FROM lineitem), s AS (SELECT DISTINCT '_' || l_returnflag || l_linestatus AS suffix FROM lineitem),
+i AS (SELECT DISTINCT 'order' || c_custkey * 4 || '_' || CASE c_custkey % 3 WHEN 0 THEN 'no' WHEN 1 THEN 'rf' ELSE 'af' END AS name FROM customer),
+a AS (SELECT prefix, suffix, lower(prefix || suffix) AS name FROM p, s), u AS (SELECT name FROM a UNION SELECT name FROM i),
+r AS (SELECT name, {_JOAAT.format("name", "0")} AS h FROM u), f AS (SELECT name, (h * 9) & 4294967295 AS g FROM r), k AS (SELECT name, (xor(g, g >> 11) * 32769) & 4294967295 AS hash FROM f)
+SELECT k.hash, prefix, suffix FROM a JOIN k USING (name) WHERE k.hash IN (SELECT hash FROM k SEMI JOIN i USING (name))""")
+def names_in_the_middle(lineitem, customer):
+    """Names of two parts whose hash is known: prefixes hashed once, known ids pulled back over each suffix."""
+    prefixes = lineitem.select(F.concat(F.lit("Order"), F.col("l_orderkey").cast("string")).alias("prefix"))
+    suffixes = lineitem.select(F.concat(F.lit("_"), "l_returnflag", "l_linestatus").alias("suffix"))
+    ending = F.when(F.col("c_custkey") % 3 == 0, "no").when(F.col("c_custkey") % 3 == 1, "rf").otherwise("af")
+    known = customer.select(hashx.joaat(F.concat(F.lit("order"), (F.col("c_custkey") * 4).cast("string"), F.lit("_"), ending)).alias("hash"))
+    return names.met_in_the_middle(prefixes, suffixes, known)
+
+
 @query("embeddings", sql="""
 WITH e AS (SELECT vec_id, label, (vec_id % 17) / 16 AS loudness, list_transform(range(8), lambda i: CAST(embedding[i * 8 + 1:i * 8 + 8] AS DOUBLE[])) AS f FROM embeddings),
 p AS (SELECT a.vec_id, b.vec_id AS match_id, 1 / (1 + abs(a.loudness - b.loudness)) AS l,

@@ -71,6 +71,15 @@ def set_equal_groups(lineitem):
     return sets.equal_sets(lineitem, "l_orderkey", "l_suppkey")
 
 
+@query("lineitem", sql="""
+WITH s AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS m, min(l_returnflag) AS name FROM lineitem GROUP BY 1),
+c AS (SELECT *, min(l_orderkey) OVER (PARTITION BY m) AS set_id, count(*) OVER (PARTITION BY m) AS a, count(*) OVER (PARTITION BY m, name) AS b FROM s)
+SELECT l_orderkey, set_id, CAST(len(m) AS BIGINT) AS n_members, a - b AS partners FROM c WHERE a > b""")
+def set_partners(lineitem):
+    """Orders whose very suppliers another order of another name has."""
+    return sets.set_partners(lineitem, "l_orderkey", "l_suppkey", "l_returnflag")
+
+
 @query("documents", "labels", sql="""
 SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), '#?') AS tag FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def left_outer_tags(documents, labels):
