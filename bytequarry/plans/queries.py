@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bytesx, hashx, textx
-from ..operators import aggregates, classify, graph, greedy, manifest, names, nearest, ordered, scans, sets, similar
+from ..operators import aggregates, classify, graph, greedy, manifest, names, nearest, ordered, patterns, scans, sets, similar
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -184,6 +184,20 @@ def nearest_of_all(embeddings):
     return nearest.nearest(embeddings, embeddings, "vec_id", "embedding", cell_rows=256).select("vec_id", "match_id", "score")
 
 
+@query("orders", "customer", sql="""
+WITH n AS (SELECT 'o/' || o_orderkey || '_' || o_orderstatus || '.' || left(o_orderpriority, 1) AS name FROM orders),
+p AS (SELECT DISTINCT CASE c_custkey % 5 WHEN 0 THEN 'o/' || c_custkey || '*' WHEN 1 THEN '*' || c_custkey || '_O.?' WHEN 2 THEN '*' || c_custkey % 100 || '?F*' WHEN 3 THEN 'o/?' || c_custkey || '_*' ELSE repeat('?', c_custkey % 17) || CASE WHEN c_custkey % 2 = 0 THEN '*' ELSE '' END END AS pattern FROM customer)
+SELECT pattern, count(*) AS n_names, min(name) AS first_name FROM p JOIN n ON name GLOB pattern GROUP BY pattern""")
+def many_patterns(orders, customer):
+    """Names of orders that patterns of customers fit, met by the patterns' rarest literals."""
+    listed = orders.select(F.format_string("o/%d_%s.%s", "o_orderkey", "o_orderstatus", F.left("o_orderpriority", F.lit(1))).alias("name"))
+    k = F.col("c_custkey")
+    made = F.when(k % 5 == 0, F.format_string("o/%d*", k)).when(k % 5 == 1, F.format_string("*%d_O.?", k)).when(k % 5 == 2, F.format_string("*%d?F*", k % 100)).when(k % 5 == 3, F.format_string("o/?%d_*", k))
+    made = made.otherwise(F.concat(F.repeat(F.lit("?"), (k % 17).cast("int")), F.when(k % 2 == 0, "*").otherwise("")))
+    found = patterns.hits(listed, customer.select(made.alias("pattern")))
+    return found.groupBy("pattern").agg(F.count("*").alias("n_names"), F.min("name").alias("first_name"))
+
+
 @query("lineitem", sql="""
 WITH p AS (SELECT l_suppkey AS l, l_partkey AS r, max(l_extendedprice) AS s FROM lineitem GROUP BY ALL),
 o AS (SELECT list({'l': l, 'r': r, 's': s} ORDER BY s DESC, l, r) AS x FROM p),

@@ -83,12 +83,11 @@ def head(content: Column, n: int = 0x60) -> Column:
 
 
 def from_list(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """Files that a pattern of a list names; # starts a comment. lines: (line). The list is small and broadcast after a count."""
-    from ..operators.staging import light
+    """Files that a pattern of a list names; # starts a comment. lines: (line). Lists of any length meet the files by their literals (operators.patterns)."""
+    from ..operators.patterns import selected
 
-    patterns = lines.select(F.trim("line").alias("p")).filter("p <> '' AND NOT startswith(p, '#')")
-    regex = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(F.regexp_replace("p", r"([.+^$(){}|\[\]\\])", r"\\$1"), r"\*", ".*"), r"\?", "."), F.lit("$"))
-    return files.join(light(patterns.select(regex.alias("r"))), F.regexp_like(F.substring_index("path", "/", -1), F.col("r")), "left_semi")
+    listed = lines.select(F.trim("line").alias("pattern")).filter("pattern <> '' AND NOT startswith(pattern, '#')")
+    return selected(files.withColumn("__base", F.substring_index("path", "/", -1)), "__base", listed).drop("__base")
 
 
 def in_pieces(files: DataFrame, size: int = 1 << 20) -> DataFrame:
