@@ -527,6 +527,21 @@ def leaves_in_order(region, nation, customer):
     return ordered.numbered(found, ["root"], ["place"], "at").select("root", "leaf", (F.col("at") + 1).cast("bigint").alias("place"))
 
 
+@query("nation", "customer", "orders", sql="""
+WITH a AS (SELECT n_regionkey AS r, n_nationkey AS n FROM nation), b AS (SELECT c_nationkey AS n, c_mktsegment AS s, min(c_custkey) AS i FROM customer GROUP BY ALL),
+c AS (SELECT c_mktsegment AS s, o_orderpriority AS p, min(o_orderkey) AS j FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+f AS (SELECT r, p, min({'n': n, 'i': i, 'j': j}) AS k FROM a JOIN b USING (n) JOIN c USING (s) GROUP BY ALL)
+SELECT 'r' || r AS root, row_number() OVER (PARTITION BY r ORDER BY k) AS place, 'r' || r || ' #' || row_number() OVER (PARTITION BY r ORDER BY k) || ': ' || p AS line FROM f""")
+def ordered_playlist(nation, customer, orders):
+    """Lines of each root's leaves in the order in which a walk first meets them; segments are shared by all nations."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    edges = nation.select(name("r", "n_regionkey").alias("src"), F.col("n_nationkey").cast("long").alias("ordinal"), name("n", "n_nationkey").alias("dst"))
+    edges = edges.unionByName(customer.groupBy(name("n", "c_nationkey").alias("src"), name("s ", "c_mktsegment").alias("dst")).agg(F.min("c_custkey").alias("ordinal")))
+    edges = edges.unionByName(orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(name("s ", "c_mktsegment").alias("src"), name("leaf ", "o_orderpriority").alias("dst")).agg(F.min("o_orderkey").alias("ordinal")))
+    found = graph.first_leaves(nation.select(name("r", "n_regionkey").alias("node")), edges, F.col("dst").startswith("leaf "))
+    return found.select("root", "place", F.concat("root", F.lit(" #"), F.col("place").cast("string"), F.lit(": "), F.substring("leaf", 6, 1000)).alias("line"))
+
+
 @query("nation", "region", sql="""
 WITH own AS (SELECT 'n' || n_nationkey AS node, 'r' || n_regionkey AS base, [n_nationkey % 7, n_nationkey % 3] AS v FROM nation UNION ALL SELECT 'r' || r_regionkey, NULL, [r_regionkey, 100] FROM region),
 j AS (SELECT o.node, coalesce(b.v, []) || o.v AS v FROM own o LEFT JOIN own b ON o.base = b.node)
