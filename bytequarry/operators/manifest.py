@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import held
+
 
 def lines(df: DataFrame, group: list[str], order: str, lines_col: str, per: int) -> DataFrame:
     """One row per line of arrays of at most `per` lines: group, seq (order * per + place), line."""
@@ -39,23 +41,12 @@ def write_text(lines_df: DataFrame, path: str, order: list[str], line: str = "li
 
 
 def write_payloads(df: DataFrame, folder: str, name: str = "name", payload: str = "payload") -> DataFrame:
-    """Write each payload under folder as its name, from the tasks; gives (name, size) of what was written. folder: a URI or a path that all executors share."""
-    import pyarrow as pa
-    import pyarrow.fs
-
-    def run(batches):
-        fs, root = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-        for b in batches:
-            names, data = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for n, d in zip(names, data, strict=True):
-                parts = [x for x in n.split("/") if x not in ("", ".", "..")]
-                path = "/".join([root, *parts])
-                fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                with fs.open_output_stream(path) as f:
-                    f.write(d or b"")
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([len(d or b"") for d in data], pa.int64())], names=["name", "size"])
-
-    return df.select(name, payload).mapInArrow(run, "name string, size long")
+    """Write each payload under folder as its name, all or nothing (sources.ranges.KeyedSink); gives (name, size) of what was written. folder: a URI or a path that all executors share."""
+    from ..sources.ranges import write_keyed
+
+    rows = held(df.select(F.col(name).alias("name"), F.col(payload).alias("payload")))
+    write_keyed(rows, folder)
+    return rows.groupBy("name").agg(F.sum(F.coalesce(F.octet_length("payload"), F.lit(0))).cast("long").alias("size"))
 
 
 def moves(df: DataFrame, src: Column, dst: Column) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import bytesx, codecs
 from ..operators import demux, manifest, timing
 from ..operators.staging import shared_dir
-from ..sources import archives, blobs, chunks, records, repair, toc, utf_table
+from ..sources import archives, blobs, chunks, ranges, records, repair, toc, utf_table
 from . import samples
 from .queries import query
 
@@ -358,6 +358,32 @@ def scanned_files(nation, region):
     return rows.select(F.replace(own, F.lit("%20"), F.lit(" ")).alias("path"), "size", "head", "pieces", "digest")
 
 
+@query("documents", sql="""
+WITH s AS (SELECT source || '.txt' AS file, string_agg(text || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY source),
+n AS (SELECT * FROM (VALUES (0, ' the '), (1, 'tion'), (2, 'é'), (3, chr(10))) v(needle, w))
+SELECT file, needle, CAST((length(t) - length(replace(t, w, ''))) / length(w) AS BIGINT) AS places, CAST(octet_length(encode(t)) AS BIGINT) AS bytes FROM s, n WHERE contains(t, w)""")
+def needles_over_seams(documents):
+    """Documents appended to a file for each source, read back in blocks of 4 KiB; needles are found across seams as well."""
+    folder, spark = _folder(documents, "blocks"), documents.sparkSession
+    rows = documents.select(F.concat("source", F.lit(".txt")).alias("name"), "doc_id", F.concat("text", F.lit("\n")).alias("payload"))
+    ranges.write_keyed(rows, folder, order=["doc_id"])
+    read = ranges.blocks(spark, folder, 4096, 16)
+    sizes = read.groupBy("path").agg(F.sum(F.octet_length("content")).alias("bytes"))
+    found = ranges.needle_places(read, [x.encode() for x in (" the ", "tion", "é", "\n")]).groupBy("path", "needle").agg(F.count("*").alias("places"))
+    return found.join(sizes, "path").select(F.substring_index("path", "/", -1).alias("file"), "needle", "places", "bytes")
+
+
+@query("part", sql="""
+SELECT lower(replace(p_brand, '#', '_')) || '.arc' AS file, 'p' || p_partkey AS name, octet_length(encode(p_name || p_type)) AS size, md5(p_name || p_type) AS digest FROM part WHERE 'p' || p_partkey LIKE 'p1%'""")
+def members_by_range(part):
+    """Archives of one brand each; the filter on names reaches the source, which reads directories and the ranges of what it keeps."""
+    folder, spark = _folder(part, "archives"), part.sparkSession
+    rows = part.select(F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit(".arc")).alias("path"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), F.encode(F.concat("p_name", "p_type"), "UTF-8").alias("payload"))
+    ranges.write_keyed(toc.packed(rows, "path", "name", "payload"), folder, "path", "content")
+    kept = ranges.members(spark, folder, "flat").filter(F.col("name").startswith("p1"))
+    return kept.select(F.substring_index("path", "/", -1).alias("file"), "name", F.col("size").cast("int").alias("size"), F.md5("payload").alias("digest"))
+
+
 @query("nation", sql="""
 SELECT 'bom' AS kind, n_nationkey AS seq, CASE WHEN n_nationkey = (SELECT min(n_nationkey) FROM nation) THEN chr(65279) ELSE '' END || n_name || 'é' AS line FROM nation UNION ALL SELECT 'crlf', n_nationkey, n_name || chr(13) FROM nation""")
 def text_manifests(nation):
