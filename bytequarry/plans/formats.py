@@ -360,7 +360,7 @@ def scanned_files(nation, region):
 
 @query("documents", sql="""
 WITH s AS (SELECT source || '.txt' AS file, string_agg(text || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY source),
-n AS (SELECT * FROM (VALUES (0, ' the '), (1, 'tion'), (2, 'é'), (3, chr(10))) v(needle, w))
+n AS (SELECT * FROM (VALUES (0, ' the'), (1, 'tion'), (2, 'é'), (3, chr(10))) v(needle, w))
 SELECT file, needle, CAST((length(t) - length(replace(t, w, ''))) / length(w) AS BIGINT) AS places, CAST(octet_length(encode(t)) AS BIGINT) AS bytes FROM s, n WHERE contains(t, w)""")
 def needles_over_seams(documents):
     """Documents appended to a file for each source, read back in blocks of 4 KiB; needles are found across seams as well."""
@@ -369,7 +369,7 @@ def needles_over_seams(documents):
     ranges.write_keyed(rows, folder, order=["doc_id"])
     read = ranges.blocks(spark, folder, 4096, 16)
     sizes = read.groupBy("path").agg(F.sum(F.octet_length("content")).alias("bytes"))
-    found = ranges.needle_places(read, [x.encode() for x in (" the ", "tion", "é", "\n")]).groupBy("path", "needle").agg(F.count("*").alias("places"))
+    found = ranges.needle_places(read, [x.encode() for x in (" the", "tion", "é", "\n")]).groupBy("path", "needle").agg(F.count("*").alias("places"))
     return found.join(sizes, "path").select(F.substring_index("path", "/", -1).alias("file"), "needle", "places", "bytes")
 
 
