@@ -6,10 +6,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.dataset as ds
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bytes that a broadcast table may take in an executor's memory, by row_bytes(); a larger one joins by shuffle.
 BROADCAST_BYTES = 16 << 20
@@ -83,9 +89,47 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: s
     return dealt.join(told, [key, "__deal"], how).drop("__deal")
 
 
-def without_keys(df: DataFrame, keys: DataFrame, col: str) -> DataFrame:
-    """Rows of df whose `col` is not in the staged one-column table keys, which df has once each; broadcast where they fit."""
-    return df.join(F.broadcast(keys) if fits(keys) else keys, col, "left_anti")
+def marked(held: DataFrame, marks: DataFrame, how: str = "left") -> DataFrame:
+    """Rows of a staged, numbered table (uid and others) with what the staged table marks (uid once each, and plain columns) says of them; left_semi and left_anti keep those with or without a mark. No row of held is shuffled.
+
+    Marks are broadcast where they fit. Else they are written by the task that
+    numbered their rows (the high bits of uid), and each task reads the marks
+    of the rows that it holds, which are at most as many as those.
+    """
+    more = [f for f in marks.schema if f.name != "uid"]
+    if fits(marks):
+        return held.join(F.broadcast(marks), "uid", how)
+    place = fresh_path(held.sparkSession, "marks")
+    marks.withColumn("part", F.shiftright("uid", 33)).repartition("part").sortWithinPartitions("part", "uid").write.partitionBy("part").parquet(place)
+    schema = T.StructType([*held.schema, *(T.StructField(f.name, f.dataType) for f in more if how == "left")])
+    return held.mapInArrow(_beside(place, {f.name: to_arrow_type(f.dataType) for f in more}, how), schema)
+
+
+def _beside(place: str, names: dict[str, pa.DataType], how: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(place)
+        known, table, uids = None, None, np.zeros(0, np.int64)
+        for b in batches:
+            uid = b.column(b.schema.get_field_index("uid")).to_numpy()
+            cuts = np.flatnonzero(np.diff(uid >> 33, prepend=-1))
+            for i, j in zip(cuts, [*cuts[1:], len(uid)], strict=True):
+                if (part := int(uid[i] >> 33)) != known:
+                    known, folder = part, f"{root}/part={part}"
+                    there = fs.get_file_info(folder).type == pafs.FileType.Directory
+                    table = ds.dataset(folder, filesystem=fs, format="parquet").to_table(columns=["uid", *names]).sort_by("uid") if there else None
+                    uids = table.column("uid").to_numpy() if there else np.zeros(0, np.int64)
+                rows, at = b.slice(i, j - i), np.searchsorted(uids, uid[i:j])
+                hit = (at < len(uids)) & (uids[np.minimum(at, len(uids) - 1)] == uid[i:j]) if len(uids) else np.zeros(j - i, bool)
+                if how != "left":
+                    rows = rows.filter(pa.array(hit if how == "left_semi" else ~hit))
+                    if rows.num_rows:
+                        yield rows
+                    continue
+                take = pa.array(np.where(hit, at, 0), pa.int64(), mask=~hit)
+                extra = [table.column(n).combine_chunks().cast(kind).take(take) if table is not None else pa.nulls(j - i, kind) for n, kind in names.items()]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *extra], names=[*rows.schema.names, *names])
+
+    return run
 
 
 def text_of(col: str):

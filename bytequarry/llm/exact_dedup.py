@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, numbered, spread_join, staged, text_of, without_keys
+from .common import column_of, fits, marked, numbered, spread_join, staged, text_of
 
 #: Bits of a fingerprint. N rows give about N * N / 2**49 false suspects, which the byte check clears.
 FINGERPRINT_BITS = 48
@@ -122,15 +122,17 @@ def suspects(fingerprints: DataFrame, rows: int, bits: int = FINGERPRINT_BITS) -
     return staged(told.groupBy("fp").agg(F.count("*").alias("n")), "suspect-fingerprints")
 
 
-def _judged(texts: DataFrame) -> DataFrame:
-    """(uid, doc_id, keep_id, group_size, kept, text_sha256) of (uid, doc_id, text). Only its own staged table is read for uid, so texts may number its rows anew each time."""
+def _judged(texts: DataFrame, held: bool = False) -> DataFrame:
+    """(uid, doc_id, keep_id, group_size, kept, text_sha256) of (uid, doc_id, text). Only its own staged table is read for uid, so texts may number its rows anew each time, unless they are held: staged with their numbers."""
     sha = F.sha2("text", 256)
     fp = F.conv(F.substring("sha", 1, FINGERPRINT_BITS // 4), 16, 10).cast("long")
     rows = staged(texts.select("doc_id", F.unhex(sha).alias("sha"), "uid"), "text-hashes")
     listed = rows.select(fp_of_binary("sha").alias("fp"))
     suspect = suspects(listed, rows.count())
 
-    shuffled = spread_join(texts.select("doc_id", "text", sha.alias("sha")).withColumn("fp", fp).drop("sha"), suspect, "fp", "doc_id", "left_semi", least=LISTS)
+    shuffled = _suspect_texts(texts, rows, suspect, held).select("doc_id", "text", sha.alias("sha")).withColumn("fp", fp).drop("sha")
+    if not held:
+        shuffled = shuffled.join(F.broadcast(suspect), "fp", "left_semi") if fits(suspect) else shuffled
     groups = shuffled.groupBy("fp", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1")
     groups = groups.select(F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "n")
     # one text for each digest; two would mean a SHA-256 collision
@@ -151,6 +153,17 @@ def _judged(texts: DataFrame) -> DataFrame:
     )
 
 
+def _suspect_texts(texts: DataFrame, rows: DataFrame, suspect: DataFrame, held: bool) -> DataFrame:
+    """The texts whose fingerprint is suspect. Where the suspects fit a broadcast, texts that aren't held come whole, to be filtered by it; else suspects are told to the tasks by row number, and the other texts stay where they are."""
+    if fits(suspect) and not held:
+        return texts
+    if not held:
+        texts = staged(texts, "held-texts")
+        rows = staged(texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), "uid"), "held-hashes")
+    listed = rows.select("uid", fp_of_binary("sha").alias("fp"))
+    return marked(texts, staged(spread_join(listed, suspect, "fp", "uid", "left_semi", least=LISTS).select("uid"), "suspect-rows"), "left_semi")
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256.
 
@@ -172,10 +185,11 @@ def fp_of_binary(col: str):
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_duplicates drops, with their own columns.
 
-    The rows are numbered in a staged copy; the dropped ones' numbers are
-    broadcast where they fit, so no text is shuffled for it.
+    The rows are numbered in a staged copy, and each task learns the numbers
+    of those to drop, so no text that is no suspect is shuffled. A null text
+    is an empty one; an empty table gives an empty one with its columns.
     """
     held = numbered(docs, "numbered-documents")
     texts = held.select("uid", column_of("row", id_col).alias("doc_id"), F.coalesce(column_of("row", text_col).cast("string"), F.lit("")).alias("text"))
-    gone = staged(_judged(texts).filter(~F.col("kept")).select("uid"), "dropped")
-    return without_keys(held, gone, "uid").select("row.*")
+    gone = staged(_judged(texts, held=True).filter(~F.col("kept")).select("uid"), "dropped")
+    return marked(held, gone, "left_anti").select("row.*")

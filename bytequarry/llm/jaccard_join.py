@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, numbered, spread_join, staged, text_of, without_keys
+from .common import column_of, fits, marked, numbered, spread_join, staged, text_of
 from .components import components
 from .wordhash import _ranges, blocks, mix, ngram_hashes, words
 
@@ -340,7 +340,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = staged(dealt.mapInArrow(_candidates(threshold), "bucket long, uid long").distinct(), "candidates")
 
     wanted = staged(known.join(found.select("uid").distinct(), "uid", "left_semi").select("tid", "mult"), "candidate-texts")
-    whole = spread_join(raw.select("doc_id", sha.alias("tid"), lower.alias("text")), wanted, "tid", "doc_id", "left_semi", "mult").groupBy("tid").agg(F.first("text").alias("text"))
+    whole = _wanted_texts(raw, wanted, sha).select("tid", lower.alias("text")).groupBy("tid").agg(F.first("text").alias("text"))
     whole = staged(known.join(whole, "tid").drop("tid"), "candidate-sets")
     verified = staged(_in_blocks(_sized(found, "candidate").join(whole, "uid"), bucket).mapInArrow(_verify(threshold), "uid long, links long, to long"), "links")
 
@@ -355,11 +355,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return some.unionByName(none)
 
 
+def _wanted_texts(raw: DataFrame, wanted: DataFrame, sha: Column) -> DataFrame:
+    """(tid, text) of the texts wanted. Where they don't fit a broadcast, a staged copy is numbered, one row of each text is chosen by its number, and only that moves."""
+    if fits(wanted):
+        return raw.select(sha.alias("tid"), "text").join(F.broadcast(wanted), "tid", "left_semi")
+    copy = staged(raw.select(F.monotonically_increasing_id().alias("uid"), "text"), "held-texts")
+    named = copy.select("uid", sha.alias("tid"))
+    firsts = spread_join(named, wanted, "tid", "uid", "left_semi", "mult").groupBy("tid").agg(F.min("uid").alias("uid"))
+    return marked(copy, staged(firsts.select("uid", "tid"), "wanted-rows")).filter("tid IS NOT NULL").select("tid", "text")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with their own columns, of each class only the row with the least id.
 
     Of rows that repeat the least id one stays; a null id is larger than any
-    other. The rows are numbered in a staged copy, so names of docs' columns
+    other. Null, empty and wordless texts are near no other and stay; an empty
+    table gives an empty one. The rows are numbered in a staged copy, so names of docs' columns
     can't clash with any.
     """
     held = numbered(docs, "numbered-documents")
@@ -367,4 +378,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = held.select("uid", column_of("row", id_col).alias("id")).join(classed.filter("n_links > 0").select(F.col("doc_id").alias("uid"), "class_id"), "uid")
     rows = staged(rows, "near-duplicates")
     stays = rows.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("uid"))).alias("first")).select(F.col("first.uid").alias("uid"))
-    return without_keys(held, staged(rows.select("uid").join(stays, "uid", "left_anti"), "near-duplicates-gone"), "uid").select("row.*")
+    return marked(held, staged(rows.select("uid").join(stays, "uid", "left_anti"), "near-duplicates-gone"), "left_anti").select("row.*")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import spread_join, staged, text_of
+from .common import column_of, marked, numbered, spread_join, staged, text_of
 from .html_blocks import leaf_blocks
 from .wordhash import blocks
 
@@ -237,9 +237,13 @@ def _fused(docs: DataFrame, model: tuple[list[str], np.ndarray], row: list[Colum
 def drop_unknown(docs: DataFrame, model: tuple[list[str], np.ndarray], **columns: str) -> DataFrame:
     """docs with their own columns, less the rows that identify() does not keep.
 
-    A row goes through scoring and fusion as a struct beside its evidence, so
-    it is judged where it stands; names of its columns can't clash with any.
+    The rows are numbered in a staged copy; their evidence is fused apart from
+    them, and each task learns the numbers of those to drop. Texts without a
+    word of letters, null ones too, go; an empty table gives an empty one.
     """
     named = {"declared_col": "lang", "address_col": "source", "text_col": "text"} | columns
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return _fused(docs, model, [row], **named).filter("kept").select("row.*")
+    held = numbered(docs, "numbered-documents")
+    texts = held.select(F.col("uid").alias("number"), *[column_of("row", c).alias(k) for k, c in named.items()])
+    judged = _fused(texts, model, [F.col("number").alias("row")], **{k: k for k in named})
+    gone = staged(judged.filter("NOT kept").select(F.col("row").alias("uid")), "unknown-languages")
+    return marked(held, gone, "left_anti").select("row.*")

@@ -21,6 +21,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import nullcontext
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from typing import BinaryIO
@@ -31,7 +32,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, spread_join, staged, text_of
+from .common import fits, fresh_path, marked, spread_join, staged, text_of
 
 #: Payloads shorter than this are always written in full.
 REVISIT_FROM = 100
@@ -115,12 +116,23 @@ class ZipDirectory:
         """Where a stored member's bytes begin."""
         if m.method:
             raise ValueError(f"{m.name} is not stored")
+        return self._begin(m)
+
+    def _begin(self, m: Member) -> int:
         self.f.seek(m.header)
         head = self.f.read(30)
         if head[:4] != b"PK\x03\x04":
             raise ValueError("bad local header")
         return m.header + 30 + sum(struct.unpack_from("<HH", head, 26))
 
+    def content(self, m: Member) -> bytes:
+        """A member's bytes, stored or deflated."""
+        self.f.seek(self._begin(m))
+        data = self.f.read(m.packed)
+        if m.method not in (0, 8):
+            raise ValueError(f"{m.name} is packed by method {m.method}")
+        return zlib.decompress(data, -15) if m.method else data
+
     def read(self, m: Member) -> bytes:
         self.f.seek(self.start(m))
         return self.f.read(m.size)
@@ -193,21 +205,33 @@ def index_line(url: str, uri: str, digest: str, offset: int, length: int, filena
     return f"{sort_key(url)} {DATE.translate(str.maketrans('', '', '-:TZ'))} {json.dumps(said)}"
 
 
-def index_spans(data: bytes) -> Iterator[tuple[str, int, int]]:
-    """(file name, offset, length) of the lines of an index, packed by gzip or not: CDXJ (key, time, JSON; the time may lack), or CDX, whose first line names its fields by letters."""
+def index_spans(data: bytes) -> list[tuple[str, int, int] | str]:
+    """(file name, offset, length) of the lines of an index, packed by gzip or not: CDXJ (key, time, JSON; the time may lack), or CDX, whose first line names its fields by letters. A line that doesn't say them gives what is wrong with it."""
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
     fields: list[bytes] = []
-    for line in data.splitlines():
-        if line.lstrip().startswith(b"CDX "):
-            fields = line.split()[1:]
-        elif fields and line.strip():
-            x = dict(zip(fields, line.split(), strict=False))
-            yield x[b"g"].decode(), int(x[b"V"]), int(x[b"S"])
-        elif line.strip() and not line.startswith(b"!"):
-            parts = line.split(b" ", 2)
-            said = json.loads(parts[2] if len(parts) == 3 and parts[1].isdigit() else line.partition(b" ")[2])
-            yield said["filename"], int(said["offset"]), int(said["length"])
+    out: list[tuple[str, int, int] | str] = []
+    for number, line in enumerate(data.splitlines(), 1):
+        try:
+            if line.lstrip().startswith(b"CDX "):
+                fields = line.split()[1:]
+            elif fields and line.strip():
+                x = dict(zip(fields, line.split(), strict=False))
+                out.append(_span(x[b"g"].decode(), x[b"V"], x[b"S"]))
+            elif line.strip() and not line.startswith(b"!"):
+                parts = line.split(b" ", 2)
+                said = json.loads(parts[2] if len(parts) == 3 and parts[1].isdigit() else line.partition(b" ")[2])
+                out.append(_span(said["filename"], said["offset"], said["length"]))
+        except (ValueError, KeyError, TypeError, AttributeError) as e:
+            out.append(f"line {number}: {type(e).__name__} {e}")
+    return out
+
+
+def _span(name: str, offset: bytes | str | int, length: bytes | str | int) -> tuple[str, int, int]:
+    found = name.rpartition("/")[2], int(offset), int(length)
+    if found[1] < 0 or found[2] <= 0:
+        raise ValueError("a place out of the archive")
+    return found
 
 
 def write_record(kind: str, uri: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
@@ -306,7 +330,14 @@ def write_packages(pages: DataFrame, folder: str, wide: bool = False, id_col: st
     html, url = text_of(html_col), text_of(url_col)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("size"))
     firsts = rows.select("digest", "size", "page_id").filter(f"size >= {REVISIT_FROM}").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    told = spread_join(rows, staged(firsts, "first-payloads"), "digest", "page_id", "left").withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).select("page_id", "url", "html", "digest", "refers_to")
+    firsts = staged(firsts, "first-payloads")
+    revisits = F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to")
+    if fits(firsts):
+        told = rows.join(F.broadcast(firsts), "digest", "left").select("page_id", "url", "html", "digest", revisits)
+    else:  # digests move, and what they say goes back to the rows by their numbers
+        copy = staged(rows.withColumn("uid", F.monotonically_increasing_id()), "held-pages")
+        said = spread_join(copy.select("uid", "page_id", "digest"), firsts, "digest", "uid").select("uid", revisits).filter("refers_to IS NOT NULL")
+        told = marked(copy, staged(said, "revisits")).select("page_id", "url", "html", "digest", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         package, done = None, []
@@ -327,18 +358,53 @@ def write_packages(pages: DataFrame, folder: str, wide: bool = False, id_col: st
 
 
 def _plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per package: where its archive begins and the ranges its index names, in rows of RECORDS_A_READ."""
+    """Per package: where its archives begin and the ranges its indexes name, in rows of RECORDS_A_READ; what is unsound gives a row with its error."""
+
+    def row(uri: str, spans: list[tuple[int, int]], error: str | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([[s for s, _ in spans]], pa.list_(pa.int64())), pa.array([[n for _, n in spans]], pa.list_(pa.int64())), pa.array([error], pa.string())], names=["package", "starts", "lengths", "error"])
+
     for b in batches:
         for uri in b.column(0).to_pylist():
-            fs, path = _opener(uri)
-            with fs.open_input_file(path) as f:
-                z = ZipDirectory(f)
-                starts = {n.rpartition("/")[2]: z.start(m) for n, m in z.members.items() if n.startswith("archive/")}
-                lines = [x for n, m in z.members.items() if n.startswith("indexes/") and n.endswith(INDEXES) for x in index_spans(z.read(m))]
-            spans = [(starts[name.rpartition("/")[2]] + offset, n) for name, offset, n in lines]
+            try:
+                fs, path = _opener(uri)
+                with fs.open_input_file(path) as f:
+                    spans, errors = package_spans(f)
+            except (OSError, ValueError, struct.error, KeyError, IndexError, StopIteration, pa.ArrowException) as e:
+                spans, errors = [], [f"package: {e or type(e).__name__}"]
             for i in range(0, len(spans), RECORDS_A_READ):
-                part = spans[i : i + RECORDS_A_READ]
-                yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([[s for s, _ in part]], pa.list_(pa.int64())), pa.array([[n for _, n in part]], pa.list_(pa.int64()))], names=["package", "starts", "lengths"])
+                yield row(uri, spans[i : i + RECORDS_A_READ])
+            for e in errors:
+                yield row(uri, [], e)
+
+
+def package_spans(f: BinaryIO) -> tuple[list[tuple[int, int]], list[str]]:
+    """(place in the package, length) of each record that its indexes name, and what is unsound in them: an index that can't be read, a line without a place, an archive that isn't there or isn't stored."""
+    z, starts, spans, errors = ZipDirectory(f), {}, [], []
+    for name, m in z.members.items():
+        if name.startswith("archive/"):
+            try:
+                starts[name.rpartition("/")[2]] = z.start(m), m.size
+            except (ValueError, struct.error) as e:
+                errors.append(f"{name}: {e}")
+    for name, m in z.members.items():
+        if not (name.startswith("indexes/") and name.endswith(INDEXES)):
+            continue
+        try:
+            data = z.content(m)
+            lines = index_spans(data)
+        except (ValueError, OSError, EOFError, struct.error, zlib.error) as e:
+            errors.append(f"{name}: {e or type(e).__name__}")
+            continue
+        for said in lines:
+            if isinstance(said, str):
+                errors.append(f"{name}: {said}")
+            elif said[0] not in starts:
+                errors.append(f"{name}: no archive {said[0]}")
+            elif said[1] + said[2] > starts[said[0]][1]:
+                errors.append(f"{name}: a place beyond the end of {said[0]}")
+            else:
+                spans.append((starts[said[0]][0] + said[1], said[2]))
+    return spans, errors
 
 
 def _unpacked(data: bytes) -> dict:
@@ -351,11 +417,11 @@ def _unpacked(data: bytes) -> dict:
 def _fetch(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for uri, starts, lengths in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for uri, starts, lengths, error in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 fs, path = _opener(uri)
-                with fs.open_input_file(path) as f:
-                    for i in range(0, len(starts), 100):
-                        found = []
+                with nullcontext() if error else fs.open_input_file(path) as f:
+                    for i in range(0, max(len(starts), 1), 100):
+                        found = [read_record(b"") | {"error": error}] if error else []
                         for at, n in zip(starts[i : i + 100], lengths[i : i + 100], strict=True):
                             f.seek(at)
                             found.append(_unpacked(f.read(n)))
@@ -375,9 +441,11 @@ def read_packages(packages: DataFrame, with_payload: bool = False) -> DataFrame:
     A response's digest is taken from its payload and held against its header;
     a revisit's digest and length are those its headers give. page_id and
     refers_to are null for ids that write_packages did not make. An unsound
-    record gives a row with `error`.
+    record gives a row with `error`, and so does a file that is no package, an
+    index that can't be read, an index line without a place, or one that names
+    an archive that is absent or packed; the other records are read.
     """
-    spans = packages.select("package").mapInArrow(_plan, "package string, starts array<long>, lengths array<long>").repartition(packages.sparkSession.sparkContext.defaultParallelism)
+    spans = packages.select("package").mapInArrow(_plan, "package string, starts array<long>, lengths array<long>, error string").repartition(packages.sparkSession.sparkContext.defaultParallelism)
     more = ", payload binary" if with_payload else ""
     return spans.mapInArrow(_fetch(with_payload), f"page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, error string{more}")
 

@@ -56,6 +56,39 @@ def test_archive_by_shuffle(spark, by_shuffle):
     assert all(r.error is None for r in got)
 
 
+@pytest.mark.parametrize("how", ["left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("most", [0, 1 << 24])
+def test_marks_reach_rows_where_they_stand(spark, monkeypatch, how, most):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+    held = common.numbered(spark.range(0, 200, 1, 5).select("id", F.create_map(F.lit("k"), F.col("id")).alias("m"), F.array("id").alias("uid")), "rows")
+    marks = common.staged(held.filter("row.id % 3 = 0 AND row.id < 160").select("uid", (F.col("row.id") * 2).alias("twice"), F.lit("x").alias("s")), "marks")
+    got = common.marked(held, marks, how)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    want = {i: (i * 2, "x") if i % 3 == 0 and i < 160 else (None, None) for i in range(200)}
+    if how == "left":
+        assert {r.row.id: (r.twice, r.s) for r in got.collect()} == want
+    else:
+        assert sorted(r.row.id for r in got.collect()) == [i for i, v in want.items() if (v[0] is not None) == (how == "left_semi")]
+        assert got.columns == held.columns
+
+
+def test_only_suspects_move(spark, docs, by_shuffle, monkeypatch):
+    """Beyond a broadcast: texts that are asked for a byte check, and those alone, are given to the exchange."""
+    seen = []
+    real = exact_dedup._suspect_texts
+    monkeypatch.setattr(exact_dedup, "_suspect_texts", lambda *a: seen.append(real(*a)) or seen[-1])
+    exact_dedup.exact_duplicates(docs).collect()
+    texts = Counter(r.text or "" for r in docs.collect())
+    assert Counter(r.text for r in seen[0].collect()) == Counter({t: n for t, n in texts.items() if n > 1})
+    assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+    wanted = []
+    real_wanted = jaccard_join._wanted_texts
+    monkeypatch.setattr(jaccard_join, "_wanted_texts", lambda *a: wanted.append(real_wanted(*a)) or wanted[-1])
+    jaccard_join.near_duplicates(docs).collect()
+    assert "Exchange" not in wanted[0]._jdf.queryExecution().executedPlan().toString()
+    assert wanted[0].count() < docs.count() / 2
+
+
 @pytest.fixture
 def moving(spark):
     """Rows that every plan may deal anew, with columns whose names the operators use inside."""

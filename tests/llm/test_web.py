@@ -373,3 +373,30 @@ def test_transcript_edges(spark):
     empty = lines_of(spark, rows)
     empty = transcripts.in_order(transcripts.observed(spark.createDataFrame(rows, CONV).limit(0)))
     assert transcripts.recover(empty, transcripts.fit(empty)).count() == 0 and transcripts.written(spark.createDataFrame(rows, CONV)).count() == len(rows)
+
+
+def test_unsound_packages_give_rows(spark, tmp_path):
+    """A file that is no package, indexes that can't be read, lines without a place, archives that are absent: each a row, and the sound records as well."""
+    record = warc_zip.write_record("response", "urn:uuid:1", "http://h/", b"hello", warc_zip.hashlib.sha256(b"hello").hexdigest(), None)
+    line = lambda name, offset, length: f'h)/ 2020 {{"filename": "{name}", "offset": {offset}, "length": {length}}}\n'.encode()
+    good = line("a.warc", 0, len(record))
+
+    def package(name, members, kind=zipfile.ZIP_STORED):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            for n, data in members:
+                z.writestr(zipfile.ZipInfo(n), data, kind if n.startswith("indexes") else zipfile.ZIP_STORED)
+
+    (tmp_path / "none.wacz").write_bytes(b"not a package")
+    (tmp_path / "empty.wacz").write_bytes(b"")
+    package("deflated.wacz", [("archive/a.warc", record), ("indexes/i.cdxj", good)], zipfile.ZIP_DEFLATED)
+    package("bzip.wacz", [("archive/a.warc", record), ("indexes/i.cdxj", good)], zipfile.ZIP_BZIP2)
+    package("absent.wacz", [("archive/a.warc", record), ("indexes/i.cdxj", line("b.warc", 0, 9) + good)])
+    package("far.wacz", [("archive/a.warc", record), ("indexes/i.cdxj", line("a.warc", 0, 10**9) + line("a.warc", -1, 5) + good)])
+    package("letters.wacz", [("archive/a.warc", record), ("indexes/i.cdx", b" CDX N b a\ncom,h)/ 2020 http://h/\n"), ("indexes/j.cdxj", b"h)/ 2020 {bad\nh)/ 2020 [1]\n" + good)])
+    package("gz.wacz", [("archive/a.warc", record), ("indexes/i.cdx.gz", b"\x1f\x8bnothing"), ("indexes/j.cdxj", good)])
+    uris = [f"file://{p}" for p in tmp_path.glob("*.wacz")] + [f"file://{tmp_path}/missing.wacz"]
+    rows = warc_zip.read_packages(spark.createDataFrame([(u,) for u in uris], "package string"), with_payload=True).collect()
+    assert [bytes(r.payload) for r in rows if r.error is None] == [b"hello"] * 5
+    said = sorted(r.error for r in rows if r.error)
+    assert len(said) == 1 + 1 + 1 + 1 + 1 + 2 + 3 + (1 if "indexes/i.cdx.gz".endswith(warc_zip.INDEXES) else 0)
+    assert sum(e.startswith("package: ") for e in said) == 3
