@@ -93,26 +93,6 @@ def xor_feedback(data: Column, state: int) -> Column:
     return _mapped(lambda x: feedback_xor(x, state))(data)
 
 
-def video_masks(key: int) -> tuple[bytes, bytes, bytes]:
-    """(two masks of video, one of audio), 32 bytes each, of a caller's 56-bit key."""
-    k = [key >> 8 * i & 255 for i in range(8)]
-    m = [0] * 32
-    # Fixed rules of the format: each place from the key's bytes and earlier places; a pair is (how, operands).
-    m[0:7] = [k[0], k[1], k[2], k[3] - 0x34, k[4] + 0xF9, k[5] ^ 0x13, k[6] + 0x61]
-    rules = [
-        (7, "^", 0, None, 0xFF), (8, "+", 2, 1, 0), (9, "-", 1, 7, 0), (10, "^", 2, None, 0xFF), (11, "^", 1, None, 0xFF), (12, "+", 11, 9, 0), (13, "-", 8, 3, 0), (14, "^", 13, None, 0xFF),
-        (15, "-", 10, 11, 0), (16, "-", 8, 15, 0), (17, "^", 16, 7, 0), (18, "^", 15, None, 0xFF), (19, "^", 3, None, 0x10), (20, "-", 4, None, 0x32), (21, "+", 5, None, 0xED), (22, "^", 6, None, 0xF3),
-        (23, "-", 19, 15, 0), (24, "+", 21, 7, 0), (25, "~", 19, None, 0x21), (26, "^", 20, 23, 0), (27, "+", 22, 22, 0), (28, "+", 23, None, 0x44), (29, "+", 3, 4, 0), (30, "-", 5, 22, 0), (31, "^", 29, 19, 0),
-    ]
-    m = [x & 255 for x in m]
-    for to, how, a, b, c in rules:
-        other = c if b is None else m[b]
-        m[to] = {"^": m[a] ^ other, "+": m[a] + other, "-": m[a] - other, "~": other - m[a]}[how] & 255
-    first = bytes(m)
-    second = bytes(x ^ 0xFF for x in m)
-    return first, second, bytes(b"URUC"[i >> 1 & 3] if i & 1 else m[i] ^ 0xFF for i in range(32))
-
-
 def video_unmasked(data: bytes, masks: tuple[bytes, bytes, bytes], plain: bool = False) -> bytes:
     """A video payload whose bytes from 0x40 on are masked, the first 0x100 of these by what follows them; shorter ones are as they are. plain: mask it instead."""
     if len(data) - 0x40 < 0x200:
@@ -155,9 +135,8 @@ def audio_unmasked(data: bytes, masks: tuple[bytes, bytes, bytes]) -> bytes:
     return out.tobytes()
 
 
-def unmask_stream(data: Column, kind: Column, key: int) -> Column:
-    """Payloads of @SFV and @SFA chunks without their masks; others as they are."""
-    masks = video_masks(key)
+def unmask_stream(data: Column, kind: Column, masks: tuple[bytes, bytes, bytes]) -> Column:
+    """Payloads of @SFV and @SFA chunks without their masks; others as they are. masks: two of video and one of audio, 32 bytes each, which the caller has."""
 
     @F.pandas_udf("binary")
     def run(blobs: pd.Series, kinds: pd.Series) -> pd.Series:
@@ -393,7 +372,7 @@ def first_difference(kind: str = "exact", tolerance: float = 0):
 
 def ima_adpcm(data: bytes, predictor: int = 0, index: int = 0) -> np.ndarray:
     """4-bit IMA ADPCM (low nibble first) to signed 16-bit samples. Steps follow the standard's rule: each about 1.1 times the one before."""
-    steps = _ima_steps()
+    steps = _IMA
     out = np.zeros(2 * len(data), np.int16)
     for i in range(2 * len(data)):
         code = data[i >> 1] >> 4 * (i & 1) & 15
@@ -409,11 +388,12 @@ def ima_adpcm(data: bytes, predictor: int = 0, index: int = 0) -> np.ndarray:
 
 
 # Fixed values of the IMA ADPCM standard.
-_IMA = "7 8 9 10 11 12 13 14 16 17 19 21 23 25 28 31 34 37 41 45 50 55 60 66 73 80 88 97 107 118 130 143 157 173 190 209 230 253 279 307 337 371 408 449 494 544 598 658 724 796 876 963 1060 1166 1282 1411 1552 1707 1878 2066 2272 2499 2749 3024 3327 3660 4026 4428 4871 5358 5894 6484 7132 7845 8630 9493 10442 11487 12635 13899 15289 16818 18500 20350 22385 24623 27086 29794 32767"
-
-
-def _ima_steps() -> list[int]:
-    return [int(x) for x in _IMA.split()]
+_IMA = (
+    7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190,
+    209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499,
+    2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350,
+    22385, 24623, 27086, 29794, 32767,
+)
 
 
 def samples_of(kind: str = "ima", big: bool = False):

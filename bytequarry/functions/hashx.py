@@ -89,9 +89,10 @@ def _times32(h: Column, by: int) -> Column:
     return _mask(_mask(F.shiftleft(_mask(h * high), 16)) + h * low)
 
 
-def fnv1(text: Column, seed: int = FNV32_BASIS) -> Column:
-    """32-bit FNV-1: multiply, then xor each byte."""
-    return F.aggregate(byte_values(text), F.lit(seed).cast("bigint"), lambda h, b: _times32(h, FNV32_PRIME).bitwiseXOR(b))
+def fnv1(text: Column, seed: int | Column = FNV32_BASIS) -> Column:
+    """32-bit FNV-1: multiply, then xor each byte. seed: the hash of what stands before."""
+    start = F.lit(seed) if isinstance(seed, int) else seed
+    return F.aggregate(byte_values(text), start.cast("bigint"), lambda h, b: _times32(h, FNV32_PRIME).bitwiseXOR(b))
 
 
 def fnv1_without_suffix(value: Column, suffix: Column) -> Column:

@@ -193,13 +193,23 @@ def owned_names(found: DataFrame, contexts: DataFrame, last: tuple[str, ...] = (
 
 
 def frontier_search(letters: DataFrame, triples: DataFrame, known: DataFrame, depth: int, prefix: str = "") -> DataFrame:
-    """(hash, name): names of up to `depth` characters after a prefix whose FNV-1 hash is known; each next character must make an allowed triple. letters: an alphabet; triples: (pair, next)."""
-    front = letters.select(F.concat(F.lit(prefix), "letter").alias("name"))
-    out = None
-    for _ in range(depth):
-        hashed = front.select(fnv1(F.col("name")).alias("hash"), "name").join(known.select("hash"), "hash", "left_semi")
-        out = hashed if out is None else out.unionByName(hashed)
-        longer = front.filter(F.length("name") >= 2).withColumn("pair", F.right("name", F.lit(2))).join(triples, "pair").select(F.concat("name", "next").alias("name"))
-        shorter = front.filter(F.length("name") < 2).crossJoin(F.broadcast(letters)).select(F.concat("name", "letter").alias("name"))
-        front = longer.unionByName(shorter)
+    """(hash, name): names of up to `depth` characters after a prefix whose FNV-1 hash is known; each next character must make an allowed triple. letters: an alphabet; triples: (pair, next).
+
+    Each level is held, with the hash so far, so a name costs one step of the
+    hash and a level one join, whatever the depth.
+    """
+    known, letters, triples = (held(x.distinct()) for x in (known.select("hash"), letters.select("letter"), triples.select("pair", "next")))
+    front = held(letters.select(F.concat(F.lit(prefix), "letter").alias("name"), fnv1(F.col("letter"), fnv1(F.lit(prefix))).alias("hash")))
+    found = []
+    for level in range(depth):
+        found.append(front.join(light(known), "hash", "left_semi").select("hash", "name"))
+        if level + 1 == depth:
+            break
+        grown = front.withColumn("pair", F.right("name", F.lit(2)))
+        longer = grown.filter(F.length("name") >= 2).join(light(triples), "pair").select("name", "hash", "next")
+        shorter = grown.filter(F.length("name") < 2).crossJoin(light(letters)).select("name", "hash", F.col("letter").alias("next"))
+        front = held(longer.unionByName(shorter).select(F.concat("name", "next").alias("name"), fnv1(F.col("next"), F.col("hash")).alias("hash")))
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
     return out

@@ -51,11 +51,11 @@ def typed_reads(documents):
 @query("documents", sql="""
 WITH h AS (SELECT doc_id, text, hex(encode(text)) AS x FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, NOT regexp_matches(text, '[\\x00-\\x08]') AND (strlen(text) = length(text) OR NOT (substr(x, 1, 2) >= '80' OR substr(x, 3, 2) >= '80' OR substr(x, 5, 2) >= '80')) AS textual,
-       base64(encode(left(text, 30))) AS packed, md5(left(text, 30)) AS digest, sha1(text) AS sha1
+       base64(encode(text)) AS packed, md5(text) AS digest, sha1(text) AS sha1
 FROM h""")
 def text_bytes(documents):
     some = documents.filter("text IS NOT NULL")
-    packed = F.base64(F.encode(F.left("text", F.lit(30)), "UTF-8"))
+    packed = F.replace(F.base64(F.encode("text", "UTF-8")), F.lit("\r\n"), F.lit(""))
     return some.select("doc_id", bytesx.looks_textual(F.encode("text", "UTF-8")).alias("textual"), packed.alias("packed"), F.md5(bytesx.from_base64(packed)).alias("digest"), F.sha1("text").alias("sha1"))
 
 
@@ -325,12 +325,12 @@ def vector_groups(embeddings):
 
 
 @query("documents", sql="""
-WITH b AS (SELECT unnest(list_transform(range(octet_length(encode(text))), lambda i: xor(('0x' || substr(hex(encode(text)), 2 * i + 1, 2))::INT, (i % 8)::INT * 3))) AS v FROM documents WHERE length(text) < 300)
+WITH b AS (SELECT unnest(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x, i: xor(('0x' || x)::INT, ((i - 1) % 8)::INT * 3))) AS v FROM documents)
 SELECT v AS byte, count(*) AS n FROM b GROUP BY v""")
 def byte_histogram(documents):
     """How often each byte value occurs once a mask by position is taken out."""
-    short = documents.filter("length(text) < 300").select(F.encode("text", "UTF-8").alias("d"))
-    return aggregates.byte_counts(short, "d", bytes(3 * i for i in range(8)))
+    data = documents.select(F.encode("text", "UTF-8").alias("d"))
+    return aggregates.byte_counts(data, "d", bytes(3 * i for i in range(8)))
 
 
 @query("events", sql="""
@@ -458,42 +458,42 @@ def wide_templates(nation):
 
 @query("part", "supplier", sql="""
 WITH f AS (SELECT DISTINCT p_size AS hash, p_brand || p_size AS name FROM part),
-c AS (SELECT s_nationkey AS ctx_order, 'c' || s_nationkey AS ctx, s_suppkey % 50 + 1 AS hash FROM supplier), o AS (SELECT hash, min(ctx_order) AS ctx_order, min_by(ctx, ctx_order) AS ctx FROM c WHERE hash % 2 = 0 GROUP BY hash)
+c AS (SELECT s_nationkey AS ctx_order, 'c' || s_nationkey AS ctx, s_suppkey % 50 + 1 AS hash FROM supplier), o AS (SELECT hash, min(ctx_order) AS ctx_order, min_by(ctx, ctx_order) AS ctx FROM c GROUP BY hash)
 SELECT f.hash, name, ctx, row_number() OVER (ORDER BY ctx_order NULLS LAST, f.hash, lower(name), name) AS place FROM f LEFT JOIN o USING (hash)""")
 def owned_names(part, supplier):
     """Names under the first context that has their hash, those of none last."""
     found = part.select(F.col("p_size").cast("bigint").alias("hash"), F.concat("p_brand", F.col("p_size").cast("string")).alias("name")).distinct()
-    contexts = supplier.select(F.concat(F.lit("c"), F.col("s_nationkey").cast("string")).alias("ctx"), F.col("s_nationkey").alias("ctx_order"), (F.col("s_suppkey") % 50 + 1).alias("hash")).filter("hash % 2 = 0")
+    contexts = supplier.select(F.concat(F.lit("c"), F.col("s_nationkey").cast("string")).alias("ctx"), F.col("s_nationkey").alias("ctx_order"), (F.col("s_suppkey") % 50 + 1).alias("hash"))
     owned = names.owned_names(found, contexts)
     placed = ordered.ranked(owned, [F.col("ctx_order").isNull(), F.col("ctx_order"), F.col("hash"), F.lower("name"), F.col("name")])
     return placed.select("hash", "name", "ctx", "place")
 
 
 @query("part", sql=f"""
-WITH RECURSIVE w AS (SELECT DISTINCT lower(left(p_name, 4)) AS w FROM part), l AS (SELECT DISTINCT left(w, 1) AS c FROM w UNION SELECT DISTINCT substr(w, 2, 1) FROM w),
-t AS (SELECT DISTINCT left(w, 2) AS pair, substr(w, 3, 1) AS n FROM w UNION SELECT DISTINCT substr(w, 2, 2), substr(w, 4, 1) FROM w),
-f AS (SELECT c AS name, 1 AS k FROM l UNION ALL SELECT f.name || x, k + 1 FROM f, LATERAL (SELECT c AS x FROM l WHERE length(f.name) < 2 UNION ALL SELECT n FROM t WHERE length(f.name) >= 2 AND pair = right(f.name, 2)) WHERE k < 4),
+WITH RECURSIVE w AS (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS w FROM part), l AS (SELECT DISTINCT unnest(string_split(w, '')) AS c FROM w),
+t AS (SELECT DISTINCT substr(w, i, 2) AS pair, substr(w, i + 2, 1) AS n FROM (SELECT w, unnest(range(1, length(w) - 1)) AS i FROM w)),
+f AS (SELECT c AS name, 1 AS k FROM l UNION ALL SELECT f.name || x, k + 1 FROM f, LATERAL (SELECT c AS x FROM l WHERE length(f.name) < 2 UNION ALL SELECT n FROM t WHERE length(f.name) >= 2 AND pair = right(f.name, 2)) WHERE k < 8),
 h AS (SELECT DISTINCT name, {_FNV.format("name", "2166136261")} AS hash FROM f), k AS (SELECT DISTINCT {_FNV.format("w", "2166136261")} AS hash FROM w)
 SELECT hash, name FROM h SEMI JOIN k USING (hash)""")
 def pruned_search(part):
     """Names letter by letter, pruned by known triples, kept where their hash is known."""
-    w = part.select(F.lower(F.left("p_name", F.lit(4))).alias("w")).distinct()
-    letters = w.select(F.explode(F.array(F.substring("w", 1, 1), F.substring("w", 2, 1))).alias("letter")).distinct()
-    triples = w.select(F.explode(F.array(F.struct(F.substring("w", 1, 2).alias("pair"), F.substring("w", 3, 1).alias("next")), F.struct(F.substring("w", 2, 2).alias("pair"), F.substring("w", 4, 1).alias("next")))).alias("t")).select("t.*").distinct()
+    w = part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).distinct()
+    letters = w.select(F.explode(F.split("w", "")).alias("letter")).filter("letter <> ''").distinct()
+    triples = w.filter("length(w) > 2").select("w", F.explode(F.sequence(F.lit(1), F.length("w") - 2)).alias("i")).select(F.substring("w", F.col("i"), F.lit(2)).alias("pair"), F.substring("w", F.col("i") + 2, F.lit(1)).alias("next")).distinct()
     known = w.select(hashx.fnv1(F.col("w")).alias("hash")).distinct()
-    return names.frontier_search(letters, triples, known, 4).distinct()
+    return names.frontier_search(letters, triples, known, 8).distinct()
 
 
 @query("documents", sql="""
-WITH l AS (SELECT doc_id AS seq, left(text, 200) AS line FROM documents WHERE text IS NOT NULL),
+WITH l AS (SELECT doc_id AS seq, text AS line FROM documents WHERE text IS NOT NULL),
 s AS (SELECT * FROM l WHERE length(line) - length(replace(line, '_', '')) <= 20 AND NOT starts_with(line, '#')),
 t AS (SELECT seq, unnest(list_filter(regexp_split_to_array(line, '[^A-Za-z0-9_./-@]'), lambda x: x <> '')) AS t FROM s),
 b AS (SELECT seq, 0 AS o, lower(regexp_replace(t, '([a-z])([A-Z0-9])', '\\1_\\2', 'g')) AS t FROM t UNION ALL SELECT seq, 1, t FROM t)
 SELECT lower(t) AS word, max_by(t, seq * 2 + o) AS original FROM b GROUP BY lower(t) HAVING count(DISTINCT t) = 1""")
 def word_list(documents):
     """Words of sane lines, with camel-split forms, that are spelled in one way."""
-    rows = documents.filter("text IS NOT NULL").select(F.col("doc_id").alias("seq"), F.left("text", F.lit(200)).alias("line"))
-    found = names.word_list(rows, "line")
+    rows = documents.filter("text IS NOT NULL").select(F.col("doc_id").alias("seq"), F.col("text").alias("line"))
+    found = names.word_list(rows, "line", max_length=1 << 30)
     tokens = rows.filter((F.length("line") - F.length(F.replace("line", F.lit("_"))) <= 20) & ~F.col("line").startswith("#")).select(F.explode(textx.name_tokens(F.col("line"))).alias("t"))
     both = tokens.select(F.explode(F.array("t", textx.camel_split(F.col("t")))).alias("t")).groupBy(F.lower("t").alias("word")).agg(F.count_distinct("t").alias("k")).filter("k = 1")
     return found.join(both, "word", "left_semi")
