@@ -142,8 +142,11 @@ def met_in_the_middle(prefixes: DataFrame, suffixes: DataFrame, known: DataFrame
     nothing, repeated words and ids count once.
     """
     after, before = REVERSIBLE[kind]
-    states = prefixes.select(F.col(prefix).alias("prefix")).dropna().distinct().withColumn("state", after(F.col("prefix")))
-    ids, ends = known.select(F.col(hash_col).cast("bigint").alias("hash")).dropna().distinct(), suffixes.select(F.col(suffix).alias("suffix")).dropna().distinct()
+    # rows are few bytes and much work, so they are dealt by number, not by size
+    tasks = prefixes.sparkSession.sparkContext.defaultParallelism
+    dealt = lambda df, c: df.dropna().repartition(max(tasks, int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), c).distinct()
+    states = dealt(prefixes.select(F.col(prefix).alias("prefix")), "prefix").withColumn("state", after(F.col("prefix")))
+    ids, ends = dealt(known.select(F.col(hash_col).cast("bigint").alias("hash")), "hash"), suffixes.select(F.col(suffix).alias("suffix")).dropna().distinct()
     pulled = ids.crossJoin(light(held(ends))).withColumn("state", before(F.col("hash"), F.col("suffix")))
     return pulled.join(states, "state").select(F.col("hash").alias(hash_col), F.col("prefix").alias(prefix), F.col("suffix").alias(suffix))
 
