@@ -28,7 +28,7 @@ from .common import spread_join, staged, text_of
 from .wordhash import mix, range_hashes
 
 #: Rows of the sketch; cells of a row lie between 2**MIN_BITS and 2**MAX_BITS, one for each BYTES_PER_CELL of text.
-ROWS, MIN_BITS, MAX_BITS, BYTES_PER_CELL = 3, 16, 24, 16
+ROWS, MIN_BITS, MAX_BITS, BYTES_PER_CELL = 3, 16, 23, 16
 #: Bytes of text in a task and its sketch, beyond the tasks that the cluster runs at once.
 BYTES_PER_SKETCH = 4 << 30
 #: Bytes of text that are worked on at once; longer texts are cut where pieces end.
