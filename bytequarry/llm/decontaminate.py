@@ -7,15 +7,23 @@ names a place where the item may stand, and Myers' bit-parallel distance
 verifies it there, first on the piece's neighbourhood: pieces form a tree, and
 a run of p pieces has a budget of p - 1 edits, so one of two halves must keep
 its budget if the whole keeps its own. A hit climbs until a budget is broken;
-some hit of a true match climbs to the root. Nothing else drops a hit.
+some hit of a true match climbs to the root.
+
+A piece that many items share (a question's stem) would cost a climb for each of
+them at each hit. There the items are judged together: an item's edits are at
+least the sum of its segments' least distances, each in its own window, and one
+numpy pass of Myers' algorithm gives a segment's for all items at once. Items
+whose sum breaks the budget can't stand there; the others are verified one by
+one as a whole. Nothing else drops a hit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +34,10 @@ from .common import text_of
 RATE = 0.08
 #: Characters of items whose automaton one pass holds; more items take more passes.
 BLOCK_CHARS = 4_000_000
+#: From this many places on, those of a piece are judged together. It changes the work alone, never a result.
+MANY = 32
+#: Characters of a segment (bits of a word) and rows of one numpy pass.
+SEGMENT, ROWS = 64, 4096
 
 
 def normal(text: Column) -> Column:
@@ -58,27 +70,142 @@ def myers_best(pattern: str, masks: dict[str, int], text: str, start: int, end:
     return best, at
 
 
-@dataclass
-class _Node:
-    """A run of pieces: its characters pattern[a:b], their masks, its budget, and the run that holds it."""
+@lru_cache(maxsize=4096)
+def _masks(pattern: str) -> dict[str, int]:
+    """Where each character stands, as bits."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        masks[c] = masks.get(c, 0) | 1 << i
+    return masks
 
-    a: int
-    b: int
-    k: int
-    masks: dict[str, int]
-    above: _Node | None
 
+@lru_cache(maxsize=4096)
+def _paths(pieces: int) -> list[list[tuple[int, int]]]:
+    """For each piece the runs [lo, hi) of pieces that hold it, from the smallest of two or more up to the whole."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(pieces)]
+    runs = [(0, pieces)]
+    while runs:
+        lo, hi = runs.pop()
+        if hi - lo > 1:
+            for i in range(lo, hi):
+                out[i].insert(0, (lo, hi))
+            mid = (lo + hi) // 2
+            runs += [(lo, mid), (mid, hi)]
+    return out
 
-def _leaves(pattern: str, cuts: list[int], lo: int, hi: int, above: _Node | None) -> list[_Node]:
-    a, b = cuts[lo], cuts[hi]
-    masks: dict[str, int] = {}
-    for i, c in enumerate(pattern[a:b]):
-        masks[c] = masks.get(c, 0) | 1 << i
-    node = _Node(a, b, hi - lo - 1, masks, above)
-    if hi - lo == 1:
-        return [node]
-    mid = (lo + hi) // 2
-    return _leaves(pattern, cuts, lo, mid, node) + _leaves(pattern, cuts, mid, hi, node)
+
+def least_distances(rows: np.ndarray, sizes: np.ndarray, windows: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Least edit distance of each segment to any part of its window.
+
+    Row i holds the codes of a segment in its last sizes[i] places, zeros before
+    them; its window is windows[which[i]]. Code 0 in a window is a character
+    that no segment has. Zeros before a segment match anything at no cost, so
+    all distances stand at the highest bit.
+    """
+    seen = np.unique(windows)
+    local = np.searchsorted(seen, windows)
+    best = np.empty(len(rows), np.int64)
+    one, ones = np.uint64(1), ~np.uint64(0)
+    for i in range(0, len(rows), ROWS):
+        part, size, at = rows[i : i + ROWS], sizes[i : i + ROWS], which[i : i + ROWS]
+        n = len(part)
+        before = np.packbits(part == 0, axis=1, bitorder="little").view("<u8").ravel()
+        table = np.empty((len(seen), n), np.uint64)
+        for c, code in enumerate(seen):
+            table[c] = before | np.packbits(part == code, axis=1, bitorder="little").view("<u8").ravel() if code else before
+        alike = (at == at[0]).all()
+        cells = None if alike else (local[at].T * n + np.arange(n)).copy()
+        plus, minus = before ^ ones, np.zeros(n, np.uint64)
+        d0, up, down, eq = (np.empty(n, np.uint64) for _ in range(4))
+        score = size.astype(np.int16)
+        least = score.copy()
+        for t in range(windows.shape[1]):
+            if alike:
+                eq = table[local[at[0], t]]
+            else:
+                np.take(table, cells[t], out=eq, mode="clip")
+            np.bitwise_and(eq, plus, out=d0)
+            d0 += plus
+            d0 ^= plus
+            d0 |= eq
+            d0 |= minus
+            np.bitwise_or(d0, plus, out=up)
+            np.invert(up, out=up)
+            up |= minus
+            np.bitwise_and(plus, d0, out=down)
+            score += up.view(np.int64) < 0
+            score -= down.view(np.int64) < 0
+            np.minimum(least, score, out=least)
+            up <<= one
+            down <<= one
+            np.bitwise_or(d0, up, out=plus)
+            np.invert(plus, out=plus)
+            plus |= down
+            np.bitwise_and(up, d0, out=minus)
+        best[i : i + ROWS] = least
+    return best
+
+
+class _Segments:
+    """The items of a matcher, cut into segments of SEGMENT characters, as arrays."""
+
+    def __init__(self, items: list[tuple[int, str]], budgets: list[int]) -> None:
+        self.budgets = np.array(budgets, np.int64)
+        self.counts = np.array([-(-len(p) // SEGMENT) for _, p in items], np.int64)
+        self.first = np.cumsum(self.counts) - self.counts
+        known: dict[str, int] = {}
+        self.ids = np.array([known.setdefault(p[i : i + SEGMENT], len(known)) for _, p in items for i in range(0, len(p), SEGMENT)], np.int64)
+        points = np.frombuffer("".join(known).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.alphabet = np.unique(points)
+        self.sizes = np.array([len(s) for s in known], np.int64)
+        kind = np.uint8 if len(self.alphabet) < 256 else np.uint32
+        self.rows = np.zeros((len(known), SEGMENT), kind)
+        self.rows[np.arange(SEGMENT) >= SEGMENT - self.sizes[:, None]] = np.searchsorted(self.alphabet, points) + 1
+
+    def coded(self, text: str) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == points, at + 1, 0).astype(self.rows.dtype)
+
+    def order(self, items: np.ndarray) -> list[int]:
+        """The segments' numbers, those that tell most items apart first."""
+        told = []
+        for j in range(int(self.counts[items].max())):
+            has = items[self.counts[items] > j]
+            told.append((-len(np.unique(self.ids[self.first[has] + j])), j))
+        return [j for _, j in sorted(told)]
+
+    def near(self, items: np.ndarray, starts: np.ndarray, order: list[int], text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the items, of budgets alike, that may stand in the text about their starts.
+
+        With a piece unedited at its place and k edits in all, no other part stands more than k places from its own.
+        """
+        k = int(self.budgets[items].max())
+        left = self.budgets[items].copy()
+        for j in order:
+            has = np.flatnonzero(self.counts[items] > j)
+            if not len(has):
+                continue
+            ids = self.ids[self.first[items[has]] + j]
+            begins, which = np.unique(starts[has] + j * SEGMENT - k, return_inverse=True)
+            pairs, back = np.unique(ids * len(begins) + which, return_inverse=True)
+            ids, which = pairs // len(begins), pairs % len(begins)
+            place = begins[:, None] + np.arange(SEGMENT + 2 * k)
+            windows = np.where((place >= 0) & (place < len(text)), text[np.clip(place, 0, len(text) - 1)], 0)
+            left[has] -= least_distances(self.rows[ids], self.sizes[ids], windows, which)[back]
+            items, starts, left = items[left >= 0], starts[left >= 0], left[left >= 0]
+            if len(items) < MANY:
+                break
+        return items, starts
+
+
+class _Group:
+    """The places of a piece that many items share, in classes of budgets within a factor of two."""
+
+    def __init__(self, places: list[tuple[int, int]], offsets: list[int], segments: _Segments) -> None:
+        items, offs = np.array([i for i, _ in places], np.int64), np.array(offsets, np.int64)
+        size = np.frexp(segments.budgets[items])[1]
+        self.classes = [(items[size == s], offs[size == s], segments.order(items[size == s])) for s in np.unique(size)]
 
 
 class Matcher:
@@ -86,47 +213,95 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE) -> None:
         self.items: list[tuple[int, str]] = []
+        self.budgets: list[int] = []
         self.pieces = ahocorasick.Automaton()
-        where: dict[str, list[tuple[int, _Node]]] = {}
+        self.groups: dict[int, _Group] = {}
+        where: dict[str, list[tuple[int, int]]] = {}
         for item_id, pattern in items:
             if not pattern:
                 continue
             k = int(len(pattern) * rate)
-            cuts = [len(pattern) * i // (k + 1) for i in range(k + 2)]
-            for leaf in _leaves(pattern, cuts, 0, k + 1, None):
-                where.setdefault(pattern[leaf.a : leaf.b], []).append((len(self.items), leaf))
+            for i in range(k + 1):
+                where.setdefault(pattern[len(pattern) * i // (k + 1) : len(pattern) * (i + 1) // (k + 1)], []).append((len(self.items), i))
             self.items.append((item_id, pattern))
-        for piece, places in where.items():
-            self.pieces.add_word(piece, (len(piece), places))
+            self.budgets.append(k)
+        for number, (piece, places) in enumerate(where.items()):
+            self.pieces.add_word(piece, (number, len(piece), places))
         if where:
             self.pieces.make_automaton()
 
-    def find(self, text: str) -> list[tuple[int, int, int]]:
-        """(item_id, distance, end) of each item that a text in normal form holds; its best place, or the first of them."""
+    @cached_property
+    def segments(self) -> _Segments:
+        return _Segments(self.items, self.budgets)
+
+    def _cut(self, item: int, i: int) -> int:
+        return len(self.items[item][1]) * i // (self.budgets[item] + 1)
+
+    def _whole(self, item: int, start: int, text: str) -> tuple[int, int]:
+        pattern, k = self.items[item][1], self.budgets[item]
+        return myers_best(pattern, _masks(pattern), text, max(0, start - k), min(len(text), start + len(pattern) + k))
+
+    def _climbs(self, item: int, leaf: int, start: int, end: int, text: str, done: dict[int, int]) -> tuple[int, int] | None:
+        """The item's best place about start, if runs of pieces keep their budgets from the leaf's to the whole."""
+        pattern, best, at = self.items[item][1], 0, end
+        for lo, hi in _paths(self.budgets[item] + 1)[leaf]:
+            k, a, b = hi - lo - 1, self._cut(item, lo), self._cut(item, hi)
+            run = pattern[a:b]
+            best, at = myers_best(run, _masks(run), text, max(0, start + a - k), min(len(text), start + b + k))
+            if k == self.budgets[item]:
+                done[item] = start
+            if best > k:
+                return None
+        return best, at
+
+    def _together(self, number: int, places: list[tuple[int, int]], begin: int, text: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, start) of the places of a piece, hit at begin, where the item may stand and wasn't looked for before."""
+        if number not in self.groups:
+            self.groups[number] = _Group(places, [self._cut(*p) for p in places], self.segments)
+        for items, offs, order in self.groups[number].classes:
+            starts = begin - offs
+            new = last[items] != starts
+            items, starts = items[new], starts[new]
+            if len(items):
+                last[items] = starts
+                items, starts = self.segments.near(items, starts, order, text)
+                yield from zip(items.tolist(), starts.tolist(), strict=True)
+
+    def matches(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(item's place in items, distance, end) at each start where an item stands in a text in normal form."""
         if not self.items or not text:
-            return []
-        found: dict[int, tuple[int, int]] = {}
+            return
         done: dict[int, int] = {}
-        for end, (n, places) in self.pieces.iter(text):
+        coded = last = None
+        for end, (number, n, places) in self.pieces.iter(text):
+            begin = end + 1 - n
+            if len(places) >= MANY:
+                if coded is None:
+                    coded, last = self.segments.coded(text), np.full(len(self.items), np.iinfo(np.int64).min)
+                for item, start in self._together(number, places, begin, coded, last):
+                    best, at = self._whole(item, start, text)
+                    done[item] = start
+                    if best <= self.budgets[item]:
+                        yield item, best, at
+                continue
             for item, leaf in places:
-                start = end + 1 - n - leaf.a
+                start = begin - self._cut(item, leaf)
                 if done.get(item) == start:
                     continue  # the whole item was looked for there
-                pattern = self.items[item][1]
-                node, best, at = leaf.above, 0, end + 1
-                while True:
-                    if node is None:
-                        found[item] = min(found.get(item, (best, at)), (best, at))
-                        break
-                    lo, hi = max(0, start + node.a - node.k), min(len(text), start + node.b + node.k)
-                    best, at = myers_best(pattern[node.a : node.b], node.masks, text, lo, hi)
-                    if node.above is None:
-                        done[item] = start
-                    if best > node.k:
-                        break
-                    node = node.above
+                if found := self._climbs(item, leaf, start, end + 1, text, done):
+                    yield item, *found
+
+    def find(self, text: str) -> list[tuple[int, int, int]]:
+        """(item_id, distance, end) of each item that a text in normal form holds; its best place, or the first of them."""
+        found: dict[int, tuple[int, int]] = {}
+        for item, best, at in self.matches(text):
+            found[item] = min(found.get(item, (best, at)), (best, at))
         return sorted((self.items[i][0], d, e) for i, (d, e) in found.items())
 
+    def holds(self, text: str) -> bool:
+        """Whether a text in normal form holds any item; the first one found ends the search."""
+        return next(self.matches(text), None) is not None
+
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of about BLOCK_CHARS, streamed to the driver; a test set is bounded by its makers, not by the corpus."""
@@ -169,7 +344,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = RATE) -> DataFrame:
-    """docs with their own columns, less the rows that hold an item; each row is judged where it stands, without a join."""
+    """docs with their own columns, less the rows that hold an item; each row is judged where it stands, without a join.
+
+    Null texts are empty and stay, as does every row where the benchmark is
+    empty; an empty table gives an empty one. Rows that repeat are judged alike.
+    """
     for items in _blocks(benchmark, item_col, item_text_col):
         held = docs.sparkSession.sparkContext.broadcast(items)
         at = len(docs.columns)
@@ -177,7 +356,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
         def run(batches: Iterator[pa.RecordBatch], held=held, at=at) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(held.value, rate)
             for b in batches:
-                clean = pa.array([not matcher.find(t) for t in b.column(at).to_pylist()], pa.bool_())
+                clean = pa.array([not matcher.holds(t) for t in b.column(at).to_pylist()], pa.bool_())
                 yield pa.RecordBatch.from_arrays(b.columns[:at], names=b.schema.names[:at]).filter(clean)
 
         docs = docs.select("*", normal(text_of(text_col)).alias("__normal")).mapInArrow(run, docs.schema)
