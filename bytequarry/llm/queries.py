@@ -51,7 +51,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .transcripts import fit, in_order, observed, recover, written
 
-    ordered = in_order(observed(written(_table(spark, sf_dir, "conversations"))))
+    ordered = in_order(observed(written(_table(spark, sf_dir, "conversations"), misleading=True)))
     return recover(ordered, fit(ordered)).drop("uid")
 
 
@@ -133,15 +133,6 @@ h AS (SELECT doc_id, k, length(b) // 2 + 1 AS size, list_prepend(4294967295::BIG
 z AS (SELECT doc_id, k, CAST(size AS BIGINT) AS size, xor(list_reduce(bytes, lambda a, b: xor(a >> 8, c[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM h, c)
 SELECT doc_id, size, text_crc32, 'key' AS law, CAST(o.shard AS INT) AS shard, row_number() OVER (PARTITION BY o.shard ORDER BY doc_id, size, text_crc32) - 1 AS slot, CAST(n.shard AS INT) AS grown_shard
 FROM z JOIN s o ON o.k = z.k AND o.g = 0 JOIN s n ON n.k = z.k AND n.g = 1
-""",
-    "op6_transcripts": """
-WITH t AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS number, upper(role[1]) || lower(role[2:]) AS name, coalesce(text, '') AS text FROM conversations),
-m AS (SELECT *, CASE conv_id % 5 WHEN 0 THEN name || ': ' WHEN 1 THEN '### ' || name || ':' WHEN 2 THEN '<|' || role || '|>' WHEN 3 THEN '**' || name || ':** ' ELSE '[' || name || '] ' END AS marker FROM t),
-r AS (SELECT *, string_split(marker || CASE WHEN conv_id % 5 IN (1, 2) THEN chr(10) ELSE '' END || text, chr(10)) AS lines FROM m),
-l AS (SELECT *, unnest(range(len(lines))) AS line, unnest(lines) AS said FROM r)
-SELECT conv_id, turn, CAST(line AS INT) AS line, role AS declared, number, role, line = 0 AS begins, CASE WHEN line = 0 THEN marker ELSE '' END AS marker,
-       CASE WHEN line > 0 THEN said WHEN said = marker THEN '<|' || role || '|>' ELSE '<|' || role || '|>' || chr(10) || substr(said, len(marker) + 1) END AS rendered
-FROM l
 """,
     "op7_substring_dedup": """
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x09-\\x0D ]+'), lambda x: x <> '') AS w FROM documents),

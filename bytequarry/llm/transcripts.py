@@ -44,6 +44,8 @@ LINES_AT_ONCE = 20_000
 MOVES_AT_ONCE = 1 << 23
 #: Ways to write a speaker's marker before a turn.
 STYLES = ["{Name}: ", "### {Name}:\n", "<|{name}|>\n", "**{Name}:** ", "[{Name}] "]
+#: One turn in so many is written without a marker, with one in capitals, with a line that quotes another speaker's.
+BARE, SHOUTED, QUOTED = 5, 4, 6
 _OPEN, _CLOSE = r"(?:#{1,6}\s*|\*\*|\[|<\|?(?:im_start\|>)?|\()", r"\s*(?::?(?:\*\*|\]|\|?>|\)):?|:|$)"
 
 
@@ -68,15 +70,30 @@ def marker_text(line: Column, role: Column) -> Column:
     return out
 
 
-def written(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str = "role") -> DataFrame:
-    """Raw transcripts of labelled turns: (conv_id, turn, role, text), each turn after its speaker's marker in the STYLE of its conversation (its id modulo their number). A null role writes none."""
-    conv, role = F.col(conv_col).cast("long"), F.col(role_col).cast("string")
+def written(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str = "role", misleading: bool = False) -> DataFrame:
+    """Raw transcripts of labelled turns: (conv_id, turn, role, text), each turn after its speaker's marker in the STYLE of its conversation (its id modulo their number). A null role writes none.
+
+    misleading writes them as careless sources do: by a hash of (conv_id, turn)
+    one turn in BARE has no marker, one in SHOUTED its marker in capitals, and
+    one in QUOTED goes on with a line that quotes the marker of another speaker.
+    """
+    conv, role, turn = F.col(conv_col).cast("long"), F.col(role_col).cast("string"), F.col(turn_col).cast("long")
     style = F.pmod(F.coalesce(conv, F.lit(0)), F.lit(len(STYLES)))
-    mark = F.lit("")
-    for i, form in enumerate(STYLES):
-        before, name, after = form.replace("{Name}", "\0N\0").replace("{name}", "\0n\0").split("\0")
-        mark = F.when(style == i, F.concat(F.lit(before), F.initcap(role) if name == "N" else role, F.lit(after))).otherwise(mark)
-    return turns.select(conv.alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), role.alias("role"), F.concat(F.coalesce(mark, F.lit("")), text_of(text_col)).alias("text"))
+
+    def mark_of(who: Column) -> Column:
+        mark = F.lit("")
+        for i, form in enumerate(STYLES):
+            before, name, after = form.replace("{Name}", "\0N\0").replace("{name}", "\0n\0").split("\0")
+            mark = F.when(style == i, F.concat(F.lit(before), F.initcap(who) if name == "N" else who, F.lit(after))).otherwise(mark)
+        return mark
+
+    mark, text = F.coalesce(mark_of(role), F.lit("")), text_of(text_col)
+    if misleading:
+        luck = lambda salt, one_in: F.pmod(F.crc32(F.concat_ws("/", F.lit(salt), conv.cast("string"), turn.cast("string"))), F.lit(one_in)) == 0
+        mark = F.when(luck("bare", BARE), "").when(luck("shouted", SHOUTED), F.upper(mark)).otherwise(mark)
+        other = F.when(role == "user", "assistant").otherwise("user")
+        text = F.when(luck("quoted", QUOTED), F.concat(text, F.lit("\n"), mark_of(other), F.lit("as was said before"))).otherwise(text)
+    return turns.select(conv.alias("conv_id"), turn.alias("turn"), role.alias("role"), F.concat(mark, text).alias("text"))
 
 
 def observed(transcripts: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str | None = "role") -> DataFrame:
@@ -232,29 +249,36 @@ def _viterbi_many(scores: list[np.ndarray], enter: list[np.ndarray], step: np.nd
     return out
 
 
+def _through(model: Model, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best scores of paths over some lines: to each last state, from the start and from each state before them."""
+    score = model.scores(codes)
+    only, mat = model.start + score[0], model.step + score[0]
+    for t in range(1, len(codes)):
+        only = (only[:, None] + model.step).max(axis=0) + score[t]
+        mat = (mat[:, :, None] + model.step).max(axis=1) + score[t]
+    return only, mat
+
+
 def _ends(model: Model):
     """Per task: of its first and last transcript, the best score from each state before it to each last state in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, first, last, mat, only = TaskContext.get().partitionId(), None, None, None, None
+        first, last, held = None, None, []
         for b in batches:
             if not b.num_rows:
                 continue
             conv, valid = _convs(b)
-            score = model.scores(b.column("code").to_numpy())
-            cuts = _cut(conv, valid)
+            codes, cuts = b.column("code").to_numpy(), _cut(conv, valid)
             for a, z in zip(cuts, np.append(cuts[1:], len(conv)), strict=True):
                 key = (int(conv[a]), bool(valid[a]))
                 if key != last:
                     if last is not None and first is None:
-                        first = (last, only, mat)
-                    last, only, mat = key, model.start + score[a], model.step + score[a]
-                    a += 1
-                for t in range(a, z):
-                    only = (only[:, None] + model.step).max(axis=0) + score[t]
-                    mat = (mat[:, :, None] + model.step).max(axis=1) + score[t]
-        rows = [x for x in (first, (last, only, mat) if last else None) if x]
+                        first = (last, held)
+                    last, held = key, []
+                held.append(codes[a:z])
+        rows = [(x[0], *_through(model, np.concatenate(x[1]))) for x in (first, (last, held) if last else None) if x]
         if rows:
+            part = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), pa.array([i for i in range(len(rows))], pa.int32()), pa.array([r[0][0] if r[0][1] else None for r in rows], pa.int64()), pa.array([r[1].tolist() for r in rows], pa.list_(pa.float64())), pa.array([r[2].ravel().tolist() for r in rows], pa.list_(pa.float64()))], names=["part", "place", "conv_id", "fresh", "through"])
 
     return run
