@@ -218,7 +218,7 @@ def directory(f, size: int, layout: str) -> list[dict]:
     while True:
         f.seek(0)
         try:
-            return read_entries(form, f.read(min(n, size)), size)
+            return read_entries(form, f.read(min(n, size)), size, n < size)
         except ValueError:
             if n >= size:
                 raise

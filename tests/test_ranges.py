@@ -121,3 +121,13 @@ def test_two_writers_of_one_name_are_refused(spark, tmp_path):
     with pytest.raises(Exception, match="two tasks wrote one name"):
         rows.union(rows).write.format("keyed_files").mode("append").save(str(tmp_path / "two"))
     assert [p for p in (tmp_path / "two").rglob("*")] == []
+
+
+@pytest.mark.parametrize("n", [2500, 3200, 5400])
+def test_names_that_go_on_after_the_first_read(n, tmp_path):
+    """The first read holds all of the records, but part of the names or none."""
+    items = [(f"name{i:05d}", b"%d" % i) for i in range(n)]
+    (tmp_path / "x.arc").write_bytes(toc.build_flat(items))
+    reader = ranges.MemberReader({"path": str(tmp_path / "x.arc"), "layout": "flat"})
+    rows = [r for p in reader.partitions() for r in table(reader.read(p))]
+    assert [(r["name"], r["payload"]) for r in rows] == items
