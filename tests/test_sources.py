@@ -263,3 +263,20 @@ def test_tracks_of_any_length():
     # parts of parts, each of 200 events that play the next one, are worked out once each
     deep = b"".join(bytes([0x81]) + struct.pack(">HB", 12 + 4 * 200 * (k + 1), 200) for k in range(20) for _ in range(200)) + bytes([0, 60, 100, 1, 1]) * 200 + b"\x83"
     assert timing.walk(bytes(12) + deep[: 4 * 1] + deep[4:], 1).steps >= 200**20
+
+
+@pytest.mark.parametrize("k, name", [(300, "0000012c_2c01000000000000"), (65535, "0000ffff_ffff000000000000"), (65536, "00010000_0010000000000000"), (1199999, "00124f7f_7f12000000000000")])
+def test_hashes_of_large_keys_are_those_of_the_sql(k, name):
+    from bytequarry.plans import samples
+
+    layout, write, _, _ = samples.SAMPLES["scimitar_1d"]
+    data, _ = write([(f"n{k}.bin", b"text")])
+    assert [e["name"] for e in toc.found_entries(LAYOUTS[layout], data, data)] == [name]
+
+
+def test_codes_of_banks_have_their_names():
+    from bytequarry.plans import samples
+
+    items = [(f"n{k}.bin", b"text") for k in (6, 7, 8)]
+    found = [r[4:] for r in records.bank_details(samples.event_bank(items)) if r[4] in ("mode", "scope", "action")]
+    assert found == [x for mode in ("Bank", "Stream", "Prefetch") for x in (("mode", ("Bank", "Stream", "Prefetch").index(mode), mode), ("scope", 2, "Global"), ("action", 4, "Play"))]
