@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bytesx, codecs, hashx, textx
 from ..operators import aggregates, graph, manifest, names, ordered, sets, similar
+from ..operators.staging import spread
 from ..sources import blobs, lines
 from .queries import query
 
@@ -690,7 +691,7 @@ FROM b""")
 def xor_ciphers(part):
     """Names under each of the XOR families."""
     data, name = F.encode("p_name", "UTF-8"), F.col("p_name")
-    return part.select(
+    return spread(part, "p_partkey").select(
         "p_partkey", F.hex(codecs.xor_key(data, bytes([11, 22, 33]), 2)).alias("keyed"), F.hex(codecs.xor_leading_key(data, 3)).alias("leading"), F.hex(codecs.xor_positional(data, 90)).alias("positional"), F.hex(codecs.xor_lcg(data, 0x5F, 0x15)).alias("stream"),
         F.hex(codecs.bit_reverse_xor(data, bytes([7, 9]))).alias("reversed"), F.hex(codecs.xor_rotate(data, bytes([7, 9]), 3)).alias("rotated"), F.hex(codecs.xor_by_name(data, name)).alias("named"),
     )

@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions import bytesx, codecs
 from ..operators import demux, manifest, timing
-from ..operators.staging import shared_dir
+from ..operators.staging import shared_dir, spread
 from ..sources import archives, blobs, chunks, ranges, records, repair, toc, utf_table
 from . import samples
 from .queries import query
 
 #: Rows of a table that make one file.
 PER_FILE = 6
+#: Documents that a task takes, of some kilobytes each.
+TEXT_ROWS = 2000
 
 
 def written(write: Callable[..., bytes], *cols: Column) -> Column:
@@ -36,7 +38,8 @@ def _pairs(items) -> samples.Items:
 def files_of(part: DataFrame) -> DataFrame:
     """(path, items): names and payloads of PER_FILE parts, by which their files are bounded."""
     item = F.struct(F.col("p_partkey").alias("k"), F.concat(F.lit("n"), F.col("p_partkey").cast("string"), F.lit(".bin")).alias("name"), F.encode(F.concat_ws(" ", "p_name", "p_type", F.col("p_partkey").cast("string")), "UTF-8").alias("payload"))
-    rows = part.groupBy(F.floor(F.col("p_partkey") / PER_FILE).cast("string").alias("path")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    dealt = spread(part.withColumn("path", F.floor(F.col("p_partkey") / PER_FILE).cast("string")), "path")
+    rows = dealt.groupBy("path").agg(F.array_sort(F.collect_list(item)).alias("items"))
     return rows.select("path", F.transform("items", lambda x: F.struct(x["name"].alias("name"), x["payload"].alias("payload"))).alias("items"))
 
 
@@ -209,7 +212,7 @@ SELECT p_partkey, '1' AS field, CAST(p_partkey AS VARCHAR) AS value FROM part UN
 UNION ALL SELECT p_partkey, '3.1', CAST(p_size AS VARCHAR) FROM part UNION ALL SELECT p_partkey, '3.2', p_type FROM part UNION ALL SELECT p_partkey, '4', CAST(p_partkey * 7 AS VARCHAR) FROM part UNION ALL SELECT p_partkey, '5', CAST(p_partkey * 8589934592 AS VARCHAR) FROM part""")
 def message_fields(part):
     """Fields of messages without a schema, nested ones too."""
-    files = part.select("p_partkey", written(samples.message, F.col("p_partkey"), F.col("p_name"), F.col("p_size"), F.col("p_type")).alias("content"))
+    files = spread(part, "p_partkey").select("p_partkey", written(samples.message, F.col("p_partkey"), F.col("p_name"), F.col("p_size"), F.col("p_type")).alias("content"))
     found = records.read(files, "tlv", "p_partkey")
     field = F.array_join(F.concat(F.col("path_in").cast("array<string>"), F.array(F.col("field_no").cast("string"))), ".")
     return found.select("p_partkey", field.alias("field"), F.coalesce("text", F.col("int_value").cast("string"), F.lit("(message)")).alias("value"))
@@ -255,7 +258,7 @@ def string_tables(part):
 SELECT p_partkey, p_brand AS pack, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN 'bnk' ELSE 'wem' END AS extension, p_type AS text, CASE WHEN p_partkey % 2 = 0 THEN 'one,' || p_name ELSE '' END AS names FROM part""")
 def wrapped_assets(part):
     asset = written(lambda k, n, p, b: samples.wrapped_asset(n, p.encode(), b, k % 2 == 0), F.col("p_partkey"), F.col("p_name"), F.col("p_type"), F.col("p_brand"))
-    found = records.read(part.select("p_partkey", asset.alias("content")), "wrapped_asset", "p_partkey")
+    found = records.read(spread(part, "p_partkey").select("p_partkey", asset.alias("content")), "wrapped_asset", "p_partkey")
     return found.select("p_partkey", "pack", "name", "extension", read_back(F.col("payload")).alias("text"), F.array_join("names", ",").alias("names"))
 
 
@@ -277,7 +280,7 @@ def ogg_payloads(part):
 
 @query("part", sql="SELECT p_partkey, p_partkey AS k, p_name AS name, p_retailprice AS price, '1,-1,null' AS items FROM part")
 def packed_json(part):
-    files = part.select("p_partkey", written(samples.msgpack, F.col("p_partkey"), F.col("p_name"), F.col("p_retailprice")).alias("content"))
+    files = spread(part, "p_partkey").select("p_partkey", written(samples.msgpack, F.col("p_partkey"), F.col("p_name"), F.col("p_retailprice")).alias("content"))
     value = F.from_json("json", "k BIGINT, name STRING, price DOUBLE, list ARRAY<INT>")
     return records.read(files, "msgpack", "p_partkey").select("p_partkey", value.alias("v")).select("p_partkey", "v.k", "v.name", "v.price", F.array_join(F.col("v.list").cast("array<string>"), ",", "null").alias("items"))
 
@@ -307,7 +310,7 @@ def unsound_tables(part):
         good = utf_table.build("t", [("a", "u8", "row")], [[1]])
         return b"@UTX" + good[4:] if k % 3 == 0 else good[:8] + b"\0\7" + good[10:] if k % 3 == 1 else good[:4] + b"\0\0\0\1" + good[8:]
 
-    return utf_table.cells(part.select("p_partkey", written(write, F.col("p_partkey")).alias("content")), "p_partkey", "content").select("p_partkey", "error")
+    return utf_table.cells(spread(part, "p_partkey").select("p_partkey", written(write, F.col("p_partkey")).alias("content")), "p_partkey", "content").select("p_partkey", "error")
 
 
 # --- texts, files and tracks --------------------------------------------------------------
@@ -415,7 +418,6 @@ def track_times(part):
 @query("part", sql="SELECT p_partkey, p_name AS zlib, p_name AS deflate, p_name AS zstd, p_name AS lzma, p_name AS lzss, p_name || p_name AS gprs, p_name AS aes, p_name AS ctr FROM part")
 def unpacked_payloads(part):
     """Names packed in each way and unpacked by the library."""
-    import lzma
     import zlib
 
     import zstandard
@@ -427,9 +429,9 @@ def unpacked_payloads(part):
     def literal_runs(s: str) -> bytes:
         return b"".join(bytes([len(s[i : i + 9]) - 1, 0xFF]) + s[i : i + 9].encode() for i in range(0, len(s), 9))
 
-    packers = {"zlib": lambda s: zlib.compress(s.encode()), "deflate": raw, "zstd": lambda s: zstandard.ZstdCompressor().compress(s.encode()), "lzma": lambda s: lzma.compress(s.encode()), "lzss": literal_runs, "gprs": samples.gprs_twice}
+    packers = {"zlib": lambda s: zlib.compress(s.encode()), "deflate": raw, "zstd": lambda s: zstandard.ZstdCompressor().compress(s.encode()), "lzma": samples.xz, "lzss": literal_runs, "gprs": samples.gprs_twice}
     name = F.col("p_name")
-    out = part.select("p_partkey", *[F.decode(codecs.inflate(written(f, name), k), "UTF-8").alias(k) for k, f in packers.items()], *[c.alias(n) for n, c in (("_n", name),)])
+    out = spread(part, "p_partkey").select("p_partkey", *[F.decode(codecs.inflate(written(f, name), k), "UTF-8").alias(k) for k, f in packers.items()], *[c.alias(n) for n, c in (("_n", name),)])
     key, iv = F.lit(b"0123456789abcdef"), b"fedcba9876543210"
     sealed = F.substring(F.aes_encrypt(F.encode("_n", "UTF-8"), key, F.lit("CBC"), F.lit("PKCS"), F.lit(iv)), F.lit(17), F.lit(1 << 20))
     plain = codecs.aes_ctr(codecs.aes_ctr(F.encode("_n", "UTF-8"), b"0123456789abcdef"), b"0123456789abcdef")
@@ -457,7 +459,7 @@ def _objects(part: DataFrame) -> DataFrame:
     version = F.element_at(F.array(*map(F.lit, (0x001B0100, 0x001F0010, 0x0025010A, 0x0025011D))), (F.col("p_partkey") % 4 + 1).cast("int"))
     kind = F.element_at(F.array(F.lit(1), F.lit(6), F.lit(5), F.lit(8)), (F.floor(F.col("p_partkey") / 4) % 4 + 1).cast("int"))
     write = lambda k, v, s, t: samples.versioned_object(v, s % 2 == 0, k, t, 3 * k, [k + 2, k + 3, k + 4])
-    return part.select("p_partkey", written(write, F.col("p_partkey"), version, F.col("p_size"), kind).alias("content"))
+    return spread(part, "p_partkey").select("p_partkey", written(write, F.col("p_partkey"), version, F.col("p_size"), kind).alias("content"))
 
 
 @query("part", sql=f"""
@@ -533,7 +535,7 @@ def unmasked_streams(documents):
     import hashlib
 
     masks = tuple(hashlib.sha256(x).digest() for x in (b"first", b"second", b"audio"))
-    texts = documents.filter("text IS NOT NULL").select("doc_id", F.explode(F.array(F.lit("@SFV"), F.lit("@SFA"), F.lit("@CUE"))).alias("kind"), F.encode("text", "UTF-8").alias("d"))
+    texts = spread(documents, "doc_id", rows=TEXT_ROWS).filter("text IS NOT NULL").select("doc_id", F.explode(F.array(F.lit("@SFV"), F.lit("@SFA"), F.lit("@CUE"))).alias("kind"), F.encode("text", "UTF-8").alias("d"))
     masked = written(lambda kind, d: samples.masked(kind, bytes(d), masks), F.col("kind"), F.col("d"))
     return texts.select("doc_id", "kind", F.md5(codecs.unmask_stream(masked, F.col("kind"), masks)).alias("digest"))
 
@@ -572,7 +574,7 @@ SELECT 's' || k || '.acb' AS file, CASE WHEN k % 8 = 0 THEN 'REM #ren s' || k ||
 UNION ALL SELECT 'w' || k || '_' || i || '.awb', 'ren w' || k || '_' || i || '.awb ' || CASE WHEN k % 8 = 0 THEN 's' ELSE 'cue' END || k || CASE WHEN i > 0 THEN '[' || i || ']' ELSE '' END || '.awb' FROM f""")
 def cue_renames(part):
     """Rename commands of cue sheets and of the wave files whose checksums they name."""
-    rows = part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("k"), F.encode(F.concat("p_type", F.lit(" "), F.floor(F.col("p_partkey") / 2).cast("string")), "UTF-8").alias("p"))
+    rows = spread(part, "p_partkey").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("k"), F.encode(F.concat("p_type", F.lit(" "), F.floor(F.col("p_partkey") / 2).cast("string")), "UTF-8").alias("p"))
     name = F.concat(F.when(F.col("k") % 8 == 0, "s").otherwise("cue"), F.col("k").cast("string"))
     file = F.concat(F.lit("s"), F.col("k").cast("string"), F.lit(".acb"))
     sheets = rows.select(file.alias("path"), written(lambda n, p, k: samples.cue_sheet(n, bytes(p), k % 4 == 0), name, F.col("p"), F.col("k")).alias("content"))
@@ -606,7 +608,7 @@ def decoded_samples(part):
     """Samples of names taken for audio of three codings."""
     data = F.encode("p_name", "UTF-8")
     shown = lambda c: F.array_join(c.cast("array<string>"), ",")
-    return part.select("p_partkey", shown(codecs.samples_of("ima")(data)).alias("ima"), shown(codecs.samples_of("pcm8")(data)).alias("pcm8"), shown(codecs.samples_of("pcm16", True)(data)).alias("pcm16"))
+    return spread(part, "p_partkey").select("p_partkey", shown(codecs.samples_of("ima")(data)).alias("ima"), shown(codecs.samples_of("pcm8")(data)).alias("pcm8"), shown(codecs.samples_of("pcm16", True)(data)).alias("pcm16"))
 
 
 @query("documents", sql="""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bytesx, hashx, textx
 from ..operators import aggregates, classify, graph, greedy, manifest, names, nearest, ordered, patterns, scans, sets, similar
+from ..operators.staging import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -466,7 +467,7 @@ def codec_round_trip(documents):
     data = F.encode("text", "UTF-8")
     there = bytesx.nibble_swap(codecs.xor_lcg(codecs.xor_key(data, b"key"), 0x5F, 0x15))
     back = codecs.xor_key(codecs.xor_lcg(bytesx.nibble_swap(F.col("x")), 0x5F, 0x15), b"key")
-    return documents.filter("octet_length(text) >= 2").select("doc_id", there.alias("x")).select("doc_id", bytesx.u8(F.col("x"), 0).alias("first"), bytesx.u8(F.col("x"), 1).alias("second"), F.md5(back).alias("digest"))
+    return spread(documents, "doc_id", rows=2000).filter("octet_length(text) >= 2").select("doc_id", there.alias("x")).select("doc_id", bytesx.u8(F.col("x"), 0).alias("first"), bytesx.u8(F.col("x"), 1).alias("second"), F.md5(back).alias("digest"))
 
 
 @query("events", sql="""

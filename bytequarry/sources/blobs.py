@@ -13,8 +13,22 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.textx import matches_any
 
-#: Rows that a parser's batch holds.
-ROWS = 512
+#: Rows that a parser's batch holds, and bytes of values after which it is full.
+ROWS, BYTES = 4096, 4 << 20
+
+
+def gathered(rows: Iterable[tuple], types: list[pa.DataType], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows, of however many files, as batches of at most ROWS rows and about BYTES bytes; a batch for each small file would cost more than its rows."""
+    held, size = [], 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes | str))
+        if len(held) >= ROWS or size >= BYTES:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
 
 def parsed(files: DataFrame, path: str, content: str, parser: Callable[[bytes], Iterable[tuple]], schema: str) -> DataFrame:
@@ -37,19 +51,8 @@ def parsed(files: DataFrame, path: str, content: str, parser: Callable[[bytes],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                data, held = b.column(1)[i].as_py(), []
-                for row in rows_of(data) if data is not None else ():
-                    held.append(row)
-                    if len(held) == ROWS:
-                        yield batch(b.column(0)[i], held)
-                        held = []
-                if held:
-                    yield batch(b.column(0)[i], held)
-
-    def batch(key_value: pa.Scalar, rows: list[tuple]) -> pa.RecordBatch:
-        cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([key_value.as_py()] * len(rows), key_value.type), *cols], names=[path, *names])
+            rows = ((k.as_py(), *row) for k, data in zip(b.column(0), b.column(1), strict=True) if data.is_valid for row in rows_of(data.as_py()))
+            yield from gathered(rows, [b.schema.field(0).type, *types], [path, *names])
 
     return files.select(path, content).mapInArrow(run, f"{path} {key}, {schema}")
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blobs import gathered
+
 MAGIC = b"@UTF"
 # Fixed values of the format: storage bits of a column's flag byte, and value types by code.
 NAMED, DEFAULT, ROW, UNDEFINED = 0x10, 0x20, 0x40, 0x80
@@ -169,17 +171,18 @@ def cells(files: DataFrame, id_col: str = "path", content: str = "content", skip
     """One row per cell of the tables in files, nested ones too: id and CELLS. An unsound table gives one row with its error; a null content none."""
     kind = files.schema[id_col].dataType.simpleString()
 
+    names = [c.split(" ")[0] for c in CELLS.split(", ") if " " in c]
+
+    def rows(b: pa.RecordBatch) -> Iterator[tuple]:
+        for k, content in zip(b.column(0), b.column(1), strict=True):
+            data, key = content.as_py(), k.as_py()
+            if data is not None:
+                for row in _cells(data, [], 0x20 if skip_crid and data[:4] == b"CRID" else 0):
+                    yield (key, *row)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                data = b.column(1)[i].as_py()
-                if data is None:
-                    continue
-                rows = list(_cells(data, [], 0x20 if skip_crid and data[:4] == b"CRID" else 0))
-                if rows:
-                    ids = pa.array([b.column(0)[i].as_py()] * len(rows), b.column(0).type)
-                    cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)]
-                    yield pa.RecordBatch.from_arrays([ids, *cols], names=[id_col, *[c.split(" ")[0] for c in CELLS.split(", ") if " " in c]])
+            yield from gathered(rows(b), [b.schema.field(0).type, *_TYPES], [id_col, *names])
 
     return files.select(id_col, content).mapInArrow(run, f"{id_col} {kind}, {CELLS}")
 
