@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .similar import one_to_one
-from .staging import held
+from .staging import held, light
 
 #: Pairs of a problem that one task may sort.
 TASK_PAIRS = 200_000
@@ -33,7 +33,8 @@ def one_to_one_in_rounds(pairs: DataFrame, problem: str, left: str, right: str,
     chosen: list[DataFrame] = []
     while True:
         sizes = held(now.groupBy(p).agg((F.count("*") > task_pairs).alias("large")))
-        split = now.join(sizes, p)
+        # problems may be few and large, so the pairs stay where they are
+        split = now.join(light(sizes), p)
         chosen.append(one_to_one(split.filter("NOT large").drop("large"), p, l, r, s))
         if sizes.filter("large").isEmpty():
             break
