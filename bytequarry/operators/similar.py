@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .staging import light
 from .warping import best_scores
 
-#: Rows that a block of the right side holds.
-BLOCK_ROWS = 4096
+#: Rows that a block of the right side holds, and left rows that are scored against one at once.
+BLOCK_ROWS, AT_ONCE = 4096, 256
 #: Weights of the parts of a score.
 WEIGHTS = {"tempo": 0.25, "loudness": 0.25, "dtw": 2.5, "euclid": 1.0, "cosine": 0.25}
 
@@ -107,6 +107,9 @@ def _best(left: DataFrame, right: DataFrame, id_col: str, block: str, columns: d
         l, r = pdf[pdf.left], pdf[~pdf.left].sort_values("id")
         if not len(l) or not len(r):
             return pd.DataFrame({"id": [], "match_id": [], "score": []})
+        return pd.concat([some(l[k : k + AT_ONCE], r) for k in range(0, len(l), AT_ONCE)])
+
+    def some(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         s = np.round(score(l, r), 6)
         if exclude_self:
             s[l.id.to_numpy()[:, None] == r.id.to_numpy()] = -np.inf

@@ -123,3 +123,22 @@ def test_rounds_choose_what_the_sequential_choice_does(spark, task_pairs):
             want.append((p, l, r, s))
     assert sorted((x.problem, x.l, x.r, x.score) for x in got.collect()) == sorted(want)
     assert greedy.one_to_one_in_rounds(df.limit(0), "problem", "l", "r", "score", task_pairs).collect() == []
+
+
+def test_left_rows_are_scored_some_at_a_time(spark):
+    most = similar.AT_ONCE
+
+    def score(l, r):
+        assert len(l) <= most, "more rows at once than memory is meant for"
+        return -np.abs(l.v.to_numpy(float)[:, None] - r.v.to_numpy(float))
+
+    rows = spark.range(2 * most + 3).select("id", F.lit(1).alias("b"), F.col("id").cast("double").alias("v"))
+    got = similar._best(rows, rows, "id", "b", {"v": "v"}, score, True).collect()
+    assert sorted((r.id, r.match_id) for r in got) == [(i, max(i - 1, 0) or (i == 0)) if i < 2 else (i, i - 1) for i in range(2 * most + 3)]
+
+
+def test_pairs_of_one_problem_are_not_gathered_by_it(spark, monkeypatch):
+    marked = []
+    monkeypatch.setattr(greedy, "light", lambda df: marked.append(df.columns) or F.broadcast(df))
+    assert greedy.one_to_one_in_rounds(pairs(spark, 300), "problem", "l", "r", "score", 50).count() > 0
+    assert marked and all(c == ["p", "large"] for c in marked)
