@@ -51,3 +51,29 @@ def test_list_file(spark):
     files = spark.createDataFrame([("/d/one.bin", 1), ("/d/two.txt", 2), ("/e/three.bin", 3)], "path string, n int")
     lines = spark.createDataFrame([("# all of *",), (" t*.bin ",), ("one.???",), ("",)], "line string")
     assert sorted(r.path for r in blobs.from_list(files, lines).collect()) == ["/d/one.bin", "/e/three.bin"] == sorted(p for p in ("/d/one.bin", "/d/two.txt", "/e/three.bin") if any(fnmatch.fnmatchcase(p[3:], x) for x in ("t*.bin", "one.???")))
+
+
+def test_candidates_by_place_are_few(spark, monkeypatch):
+    """Numbers behind a common head: pieces of three digits would let each name meet many patterns."""
+    tried = spark.sparkContext.accumulator(0)
+    real = patterns.regex_of
+
+    @F.udf("string", useArrow=False)
+    def seen(x):
+        tried.add(1)
+        return x
+
+    monkeypatch.setattr(patterns, "regex_of", lambda p: real(seen.asNondeterministic()(p)))
+    names = spark.range(20_000).select(F.format_string("o/%d_O.1", F.col("id") + 100_000).alias("name"))
+    rules = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.format_string("o/%d*", F.col("id") + 101_000)).otherwise(F.format_string("*%d_O.?", F.col("id") + 101_000)).alias("pattern"))
+    assert patterns.hits(names, rules).count() == 4000
+    assert tried.value <= 3 * 4000
+
+
+def test_places_beyond_the_most_named_go_by_pieces(spark, monkeypatch):
+    monkeypatch.setattr(patterns, "PLACES", 1)
+    r = random.Random(3)
+    names = sorted({"".join(r.choices("abé_", k=r.randint(0, 8))) for _ in range(200)})
+    rules = sorted({"".join(r.choices("abé_*?", k=r.randint(0, 6))) for _ in range(150)})
+    left, right = frames(spark, names, rules)
+    assert sorted((x["name"], x["pattern"]) for x in patterns.hits(left, right).collect()) == brute(names, rules)
