@@ -137,3 +137,16 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.n, r.total) for r in spark.table("hours").collect()] == [(1, 2.0)]
+
+
+def test_characters_are_counted_in_one_pass(spark):
+    import time
+
+    from bytequarry.operators import aggregates
+
+    many = "".join(map(chr, range(0x4E00, 0x4E00 + 20_000)))
+    rows = spark.createDataFrame([(many,), ("ab" + many[0],), ("",), (None,)], "t string")
+    began = time.monotonic()
+    got = {r.ch: r.n for r in aggregates.character_counts(rows, "t").collect()}
+    assert got == dict.fromkeys(many, 1) | {"a": 1, "b": 1, many[0]: 2}
+    assert time.monotonic() - began < 20
