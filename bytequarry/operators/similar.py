@@ -83,18 +83,20 @@ def weighted_matches(left: DataFrame, right: DataFrame, id_col: str, block: str,
             square = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T
             parts |= {"euclid": closeness(np.sqrt(np.maximum(square, 0))), "cosine": cosine(a, b)}
         if frames:
-            fl, fr = ([np.stack(x).astype(float) for x in side.frames] for side in (l, r))
             if exclude_self:
                 near &= l.id.to_numpy()[:, None] != r.id.to_numpy()
             rest = sum((weights[k] * v for k, v in parts.items()), np.zeros(near.shape))
-            return best_scores(fl, fr, near, rest, weights["dtw"], weights["dtw"] + sum(weights[k] for k in parts), band)[0]
+            return best_scores(list(l.frames), list(r.frames), near, rest, weights["dtw"], weights["dtw"] + sum(weights[k] for k in parts), band)[0]
         return np.where(near, weighted(parts, weights), -np.inf)
 
-    return _best(left, right, id_col, block, columns, score, exclude_self)
+    def ready(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.assign(frames=[np.stack(x).astype(float) for x in rows.frames]) if frames else rows
 
+    return _best(left, right, id_col, block, columns, score, exclude_self, ready)
 
-def _best(left: DataFrame, right: DataFrame, id_col: str, block: str, columns: dict[str, str], score: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], exclude_self: bool) -> DataFrame:
-    """For each left row the best of its block: each block is cut into pieces of BLOCK_ROWS on both sides, pieces meet in pairs, and the best of each pair of pieces meet in a grouped maximum. No task holds more than a piece of either side; the number of pairs is a block's own rows squared, so blocks are the caller's way to keep it small."""
+
+def _best(left: DataFrame, right: DataFrame, id_col: str, block: str, columns: dict[str, str], score: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray], exclude_self: bool, ready: Callable[[pd.DataFrame], pd.DataFrame] = lambda rows: rows) -> DataFrame:
+    """For each left row the best of its block: each block is cut into pieces of BLOCK_ROWS on both sides, pieces meet in pairs, and the best of each pair of pieces meet in a grouped maximum. No task holds more than a piece of either side; the number of pairs is a block's own rows squared, so blocks are the caller's way to keep it small. ready: what a task does to a piece before it is scored."""
     cut = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK_ROWS)).cast("int")
     sizes = left.groupBy(F.col(block).alias("b")).agg(F.count("*").alias("m")).join(right.groupBy(F.col(block).alias("b")).agg(F.count("*").alias("n")), "b")
     sized = light(sizes)
@@ -107,6 +109,7 @@ def _best(left: DataFrame, right: DataFrame, id_col: str, block: str, columns: d
         l, r = pdf[pdf.left], pdf[~pdf.left].sort_values("id")
         if not len(l) or not len(r):
             return pd.DataFrame({"id": [], "match_id": [], "score": []})
+        l, r = ready(l), ready(r)
         return pd.concat([some(l[k : k + AT_ONCE], r) for k in range(0, len(l), AT_ONCE)])
 
     def some(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:

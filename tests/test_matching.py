@@ -105,6 +105,17 @@ def test_best_scores_equal_full_warping_and_warp_less():
     assert count < 0.7 * near.sum()
 
 
+def test_few_pairs_without_structure_are_warped_in_double_precision():
+    rng = np.random.default_rng(6)
+    rows = [*rng.normal(size=(90, 8, 8)), *rng.normal(size=(40, 5, 8))]
+    rows[3], rows[4] = rows[70] + 1e-9, rows[70].copy()
+    near, rest = ~np.eye(130, dtype=bool), rng.random((130, 130)) * 0.01
+    full = np.where(near, [[rest[i, j] + 2.5 / (1 + similar.dtw(x, y)) for j, y in enumerate(rows)] for i, x in enumerate(rows)], -np.inf)
+    got, count = warping.best_scores(rows, rows, near, rest, 2.5, 1.0)
+    assert (got.argmax(axis=1) == full.argmax(axis=1)).all() and got.max(axis=1) == pytest.approx(full.max(axis=1))
+    assert count < 2 * len(rows)
+
+
 def pairs(spark, n, seed=3):
     r = random.Random(seed)
     rows = [(r.choice("ab"), r.randint(0, 40), r.randint(0, 40), float(r.randint(0, 30)), 5) for _ in range(n)]
