@@ -97,11 +97,15 @@ def mined_templates(words: DataFrame, word: str, sep: str = "_") -> DataFrame:
 
 
 def word_list(lines: DataFrame, line: str, max_length: int = 500, max_parts: int = 20) -> DataFrame:
-    """(word, original): tokens of sane lines and their camel-split forms; of several spellings the last by order is shown. lines: (seq, line)."""
+    """(word, original, alone): tokens of sane lines and their camel-split forms; of several spellings the last by order is shown, alone says that there is no other. lines: (seq, line).
+
+    Lines are split once and equal tokens meet before anything else is done
+    with them, so all but the split costs as much as there are different ones.
+    """
     sane = (F.length(line) <= max_length) & (F.length(line) - F.length(F.replace(F.col(line), F.lit("_"))) <= max_parts) & ~F.col(line).startswith("#")
-    tokens = lines.filter(sane).select("seq", F.explode(name_tokens(F.col(line))).alias("t"))
+    tokens = lines.filter(sane).select("seq", F.explode(name_tokens(F.col(line))).alias("t")).groupBy("t").agg(F.max("seq").alias("seq"))
     both = tokens.select("seq", F.posexplode(F.array(camel_split(F.col("t")), F.col("t"))).alias("as_is", "t"))
-    return both.groupBy(F.lower("t").alias("word")).agg(F.max_by("t", F.struct("seq", "as_is")).alias("original"))
+    return both.groupBy(F.lower("t").alias("word")).agg(F.max_by("t", F.struct("seq", "as_is")).alias("original"), (F.min("t") == F.max("t")).alias("alone"))
 
 
 def candidates(words: DataFrame, templates: DataFrame, word: str = "word", template: str = "template") -> DataFrame:

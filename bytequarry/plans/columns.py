@@ -494,10 +494,7 @@ SELECT lower(t) AS word, max_by(t, seq * 2 + o) AS original FROM b GROUP BY lowe
 def word_list(documents):
     """Words of sane lines, with camel-split forms, that are spelled in one way."""
     rows = documents.filter("text IS NOT NULL").select(F.col("doc_id").alias("seq"), F.col("text").alias("line"))
-    found = names.word_list(rows, "line", max_length=1 << 30)
-    tokens = rows.filter((F.length("line") - F.length(F.replace("line", F.lit("_"))) <= 20) & ~F.col("line").startswith("#")).select(F.explode(textx.name_tokens(F.col("line"))).alias("t"))
-    both = tokens.select(F.explode(F.array("t", textx.camel_split(F.col("t")))).alias("t")).groupBy(F.lower("t").alias("word")).agg(F.count_distinct("t").alias("k")).filter("k = 1")
-    return found.join(both, "word", "left_semi")
+    return names.word_list(rows, "line", max_length=1 << 30).filter("alone").select("word", "original")
 
 
 @query("orders", sql="""

@@ -57,6 +57,8 @@ def test_names(spark):
     words = spark.createDataFrame([(0, "# no"), (1, "fooBar x-y"), (2, "FOOBAR")], "seq int, line string")
     got = {r.word: r.original for r in names.word_list(words, "line").collect()}
     assert got["foobar"] == "FOOBAR" and "foo_bar" in got and "x" in got and "no" not in got
+    alone = {r.word: r.alone for r in names.word_list(words.unionByName(spark.createDataFrame([(3, "x x"), (4, "é\U0001F600y\n"), (5, ""), (6, None)], "seq int, line string")), "line").collect()}
+    assert alone == {"foobar": False, "foo_bar": True, "x": True, "y": True}
     cand = names.candidates(spark.createDataFrame([("a",)], "word string"), spark.createDataFrame([("p_%s",)], "template string"))
     from bytequarry.functions.hashx import joaat, low29
 
