@@ -1,10 +1,13 @@
-"""Hashes of names: rolling 32-bit hashes as native expressions, CRC-64 by Arrow."""
+"""Hashes of names: rolling 32-bit hashes, Jenkins' one in bulk on Arrow's buffers and FNV as native expressions, CRC-64 by Arrow."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,18 +38,63 @@ def joaat(text: Column, seed: int | Column = 0, finish: bool = True) -> Column:
     finish=False gives the rolling state, which seeds the hash of what follows.
     """
 
-    def step(h: Column, b: Column) -> Column:
-        h = _mask(h + b)
-        h = _mask(h + F.shiftleft(h, 10))
-        return h.bitwiseXOR(F.shiftrightunsigned(h, 6))
+    start = F.lit(seed).cast("bigint") if isinstance(seed, int) else seed.cast("bigint")
+    return (_joaat if finish else _joaat_rolling)(text.cast("string"), start)
 
-    def end(h: Column) -> Column:
-        h = _mask(h + F.shiftleft(h, 3))
-        h = h.bitwiseXOR(F.shiftrightunsigned(h, 11))
-        return _mask(h + F.shiftleft(h, 15))
 
-    start = F.lit(seed).cast("bigint") if isinstance(seed, int) else seed.cast("bigint")
-    return F.aggregate(byte_values(fold_path(text)), start, step, end if finish else None)
+#: Bytes as joaat takes them.
+_FOLDED = np.frombuffer(bytes(range(256)).lower().replace(b"\\", b"/"), np.uint8).astype(np.uint32)
+
+
+def _rolled(texts: pa.Array, starts: pa.Array, step: Callable[[np.ndarray, np.ndarray], np.ndarray], back: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(32-bit states after all bytes of each text, which are null): one step for the k-th bytes of all texts that have so many, from the last byte on if back."""
+    null = np.asarray(texts.is_null()) | np.asarray(starts.is_null())
+    data = texts.fill_null("").cast(pa.binary()).cast(pa.large_binary())
+    at = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+    every = np.frombuffer(data.buffers()[2] or b"", np.uint8)
+    long = np.diff(at)
+    order = np.argsort(-long, kind="stable")
+    first, long = (at[1:] - 1 if back else at[:-1])[order], long[order]
+    h = (np.asarray(starts.fill_null(0)).astype(np.int64) & MASK32).astype(np.uint32)[order]
+    for k in range(int(long[0]) if len(long) else 0):
+        n = np.searchsorted(-long, -k, "left")
+        h[:n] = step(h[:n], _FOLDED[every[first[:n] - k if back else first[:n] + k]])
+    out = np.empty(len(h), np.int64)
+    out[order] = h
+    return out, null
+
+
+def _joaat_step(h: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = h + b
+    h += h << 10
+    return h ^ h >> 6
+
+
+@F.arrow_udf(T.LongType())
+def _joaat_rolling(texts: pa.Array, starts: pa.Array) -> pa.Array:
+    h, null = _rolled(texts, starts, _joaat_step)
+    return pa.array(h, mask=null)
+
+
+@F.arrow_udf(T.LongType())
+def _joaat(texts: pa.Array, starts: pa.Array) -> pa.Array:
+    h, null = _rolled(texts, starts, _joaat_step)
+    h = h.astype(np.uint32)
+    h += h << 3
+    h ^= h >> 11
+    h += h << 15
+    return pa.array(h.astype(np.int64), mask=null)
+
+
+@F.arrow_udf(T.LongType())
+def _joaat_back(texts: pa.Array, states: pa.Array) -> pa.Array:
+    inverse = np.uint32(pow(1 + (1 << 10), -1, 1 << 32))
+
+    def step(h: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (h ^ h >> 6 ^ h >> 12 ^ h >> 18 ^ h >> 24 ^ h >> 30) * inverse - b
+
+    h, null = _rolled(texts, states, step, back=True)
+    return pa.array(h, mask=null)
 
 
 def _xor_undone(h: Column, shift: int) -> Column:
@@ -65,8 +113,7 @@ def joaat_state(value: Column) -> Column:
 
 def joaat_without_suffix(state: Column, suffix: Column) -> Column:
     """The rolling state before a known suffix, folded as joaat folds it."""
-    back = lambda h, b: _mask(_times32(_xor_undone(h, 6), pow(1 + (1 << 10), -1, 1 << 32)) - b)
-    return F.aggregate(F.reverse(byte_values(fold_path(suffix))), state.cast("bigint"), back)
+    return _joaat_back(suffix.cast("string"), state.cast("bigint"))
 
 
 def low29(value: Column) -> Column:

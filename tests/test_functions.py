@@ -43,6 +43,17 @@ def joaat(data: bytes, seed: int = 0) -> int:
     return h + (h << 15) & 0xFFFFFFFF
 
 
+def test_joaat_of_many_texts_at_once(spark):
+    rows = [(0, "ab\\C", 0), (1, "", 5), (2, None, 1), (3, "x", None), (4, "é" * 3000, 7), (5, "Ab/c", 0), (6, "zz", (1 << 32) - 1)]
+    df = spark.createDataFrame(rows, "k int, t string, s long").coalesce(1)
+    state = hashx.joaat(F.col("t"), F.col("s"), finish=False)
+    got = df.select("k", "t", "s", hashx.joaat(F.col("t"), F.col("s")).alias("h"), hashx.joaat_without_suffix(state, F.col("t")).alias("back"))
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+    for r in got.collect():
+        none = r.t is None or r.s is None
+        assert r.h == (None if none else joaat(r.t.lower().replace("\\", "/").encode(), r.s)) and r.back == (None if none else r.s)
+
+
 @pytest.mark.parametrize("text", ["", "a", "The Quick\\Brown", "äöü€", "x" * 300])
 def test_rolling_hashes(spark, text):
     folded = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ\\", "abcdefghijklmnopqrstuvwxyz/")).encode()
