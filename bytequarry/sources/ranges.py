@@ -19,6 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 #: Bytes of a block, and bytes that one task reads.
 BLOCK, TASK = 1 << 20, 128 << 20
+#: Places of needles that a task gives at once, and rows that a writer takes at once.
+PLACES, WRITE_ROWS = 1 << 14, 256
 #: First bytes of an archive that are read for its directory; twice as many each time until they hold it.
 HEAD = 64 << 10
 
@@ -130,21 +132,25 @@ def blocks(spark: SparkSession, path: str, block: int = BLOCK, ahead: int = 0) -
 def needle_places(blocks_df: DataFrame, needles: list[bytes]) -> DataFrame:
     """(path, needle, place): where each needle (by its number) begins, also across seams. blocks_df was read with ahead of at least the longest needle less one."""
     wanted = [bytes(n) for n in needles]
+    kinds = (pa.string(), pa.int32(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: tuple[list, list, list] = ([], [], [])
         for b in batches:
-            paths, which, places = [], [], []
-            for path, offset, content, ahead in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for i in range(b.num_rows):  # a batch may hold thousands of blocks: one at a time becomes Python's
+                path, offset, content, ahead = (c[i].as_py() for c in b.columns)
                 for k, n in enumerate(wanted):
                     text = content + ahead[: max(0, len(n) - 1)]
                     at = text.find(n) if n else -1
                     while at >= 0:
-                        paths.append(path)
-                        which.append(k)
-                        places.append(offset + at)
+                        for c, x in zip(found, (path, k, offset + at), strict=True):
+                            c.append(x)
                         at = text.find(n, at + 1)
-            if paths:
-                yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(which, pa.int32()), pa.array(places, pa.int64())], names=["path", "needle", "place"])
+                    if len(found[0]) >= PLACES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, kinds, strict=True)], names=["path", "needle", "place"])
+                        found = ([], [], [])
+        if found[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, kinds, strict=True)], names=["path", "needle", "place"])
 
     return blocks_df.select("path", "offset", "content", "ahead").mapInArrow(run, "path string, needle int, place long")
 
@@ -324,4 +330,11 @@ def write_keyed(df: DataFrame, folder: str, name: str = "name", payload: str = "
     """Write a file for each name below folder, payloads appended in `order`. Names that stand there already make it fail unless replace is set, and then nothing has changed; a failed job leaves no file either."""
     df.sparkSession.dataSource.register(KeyedSink)
     rows = df.repartition(name).sortWithinPartitions(name, *(order or [])).select(F.col(name).cast("string").alias("name"), F.col(payload).cast("binary").alias("payload"))
-    rows.write.format("keyed_files").mode("overwrite" if replace else "append").save(folder)
+    # a batch of rows is in a writer's memory three times over, and ten thousand rows of payloads may be any size
+    conf, at_once = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(at_once)
+    conf.set(at_once, WRITE_ROWS)
+    try:
+        rows.write.format("keyed_files").mode("overwrite" if replace else "append").save(folder)
+    finally:
+        conf.set(at_once, before)

@@ -43,6 +43,20 @@ def test_needles_across_seams(spark, files):
     assert {r.path for r in ranges.blocks(spark, f"file://{folder}/*.bin", 100).collect()} == {f"{folder}/a.bin"}
 
 
+def test_places_and_payloads_come_in_small_batches(spark, tmp_path, monkeypatch):
+    sizes, kept = [], spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    data = spark.range(3000).select(F.lit("a").alias("path"), (F.col("id") * 9).alias("offset"), F.lit(b"ab" * 4 + b"a").alias("content"), F.lit(b"b").alias("ahead"))
+    monkeypatch.setattr(type(data), "mapInArrow", lambda df, run, schema: sizes.extend(b.num_rows for b in run(iter(df.toArrow().to_batches()))), raising=False)
+    ranges.needle_places(data, [b"ab"])
+    assert sum(sizes) == 15000 and max(sizes) <= 1 << 14
+    monkeypatch.setattr(ranges, "PLACES", 100, raising=False)
+    sizes.clear()
+    ranges.needle_places(data, [b"ab"])
+    assert sum(sizes) == 15000 and max(sizes) < 110
+    ranges.write_keyed(spark.range(1000).select(F.lit("x").alias("name"), F.lit("é").alias("payload")), str(tmp_path / "o"))
+    assert (tmp_path / "o/x").read_text() == "é" * 1000 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == kept
+
+
 class Counting:
     """A file that counts what is read from it."""
 
